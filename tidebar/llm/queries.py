@@ -1,8 +1,8 @@
 """The queries of this subpackage and their SQL, for __spark_entry__."""
 
-from . import quality, sharding
+from . import bpe, packing, quality, sharding
 
-MODULES = (sharding, quality)
+MODULES = (sharding, quality, bpe, packing)
 
 
 def queries() -> dict:
