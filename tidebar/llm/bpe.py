@@ -28,6 +28,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import table
 
@@ -295,7 +296,7 @@ def lexicon_for(path: str, frequent: Iterable[bytes] = ()) -> bytes:
 def with_ids(df: DataFrame, path: str, lexicon: bytes, text: str = "text", out: str = "ids") -> DataFrame:
     """df with the ids of its text as array<int>."""
     shared = df.sparkSession.sparkContext.broadcast(lexicon)
-    schema = df.drop(out).schema.add(out, "array<int>")
+    schema = df.drop(out).schema.add(out, T.ArrayType(T.IntegerType()))
     at = df.columns.index(text)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
