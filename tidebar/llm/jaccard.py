@@ -277,6 +277,19 @@ def with_components(docs: DataFrame, text: str = "text", key: str = "doc_id", si
         F.when(F.col("rep").isNull(), 0).otherwise(F.col("copies") - 1 + F.coalesce("own_links", F.lit(0))).cast("long").alias("n_links"))
 
 
+def representatives(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs whose key is the least of their component: one document of each group, with docs' columns.
+
+    Rows that repeat a key with the same text count once; rows without a key, or without words, stay.
+    """
+    found = stored(with_components(docs, text, key, size, percent).where(F.col(key) == F.col("component_id")).groupBy(key).agg(F.count("*").alias("rows")), "kept")
+    again = found.where(F.col("rows") > 1).select(key)
+    kept = docs.join(found.where(F.col("rows") == 1).select(key), key, "left_semi")
+    if again.take(1):
+        kept = kept.union(docs.join(again, key, "left_semi").dropDuplicates([key, text]))
+    return kept.union(docs.where(F.col(key).isNull())).select(docs.columns)
+
+
 def op10_size_aware_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contract op10: 4-word shingles, 85 percent."""
     return with_components(table(spark, sf_dir, "documents"))

@@ -1,8 +1,8 @@
 """The queries of this subpackage and their SQL, for __spark_entry__."""
 
-from . import bpe, jaccard, packing, quality, sharding, substrings
+from . import bpe, jaccard, langid, packing, quality, sharding, substrings
 
-MODULES = (sharding, quality, substrings, bpe, packing, jaccard)
+MODULES = (langid, sharding, quality, substrings, bpe, packing, jaccard)
 
 
 def queries() -> dict:
