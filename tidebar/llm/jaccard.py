@@ -284,10 +284,10 @@ def representatives(docs: DataFrame, text: str = "text", key: str = "doc_id", si
     """
     found = stored(with_components(docs, text, key, size, percent).where(F.col(key) == F.col("component_id")).groupBy(key).agg(F.count("*").alias("rows")), "kept")
     again = found.where(F.col("rows") > 1).select(key)
-    kept = docs.join(found.where(F.col("rows") == 1).select(key), key, "left_semi")
+    kept = docs.join(found.where(F.col("rows") == 1).select(key), key, "left_semi").select(docs.columns)
     if again.take(1):
-        kept = kept.union(docs.join(again, key, "left_semi").dropDuplicates([key, text]))
-    return kept.union(docs.where(F.col(key).isNull())).select(docs.columns)
+        kept = kept.union(docs.join(again, key, "left_semi").dropDuplicates([key, text]).select(docs.columns))
+    return kept.union(docs.where(F.col(key).isNull()))
 
 
 def op10_size_aware_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
