@@ -1,8 +1,8 @@
 """The queries of this subpackage and their SQL, for __spark_entry__."""
 
-from . import bpe, jaccard, langid, packing, quality, sharding, substrings, toxicity
+from . import bpe, jaccard, langid, packing, quality, sharding, substrings, toxicity, wrappers
 
-MODULES = (langid, toxicity, sharding, quality, substrings, bpe, packing, jaccard)
+MODULES = (langid, toxicity, wrappers, sharding, quality, substrings, bpe, packing, jaccard)
 
 
 def queries() -> dict:
