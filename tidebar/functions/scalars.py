@@ -136,8 +136,7 @@ def failure_rate(rate: Column) -> Column:
 def ratio_text(value: Column, denominator: Column) -> Column:
     """Two decimals without zeros at the end; 0 where the denominator is not positive."""
     text = F.format_string("%.2f", F.coalesce(value, F.lit(0.0)) / denominator)
-    short = F.regexp_replace(F.regexp_replace(text, "0+$", ""), r"\.$", "")
-    return F.when(F.coalesce(denominator > 0, F.lit(False)), F.when(short.isin("", "-0"), "0").otherwise(short)).otherwise("0")
+    return F.when(F.coalesce(denominator > 0, F.lit(False)), F.regexp_replace(text, r"\.?0+$", "")).otherwise("0")
 
 
 def positive_average(values: Column) -> Column:

@@ -109,23 +109,33 @@ def window_arrays(anchors: DataFrame, bars: DataFrame, size: int, columns: tuple
 
 
 def compact_text(bars: Column, columns: tuple[str, ...] = COLUMNS) -> Column:
-    """Lines of an index and ratios: prices and averages to the mean close, volume and amount to their own means."""
+    """Lines of an index and ratios: prices and averages to the mean close, volume and amount to their own means.
+
+    The means are bound once by an array of one struct; else every line would compute them again.
+    """
+    own = [c for c in ("close", "volume", "amount") if c == "close" or c in columns]
+
     def mean(name: str) -> Column:
         return positive_average(F.transform(bars, lambda b: b[name]))
 
-    base = {c: mean(c if c in ("volume", "amount") else "close") for c in columns}
-    lines = F.transform(bars, lambda b, i: F.concat_ws(",", (i + 1).cast("string"), *[ratio_text(b[c], base[c]) for c in columns]))
-    return F.array_join(lines, "\n")
+    def lines(s: Column) -> Column:
+        def line(b: Column, i: Column) -> Column:
+            return F.concat_ws(",", (i + 1).cast("string"), *[ratio_text(b[c], s[c if c in own else "close"]) for c in columns])
+
+        return F.array_join(F.transform(s["bars"], line), "\n")
+
+    return F.transform(F.array(F.struct(bars.alias("bars"), *[mean(c).alias(c) for c in own])), lines)[0]
 
 
 def samples(events: DataFrame, daily: DataFrame, weekly: DataFrame, monthly: DataFrame, mode: str = "long") -> DataFrame:
     """Events (scode, trade_date, label) as messages and metadata, where all windows are full. Bars have their averages."""
     d, w, m = MODES[mode]
     out = events.select("scode", "trade_date", "label")
+    anchors = out.select("scode", "trade_date").distinct()
     parts = [F.concat(F.lit("s="), F.col("scode")), F.lit(f"mode={mode}"), F.lit("cols=i," + ",".join(COLUMNS))]
     for name, bars, size in (("D", daily, d), ("W", weekly, w), ("M", monthly, m)):
         if size:
-            found = window_arrays(out.select("scode", "trade_date").distinct(), bars, size).where("bars IS NOT NULL").withColumnRenamed("bars", f"bars_{name}")
+            found = window_arrays(anchors, bars, size).where("bars IS NOT NULL").withColumnRenamed("bars", f"bars_{name}")
             out = out.join(found, ["scode", "trade_date"])
             parts += [F.lit(name), compact_text(F.col(f"bars_{name}"))]
     messages = F.array(F.struct(F.lit("user").alias("role"), F.concat_ws("\n", *parts).alias("content")), F.struct(F.lit("assistant").alias("role"), F.concat(F.lit('{"c":"'), F.col("label"), F.lit('"}')).alias("content")))
