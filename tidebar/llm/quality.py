@@ -16,7 +16,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import scratch_name, table
 
 #: Trimmed first, so that splitting at white space leaves no empty word.
 WORDS_SQL = """aggregate(array(trim(BOTH ' \t\n\x0b\x0c\r' FROM coalesce(`{text}`, ''))), cast(array() as array<string>),
@@ -32,22 +32,22 @@ REPEATS_SQL = """aggregate(transform(array({words}), ws -> if(size(ws) < 4, cast
         0L, (acc1, ps) -> aggregate(ps, named_struct('n', 0L, 'last', -3), (a, p) -> named_struct('n', a.n + least(3, p - a.last), 'last', p), a -> a.n))))"""
 
 
-def features(df: DataFrame, text: str = "text") -> dict[str, Column]:
-    """Columns over the words of `text` and over the raw text; `words` must be added to df first (with_words)."""
+def features(text: str = "text", words: str = "__words") -> dict[str, Column]:
+    """Columns over the array `words` (see with_words) and over the raw text."""
     raw = F.coalesce(F.col(text), F.lit(""))
     lines = F.filter(F.split(raw, "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
     return {
-        "n_words": F.size("__words").cast("long"),
-        "word_chars": F.aggregate("__words", F.lit(0).cast("long"), lambda a, w: a + F.char_length(w)),
+        "n_words": F.size(words).cast("long"),
+        "word_chars": F.aggregate(words, F.lit(0).cast("long"), lambda a, w: a + F.char_length(w)),
         "n_symbols": F.char_length(F.regexp_replace(raw, r"[^#*$%&|<>]+", "")).cast("long"),
         "n_dup_lines": F.aggregate(F.array(lines), F.lit(0).cast("long"), lambda a, x: a + F.size(x) - F.size(F.array_distinct(x))),
-        "n_repeat_words": F.expr(REPEATS_SQL.format(words="__words")),
+        "n_repeat_words": F.expr(REPEATS_SQL.format(words=f"`{words}`")),
         "n_capitals": F.char_length(F.regexp_replace(raw, r"\P{Lu}+", "")).cast("long"),
     }
 
 
-def with_words(df: DataFrame, text: str = "text") -> DataFrame:
-    return df.withColumn("__words", F.expr(WORDS_SQL.format(text=text)))
+def with_words(df: DataFrame, text: str = "text", words: str = "__words") -> DataFrame:
+    return df.withColumn(words, F.expr(WORDS_SQL.format(text=text)))
 
 
 def default_rules(f: Mapping[str, Column]) -> dict[str, Column]:
@@ -94,15 +94,16 @@ def cascade(rules: Mapping[str, Column], order: list[str]) -> Column:
 
 def filter_quality(df: DataFrame, text: str = "text") -> DataFrame:
     """The rows of df that no rule rejects, with df's columns."""
-    rules = default_rules(features(df, text))
-    order = measured_order(df.select(F.col(text).alias("text")), rules)
-    return with_words(df, text).where(cascade(default_rules(features(df, text)), order).isNull()).drop("__words")
+    words = scratch_name(df, "words")
+    order = measured_order(df.select(F.col(text).alias("text")), default_rules(features()))
+    rejected = cascade(default_rules(features(text, words)), order).isNotNull()
+    return with_words(df, text, words).where(~rejected).drop(words)
 
 
 def op6_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contract op6: base features of every whole text, and the cascade's verdict where the base rules pass."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    named = features(docs)
+    named = features()
     order = [x for x in measured_order(docs, default_rules(named)) if x not in ("few_words", "repeated_words")]
     shown = with_words(docs).select("doc_id", *[named[x].alias(x) for x in named])
     rules = default_rules({x: F.col(x) for x in named})
@@ -112,3 +113,18 @@ def op6_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op6_quality_cascade": op6_quality_cascade}
+
+ORACLE_SQL = {"op6_quality_cascade": r"""
+WITH w AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+lined AS (SELECT *, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM w),
+windows AS (SELECT doc_id, i, ws[i] || chr(32) || ws[i + 1] || chr(32) || ws[i + 2] AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM w)),
+again AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM windows) WHERE n > 1),
+covered AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM again) GROUP BY 1),
+f AS (SELECT l.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+        CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+        CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words, length(regexp_replace(t, '\P{Lu}', '', 'g')) AS capitals
+    FROM lined l LEFT JOIN covered c ON c.doc_id = l.doc_id),
+b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM f)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+    NOT (base_failed OR 10 * n_symbols > n_words OR (n_dup_lines >= 3 AND 15 * n_dup_lines > n_words) OR 2 * capitals > word_chars OR word_chars > 25 * n_words) AS kept
+FROM b"""}

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import id_text, table
+from .common import id_text, scratch_name, table
 
 #: Fixed values of the published algorithm.
 MULTIPLIER = 2862933555777941757
@@ -49,13 +49,14 @@ def slots(df: DataFrame, shard: str = "shard", key: str = "doc_id", rows_per_buc
     """
     n = df.count()
     buckets = max(1, min(max_buckets, n // rows_per_bucket))
-    bucketed = df.withColumn("__bucket", F.crc32(id_text(key)) % F.lit(buckets))
-    counts = bucketed.groupBy(F.col(shard).alias("__s"), F.col("__bucket").alias("__b")).count()
-    before = Window.partitionBy("__s").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("__s", "__b", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__offset"))
-    ranked = bucketed.withColumn("__rank", F.row_number().over(Window.partitionBy(shard, "__bucket").orderBy(key)))
-    joined = ranked.join(F.broadcast(offsets), (F.col(shard) == F.col("__s")) & (F.col("__bucket") == F.col("__b")))
-    return joined.withColumn("slot", (F.col("__offset") + F.col("__rank") - 1).cast("long")).drop("__s", "__b", "__offset", "__rank", "__bucket")
+    bucket, s, b, offset, rank = (scratch_name(df, x) for x in ("bucket", "s", "b", "offset", "rank"))
+    bucketed = df.withColumn(bucket, F.crc32(id_text(key)) % F.lit(buckets))
+    counts = bucketed.groupBy(F.col(shard).alias(s), F.col(bucket).alias(b)).agg(F.count("*").alias(rank))
+    before = Window.partitionBy(s).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(s, b, F.coalesce(F.sum(rank).over(before), F.lit(0)).alias(offset))
+    ranked = bucketed.withColumn(rank, F.row_number().over(Window.partitionBy(shard, bucket).orderBy(key)))
+    joined = ranked.join(F.broadcast(offsets), (F.col(shard) == F.col(s)) & (F.col(bucket) == F.col(b)))
+    return joined.withColumn("slot", (F.col(offset) + F.col(rank) - 1).cast("long")).drop(s, b, offset, rank, bucket)
 
 
 def op2_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

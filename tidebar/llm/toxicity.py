@@ -181,6 +181,12 @@ def tokens_of(text: str | None) -> set[str]:
     return {*text.split(), *spaced_words(text)}
 
 
+def copy_group(text: str | None, size: int = 5) -> int:
+    """A number from 1 that near copies are likely to share: the least hash of any five tokens in a row."""
+    tokens = (text or "").split()
+    return 1 + min((xxhash.xxh3_64_intdigest(" ".join(tokens[i : i + size])) for i in range(max(1, len(tokens) - size + 1))), default=0) % (1 << 62)
+
+
 def character_counts(docs: DataFrame, text: str = "text", characters: int = 500_000) -> np.ndarray:
     """Trigram counts over all documents: partial counts in the tasks, sums in Spark; SIZE^3 rows at most."""
 
@@ -222,7 +228,6 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = CharacterModel(shared.value)
         memo: dict[str, list[str]] = {}
-        digest = xxhash.xxh3_64_intdigest
         for batch in batches:
             found: Counter = Counter()
             for y, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -234,13 +239,13 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
                             memo.clear()
                         memo[token] = entries_of(words_behind(token, model))
                     entries.update(memo[token])
-                group = min((digest(e) for e in entries), default=0)
                 if y:
+                    group = copy_group(t)
                     found.update((e, group) for e in entries)
                 else:
                     found.update((e, 0) for e in entries)
                     found[TOKENS, 0] += len(tokens)
-            yield pa.RecordBatch.from_pydict({"entry": pa.array([e for e, _ in found], pa.string()), "grp": pa.array(np.array([g for _, g in found], dtype=np.uint64).view(np.int64)), "n": pa.array(list(found.values()), pa.int64())})
+            yield pa.RecordBatch.from_pydict({"entry": pa.array([e for e, _ in found], pa.string()), "grp": pa.array([g for _, g in found], pa.int64()), "n": pa.array(list(found.values()), pa.int64())})
 
     tallied = stored(rows.mapInArrow(tally, "entry string, grp long, n long").groupBy("entry", "grp").agg(F.sum("n").alias("n")), "tally")
     both = tallied.groupBy("entry").agg(F.count(F.when(F.col("grp") != 0, 1)).alias("a"), F.coalesce(F.sum(F.when(F.col("grp") == 0, F.col("n"))), F.lit(0)).alias("c"))

@@ -83,9 +83,28 @@ class Node:
     def elements(self) -> list[Node]:
         return [c for c in self.children if isinstance(c, Node)]
 
+    def blocks(self) -> list[Node]:
+        """The nearest blocks below; inline elements are part of their block."""
+        out: list[Node] = []
+        for c in self.elements():
+            if c.tag in BLOCKS:
+                out.append(c)
+            elif c.tag not in NEVER:
+                out += c.blocks()
+        return out
+
     def says(self) -> str:
-        """The text that the node itself holds, without that of its blocks."""
-        return " ".join(" ".join(c for c in self.children if isinstance(c, str)).split())
+        """The block's own text, that of inline elements included."""
+        return " ".join("".join(self._texts()).split())
+
+    def _texts(self) -> Iterator[str]:
+        for c in self.children:
+            if isinstance(c, str):
+                yield c
+            elif c.tag == "br" or c.tag in BLOCKS:
+                yield " "
+            elif c.tag not in NEVER:
+                yield from c._texts()
 
 
 class _Builder(HTMLParser):
@@ -158,7 +177,7 @@ def skeleton(root: Node) -> bytes:
     place = {id(n): i for i, n in enumerate(nodes)}
     parent = np.zeros(len(nodes), dtype="<i4")
     for i, n in enumerate(nodes):
-        for c in n.elements():
+        for c in n.blocks():
             parent[place[id(c)]] = i
     sizes = np.array([n.size for n in nodes], dtype="<i4")
     digests = np.array([n.digest for n in nodes], dtype="<i8")
@@ -179,12 +198,12 @@ def nodes_from(made: bytes) -> list[Node]:
 
 
 def numbered(root: Node) -> list[Node]:
-    """All elements in page order; a node's number is its place in the list."""
+    """All blocks in page order; a node's number is its place in the list."""
     out, waiting = [], [root]
     while waiting:
         node = waiting.pop()
         out.append(node)
-        waiting.extend(reversed(node.elements()))
+        waiting.extend(reversed(node.blocks()))
     return out
 
 
@@ -198,7 +217,7 @@ def match(a: Node, b: Node) -> list[tuple[Node, Node]]:
     def size(x: Node, y: Node) -> int:
         key = (id(x), id(y))
         if key not in memo:
-            xs, ys = x.elements(), y.elements()
+            xs, ys = x.blocks(), y.blocks()
             before = [0] * (len(ys) + 1)
             rows = [before]
             for p in xs:
@@ -220,7 +239,7 @@ def match(a: Node, b: Node) -> list[tuple[Node, Node]]:
     while waiting:
         x, y = waiting.pop()
         pairs.append((x, y))
-        xs, ys, rows = x.elements(), y.elements(), memo[id(x), id(y)][1]
+        xs, ys, rows = x.blocks(), y.blocks(), memo[id(x), id(y)][1]
         i, j = len(xs), len(ys)
         while i and j:
             if rows[i][j] == rows[i][j - 1]:
@@ -283,21 +302,22 @@ def _articles(root: Node) -> list[Node]:
     return []
 
 
-def _collect(node: Node, template: set[int], in_article: bool, blocks: list[list[str]]) -> None:
-    quiet = id(node) in template
+def _collect(node: Node, template: set[int], in_article: bool, blocks: list[list[str]], quiet: bool | None = None) -> None:
+    """quiet: that of the block which an inline element is part of."""
+    quiet = id(node) in template if quiet is None else quiet
     for child in node.children:
         if isinstance(child, str):
             if not quiet:
                 blocks[-1].append(child)
         elif child.tag == "br":
-            blocks[-1].append("\n")
+            blocks[-1].append(" ")
         elif not never_content(child, in_article):
             if child.tag in BLOCKS:
                 blocks.append([])
                 _collect(child, template, in_article, blocks)
                 blocks.append([])
             else:
-                _collect(child, template, in_article, blocks)
+                _collect(child, template, in_article, blocks, quiet)
 
 
 def host_of(url: Column) -> Column:
