@@ -3,7 +3,7 @@
 Frequent words, counted over the whole corpus and joined by the vocabulary's own whole words, are compiled with their id lists into one
 automaton whose equal suffixes are shared (incremental construction from sorted words). Each edge carries how many words precede it, so that
 a walk yields the word's number, and the number its ids. The automaton is one flat file of integers: it reaches executors as a broadcast of
-bounded size and is memory-mapped there, so its pages are shared by all workers of a machine. Words that it lacks are merged exactly by rank.
+bounded size and is memory-mapped there. Words that it lacks are merged exactly by rank, many at once.
 
 The text is cut at white space first, which no token of this vocabulary crosses; a bounded memo keeps the ids of pieces already seen by a worker.
 
@@ -13,6 +13,7 @@ Edge cases: a null or empty text has no ids; the special tokens' strings in a te
 from __future__ import annotations
 
 import functools
+import gc
 import hashlib
 import itertools
 import json
@@ -73,12 +74,18 @@ class Vocabulary:
         self.bytes_of = {c: b for b, c in enumerate(self.letters)}
 
     def normalize(self, piece: str) -> str:
+        if piece.isascii():
+            return piece.lower()
         piece = unicodedata.normalize("NFC", piece)
         return "".join(map(str.lower, piece)) if "Σ" in piece else piece.lower()  # a final sigma is lowered like any other
 
-    def words(self, piece: str) -> list[bytes]:
-        """The words of a piece that has neither white space nor special tokens, as UTF-8."""
-        return [w.encode() for w in self.word.findall(self.normalize(piece))]
+    def words(self, piece: str) -> list[str]:
+        """The words of a piece that has neither white space nor special tokens."""
+        text = self.normalize(piece)
+        core = text.rstrip(".,!")
+        if core.isalpha():  # letters are one word, and so are signs after them
+            return [core, text[len(core) :]] if len(core) < len(text) else [core]
+        return self.word.findall(text)
 
     def whole_words(self) -> list[bytes]:
         """The words that are single tokens of the vocabulary."""
@@ -105,6 +112,89 @@ class Vocabulary:
         return [self.ids[p] for p in parts]
 
 
+class Merger:
+    """Exact merging of many words at once: rows of token numbers in which the pair of the lowest rank, the leftmost first, becomes one token per step."""
+
+    NONE = (1 << 31) - 1
+    LONGEST = 48
+
+    def __init__(self, vocabulary: Vocabulary):
+        self.vocabulary = vocabulary
+        pairs = [(vocabulary.ids[a], vocabulary.ids[b], r, vocabulary.ids[a + b]) for (a, b), r in vocabulary.ranks.items()]
+        known = np.array(pairs, dtype=np.int64).reshape(-1, 4)
+        keys = known[:, 0] << 32 | known[:, 1]
+        # a table of 2^20 slots, in which each pair stands within a few slots after that of its hash
+        self.keys, self.at = np.full((1 << 20) + 64, -1, dtype=np.int64), np.full((1 << 20) + 64, -1, dtype=np.int32)
+        rest, self.probes = np.arange(len(keys)), 0
+        while len(rest):
+            slot = self._slot(keys[rest]) + self.probes
+            free = self.keys[slot] < 0
+            _, first = np.unique(slot[free], return_index=True)
+            taken = rest[free][first]
+            self.keys[slot[free][first]], self.at[slot[free][first]] = keys[taken], taken
+            rest = np.setdiff1d(rest, taken)
+            self.probes += 1
+        self.merged = known[:, 3].astype(np.int32)
+        self.order = np.append(known[:, 2], self.NONE).astype(np.int32)  # by the merge's number; the last is of none
+        self.first = np.array([vocabulary.ids[c] for c in vocabulary.letters], dtype=np.int32)
+        self.last = np.array([vocabulary.ids[c + vocabulary.end] for c in vocabulary.letters], dtype=np.int32)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
+
+    def pairs(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The number of each pair's merge, -1 where it has none; tokens below 0 are no tokens."""
+        keys = a.astype(np.int64) << 32 | (b.astype(np.int64) & 0xFFFFFFFF)
+        slot = self._slot(keys)
+        found = np.where(self.keys[slot] == keys, self.at[slot], -1)
+        for i in range(1, self.probes):
+            found = np.where(self.keys[slot + i] == keys, self.at[slot + i], found)
+        return np.where((a < 0) | (b < 0), np.int32(-1), found)
+
+    def all(self, words: list[bytes]) -> list[list[int]]:
+        out: list = [None] * len(words)
+        sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+        for size in np.unique(sizes).tolist():
+            which = np.flatnonzero(sizes == size)
+            if size > self.LONGEST:
+                for i in which.tolist():
+                    out[i] = self.vocabulary.merge(words[i])
+                continue
+            data = np.frombuffer(b"".join([words[i] for i in which.tolist()]), dtype=np.uint8).reshape(-1, size)
+            rows = self.first[data]
+            rows[:, -1] = self.last[data[:, -1]]
+            for i, ids in zip(which.tolist(), self._merged(rows)):
+                out[i] = ids
+        return out
+
+    def _merged(self, rows: np.ndarray) -> list[list[int]]:
+        """Only the two pairs beside a new token are looked up again."""
+        left, done, live, now = np.full(len(rows), rows.shape[1]), np.full_like(rows, -1), np.arange(len(rows)), rows
+        number = self.pairs(now[:, :-1], now[:, 1:])
+        while True:
+            rank = self.order[number]
+            best = rank.argmin(axis=1) if rank.shape[1] else np.zeros(len(now), dtype=np.int64)
+            more = rank[np.arange(len(now)), best] < self.NONE if rank.shape[1] else np.zeros(len(now), dtype=bool)
+            if not more.all():
+                done[live[~more], : now.shape[1]] = now[~more]
+                live, now, best, number = live[more], now[more], best[more], number[more]
+            if not len(live):
+                break
+            at = np.arange(len(live))
+            joined = self.merged[number[at, best]]
+            columns = np.arange(now.shape[1] - 1)[None, :]
+            now[at, best] = joined
+            now = np.take_along_axis(now, columns + (columns > best[:, None]), axis=1)
+            columns = columns[:, :-1]
+            number = np.take_along_axis(number, columns + (columns >= best[:, None]), axis=1)
+            left[live] -= 1
+            width = now.shape[1]
+            before, after = best > 0, best < width - 1
+            number[at[before], best[before] - 1] = self.pairs(now[at[before], best[before] - 1], joined[before])
+            number[at[after], best[after]] = self.pairs(joined[after], now[at[after], best[after] + 1])
+        return [ids[:n] for ids, n in zip(done.tolist(), left.tolist())]
+
+
 def compile_lexicon(entries: Iterable[tuple[bytes, list[int]]]) -> bytes:
     """The flat automaton of (word, ids) entries with distinct words that are not empty.
 
@@ -147,22 +237,20 @@ def compile_lexicon(entries: Iterable[tuple[bytes, list[int]]]) -> bytes:
     finals = [int(final) for final, _ in states]
     flat = [keys, targets, skips, finals, sizes, [i for _, ids in entries for i in ids]]
     longest = max((len(w) for w, _ in entries), default=0)
-    return np.concatenate([np.array([root, longest, *map(len, flat)], dtype=np.int64), *(np.asarray(x, dtype=np.int64) for x in flat)]).tobytes()
+    return np.concatenate([np.array([root, longest, *map(len, flat)], dtype=np.uint32), *(np.asarray(x, dtype=np.uint32) for x in flat)]).tobytes()
 
 
 class Lexicon:
-    """The automaton, memory-mapped from a file of this machine that is named by its content."""
+    """The automaton, memory-mapped. The file has no name any more once it is mapped, so nothing stays behind on the machine."""
 
     def __init__(self, content: bytes):
-        path = os.path.join(tempfile.gettempdir(), f"lexicon-{hashlib.sha256(content).hexdigest()[:24]}.bin")
-        if not os.path.exists(path):
-            with tempfile.NamedTemporaryFile(dir=tempfile.gettempdir(), delete=False) as f:
-                f.write(content)
-            os.replace(f.name, path)
-        flat = np.memmap(path, dtype=np.int64, mode="r")
+        with tempfile.NamedTemporaryFile() as f:
+            f.write(content)
+            f.flush()
+            flat = np.memmap(f.name, dtype=np.uint32, mode="r")
         self.root, self.longest, *lengths = map(int, flat[:8])
         ends = 8 + np.cumsum(lengths)
-        self.keys, self.targets, self.skips, self.finals, self.offsets, self.ids = (flat[e - n : e] for e, n in zip(ends, lengths))
+        self.keys, self.targets, self.skips, self.finals, self.offsets, self.ids = (flat[e - n : e] for e, n in zip(ends.tolist(), lengths))
 
     def numbers(self, words: list[bytes]) -> np.ndarray:
         """Each word's number, -1 where the automaton doesn't accept it. All words advance by one byte at a time together."""
@@ -175,7 +263,7 @@ class Lexicon:
             now = np.flatnonzero(alive & (sizes > at))
             if not len(now):
                 break
-            key = state[now] << 8 | data[starts[now] + at]
+            key = (state[now] << 8 | data[starts[now] + at]).astype(np.uint32)
             edge = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
             hit = self.keys[edge] == key
             alive[now[~hit]] = False
@@ -185,46 +273,116 @@ class Lexicon:
         accepted = alive & (self.finals[state] == 1)
         return np.where(accepted, number, -1)
 
-    def output(self, number: int) -> list[int]:
-        return self.ids[self.offsets[number] : self.offsets[number + 1]].tolist()
+    def outputs(self, numbers: np.ndarray) -> list[list[int]]:
+        """Ids of the words of these numbers."""
+        starts, ends = self.offsets[numbers].astype(np.int64), self.offsets[numbers + 1].astype(np.int64)
+        sizes = ends - starts
+        if not len(sizes):
+            return []
+        flat = self.ids[np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())].tolist()
+        cuts = np.cumsum(sizes).tolist()
+        return [flat[a:b] for a, b in zip([0, *cuts], cuts)]
+
+
+@functools.lru_cache(maxsize=4)
+def merger_of(vocabulary: Vocabulary) -> Merger:
+    return Merger(vocabulary)
+
+
+class AsIds:
+    """Renders ids as they are. A renderer makes a value of a word's ids, and one value of those of a piece; equal renderers are interchangeable."""
+
+    def word(self, ids: list[int]):
+        return tuple(ids)
+
+    def joined(self, values: list):
+        return tuple(i for v in values for i in v)
+
+    def __eq__(self, other):
+        return type(self) is type(other) and self.__dict__ == other.__dict__
+
+    def __hash__(self):
+        return hash(type(self))
 
 
 class Encoder:
-    """Encodes texts with a vocabulary and a lexicon; keeps a bounded memo. `render` makes what the memo keeps of a piece's ids."""
+    """Encodes texts with a vocabulary and a lexicon; keeps bounded memos of words and pieces, as the renderer makes them."""
 
-    def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon, render=lambda ids: ids):
-        self.vocabulary, self.lexicon, self.render = vocabulary, lexicon, render
+    def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon, render: AsIds):
+        self.vocabulary, self.lexicon, self.render, self.merger = vocabulary, lexicon, render, merger_of(vocabulary)
         self.memo: dict[str, object] = {}
-        self.known: dict[bytes, list[int]] = {}
+        self.known: dict[str, object] = {}
 
     def pieces(self, text: str | None) -> list[str]:
         if not text:
             return []
         return [p for p in SPACES.split(text) if p] if ODD_SPACE.search(text) else text.split()
 
+    def split(self, piece: str) -> list[str | int]:
+        """A piece's words, and the ids of special tokens."""
+        if "<|" not in piece:
+            return self.vocabulary.words(piece)
+        found: list[str | int] = []
+        for p in filter(None, self.vocabulary.specials.split(piece)):
+            if p in self.vocabulary.special:
+                found.append(self.vocabulary.special[p])
+            else:
+                found += self.vocabulary.words(p)
+        return found
+
     def learn(self, pieces: Iterable[str]) -> None:
-        """Put pieces into the memo: words by the automaton, the rest by merging."""
-        if len(self.memo) > MEMO_ENTRIES:
-            self.memo = {}
+        """Put pieces into the memo: words by the automaton, the rest by merging. Letters with a full stop or the like after them are the plain case."""
         if len(self.known) > MEMO_ENTRIES:
             self.known = {}
-        vocabulary, known = self.vocabulary, self.known
-        split = {}
-        for piece in pieces:
-            if piece not in self.memo and piece not in split:
-                if "<|" in piece:
-                    parts = [p for p in vocabulary.specials.split(piece) if p]
-                    split[piece] = [w for p in parts for w in ([vocabulary.special[p]] if p in vocabulary.special else vocabulary.words(p))]
+        gc.disable()  # many small objects that live on: each pass over them would find nothing
+        try:
+            self._learn(list(pieces))
+        finally:
+            gc.enable()
+
+    def _learn(self, pieces: list[str]) -> None:
+        known = self.known
+        joined = "\n".join(pieces)
+        plain = "Σ" not in joined and unicodedata.is_normalized("NFC", joined)
+        lowered = joined.lower().split("\n") if plain else [None] * len(pieces)
+        cores = [p.rstrip(".,!") if p else "" for p in lowered]
+        two: list[tuple[str, str, str]] = []
+        other: list[tuple[str, list]] = []
+        one: list[tuple[str, str]] = []
+        for piece, low, core in zip(pieces, lowered, cores):
+            if core.isalpha():
+                if len(core) == len(low):
+                    one.append((piece, core))
                 else:
-                    split[piece] = vocabulary.words(piece)
-        fresh = list({w for ws in split.values() for w in ws if w not in known and isinstance(w, bytes)})
-        for word, number in zip(fresh, self.lexicon.numbers(fresh).tolist() if fresh else []):
-            known[word] = self.lexicon.output(number) if number >= 0 else vocabulary.merge(word)
-        for piece, ws in split.items():
-            self.memo[piece] = self.render([i for w in ws for i in (known[w] if isinstance(w, bytes) else (w,))])
+                    two.append((piece, core, low[len(core) :]))
+            else:
+                other.append((piece, self.split(piece)))
+        wanted = {c for _, c in one}
+        wanted.update(c for _, c, _ in two)
+        wanted.update(t for _, _, t in two)
+        wanted.update(w for _, ws in other for w in ws if isinstance(w, str))
+        self._know(list(wanted.difference(known)))
+        memo, render = self.memo, self.render
+        memo.update((p, known[c]) for p, c in one)
+        memo.update((p, render.joined([known[c], known[t]])) for p, c, t in two)
+        for piece, ws in other:
+            memo[piece] = render.joined([known[w] if isinstance(w, str) else render.word([w]) for w in ws])
+
+    def _know(self, words: list[str]) -> None:
+        if not words:
+            return
+        fresh = [w.encode() for w in words]
+        numbers = self.lexicon.numbers(fresh)
+        word, known = self.render.word, self.known
+        accepted = np.flatnonzero(numbers >= 0)
+        for i, ids in zip(accepted.tolist(), self.lexicon.outputs(numbers[accepted])):
+            known[words[i]] = word(ids)
+        rest = np.flatnonzero(numbers < 0).tolist()
+        for i, ids in zip(rest, self.merger.all([fresh[i] for i in rest])):
+            known[words[i]] = word(ids)
 
     def batches(self, texts: list[str | None], chars: int = 4_000_000) -> Iterator[list]:
-        """For each text the rendered ids of its pieces; so many characters are cut into pieces at a time."""
+        """For each text the values of its pieces; so many characters are cut into pieces at a time."""
         at = 0
         while at < len(texts):
             cut, size = [], 0
@@ -233,14 +391,14 @@ class Encoder:
                 cut.append(self.pieces(texts[at]))
                 at += 1
             memo = self.memo
-            missing = {p for pieces in cut for p in pieces if p not in memo}
+            wanted = set().union(*cut)
+            if len(memo) > MEMO_ENTRIES:  # what these texts want is what is worth keeping
+                memo = self.memo = {p: memo[p] for p in wanted if p in memo}
+            missing = wanted.difference(memo)
             if missing:
-                if len(memo) > MEMO_ENTRIES:
-                    missing = {p for pieces in cut for p in pieces}
                 self.learn(missing)
-                memo = self.memo
             for pieces in cut:
-                yield [memo[p] for p in pieces]
+                yield list(map(memo.__getitem__, pieces))
 
 
 @functools.lru_cache(maxsize=4)
@@ -274,7 +432,7 @@ def frequent_words(df: DataFrame, path: str, text: str = "text", limit: int = FR
                     for w in vocabulary.words(piece):
                         words[w] += n
             pieces.clear()
-            return pa.RecordBatch.from_pydict({"word": pa.array(list(words), pa.binary()), "n": pa.array(list(words.values()), pa.int64())})
+            return pa.RecordBatch.from_pydict({"word": pa.array([w.encode() for w in words], pa.binary()), "n": pa.array(list(words.values()), pa.int64())})
 
         for batch in batches:
             for t in batch.column(0).to_pylist():
@@ -300,7 +458,7 @@ def with_ids(df: DataFrame, path: str, lexicon: bytes, text: str = "text", out:
     at = df.columns.index(text)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = encoder_for(path, shared.value, tuple)
+        encoder = encoder_for(path, shared.value, AsIds())
         for batch in batches:
             ids = [[i for p in pieces for i in p] for pieces in encoder.batches(batch.column(at).to_pylist())]
             kept = [c for c in batch.schema.names if c != out]
@@ -324,21 +482,21 @@ def with_text(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded")
     return df.mapInArrow(decode, schema)
 
 
-class _Digest:
-    """Renders a piece's ids as their number, their decimals, and their decoding."""
+class _Digest(AsIds):
+    """Renders ids as their number, their decimals, and their decoding; as nothing where there are none."""
 
     def __init__(self, path: str):
         self.path = path
 
-    def __call__(self, ids: list[int]) -> tuple[int, bytes, bytes]:
+    def word(self, ids: list[int]) -> tuple:
         tokens = vocabulary_at(self.path).tokens
-        return len(ids), " ".join(map(str, ids)).encode(), " ".join(map(tokens.__getitem__, ids)).encode()
+        return (len(ids), " ".join(map(str, ids)).encode(), " ".join([tokens[i] for i in ids]).encode())
 
-    def __eq__(self, other):
-        return isinstance(other, _Digest) and self.path == other.path
-
-    def __hash__(self):
-        return hash(self.path)
+    def joined(self, values: list) -> tuple:
+        if len(values) == 2:
+            (m, a, x), (n, b, y) = values
+            return (m + n, a + b" " + b, x + b" " + y)
+        return (sum(v[0] for v in values), b" ".join([v[1] for v in values]), b" ".join([v[2] for v in values])) if values else ()
 
 
 def digests(df: DataFrame, path: str, lexicon: bytes, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -351,10 +509,10 @@ def digests(df: DataFrame, path: str, lexicon: bytes, text: str = "text", key: s
         for batch in batches:
             counts, ids, decoded = [], [], []
             for pieces in encoder.batches(batch.column(1).to_pylist()):
-                full = [p for p in pieces if p[0]]
-                counts.append(sum(p[0] for p in full))
-                ids.append(hashlib.sha256(b" ".join([p[1] for p in full])).hexdigest())
-                decoded.append(hashlib.sha256(b" ".join([p[2] for p in full])).hexdigest())
+                sizes, numbers, words = zip(*filter(None, pieces)) if any(pieces) else ((), (), ())
+                counts.append(sum(sizes))
+                ids.append(hashlib.sha256(b" ".join(numbers)).hexdigest())
+                decoded.append(hashlib.sha256(b" ".join(words)).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], names=schema.names)
 
     return df.select(key, text).mapInArrow(run, schema)

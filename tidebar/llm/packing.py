@@ -11,6 +11,7 @@ Edge cases: a null or empty text is the end token alone; repeated rows are packe
 
 from __future__ import annotations
 
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -28,17 +29,14 @@ PIECES = "start long, length long, ids_crc32 long, doc_tokens long"
 BUCKETS = 64
 
 
-class _Packed:
+class _Packed(bpe.AsIds):
     """Renders ids as little-endian unsigned 32-bit numbers."""
 
-    def __call__(self, ids: list[int]) -> bytes:
-        return np.array(ids, dtype="<u4").tobytes()
+    def word(self, ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}I", *ids)
 
-    def __eq__(self, other):
-        return isinstance(other, _Packed)
-
-    def __hash__(self):
-        return 1
+    def joined(self, values: list[bytes]) -> bytes:
+        return b"".join(values)
 
 
 def pieces(df: DataFrame, path: str, lexicon: bytes, window: int = 2048, end_id: int = 1, text: str = "text", key: str = "doc_id") -> DataFrame:
