@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import most_frequent, stored, table
 
 #: Most words of the lexicon that come from the corpus, and entries of a memo before it is emptied.
 FREQUENT_WORDS = 40_000
@@ -419,7 +419,7 @@ def encoder_for(path: str, lexicon: bytes, render) -> Encoder:
 
 
 def frequent_words(df: DataFrame, path: str, text: str = "text", limit: int = FREQUENT_WORDS) -> list[bytes]:
-    """The corpus's most frequent words, counted over all rows: Counters in the tasks, sums in Spark, ties by the word."""
+    """The corpus's most frequent words, `limit` at most, counted over all rows: Counters in the tasks, sums in Spark."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = vocabulary_at(path)
@@ -442,7 +442,8 @@ def frequent_words(df: DataFrame, path: str, text: str = "text", limit: int = FR
         yield flush()
 
     counts = df.select(text).mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [bytes(r[0]) for r in counts.orderBy(F.desc("n"), "word").limit(limit).collect()]
+    counts = stored(counts.where("n > 1"), "words")
+    return [bytes(r[0]) for r in most_frequent(counts, limit).select("word").collect()]
 
 
 def lexicon_for(path: str, frequent: Iterable[bytes] = ()) -> bytes:

@@ -38,6 +38,19 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def most_frequent(counts: DataFrame, limit: int, n: str = "n") -> DataFrame:
+    """The rows of highest n, `limit` at most: as many whole values of n as fit. counts is read twice and should be stored.
+
+    The bound comes from how many rows each value of n has, so no task sends its own best rows to the driver.
+    """
+    taken, bound = 0, None
+    for value, rows in counts.groupBy(n).count().orderBy(F.desc(n)).collect():
+        if taken + rows > limit:
+            break
+        taken, bound = taken + rows, value
+    return counts.where(F.col(n) >= bound) if bound is not None else counts.where(F.lit(False))
+
+
 def scratch_name(df: DataFrame, base: str) -> str:
     """A column name that df does not have yet."""
     name = f"__{base}"

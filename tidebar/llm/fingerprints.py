@@ -42,16 +42,17 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 def coin_labels(symbols: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Labels below six of symbols without equal neighbours; `first` marks the beginnings of texts."""
+    """Labels below six of symbols without equal neighbours; `first` marks the beginnings of texts. After the first round a label fits into a byte."""
     labels = symbols
     for _ in range(ROUNDS):
+        one = labels.dtype.type(1)
         before = np.empty_like(labels)
         before[1:] = labels[:-1]
-        before[first] = labels[first] ^ ONE
-        differ = labels ^ before
-        lowest = differ & (~differ + ONE)
-        place = np.bitwise_count(lowest - ONE).astype(np.uint64)
-        labels = (place << ONE) | ((labels & lowest) != 0)
+        before[first] = labels[first] ^ one
+        before ^= labels
+        lowest = before & (~before + one)
+        place = np.bitwise_count(lowest - one)
+        labels = (place << np.uint8(1)) | ((labels & lowest) != 0)
     return labels
 
 
@@ -66,10 +67,11 @@ def phrases(symbols: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndar
     if len(at) < len(symbols):
         length = np.diff(np.append(at, len(symbols))).astype(np.uint64)
         symbols, first = symbols[at], first[at]
-        symbols = np.where(length > 1, mixed(symbols * MIX + length), symbols)
-        equal = np.zeros(len(symbols), dtype=bool)
-        equal[1:] = (symbols[1:] == symbols[:-1]) & ~first[1:]
-        symbols = np.where(equal, symbols + ONE, symbols)
+        many = length > 1
+        symbols = symbols.astype(np.uint64)
+        symbols[many] = mixed(symbols[many] * MIX + length[many])
+        equal = np.flatnonzero((symbols[1:] == symbols[:-1]) & ~first[1:]) + 1
+        symbols[equal] += ONE
     labels = coin_labels(symbols, first)
     last = np.append(first[1:], True)
     left = np.zeros(len(labels), dtype=bool)
@@ -93,7 +95,7 @@ def sketches(texts: list[str]) -> list[str]:
     """Fingerprints of texts: slots in hexadecimal, `-` for each that is not filled."""
     codes = [np.frombuffer(t.encode("utf-32-le", "surrogatepass"), dtype=np.uint32) for t in texts]
     sizes = np.array([len(c) for c in codes], dtype=np.int64)
-    symbols = np.concatenate(codes).astype(np.uint64) if texts else np.empty(0, np.uint64)
+    symbols = np.concatenate(codes) if texts else np.empty(0, np.uint32)
     first = np.zeros(len(symbols), dtype=bool)
     full = np.flatnonzero(sizes)
     first[(np.cumsum(sizes) - sizes)[full]] = True
@@ -104,11 +106,12 @@ def sketches(texts: list[str]) -> list[str]:
         owner = full[np.cumsum(first) - 1] if len(symbols) else np.empty(0, np.int64)
         if level == min(LEVELS):
             few = np.bincount(owner, minlength=len(texts)) < FEW
-        kept.append((level, owner, mixed(symbols * MIX + np.uint64(level))))
+        kept.append((level, owner, symbols))
     for level, owner, names in kept:
         if level not in LEVELS:
             use = few[owner]
             owner, names = owner[use], names[use]
+        names = mixed(names * MIX + np.uint64(level))
         slot = owner * SLOTS + (names % np.uint64(SLOTS)).astype(np.int64)
         np.minimum.at(best.reshape(-1), slot, names >> np.uint64(7))
     out = []

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import stored, table, words_of
+from .common import most_frequent, stored, table, words_of
 from .graph import components
 
 #: Lists longer than this make a shingle heavy; so many heavy shingles are kept at most (4 bytes each in the broadcast), the heaviest ones.
@@ -104,7 +104,7 @@ def heavy_keys(docs: DataFrame, text: str, size: int, percent: int) -> tuple[np.
 
     counts = stored(docs.select(text).mapInArrow(count, "key int, n int").groupBy("key").agg(F.sum("n").alias("n")).where("n > 1"), "keys")
     light = counts.where(F.col("n") <= HEAVY).agg(F.sum(F.col("n") * F.col("n")), F.sum("n")).first()
-    top = counts.where(F.col("n") > HEAVY).orderBy(F.desc("n"), "key").limit(MOST_HEAVY)
+    top = most_frequent(counts.where(F.col("n") > HEAVY), MOST_HEAVY)
     heavy = np.concatenate([np.empty(0, np.int32), *(np.asarray(b, dtype=np.int32) for b in top.select("key").toArrow().column(0).chunks)])
     return np.sort(heavy.view(np.uint32)), (light[0] or 0) / max(1, light[1] or 0)
 
