@@ -192,3 +192,40 @@ def positive_reshuffle(scored: DataFrame, seed: int = 7, top_share: float = 0.3,
     wanted = (count - edge + round(edge * kept_share)) * negatives_each
     zeros = scored.where("label = 0").withColumn("r", rank).orderBy("r", "scode", "trade_date").limit(wanted).drop("r")
     return stay.drop("n").unionByName(tail.drop("n")).unionByName(zeros)
+
+
+def labelled_stream(bars: DataFrame, start: str, end: str, gap: int = 20) -> DataFrame:
+    """Three-class rows of a range in which positives keep their distance: those within `gap` rows of the last kept one are dropped, not relabelled.
+
+    Positions count every row of the range, with or without a label.
+    """
+    from .labels import threeclass_labels
+
+    inside = F.col("trade_date").between(F.lit(start).cast("date"), F.lit(end).cast("date"))
+    placed = bars.where(inside).select("scode", "trade_date", (F.row_number().over(along()) - 1).alias("trade_index"))
+    rows = threeclass_labels(bars).where(inside & (F.col("label") != "discard")).join(placed, ["scode", "trade_date"]).select("scode", "trade_date", "trade_index", "label")
+    kept = cooldown(rows.where("label = 'positive'"), gap)
+    return rows.where("label <> 'positive'").unionByName(kept.select(rows.columns))
+
+
+def valid_windows(daily: Column, weekly: Column, monthly: Column, mode: str) -> Column:
+    """Whether a sample has all bars of its mode; the mode `short` wants the last five weekly averages (ma13) to be positive."""
+    d, w, m = MODES[mode]
+    good = (F.size(daily) >= d) & (F.size(weekly) >= w)
+    if mode == "short":
+        return good & F.forall(F.slice(weekly, -5, 5), lambda b: b["ma13"] > 0)
+    return good & (F.size(monthly) >= m) if m else good
+
+
+def eval_subset(rows: DataFrame, kind: str, n: int, keys: list[str], seed: int = 7) -> DataFrame:
+    """A repeatable subset for evaluation: all, the first n by key, every k-th, or n by hash."""
+    if kind == "all":
+        return rows
+    if kind == "fixed":
+        return rows.orderBy(*keys).limit(n)
+    if kind == "stride":
+        step = max(1, rows.count() // n)
+        return rows.withColumn("__n", F.row_number().over(Window.orderBy(*keys)) - 1).where((F.col("__n") % step == 0) & (F.col("__n") / step < n)).drop("__n")
+    if kind == "random":
+        return rows.withColumn("__r", stable_rank(seed, *[F.col(k) for k in keys])).orderBy("__r", *keys).limit(n).drop("__r")
+    raise ValueError("kind is all, fixed, stride or random")

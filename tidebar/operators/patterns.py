@@ -130,3 +130,21 @@ def weight_grid(start: str, end: str, step: str) -> list[float]:
 
     a, b, s = Decimal(start), Decimal(end), Decimal(step)
     return [float(a + i * s) for i in range(math.floor((b - a) / s) + 1)]
+
+
+def signature_search(features: DataFrame, train: DataFrame, held: DataFrame, supports: tuple[int, ...], goal: float) -> DataFrame:
+    """The signatures with the largest support that reach the goal in training and, held out, too; empty where none do."""
+    inside, outside = signatures(features, train).where(F.col("success_rate") >= goal), signatures(features, held).where(F.col("success_rate") >= goal)
+    for least in sorted(supports, reverse=True):
+        found = inside.where(F.col("success_count") >= least).select("signature", F.col("success_count").alias("positive_support")).join(outside, "signature")
+        if found.take(1):
+            return found
+    return inside.where("false").select("signature", F.col("success_count").alias("positive_support")).join(outside, "signature")
+
+
+def estimated_support(proposals: DataFrame, counted: DataFrame) -> DataFrame:
+    """Proposed patterns with the support of their pair where it was counted, else the least support of their tokens."""
+    known = counted.select("pattern", "positive_support")
+    whole = proposals.join(known, "pattern", "left")
+    tokens = whole.withColumn("token", F.explode(F.split("pattern", SEPARATOR))).join(known.select(F.col("pattern").alias("token"), F.col("positive_support").alias("single")), "token", "left")
+    return tokens.groupBy("pattern").agg(F.coalesce(F.first("positive_support"), F.min("single"), F.lit(0)).alias("positive_support"))
