@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidebar.llm import jaccard, langid, packing, quality, substrings
-from tidebar.llm.common import stored, table
+from tidebar.llm.common import scratch_name, stored, table
 
 #: Words of a shingle and percent of similarity from which two documents are near duplicates.
 SHINGLE, PERCENT = 5, 80
@@ -24,7 +24,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognized; learned from those that name theirs, a quarter of which calibrates."""
     model = langid.fit(docs, F.lit(True), langid.fold(4) == 3)
-    return langid.identify(docs, model).where("accepted").select(docs.columns)
+    names = tuple(scratch_name(docs, x) for x in ("lang", "score", "accepted"))
+    return langid.identify(docs, model, added=names).where(names[2]).select(docs.columns)
 
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +35,7 @@ def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages that a document of lesser doc_id has; n_chars follows the text."""
-    cut = substrings.deduplicate(docs)
+    cut = substrings.deduplicate(docs, spans=scratch_name(docs, "spans"))
     if "n_chars" in docs.columns:
         cut = cut.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
     return cut.select(docs.columns)

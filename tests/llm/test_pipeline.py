@@ -14,7 +14,7 @@ def test_pipeline(spark, tmp_path):
     texts += [texts[0], texts[1] + " end", "short", None, "", "spam spam spam " * 60]
     texts += [f"{prose(rng, 60)} {passage} {prose(rng, 60)}" for _ in range(3)]
     rows = [(i, t, "en" if i % 3 else "xx", "s", len(t or "")) for i, t in enumerate(texts)]
-    spark.createDataFrame([(*r, "more") for r in rows], DOCS + ", extra string").coalesce(2).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(*r, *"more") for r in rows], DOCS + ", score string, accepted string, removed_spans string, __words string").coalesce(2).write.parquet(str(tmp_path / "documents.parquet"))
     docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
     kept = docs
     stages = dict(corpus_pipeline.STAGES)

@@ -241,13 +241,13 @@ def compile_lexicon(entries: Iterable[tuple[bytes, list[int]]]) -> bytes:
 
 
 class Lexicon:
-    """The automaton, memory-mapped. The file has no name any more once it is mapped, so nothing stays behind on the machine."""
+    """The automaton, memory-mapped. The file has no name, so nothing stays behind on the machine."""
 
     def __init__(self, content: bytes):
-        with tempfile.NamedTemporaryFile() as f:
+        with os.fdopen(os.memfd_create("lexicon"), "w+b") if hasattr(os, "memfd_create") else tempfile.TemporaryFile() as f:
             f.write(content)
             f.flush()
-            flat = np.memmap(f.name, dtype=np.uint32, mode="r")
+            flat = np.memmap(f, dtype=np.uint32, mode="r")
         self.root, self.longest, *lengths = map(int, flat[:8])
         ends = 8 + np.cumsum(lengths)
         self.keys, self.targets, self.skips, self.finals, self.offsets, self.ids = (flat[e - n : e] for e, n in zip(ends.tolist(), lengths))

@@ -31,11 +31,14 @@ def shared_dir(spark: SparkSession) -> str:
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it again.
 
-    Cuts the lineage: what follows survives lost executors without a new run of what came before.
+    Cuts the lineage: what follows survives lost executors without a new run of what came before. The files go when the driver ends.
     """
-    path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def most_frequent(counts: DataFrame, limit: int, n: str = "n") -> DataFrame:

@@ -53,6 +53,7 @@ def letters_of(text: str) -> np.ndarray:
 
 def buckets(codes: np.ndarray) -> np.ndarray:
     """Embedding rows of all subwords."""
+    codes = codes.astype(np.uint64, copy=False)
     found, blank = [], codes == BLANK
     for n in SUBWORDS:
         if len(codes) < n:
@@ -120,7 +121,7 @@ def train(texts: list[str], langs: list[str], held: list[bool], seed: int = 7) -
         return Model([], np.zeros((1 << BITS, 0), np.float32), np.zeros(0), 1.0, 0.0)
     rng = np.random.default_rng(seed)
     number = {x: i for i, x in enumerate(languages)}
-    coded = [(letters_of(t), number[x]) for t, x in zip(texts, langs)]
+    coded = [(letters_of(t).astype(np.uint32), number[x]) for t, x in zip(texts, langs)]
     fit = [c for c, h in zip(coded, held) if not h] or coded
     check = [c for c, h in zip(coded, held) if h] or coded
 
@@ -189,11 +190,10 @@ def fit(docs: DataFrame, learn: Column, calibrate: Column, text: str = "text", l
     return train(found["t"], found["l"], found["c"])
 
 
-def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """docs with lang_pred, score and accepted, from the whole texts; no shuffle."""
-    added = ("lang_pred", "score", "accepted")
+def identify(docs: DataFrame, model: Model, text: str = "text", added: tuple[str, str, str] = ("lang_pred", "score", "accepted")) -> DataFrame:
+    """docs with the three columns named by `added`, from the whole texts; no shuffle. Columns of these names are replaced."""
     kept = [c for c in docs.columns if c not in added]
-    schema = docs.select(kept).schema.add("lang_pred", "string").add("score", "double").add("accepted", "boolean")
+    schema = docs.select(kept).schema.add(added[0], "string").add(added[1], "double").add(added[2], "boolean")
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
