@@ -59,7 +59,7 @@ def next_threshold(rows: DataFrame, position: float, score: str = "score", clip:
 
 def chunked_confusion(rows: DataFrame, order: list[str], threshold: float, size: int = 1000, score: str = "score", label: str = "label") -> DataFrame:
     """Confusion of each chunk of `size` rows, in order. Chunks need a count of the rows before, so rows are numbered by one window over their keys alone."""
-    numbered = rows.select(score, label, ((F.row_number().over(Window.orderBy(*order)) - 1) / size).cast("long").alias("chunk"))
+    numbered = rows.select(*dict.fromkeys([score, label]), ((F.row_number().over(Window.orderBy(*order)) - 1) / size).cast("long").alias("chunk"))
     hit, true = F.col(score) >= threshold, F.col(label) == 1
     return numbered.groupBy("chunk").agg(*[F.count(F.when(c, 1)).alias(n) for n, c in (("tp", hit & true), ("fp", hit & ~true), ("fn", ~hit & true), ("tn", ~hit & ~true))])
 
