@@ -27,6 +27,8 @@ from .common import table
 
 #: Slots of a sketch, and bits of each.
 SLOTS, SLOT_BITS = 128, 16
+#: Stretches of doc_id for each shuffle partition, so that partitions, which get them by hash, are near equal.
+STRETCHES = 4
 #: Levels whose names are sketched; level 1 joins them where level 2 has fewer phrases than this.
 LEVELS, FEW = (2, 3), 24
 #: Rounds of coin tossing: 64-bit names fall below 128, 14, 8 and 6.
@@ -162,7 +164,7 @@ def with_next(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataF
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(key).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    tasks = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    tasks = STRETCHES * max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     bounds = sorted({int(x) for x in rows.where("id IS NOT NULL").approxQuantile("id", [i / tasks for i in range(1, tasks)], 0.1 / tasks)}) if tasks > 1 else []
     stretch = F.lit(0)
     if bounds:
