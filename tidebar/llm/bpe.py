@@ -290,7 +290,12 @@ def merger_of(vocabulary: Vocabulary) -> Merger:
 
 
 class AsIds:
-    """Renders ids as they are. A renderer makes a value of a word's ids, and one value of those of a piece; equal renderers are interchangeable."""
+    """Renders ids as they are. A renderer makes a value of a word's ids, and one value of those of a piece; equal renderers are interchangeable.
+
+    entries: how many values a memo holds before it is thinned out.
+    """
+
+    entries = MEMO_ENTRIES
 
     def word(self, ids: list[int]):
         return tuple(ids)
@@ -332,7 +337,7 @@ class Encoder:
 
     def learn(self, pieces: Iterable[str]) -> None:
         """Put pieces into the memo: words by the automaton, the rest by merging. Letters with a full stop or the like after them are the plain case."""
-        if len(self.known) > MEMO_ENTRIES:
+        if len(self.known) > self.render.entries:
             self.known = {}
         gc.disable()  # many small objects that live on: each pass over them would find nothing
         try:
@@ -392,7 +397,7 @@ class Encoder:
                 at += 1
             memo = self.memo
             wanted = set().union(*cut)
-            if len(memo) > MEMO_ENTRIES:  # what these texts want is what is worth keeping
+            if len(memo) > self.render.entries:  # what these texts want is what is worth keeping
                 memo = self.memo = {p: memo[p] for p in wanted if p in memo}
             missing = wanted.difference(memo)
             if missing:

@@ -30,7 +30,9 @@ BUCKETS = 64
 
 
 class _Packed(bpe.AsIds):
-    """Renders ids as little-endian unsigned 32-bit numbers."""
+    """Renders ids as little-endian unsigned 32-bit numbers; they are small, so more of them are kept."""
+
+    entries = 500_000
 
     def word(self, ids: list[int]) -> bytes:
         return struct.pack(f"<{len(ids)}I", *ids)
@@ -51,7 +53,7 @@ def pieces(df: DataFrame, path: str, lexicon: bytes, window: int = 2048, end_id:
         step = 4 * window
         for batch in batches:
             row, start, length, crc, total = [], [], [], [], []
-            for i, parts in enumerate(encoder.batches(batch.column(1).to_pylist())):
+            for i, parts in enumerate(encoder.batches(batch.column(1).to_pylist(), 6_000_000)):
                 data = memoryview(b"".join(parts) + end)
                 for at in range(0, len(data), step):
                     cut = data[at : at + step]
