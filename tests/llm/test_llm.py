@@ -198,6 +198,24 @@ def test_wrappers(spark, none):
     assert wrappers.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_template_larger_than_the_articles(spark):
+    rng = random.Random(12)
+    rows, truth = [], {}
+    menu = "<div class=top>" + "".join(f"<li>Section {i} of this site" for i in range(30)) + "</div>"
+    for i in range(12):
+        # pages 8 and 9 are near copies of page 7, the shortest
+        paragraphs = paragraphs if i in (8, 9) else [prose(rng, 30 if i == 7 else 60) for _ in range(1 if i == 7 else 2)]
+        body = f"{menu}<article><h1>Title {i}</h1><div>Share this page with all of your friends</div>" + "".join(f"<p>{p}</p>" for p in paragraphs) + "</article>"
+        rows.append((i, f"http://large.example/{i}", PAGE.format(body=body, i=i)))
+        truth[i] = "\n\n".join([f"Title {i}", *paragraphs])
+    # all pages of a host are near copies but for their titles: nothing is known of its template
+    for i in range(20, 26):
+        rows.append((i, f"http://copies.example/{i}", PAGE.format(body=f"<article><h1>Title {i}</h1><p>{paragraphs[0]}</p></article>", i=i)))
+    found = {r.page_id: r.text for r in wrappers.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert {i: found[i] for i in truth} == truth
+    assert found[22] == f"Title 22\n\n{paragraphs[0]}"
+
+
 def test_matching_keeps_order():
     a, b = (wrappers.tree_of(h) for h in ("<div><p>1</p><ul><li>x</ul><p>2</p></div>", "<div><ul><li>x</ul><p>2</p><p>3</p></div>"))
     pairs = [(x.tag, y.tag) for x, y in wrappers.match(a, b)]

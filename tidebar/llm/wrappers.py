@@ -5,7 +5,9 @@ matching; for each reference node the pages that align with it, and those in whi
 in the tasks). A node that says the same on most pages is template; the other nodes, and those that have no partner, are slots. The text is
 what slots say inside the page's article, where the parts that never are content (menus, notices, adverts, comments and the like) are left out.
 
-Pages that are copies of the reference say nothing about what varies, and don't count. A host with too few other pages has no template nodes.
+Pages that are copies of the reference say nothing about what varies, and don't count. They are told by what varies alone: a node inside the
+article weighs as much as it differs over the pages of a part, so the template has no say, and text that has no partner speaks against a copy.
+A host with too few other pages has no template nodes.
 
 A host that a third of all pages share is split: its pages are salted by their number, and its reference is sent to each part.
 
@@ -31,8 +33,10 @@ from .common import stored, table
 PAGES_PER_PART = 2000
 #: A node is template if, of at least so many pages that align with it, this share says the same.
 LEAST_PAGES, SAME_SHARE = 3, 0.8
-#: A page of whose text this share equals the reference's is a copy of it.
+#: A page of whose varying text this share equals the reference's is a copy of it.
 COPY_SHARE = 0.5
+#: Nor does a page say what varies that differs in fewer characters than this, if they also are less than this share of its content.
+LEAST_CHARS, LEAST_SHARE = 100, 0.1
 #: Deepest nesting that is kept as a tree; what is nested deeper hangs on the last level.
 DEEPEST = 200
 
@@ -171,15 +175,28 @@ def never_content(node: Node, in_article: bool) -> bool:
     return node.tag != "article" or in_article
 
 
+def content_of(root: Node) -> set[int]:
+    """Ids of the blocks whose text can be part of the page's text."""
+    found = _articles(root)
+    out, waiting = set(), [(n, True) for n in found or [root]]
+    while waiting:
+        node, block = waiting.pop()
+        if block:
+            out.add(id(node))
+        waiting.extend((c, c.tag in BLOCKS) for c in node.elements() if not never_content(c, bool(found)))
+    return out
+
+
 def skeleton(root: Node) -> bytes:
-    """Tags, parents, sizes and digests of what the nodes say, in page order."""
+    """Tags, parents, sizes and digests of what the nodes say, in page order; sizes of what never is content are negative."""
     nodes = numbered(root)
     place = {id(n): i for i, n in enumerate(nodes)}
     parent = np.zeros(len(nodes), dtype="<i4")
     for i, n in enumerate(nodes):
         for c in n.blocks():
             parent[place[id(c)]] = i
-    sizes = np.array([n.size for n in nodes], dtype="<i4")
+    content = content_of(root)
+    sizes = np.array([n.size if id(n) in content else -n.size for n in nodes], dtype="<i4")
     digests = np.array([n.digest for n in nodes], dtype="<i8")
     return b"".join((len(nodes).to_bytes(4, "little"), parent.tobytes(), sizes.tobytes(), digests.tobytes(), " ".join(n.tag for n in nodes).encode("utf-8", "surrogatepass")))
 
@@ -252,17 +269,41 @@ def match(a: Node, b: Node) -> list[tuple[Node, Node]]:
     return pairs
 
 
-def compared(reference: list[Node], page: Node) -> list[tuple[int, bool]]:
-    """(reference number, says the same) of aligned nodes that say something; nothing for a copy of the reference."""
+def compared(reference: list[Node], page: list[Node]) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Of aligned nodes that say something: reference numbers, which say the same, and sizes of content; and the size of content without partner."""
     number = {id(n): i for i, n in enumerate(reference)}
-    found, same, total = [], 0, 0
-    for a, b in match(reference[0], page):
+    nodes, equal, sizes, alone = [], [], [], sum(n.size for n in page if n.size > 0)
+    for a, b in match(reference[0], page[0]):
         if a.size or b.size:
-            equal = a.digest == b.digest
-            found.append((number[id(a)], equal))
-            total += b.size
-            same += b.size * equal
-    return [] if total and same >= COPY_SHARE * total else found
+            nodes.append(number[id(a)])
+            equal.append(a.digest == b.digest)
+            sizes.append(max(a.size, b.size, 0))
+            alone -= max(b.size, 0)
+    return np.array(nodes, dtype=np.int32), np.array(equal, dtype=bool), np.array(sizes, dtype=np.int32), alone
+
+
+def tallied(found: list[tuple[np.ndarray, np.ndarray, np.ndarray, int]], size: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each of the reference's nodes, the pages that align with it and those that say the same; copies of the reference don't count."""
+
+    def tally(pages: list) -> tuple[np.ndarray, np.ndarray]:
+        n, same = np.zeros(size, dtype=np.int64), np.zeros(size, dtype=np.int64)
+        for nodes, equal, _, _ in pages:
+            n[nodes] += 1
+            same[nodes] += equal
+        return n, same
+
+    n, same = tally(found)
+    varies = 1 - same / np.maximum(n, 1)
+    others = []
+    for page in found:
+        nodes, equal, sizes, alone = page
+        weights = sizes * varies[nodes]
+        differs = sizes[~equal].sum() + alone
+        if differs < min(LEAST_CHARS, LEAST_SHARE * (sizes.sum() + alone)):
+            continue
+        if weights[equal].sum() < COPY_SHARE * (weights.sum() + alone):
+            others.append(page)
+    return tally(others)
 
 
 def article_text(root: Node, template: set[int]) -> str:
@@ -349,27 +390,26 @@ def aligned(rows: DataFrame) -> DataFrame:
     """host, node, n and same: counts for each reference node over a part's pages."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reference, counts, current = [], {}, None
+        reference, found, current = [], [], None
         for batch in batches:
             for host, role, made in zip(*(batch.column(c).to_pylist() for c in ("host", "role", "skeleton"))):
                 if role == 0:
-                    if counts:
-                        yield _counted(current, counts)
-                    reference, counts, current = nodes_from(made), {}, host
+                    if found:
+                        yield _counted(current, found, len(reference))
+                    reference, found, current = nodes_from(made), [], host
                 else:
-                    for node, same in compared(reference, nodes_from(made)[0]):
-                        n, s = counts.get(node, (0, 0))
-                        counts[node] = (n + 1, s + same)
-        if counts:
-            yield _counted(current, counts)
+                    found.append(compared(reference, nodes_from(made)))
+        if found:
+            yield _counted(current, found, len(reference))
 
     return rows.select("host", "role", "skeleton").mapInArrow(run, "host string, node int, n long, same long")
 
 
-def _counted(host: str, counts: dict) -> pa.RecordBatch:
+def _counted(host: str, found: list, size: int) -> pa.RecordBatch:
+    n, same = tallied(found, size)
+    nodes = np.flatnonzero(n)
     return pa.RecordBatch.from_pydict({
-        "host": pa.array([host] * len(counts), pa.string()), "node": pa.array(list(counts), pa.int32()),
-        "n": pa.array([n for n, _ in counts.values()], pa.int64()), "same": pa.array([s for _, s in counts.values()], pa.int64()),
+        "host": pa.array([host] * len(nodes), pa.string()), "node": pa.array(nodes.astype(np.int32)), "n": pa.array(n[nodes]), "same": pa.array(same[nodes]),
     })
 
 
