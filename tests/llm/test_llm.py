@@ -247,6 +247,19 @@ def test_shared_passages_go_once(spark, odd, none):
     assert {r.doc_id: r.text for r in out.collect()}[None] == "no id here"
 
 
+def test_passages_go_up_to_their_ends(spark):
+    rng = random.Random(16)
+    texts, kept = [], []
+    for i in range(300):  # 51 short words each, in two documents
+        passage = " ".join(rng.choice("abcdefghijklmnopqrstuvwxyz") + rng.choice("aeiou") + rng.choice(["", "n", "st"]) for _ in range(51))
+        for j in range(2):
+            head, tail = (" ".join(f"{side}{i}x{j}y{k}" for k in range(30)) for side in "ht")
+            texts.append(f"{head} {passage} {tail}" if i % 3 else f"{passage} {tail}" if i % 2 else f"{head} {passage}")
+            kept.append(texts[-1] if not j else f"{head} {tail}" if i % 3 else tail if i % 2 else head)
+    found = {r.doc_id: r.text for r in substrings.deduplicate(table(spark, texts)).collect()}
+    assert [i for i, t in enumerate(kept) if found[i].split() != t.split()] == []
+
+
 def test_chunks_resist_insertions():
     import numpy as np
 

@@ -2,9 +2,13 @@
 
 A chunk ends at white space whose last eight bytes have a low gear hash, so chunks are whole words and an insertion only changes the chunks that
 it touches. Chunks that several documents have are found by their 64-bit digests with partial aggregation. A document loses a run of
-consecutive chunks if each is also in a document of lesser id and the run is long enough: short common phrases stay, and so does
+consecutive chunks if each is also in a document of lesser id and the passage is long enough: short common phrases stay, and so does
 what repeats within one document alone. The least document keeps the passage.
 
+Chunks end where their content says, so a passage goes on into the chunks at both ends of its run. A run is extended, by whole words, as far as
+it equals the text around the same chunks in a lesser document: the one that is the least for most of its bytes. The length of the extended
+passage decides.
+
 Edge cases: null texts stay null and empty ones empty; a text without white space is cut by length, between characters; rows that share a
 doc_id count as one document; a null doc_id takes no part and is left alone; an empty table gives an empty result; other columns pass through.
 """
@@ -20,16 +24,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import scratch_name, table
+from .common import scratch_name, stored, table
 
-#: Bytes that the gear hash sees; white space of 16 that ends a chunk; most bytes of a chunk; least bytes of a run that is removed.
-WINDOW, ENDS_OF_16, LONGEST, RUN = 8, 3, 240, 160
+#: Bytes that the gear hash sees; white space of 16 that ends a chunk; most bytes of a chunk; least bytes of a run that is removed;
+#: words of an extended passage that is removed even if its run is shorter; least bytes of a chunk that is a run alone.
+WINDOW, ENDS_OF_16, LONGEST, RUN, WORDS, SINGLE = 8, 3, 240, 160, 50, 48
 
 #: The type of the removed spans.
 SPANS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
 
 #: The gear table: 256 fixed pseudo-random numbers from a seeded generator.
 GEAR = np.random.default_rng(20240229).integers(0, 1 << 16, 256, dtype=np.uint16)
+BLANK = b" \t\n\v\f\r"
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
@@ -83,35 +89,139 @@ def chunks(docs: DataFrame, text: str, key: str) -> DataFrame:
     return docs.where(F.col(key).isNotNull()).select(key, text).mapInArrow(run, "doc long, digest long, place long")
 
 
-def runs(places: list[int] | None) -> list[tuple[int, int]]:
-    """First and last number of each run of repeated chunks with RUN bytes at least."""
-    found, first, last, size = [], None, None, 0
-    for place in sorted(set(places or ())):
-        number, length = divmod(place, 256)
-        if first is None or number != last + 1:
-            if first is not None and size >= RUN:
-                found.append((first, last))
-            first, size = number, 0
-        last = number
-        size += length
-    if first is not None and size >= RUN:
-        found.append((first, last))
+def runs(chunks: list[dict]) -> list[tuple]:
+    """Runs of repeated chunks, from their (place, digest, least): first and last number, size, and for the start and the end of each run the
+    chunk of the chosen lesser document that is nearest to it: (document, digest, bytes between)."""
+    rows = sorted({(c["place"], c["digest"], c["least"]) for c in chunks})
+    found, at = [], 0
+    while at < len(rows):
+        end = at + 1
+        while end < len(rows) and rows[end][0] // 256 == rows[end - 1][0] // 256 + 1:
+            end += 1
+        run = rows[at:end]
+        sizes = [place % 256 for place, _, _ in run]
+        size = sum(sizes)
+        if len(run) > 1 or size >= SINGLE:
+            shares: dict[int, int] = {}
+            for n, (_, _, least) in zip(sizes, run):
+                shares[least] = shares.get(least, 0) + n
+            source = min(shares, key=lambda d: (-shares[d], d))
+            own = [i for i, r in enumerate(run) if r[2] == source]
+            found.append((run[0][0] // 256, run[-1][0] // 256, size, (source, run[own[0]][1], sum(sizes[: own[0]])), (source, run[own[-1]][1], sum(sizes[own[-1] + 1 :]))))
+        at = end
     return found
 
 
-def cut(text: str, places: list[int] | None) -> tuple[str, list[tuple[int, int]]]:
-    """The text without its repeated runs, and their spans in code points."""
+def ends_of_runs(again: DataFrame) -> DataFrame:
+    """Two rows for each run: first, last, size, side (0 start, 1 end), and source, digest and bytes between of the chunk that anchors this side."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for doc, chunks in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                for first, last, size, *sides in runs(chunks):
+                    out += [(doc, first, last, size, side, *anchor) for side, anchor in enumerate(sides)]
+            columns = list(zip(*out)) or [()] * 8
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc", "first", "last", "size", "side", "source", "digest", "between"])
+
+    return again.mapInArrow(run, "doc long, first long, last long, size long, side long, source long, digest long, between long")
+
+
+def around(docs: DataFrame, ends: DataFrame, text: str, key: str) -> DataFrame:
+    """source, digest, side and near: what stands before (side 0) or behind the chunks with that digest in the source, as far as any run needs it."""
+    asked = ends.groupBy("source", "digest", "side").agg((F.max("between") + LONGEST + WINDOW).alias("need"))
+    asked = asked.groupBy("source").agg(F.collect_list(F.struct("digest", "side", "need")).alias("asked"))
+    rows = asked.join(docs.select(F.col(key).alias("k"), F.col(text).alias("t")), F.col("source") == F.col("k")).select("source", "asked", "t")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest_of = xxhash.xxh3_64_intdigest
+        for batch in batches:
+            out: dict[tuple[int, int, int], set[bytes]] = {}
+            for source, asked, t in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                wanted: dict[int, list[tuple[int, int]]] = {}
+                for a in asked:
+                    wanted.setdefault(a["digest"], []).append((a["side"], a["need"]))
+                raw = (t or "").encode("utf-8", "surrogatepass")
+                cuts = [0, *chunk_ends(np.frombuffer(raw, dtype=np.uint8)).tolist()]
+                for a, b in zip(cuts, cuts[1:]):
+                    digest = digest_of(raw[a:b])
+                    digest -= (digest >> 63) << 64
+                    for side, need in wanted.get(digest, ()):
+                        out.setdefault((source, digest, side), set()).add(raw[b : b + need] if side else raw[max(0, a - need) : a])
+            sources, digests, sides = list(zip(*out)) or ((), (), ())
+            yield pa.RecordBatch.from_arrays([
+                pa.array(sources, pa.int64()), pa.array(digests, pa.int64()), pa.array(sides, pa.int64()), pa.array([sorted(v) for v in out.values()], pa.list_(pa.binary())),
+            ], names=["source", "digest", "side", "near"])
+
+    return rows.mapInArrow(run, "source long, digest long, side long, near array<binary>")
+
+
+def common_prefix(a: bytes, b: bytes) -> int:
+    n = min(len(a), len(b))
+    if a[:n] == b[:n]:
+        return n
+    low = 0
+    while n - low > 1:  # a[:low] is equal, a[:n] is not
+        middle = (low + n) // 2
+        low, n = (middle, n) if a[low:middle] == b[low:middle] else (low, middle)
+    return low
+
+
+def begin_of(raw: bytes, start: int, between: int, near: list[bytes]) -> int:
+    """Where the passage begins whose run begins at start: the first beginning of a word from which on raw equals one of near up to the anchor."""
+    best, anchor = start, start + between
+    for other in near:
+        mine = raw[max(0, anchor - len(other)) : anchor]
+        n = common_prefix(mine[::-1], other[::-1])
+        at, there = anchor - n, len(other) - n
+        if not ((at == 0 or raw[at - 1] in BLANK) and (there == 0 or other[there - 1] in BLANK)):
+            at = next((i + 1 for i in range(at, start) if raw[i] in BLANK), start)
+        best = min(best, at)
+    return best
+
+
+def end_of(raw: bytes, end: int, between: int, near: list[bytes]) -> int:
+    """Where the passage ends whose run ends at end."""
+    best, anchor = end, end - between
+    for other in near:
+        n = common_prefix(raw[anchor : anchor + len(other)], other)
+        at = anchor + n
+        if not ((at == len(raw) or raw[at] in BLANK) and (n == len(other) or other[n] in BLANK)):
+            at = next((i for i in range(at, end, -1) if raw[i - 1] in BLANK), end)
+        best = max(best, at)
+    return best
+
+
+def cut(text: str, found: list[dict] | None) -> tuple[str, list[tuple[int, int]]]:
+    """The text without its repeated passages, and their spans in code points. found: the ends of runs with what is near their anchors."""
     raw = text.encode("utf-8", "surrogatepass")
     ends = [0, *chunk_ends(np.frombuffer(raw, dtype=np.uint8)).tolist()]
+    passages: dict[tuple[int, int, int], list[int]] = {}
+    for f in found or ():
+        # rows that repeat a document's id may have another text, in which the run is not
+        if f["last"] + 1 >= len(ends):
+            continue
+        passage = passages.setdefault((f["first"], f["last"], f["size"]), [ends[f["first"]], ends[f["last"] + 1]])
+        if f["side"]:
+            passage[1] = max(passage[1], end_of(raw, ends[f["last"] + 1], f["between"], f["near"] or []))
+        else:
+            passage[0] = min(passage[0], begin_of(raw, ends[f["first"]], f["between"], f["near"] or []))
     kept, spans, at, chars = [], [], 0, 0
-    for first, last in runs(places):
-        before = raw[at : ends[first]].decode("utf-8", "surrogatepass")
-        inside = raw[ends[first] : ends[last + 1]].decode("utf-8", "surrogatepass")
+    for (_, _, size), (start, end) in sorted(passages.items()):
+        if size < RUN and len(raw[start:end].split()) < WORDS:
+            continue
+        start = max(start, at)
+        if end <= start:
+            continue
+        before, inside = (raw[a:b].decode("utf-8", "surrogatepass") for a, b in ((at, start), (start, end)))
         kept.append(before)
         chars += len(before)
-        spans.append((chars, chars + len(inside)))
+        if spans and not before:
+            spans[-1] = (spans[-1][0], chars + len(inside))
+        else:
+            spans.append((chars, chars + len(inside)))
         chars += len(inside)
-        at = ends[last + 1]
+        at = end
     kept.append(raw[at:].decode("utf-8", "surrogatepass"))
     return "".join(kept), spans
 
@@ -120,7 +230,10 @@ def deduplicate(docs: DataFrame, text: str = "text", key: str = "doc_id", spans:
     """docs with the text cut, and the spans removed from it (array of start and end in code points of the old text)."""
     found = chunks(docs, text, key)
     shared = found.groupBy("digest").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").select("digest", "least")
-    again = found.join(shared, "digest").where("doc > least").groupBy("doc").agg(F.collect_list("place").alias("places"))
+    again = found.join(shared, "digest").where("doc > least").groupBy("doc").agg(F.collect_list(F.struct("place", "digest", "least")).alias("chunks"))
+    ends = stored(ends_of_runs(again), "runs")
+    near = ends.join(around(docs, ends, text, key), ["source", "digest", "side"], "left")
+    again = near.groupBy("doc").agg(F.collect_list(F.struct("first", "last", "size", "side", "between", "near")).alias("places"))
     doc, places = scratch_name(docs, "doc"), scratch_name(docs, "places")
     joined = docs.join(again.select(F.col("doc").alias(doc), F.col("places").alias(places)), F.col(key) == F.col(doc), "left").drop(doc)
     out = [c for c in docs.columns if c != spans]
