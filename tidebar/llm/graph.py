@@ -8,16 +8,17 @@ from pyspark.sql import functions as F
 from .common import stored
 
 
-def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of edges (a, b), component being the smallest node that can be reached.
 
     Alternating large-star and small-star: each node points its larger neighbours, then its smaller ones, at the least node that it knows.
-    Each round is written to the shared folder, so lineage and recovery stay short; it ends when a round changes no edge.
+    Each round is written to the shared folder, so lineage and recovery stay short; it ends when a round changes no edge, which takes about as
+    many rounds as the logarithm of the number of nodes. An empty table gives an empty result; loops and repeated edges don't matter.
     A node that a third of all edges share costs one row an edge in each round, and both steps aggregate by node with partial sums.
     """
     now = stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
     mark = None
-    for _ in range(rounds):
+    while True:
         # large star: for each node, its larger neighbours go to the least of it and its neighbours
         both = now.select(F.col("u").alias("n"), F.col("v").alias("o")).union(now.select(F.col("v").alias("n"), F.col("u").alias("o")))
         least = both.groupBy("n").agg(F.min("o").alias("m")).select("n", F.least("n", "m").alias("m"))
@@ -28,10 +29,8 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
         now = stored(small, "edges")
         # sums of 64-bit hashes as decimals: equal edge sets have equal marks
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if seen == mark:
+        if seen == mark or not seen[0]:
             break
         mark = seen
-    else:
-        raise RuntimeError("components did not settle")
     roots = now.select(F.col("v").alias("node")).distinct()
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots.select("node", F.col("node").alias("component")))

@@ -5,11 +5,17 @@
    share several shingles: with overlap >= o, the first |x| - o + k shingles of x and those of y have at least k in common.
 3. Small sets enumerate all subsets of two shingles of their prefix (k = 2), large ones scan inverted lists of their prefix (k = 3). The boundary
    follows from the cost: a set enumerates while it has no more subsets than the inverted lists are expected to make it read.
-4. Inverted lists don't emit pairs within a group of near copies. Each set votes for the least member of its lists and joins that hub's group;
-   a group is compared as a whole in blocks of bounded size by bitsets. Only sets of different groups that share enough are paired.
+4. Groups are made so that no long inverted list emits pairs: sets that share enough with the least member of their lists are one group, and a
+   list of more than PAIRED rows lies in one group as a whole. A group is compared in blocks of bounded size by bitsets. Short lists pair the sets of
+   different groups, so a row of a list meets fewer than PAIRED others; pairs that share enough are compared.
 5. A verified unit returns one row for each linked set: its least linked member and its number of links. Components follow by star contraction.
 
-Nothing is approximate: hashes of 64 bits name shingles, sets are compared whole, and the heavy table only orders shingles.
+Nothing is approximate: hashes of 64 bits name shingles, sets are compared whole, and the heavy table only orders shingles. Prefixes hold the upper
+halves of the hashes; a half that stands twice in a set stands there as two keys, so no shared shingle is lost.
+
+Edge cases: null and empty texts, and such of white space alone, have no shingles and link with nothing; rows that repeat a doc_id count as copies
+where their texts are equal; rows without a doc_id keep their rows, in a component without number; an empty table gives an empty result; columns
+other than the key are not returned.
 """
 
 from __future__ import annotations
@@ -20,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -31,6 +37,10 @@ from .graph import components
 HEAVY, MOST_HEAVY = 12, 1_000_000
 #: Shingles that prefixes must share: subsets of two, or three by scanning lists.
 SUBSET, SCAN = 2, 3
+#: Rows of the longest inverted list whose sets are paired; the sets of a longer one are put into one group.
+PAIRED = 48
+#: Bits of a key that say that it is a subset's, and that it has heavy shingles only; other lists are short.
+SUBSETS, HOT = 1 << 62, 1 << 61
 #: Shingles in a block of a group at most (of its sets' sum), which bounds the memory of a verification.
 BLOCK_SHINGLES = 400_000
 #: Documents that may be selected by a broadcast of their ids; beyond, they are joined by a shuffle.
@@ -76,13 +86,24 @@ def prefix_length(n: int, k: int, percent: int) -> int:
     return min(n, n - -(-percent * n // 100) + k)
 
 
-def ordered_keys(hashes: np.ndarray, heavy: np.ndarray, most: int) -> np.ndarray:
-    """The first `most` keys of a set in the global order: light before heavy, then by key; a key is the upper half of a hash."""
+def ordered_keys(hashes: np.ndarray, heavy: np.ndarray, most: int) -> tuple[np.ndarray, int]:
+    """The first `most` keys of a set in the global order: light before heavy, then by key; a key is the upper half of a hash. And how many are light."""
     keys = (hashes >> np.uint64(32)).astype(np.uint32)
+    light = len(keys)
     if len(heavy) and len(keys):
         is_heavy = heavy[np.minimum(np.searchsorted(heavy, keys), len(heavy) - 1)] == keys
+        light = len(keys) - int(is_heavy.sum())
         keys = np.concatenate((keys[~is_heavy][:most], keys[is_heavy][:most]))
-    return keys[:most]
+    return keys[:most], min(light, most)
+
+
+def instances(keys: np.ndarray) -> np.ndarray:
+    """Keys as 64-bit numbers; one that stands again in a set is numbered, so that all are distinct. Equal keys are neighbours."""
+    first = np.concatenate(([True], keys[1:] != keys[:-1])) if len(keys) else np.empty(0, bool)
+    out, starts = keys.astype(np.int64), np.flatnonzero(first)
+    if len(starts) < len(keys):
+        out += (np.arange(len(keys)) - starts[np.cumsum(first) - 1]) << 32
+    return out
 
 
 def heavy_keys(docs: DataFrame, text: str, size: int, percent: int) -> tuple[np.ndarray, float]:
@@ -98,7 +119,7 @@ def heavy_keys(docs: DataFrame, text: str, size: int, percent: int) -> tuple[np.
                 if t and (mark := xxhash.xxh3_128_digest(t.encode("utf-8", "surrogatepass"))) not in seen:
                     seen.add(mark)
                     hashes = shingle_set(t, size)
-                    found.append(ordered_keys(hashes, np.empty(0, np.uint32), 2 * prefix_length(len(hashes), 0, percent) + 48))
+                    found.append(ordered_keys(hashes, np.empty(0, np.uint32), 2 * prefix_length(len(hashes), 0, percent) + 48)[0])
             keys, n = np.unique(np.concatenate(found), return_counts=True)
             yield pa.RecordBatch.from_pydict({"key": pa.array(keys.view(np.int32)), "n": pa.array(n.astype(np.int32))})
 
@@ -118,7 +139,7 @@ def boundary(list_length: float, percent: int) -> int:
 
 
 def signatures(docs: DataFrame, heavy: np.ndarray, small: int, text: str, key: str, size: int, percent: int) -> DataFrame:
-    """key, digest and n_shingles of the whole set, and the keys under which it can meet others: single ones below 2^32, subsets above 2^62."""
+    """key, digest and n_shingles of the whole set, and the keys under which it can meet others."""
     shared = docs.sparkSession.sparkContext.broadcast(heavy)
     schema = f"`{key}` {docs.schema[key].dataType.simpleString()}, digest binary, n_shingles long, keys array<bigint>"
     lists_from = -(-percent * (small + 1) // 100)
@@ -132,15 +153,16 @@ def signatures(docs: DataFrame, heavy: np.ndarray, small: int, text: str, key: s
                 n = len(hashes)
                 digest.append(hashlib.blake2b(hashes.tobytes(), digest_size=16).digest())
                 count.append(n)
-                own = ordered_keys(hashes, heavy, prefix_length(n, SCAN, percent)).astype(np.int64)
-                out = []
+                first, light = ordered_keys(hashes, heavy, prefix_length(n, SCAN, percent))
+                own, out = instances(first), []
+                own[light:] |= HOT
                 if n >= lists_from:
-                    out.append(np.unique(own))
+                    out.append(own)
                 if n <= small:
                     first = np.sort(own[: prefix_length(n, SUBSET, percent)])
                     i, j = np.triu_indices(len(first), 1)
-                    pairs = _mixed(first[i].astype(np.uint64) << np.uint64(32) | first[j].astype(np.uint64))
-                    out.append(np.unique((pairs >> np.uint64(2) | np.uint64(1 << 62)).astype(np.int64)))
+                    pairs = _mixed(_mixed(first[i].astype(np.uint64)) + first[j].astype(np.uint64))
+                    out.append(np.unique((pairs >> np.uint64(3)).astype(np.int64) | (first[i] & first[j] & HOT) | SUBSETS))
                 keys += out
                 ends.append(ends[-1] + sum(map(len, out)))
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(keys)))
@@ -201,36 +223,62 @@ def linked_classes(docs: DataFrame, text: str = "text", key: str = "doc_id", siz
     """
     found, list_length = heavy_keys(docs, text, size, percent)
     marked = stored(signatures(docs, found, boundary(list_length, percent), text, key, size, percent), "signatures")
-    some = marked.where("n_shingles > 0")
-    classes = some.groupBy("digest").agg(F.min(key).alias("rep"), F.count("*").alias("copies"), F.first("n_shingles").alias("n"))
+    by_digest = marked.where("n_shingles > 0").groupBy("digest")
+    classes = stored(by_digest.agg(F.min(key).alias("rep"), F.count("*").alias("copies"), F.first("n_shingles").cast("int").alias("n")), "classes")
     membership = marked.select(key, "digest", "n_shingles").join(classes.select("digest", "rep", "copies"), "digest", "left").drop("digest")
-    keyed = some.groupBy("digest").agg(F.min(key).alias("rep"), F.count("*").alias("copies"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys")).where("rep IS NOT NULL")
-    postings = keyed.select("rep", F.col("n").cast("int").alias("n"), F.explode("keys").alias("key"))
+    postings = by_digest.agg(F.min(key).alias("rep"), F.first("keys").alias("keys")).where("rep IS NOT NULL").select("rep", F.explode("keys").alias("key"))
+    lists = stored(inverted(postings), "lists")
+    group = stored(grouped(lists), "groups")
+    across = stored(paired(lists, group, classes.select("rep", "n"), percent), "across")
+    # two columns for a group, so that units within one and units of two have the same shape
+    inside = group.join(group.groupBy("label").count().where("count > 1"), "label").select(F.col("label").alias("la"), F.col("label").alias("lb"), "rep", F.lit(2).alias("side"))
+    left = across.select("la", "lb", F.col("a").alias("rep"), F.lit(0).alias("side"))
+    right = across.select("la", "lb", F.col("b").alias("rep"), F.lit(1).alias("side"))
+    members = stored(inside.union(left.union(right).distinct()).join(classes.select("rep", "copies", "n"), "rep"), "members")
+    return membership, verified(docs, in_blocks(members), text, key, size, percent)
+
+
+def inverted(postings: DataFrame) -> DataFrame:
+    """The rows (rep, key, hub, long) of lists of two rows or more; hub is the list's least member, long its length.
+
+    A list that holds a light shingle is short, and a window takes it in one shuffle; of the others, hub and length are aggregated in the tasks first.
+    """
+    hot = F.col("key").bitwiseAND(F.lit(HOT)) != 0
     by_key = Window.partitionBy("key")
-    met = postings.withColumn("hub", F.min("rep").over(by_key)).withColumn("many", F.max("rep").over(by_key)).where("hub < many").drop("many")
-    lists = stored(met, "lists")
-    weight = F.when(F.col("key") < 2**32, 1).otherwise(SCAN)
-    votes = lists.groupBy("rep", "hub").agg(F.sum(weight).alias("votes"))
-    best = votes.groupBy("rep").agg(F.max(F.struct("votes", (-F.col("hub")).alias("least"))).alias("best"))
-    own = best.select("rep", F.when(F.col("best.votes") >= SCAN, -F.col("best.least")).otherwise(F.col("rep")).alias("label"))
-    hops = own.select(F.col("rep").alias("label"), F.col("label").alias("next"))
-    group = own.join(hops, "label", "left").select("rep", F.coalesce("next", "label").alias("label"))
-    group = stored(group.join(hops, "label", "left").select("rep", F.coalesce("next", "label").alias("label")), "groups")
-    # pairs of different groups that share enough; a list that lies in one group makes none
-    placed = lists.select("key", "rep", "n").join(group, "rep")
+    light = postings.where(~hot).withColumns({"hub": F.min("rep").over(by_key), "long": F.count("*").over(by_key)}).where("long > 1")
+    heavy = postings.where(hot)
+    heads = heavy.groupBy("key").agg(F.min("rep").alias("hub"), F.count("*").alias("long")).where("long > 1")
+    return light.select("rep", "key", "hub", "long").union(heavy.join(heads, "key").select("rep", "key", "hub", "long"))
+
+
+def weight() -> Column:
+    """What a shared key tells: a subset as much as all that must be shared."""
+    return F.when(F.col("key") < F.lit(SUBSETS), 1).otherwise(SCAN)
+
+
+def grouped(lists: DataFrame) -> DataFrame:
+    """(rep, label) of the sets that can link with any: their group, named by its least member. Of a list of more than PAIRED rows, all are in one group."""
+    votes = stored(lists.groupBy("rep", "hub").agg(F.sum(weight()).alias("votes")), "votes")
+    able = votes.groupBy("rep").agg(F.sum("votes").alias("votes")).where(F.col("votes") >= SCAN).select("rep")
+    named = components(votes.where((F.col("votes") >= SCAN) & (F.col("hub") < F.col("rep"))).select(F.col("rep").alias("a"), F.col("hub").alias("b")))
+    group = able.join(named, F.col("rep") == F.col("node"), "left").select("rep", F.coalesce("component", "rep").alias("label"))
+    of_lists = lists.where(F.col("long") > PAIRED).select("key", "rep").join(group, "rep").groupBy("key", "label").agg(F.lit(1).alias("one"))
+    least = of_lists.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
+    apart = stored(of_lists.join(least, "key").where("low < label").select(F.col("label").alias("a"), F.col("low").alias("b")).distinct(), "apart")
+    wider = components(apart).withColumnsRenamed({"node": "label", "component": "wide"})
+    return group.join(wider, "label", "left").select("rep", F.coalesce("wide", "label").alias("label"))
+
+
+def paired(lists: DataFrame, group: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b, la, lb) of sets of different groups that share enough. Lists in one group make none, and longer ones than PAIRED always are."""
+    placed = lists.where(F.col("long") <= PAIRED).select("key", "rep").join(group, "rep")
     mixed = placed.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
-    placed = placed.join(mixed, "key")
+    placed = stored(placed.join(mixed, "key").join(sizes, "rep"), "placed")
     x, y = placed.alias("x"), placed.alias("y")
     near = (F.col("x.n") * percent <= F.col("y.n") * 100) & (F.col("y.n") * percent <= F.col("x.n") * 100)
     pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.label") < F.col("y.label")) & near)
-    enough = pairs.groupBy(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"), F.col("x.label").alias("la"), F.col("y.label").alias("lb")).agg(F.sum(F.when(F.col("x.key") < 2**32, 1).otherwise(SCAN)).alias("s")).where(F.col("s") >= SCAN)
-    across = stored(enough.select("a", "b", "la", "lb"), "across")
-    weights = keyed.select("rep", "copies", "n")
-    inside = group.groupBy("label").count().where("count > 1").join(group, "label").select(F.col("label").alias("la"), F.col("label").alias("lb"), "rep", F.lit(2).alias("side"))
-    left = across.select("la", "lb", F.col("a").alias("rep"), F.lit(0).alias("side"))
-    right = across.select("la", "lb", F.col("b").alias("rep"), F.lit(1).alias("side"))
-    members = stored(inside.union(left.union(right).distinct()).join(weights, "rep"), "members")
-    return membership, verified(docs, in_blocks(members), text, key, size, percent)
+    shared = pairs.select(F.col("x.key").alias("key"), F.col("x.rep").alias("a"), F.col("y.rep").alias("b"), F.col("x.label").alias("la"), F.col("y.label").alias("lb"))
+    return shared.groupBy("a", "b", "la", "lb").agg(F.sum(weight()).alias("s")).where(F.col("s") >= SCAN).drop("s")
 
 
 def in_blocks(members: DataFrame) -> DataFrame:
