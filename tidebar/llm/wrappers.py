@@ -1,23 +1,27 @@
 """Main text of web pages by wrapper induction.
 
-Pages of a host share a template. One page of each host, the shortest, is the reference. Every page's DOM tree is aligned with it by simple tree
-matching; for each reference node the pages that align with it, and those in which it says the same, are counted over all pages (partial sums
-in the tasks). A node that says the same on most pages is template; the other nodes, and those that have no partner, are slots. The text is
-what slots say inside the page's article, where the parts that never are content (menus, notices, adverts, comments and the like) are left out.
+Pages of a host share templates. One page of each host, the shortest, is the reference; every page's DOM tree is aligned with it by simple tree
+matching, which prefers equal text among matchings of equal size. For each reference node, a slot, the values that pages say there are counted
+over all pages: a value that pages of different articles share is constant. A slot whose pages mostly say constant values is template, whether
+there is one value or a variant for each section of the site; the others vary. The content root is the deepest node that holds nearly all text
+that varies. A page's text is what its node at the content root says, without template; the names of elements and classes only break ties
+there: an article inside the root is the root, and what varies but is never content (comments, adverts, forms and the like) is left out.
 
-Pages that are copies of the reference say nothing about what varies, and don't count. They are told by what varies alone: a node inside the
-article weighs as much as it differs over the pages of a part, so the template has no say, and text that has no partner speaks against a copy.
-A host with too few other pages has no template nodes.
+Copies and near copies of an article say nothing about the template. A page's article is known by the least hash of any 32 bytes of its content,
+which near copies are likely to share, and a value counts once for each article.
+Where a host has too few pages or articles to tell (no slot is template), names of elements and classes are all there is, and decide.
 
-A host that a third of all pages share is split: its pages are salted by their number, and its reference is sent to each part.
+A host that a third of all pages share is split: its pages are salted by their bytes, and its reference is sent to each part.
 
 Edge cases: a null or empty html, or one without text, gives an empty text; a url without host puts the page into the host ''; rows that repeat
-give the same text; broken or unclosed markup is closed as browsers close it, roughly; an empty table gives an empty result.
+give the same text; broken or unclosed markup is closed as browsers close it, roughly; nesting has no bound; an empty table gives an empty result;
+columns other than key and url are not returned, whatever their names are.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -27,18 +31,21 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, table
-
-#: Pages of a host that one task gets together, on average.
-PAGES_PER_PART = 2000
-#: A node is template if, of at least so many pages that align with it, this share says the same.
-LEAST_PAGES, SAME_SHARE = 3, 0.8
-#: A page of whose varying text this share equals the reference's is a copy of it.
-COPY_SHARE = 0.5
-#: Nor does a page say what varies that differs in fewer characters than this, if they also are less than this share of its content.
-LEAST_CHARS, LEAST_SHARE = 100, 0.1
-#: Deepest nesting that is kept as a tree; what is nested deeper hangs on the last level.
-DEEPEST = 200
+from .common import slices, stored, table
+
+#: Bytes of html that one task gets of a host together, on average.
+BYTES_PER_PART = 1_000_000
+#: A slot is template if, of at least so many articles, this share has a value there that another article has too.
+LEAST_ARTICLES, SHARED = 8, 0.5
+#: A slot has one constant value if this share of articles has it; only that value is template then. Else all that the slot says is, but headings
+#: that vary are no template: near copies share their titles.
+CONSTANT = 0.8
+#: Share of the text that varies which a node must hold for the content root to lie in it.
+ROOT_SHARE = 0.9
+#: Bytes in a row that a page's article is known by (a power of two), and odd numbers that mix their hashes.
+WINDOW, MIX = 32, (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9))
+#: What a matched pair of nodes weighs beside one of equal texts.
+PAIR = 1 << 20
 
 #: Elements without an end tag; elements that begin a block; elements that are never content.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -50,6 +57,7 @@ NEVER = frozenset(
     "aside audio button canvas datalist dialog embed footer form head iframe input map menu nav noscript object option script select style "
     "svg template textarea title video".split()
 )
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 header hgroup".split())
 #: Words of class and id that mark what is not content, and roles that do.
 MARKS = frozenset(
     "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer "
@@ -70,13 +78,18 @@ WORDS = re.compile(r"[a-z]+|[0-9]+")
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
+#: The least hash of nothing.
+NONE = 1 << 62
+
+
 class Node:
-    """An element; children are nodes and strings."""
+    """An element; children are nodes and strings. For blocks, below are the nearest blocks inside; size, digest and least (of the hashes of WINDOW
+    bytes) are those of what it says itself."""
 
-    __slots__ = ("tag", "children", "marked", "heading", "role", "digest", "size")
+    __slots__ = ("tag", "children", "marked", "heading", "role", "below", "said", "digest", "least", "size", "number")
 
     def __init__(self, tag: str, attributes: list[tuple[str, str | None]] = ()):
-        self.tag, self.children, self.digest, self.size = tag, [], 0, 0
+        self.tag, self.children, self.below, self.said, self.digest, self.least, self.size, self.number = tag, [], [], b"", 0, NONE, 0, 0
         values = dict(attributes)
         self.role = (values.get("role") or "").lower()
         names = CAMEL.sub(" ", f"{values.get('class') or ''} {values.get('id') or ''}").lower()
@@ -87,83 +100,108 @@ class Node:
     def elements(self) -> list[Node]:
         return [c for c in self.children if isinstance(c, Node)]
 
-    def blocks(self) -> list[Node]:
-        """The nearest blocks below; inline elements are part of their block."""
-        out: list[Node] = []
-        for c in self.elements():
-            if c.tag in BLOCKS:
-                out.append(c)
-            elif c.tag not in NEVER:
-                out += c.blocks()
-        return out
-
-    def says(self) -> str:
-        """The block's own text, that of inline elements included."""
-        return " ".join("".join(self._texts()).split())
-
-    def _texts(self) -> Iterator[str]:
-        for c in self.children:
-            if isinstance(c, str):
-                yield c
-            elif c.tag == "br" or c.tag in BLOCKS:
-                yield " "
-            elif c.tag not in NEVER:
-                yield from c._texts()
-
 
 class _Builder(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.root = Node("#root")
         self.open = [self.root]
+        self.count: Counter = Counter()
 
     def handle_starttag(self, tag, attrs):
         shut = CLOSES.get(tag)
         if shut:
             self._close_until(shut)
-        elif tag in BLOCKS and any(n.tag == "p" for n in self.open):
+        elif tag in BLOCKS and self.count["p"]:
             self._close_until({"p"})
         node = Node(tag, attrs)
         self.open[-1].children.append(node)
-        if tag not in VOID and len(self.open) < DEEPEST:
+        if tag not in VOID:
             self.open.append(node)
+            self.count[tag] += 1
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
         if tag in VOID or self.open[-1].tag != tag:
             return
         if tag not in BLOCKS:  # a slash means nothing to browsers, but svg and the like use it
-            self.open.pop()
+            self._close_from(len(self.open) - 1)
+
+    def _close_from(self, i: int) -> None:
+        for node in self.open[i:]:
+            self.count[node.tag] -= 1
+        del self.open[i:]
 
     def _close_until(self, tags: set[str]) -> None:
-        for i in range(len(self.open) - 1, 0, -1):
-            if self.open[i].tag in tags:
-                del self.open[i:]
-                return
-            if self.open[i].tag in SCOPES:
-                return
+        if any(self.count[t] for t in tags):
+            for i in range(len(self.open) - 1, 0, -1):
+                if self.open[i].tag in tags:
+                    return self._close_from(i)
+                if self.open[i].tag in SCOPES:
+                    return
 
     def handle_endtag(self, tag):
-        for i in range(len(self.open) - 1, 0, -1):
-            if self.open[i].tag == tag:
-                del self.open[i:]
-                return
-            if tag not in BLOCKS and self.open[i].tag in BLOCKS:
-                return
+        if self.count[tag]:
+            for i in range(len(self.open) - 1, 0, -1):
+                if self.open[i].tag == tag:
+                    return self._close_from(i)
+                if tag not in BLOCKS and self.open[i].tag in BLOCKS:
+                    return
 
     def handle_data(self, data):
         self.open[-1].children.append(data)
 
 
-def tree_of(html: str | None) -> Node:
+def tree_of(html: str | None) -> tuple[Node, list[Node]]:
+    """The root and all blocks in page order, the root first; inline elements are part of their block."""
     builder = _Builder()
     if html:
         builder.feed(html)
         builder.close()
-    for node in numbered(builder.root):
-        said = node.says()
-        node.size, node.digest = len(said), xxhash.xxh3_64_intdigest(said.encode("utf-8", "surrogatepass")) >> 1
-    return builder.root
+    root = builder.root
+    nodes, said, waiting = [root], [[]], [(iter(root.children), root)]
+    while waiting:
+        children, owner = waiting[-1]
+        for c in children:
+            if isinstance(c, str):
+                said[owner.number].append(c)
+            elif c.tag in BLOCKS:
+                said[owner.number].append(" ")
+                c.number = len(nodes)
+                nodes.append(c)
+                said.append([])
+                owner.below.append(c)
+                waiting.append((iter(c.children), c))
+                break
+            elif c.tag == "br":
+                said[owner.number].append(" ")
+            elif c.tag not in NEVER:
+                waiting.append((iter(c.children), owner))
+                break
+        else:
+            waiting.pop()
+    for node, parts in zip(nodes, said):
+        text = " ".join("".join(parts).split())
+        node.said = text.encode("utf-8", "surrogatepass")
+        node.size, node.digest = len(text), xxhash.xxh3_64_intdigest(node.said) >> 1
+    return root, nodes
+
+
+def least_hashes(said: list[bytes]) -> np.ndarray:
+    """For each text the least hash of WINDOW bytes that begin in it; windows run on into the next texts. Built by doubling."""
+    sizes = np.fromiter(map(len, said), dtype=np.int64, count=len(said))
+    h = np.frombuffer(b"".join(said) + bytes(WINDOW), dtype=np.uint8).astype(np.uint64) + np.uint64(1)
+    span, power = 1, int(MIX[0])
+    while span < WINDOW:
+        h = h[:-span] * np.uint64(power) + h[span:]
+        power = power * power % (1 << 64)
+        span *= 2
+    h = ((h ^ (h >> np.uint64(29))) * MIX[1]) >> np.uint64(2)
+    out = np.full(len(said), NONE, dtype=np.int64)
+    full = np.flatnonzero(sizes)
+    if len(full):
+        out[full] = np.minimum.reduceat(h[: sizes.sum()].astype(np.int64), (np.cumsum(sizes) - sizes)[full])
+    return out
 
 
 def never_content(node: Node, in_article: bool) -> bool:
@@ -176,151 +214,109 @@ def never_content(node: Node, in_article: bool) -> bool:
 
 
 def content_of(root: Node) -> set[int]:
-    """Ids of the blocks whose text can be part of the page's text."""
-    found = _articles(root)
+    """Numbers of the blocks whose text can be part of the page's text, by their names."""
+    found = articles(root)
     out, waiting = set(), [(n, True) for n in found or [root]]
     while waiting:
         node, block = waiting.pop()
         if block:
-            out.add(id(node))
+            out.add(node.number)
         waiting.extend((c, c.tag in BLOCKS) for c in node.elements() if not never_content(c, bool(found)))
     return out
 
 
-def skeleton(root: Node) -> bytes:
-    """Tags, parents, sizes and digests of what the nodes say, in page order; sizes of what never is content are negative."""
-    nodes = numbered(root)
-    place = {id(n): i for i, n in enumerate(nodes)}
+def skeleton(root: Node, nodes: list[Node]) -> bytes:
+    """Tags, parents, and sizes, digests and least hashes of what the nodes say, in page order; sizes of what never is content are negative."""
     parent = np.zeros(len(nodes), dtype="<i4")
-    for i, n in enumerate(nodes):
-        for c in n.blocks():
-            parent[place[id(c)]] = i
+    for n in nodes:
+        for c in n.below:
+            parent[c.number] = n.number
     content = content_of(root)
-    sizes = np.array([n.size if id(n) in content else -n.size for n in nodes], dtype="<i4")
+    sizes = np.array([n.size if n.number in content else -n.size for n in nodes], dtype="<i4")
     digests = np.array([n.digest for n in nodes], dtype="<i8")
-    return b"".join((len(nodes).to_bytes(4, "little"), parent.tobytes(), sizes.tobytes(), digests.tobytes(), " ".join(n.tag for n in nodes).encode("utf-8", "surrogatepass")))
+    least = least_hashes([n.said for n in nodes]).astype("<i8")
+    return b"".join((len(nodes).to_bytes(4, "little"), parent.tobytes(), sizes.tobytes(), digests.tobytes(), least.tobytes(), " ".join(n.tag for n in nodes).encode("utf-8", "surrogatepass")))
 
 
 def nodes_from(made: bytes) -> list[Node]:
     """The nodes of a skeleton, linked, in page order."""
     n = int.from_bytes(made[:4], "little")
     parents, sizes = (np.frombuffer(made, dtype="<i4", count=n, offset=4 + 4 * n * i).tolist() for i in (0, 1))
-    digests = np.frombuffer(made, dtype="<i8", count=n, offset=4 + 8 * n).tolist()
-    nodes = [Node(t) for t in made[4 + 16 * n :].decode("utf-8", "surrogatepass").split(" ")]
+    digests, least = (np.frombuffer(made, dtype="<i8", count=n, offset=4 + 8 * n + 8 * n * i).tolist() for i in (0, 1))
+    nodes = [Node(t) for t in made[4 + 24 * n :].decode("utf-8", "surrogatepass").split(" ")]
     for i, (node, up) in enumerate(zip(nodes, parents)):
-        node.size, node.digest = sizes[i], digests[i]
+        node.number, node.size, node.digest, node.least = i, sizes[i], digests[i], least[i]
         if i:
-            nodes[up].children.append(node)
+            nodes[up].below.append(node)
     return nodes
 
 
-def numbered(root: Node) -> list[Node]:
-    """All blocks in page order; a node's number is its place in the list."""
-    out, waiting = [], [root]
-    while waiting:
-        node = waiting.pop()
-        out.append(node)
-        waiting.extend(reversed(node.blocks()))
-    return out
-
-
 def match(a: Node, b: Node) -> list[tuple[Node, Node]]:
-    """The pairs of the largest simple tree matching: equal tags, order and parents kept.
+    """The pairs of the largest simple tree matching, equal tags, order and parents kept; of the largest ones, one of most equal texts.
 
-    Sizes of matchings are computed for pairs of children by a dynamic program; equal runs at both ends are still weighed by it.
+    For pairs of nodes under paired parents, a dynamic program over both lists of children gives the weight; children come before their parents.
     """
-    memo: dict[tuple[int, int], tuple[int, list]] = {}
-
-    def size(x: Node, y: Node) -> int:
-        key = (id(x), id(y))
-        if key not in memo:
-            xs, ys = x.blocks(), y.blocks()
-            before = [0] * (len(ys) + 1)
-            rows = [before]
-            for p in xs:
-                now = [0] * (len(ys) + 1)
-                for j, q in enumerate(ys):
-                    best = before[j + 1] if before[j + 1] > now[j] else now[j]
-                    if p.tag == q.tag and (both := before[j] + size(p, q)) > best:
-                        best = both
-                    now[j + 1] = best
-                rows.append(now)
-                before = now
-            memo[key] = (rows[-1][-1] + 1, rows)
-        return memo[key][0]
-
     if a.tag != b.tag:
         return []
-    size(a, b)
+    tables: dict[tuple[int, int], list[list[int]]] = {}
+    weights: dict[tuple[int, int], int] = {}
+    waiting = [(a, b, False)]
+    while waiting:
+        x, y, ready = waiting.pop()
+        own = PAIR + (x.digest == y.digest and x.size != 0)
+        if not (x.below and y.below):
+            weights[x.number, y.number] = own
+            continue
+        if not ready:
+            waiting.append((x, y, True))
+            waiting.extend((p, q, False) for p in x.below for q in y.below if p.tag == q.tag)
+            continue
+        before = [0] * (len(y.below) + 1)
+        rows = [before]
+        for p in x.below:
+            now = [0] * (len(y.below) + 1)
+            for j, q in enumerate(y.below):
+                best = before[j + 1] if before[j + 1] > now[j] else now[j]
+                if p.tag == q.tag and (both := before[j] + weights[p.number, q.number]) > best:
+                    best = both
+                now[j + 1] = best
+            rows.append(now)
+            before = now
+        tables[x.number, y.number] = rows
+        weights[x.number, y.number] = own + before[-1]
     pairs, waiting = [], [(a, b)]
     while waiting:
         x, y = waiting.pop()
         pairs.append((x, y))
-        xs, ys, rows = x.blocks(), y.blocks(), memo[id(x), id(y)][1]
-        i, j = len(xs), len(ys)
+        if (x.number, y.number) not in tables:
+            continue
+        rows, i, j = tables[x.number, y.number], len(x.below), len(y.below)
         while i and j:
             if rows[i][j] == rows[i][j - 1]:
                 j -= 1
             elif rows[i][j] == rows[i - 1][j]:
                 i -= 1
             else:
-                waiting.append((xs[i - 1], ys[j - 1]))
+                waiting.append((x.below[i - 1], y.below[j - 1]))
                 i, j = i - 1, j - 1
     return pairs
 
 
-def compared(reference: list[Node], page: list[Node]) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """Of aligned nodes that say something: reference numbers, which say the same, and sizes of content; and the size of content without partner."""
-    number = {id(n): i for i, n in enumerate(reference)}
-    nodes, equal, sizes, alone = [], [], [], sum(n.size for n in page if n.size > 0)
-    for a, b in match(reference[0], page[0]):
-        if a.size or b.size:
-            nodes.append(number[id(a)])
-            equal.append(a.digest == b.digest)
-            sizes.append(max(a.size, b.size, 0))
-            alone -= max(b.size, 0)
-    return np.array(nodes, dtype=np.int32), np.array(equal, dtype=bool), np.array(sizes, dtype=np.int32), alone
-
-
-def tallied(found: list[tuple[np.ndarray, np.ndarray, np.ndarray, int]], size: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each of the reference's nodes, the pages that align with it and those that say the same; copies of the reference don't count."""
-
-    def tally(pages: list) -> tuple[np.ndarray, np.ndarray]:
-        n, same = np.zeros(size, dtype=np.int64), np.zeros(size, dtype=np.int64)
-        for nodes, equal, _, _ in pages:
-            n[nodes] += 1
-            same[nodes] += equal
-        return n, same
-
-    n, same = tally(found)
-    varies = 1 - same / np.maximum(n, 1)
-    others = []
-    for page in found:
-        nodes, equal, sizes, alone = page
-        weights = sizes * varies[nodes]
-        differs = sizes[~equal].sum() + alone
-        if differs < min(LEAST_CHARS, LEAST_SHARE * (sizes.sum() + alone)):
-            continue
-        if weights[equal].sum() < COPY_SHARE * (weights.sum() + alone):
-            others.append(page)
-    return tally(others)
-
+def compared(reference: list[Node], page: list[Node]) -> tuple[int, list[tuple[int, int, int, int]]]:
+    """What the page's article is known by, and for each reference node with a partner its number, the digest of what the partner says, and sizes of
+    content, the partner's own and all inside it. Blocks that say the same as their partners don't make an article known, unless all do."""
+    inside = [max(n.size, 0) for n in page]
+    for n in reversed(page):  # children come after their parents
+        for c in n.below:
+            inside[n.number] += inside[c.number]
+    pairs = match(reference[0], page[0])
+    same = {b.number for a, b in pairs if a.digest == b.digest}
+    content = [n for n in page if n.size > 0] or page
+    article = min((n.least for n in content if n.number not in same), default=None) or min(n.least for n in content)
+    return article, [(a.number, b.digest if b.size else 0, max(b.size, 0), inside[b.number]) for a, b in pairs]
 
-def article_text(root: Node, template: set[int]) -> str:
-    """The blocks of what is not template, in page order. template: ids of nodes that are.
 
-    Where the page has an article or main element, only what is inside counts.
-    """
-    found = _articles(root)
-    blocks: list[list[str]] = [[]]
-    for top in found or [root]:
-        blocks.append([])
-        _collect(top, template, bool(found), blocks)
-    texts = (" ".join("".join(parts).split()) for parts in blocks)
-    return "\n\n".join(t for t in texts if t)
-
-
-def _articles(root: Node) -> list[Node]:
+def articles(root: Node) -> list[Node]:
     """The outermost article elements, else the main ones, that are in no part that never is content.
 
     Where all are in marked parts, the marks speak of the page's layout, and the articles there count.
@@ -343,22 +339,79 @@ def _articles(root: Node) -> list[Node]:
     return []
 
 
-def _collect(node: Node, template: set[int], in_article: bool, blocks: list[list[str]], quiet: bool | None = None) -> None:
-    """quiet: that of the block which an inline element is part of."""
-    quiet = id(node) in template if quiet is None else quiet
-    for child in node.children:
-        if isinstance(child, str):
-            if not quiet:
-                blocks[-1].append(child)
-        elif child.tag == "br":
-            blocks[-1].append(" ")
-        elif not never_content(child, in_article):
-            if child.tag in BLOCKS:
-                blocks.append([])
-                _collect(child, template, in_article, blocks)
-                blocks.append([])
+def article_text(root: Node, template: set[int], top: Node | None = None) -> str:
+    """The blocks under top (the page's content root; the whole page if None) that are not template, in page order. template: numbers of nodes.
+
+    Where there is an article or main element, only what is inside counts.
+    """
+    found = articles(top or root)
+    in_article = bool(found) or top is not None and top.tag not in ("#root", "html", "body")
+    blocks: list[list[str]] = []
+    for start in found or [top or root]:
+        blocks.append([])
+        waiting = [(iter(start.children), start.number in template, True)]  # children, whether their block is template, whether they are a block's
+        while waiting:
+            children, quiet, _ = waiting[-1]
+            for c in children:
+                if isinstance(c, str):
+                    if not quiet:
+                        blocks[-1].append(c)
+                elif c.tag == "br":
+                    blocks[-1].append(" ")
+                elif not never_content(c, in_article):
+                    block = c.tag in BLOCKS
+                    if block:
+                        blocks.append([])
+                    waiting.append((iter(c.children), c.number in template if block else quiet, block))
+                    break
             else:
-                _collect(child, template, in_article, blocks, quiet)
+                if waiting.pop()[2]:
+                    blocks.append([])
+    texts = (" ".join("".join(parts).split()) for parts in blocks)
+    return "\n\n".join(t for t in texts if t)
+
+
+class Wrapper:
+    """A host's reference with what was induced: of template slots the constant value, or None if all values are template; the content root, or None."""
+
+    def __init__(self, made: bytes, slots: list[dict]):
+        self.nodes = nodes_from(made)
+        self.template: dict[int, int | None] = {}
+        for slot in slots:
+            if slot["articles"] >= LEAST_ARTICLES and slot["shared"] >= SHARED * slot["articles"]:
+                constant = slot["most"] >= CONSTANT * slot["articles"]
+                if not constant and self.nodes[slot["node"]].tag in HEADINGS:
+                    continue
+                self.template[slot["node"]] = slot["value"] if constant else None
+                if constant:
+                    self.nodes[slot["node"]].digest = slot["value"]  # which the reference itself may lack
+        self.root = self._root({s["node"]: s for s in slots}) if self.template else None
+
+    def _root(self, slots: dict[int, dict]) -> int | None:
+        """Down from the page's root, as long as one child that holds blocks has nearly all text that varies, and no heading is left behind."""
+        varies = [slots[n.number]["inside"] if n.number in slots else 0 for n in self.nodes]
+        gone = [slots[n.number]["own"] if n.number in self.template else 0 for n in self.nodes]
+        for n in reversed(self.nodes):
+            for c in n.below:
+                gone[n.number] += gone[c.number]
+        varies = [max(0, v - g) for v, g in zip(varies, gone)]
+        at = self.nodes[0]
+        if not varies[0]:
+            return None
+        while True:
+            inner = [c for c in at.below if varies[c.number] >= ROOT_SHARE * varies[at.number] and 2 * slots[c.number]["own"] < slots[c.number]["inside"]]
+            titled = any(c.tag in HEADINGS and varies[c.number] and c not in inner for c in at.below)
+            if not inner or titled or at.tag in ("article", "main"):
+                return at.number
+            at = inner[0]
+
+    def text(self, html: str | None) -> str:
+        root, _ = tree_of(html)
+        if self.root is None:
+            return article_text(root, set())
+        pairs = match(self.nodes[0], root)
+        gone = {b.number for a, b in pairs if a.number in self.template and self.template[a.number] in (None, b.digest)}
+        return article_text(root, gone, next((b for a, b in pairs if a.number == self.root), None))
 
 
 def host_of(url: Column) -> Column:
@@ -366,15 +419,17 @@ def host_of(url: Column) -> Column:
 
 
 def skeletons(pages: DataFrame, html: str, url: str, key: str) -> DataFrame:
-    """host, page and skeleton of every page."""
+    """host, page, skeleton and bytes of the html of every page."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = [skeleton(tree_of(h)) for h in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(made, pa.binary())], names=["host", "page", "skeleton"])
+        for batch in slices(batches):
+            texts = batch.column(2).to_pylist()
+            made = [skeleton(*tree_of(h)) for h in texts]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(made, pa.binary()), batch.column(3)], names=["host", "page", "skeleton", "bytes"])
 
-    schema = f"host string, page {pages.schema[key].dataType.simpleString()}, skeleton binary"
-    return pages.select(host_of(F.col(url)).alias("host"), F.col(key).alias("page"), F.col(html).alias("html")).mapInArrow(run, schema)
+    schema = f"host string, page {pages.schema[key].dataType.simpleString()}, skeleton binary, bytes long"
+    size = F.coalesce(F.octet_length(html), F.lit(0)).cast("long")
+    return pages.select(host_of(F.col(url)).alias("host"), F.col(key).alias("page"), F.col(html).alias("html"), size.alias("bytes")).mapInArrow(run, schema)
 
 
 def part_of(parts: Column) -> Column:
@@ -387,42 +442,48 @@ def in_parts(rows: DataFrame) -> DataFrame:
 
 
 def aligned(rows: DataFrame) -> DataFrame:
-    """host, node, n and same: counts for each reference node over a part's pages."""
+    """host, node, value, article, own and inside: what a page says at each reference node with a partner, summed over the pages of a part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reference, found, current = [], [], None
-        for batch in batches:
+        reference: list[Node] = []
+        for batch in slices(batches):
+            found: dict[tuple, list[int]] = {}
             for host, role, made in zip(*(batch.column(c).to_pylist() for c in ("host", "role", "skeleton"))):
+                nodes = nodes_from(made)
                 if role == 0:
-                    if found:
-                        yield _counted(current, found, len(reference))
-                    reference, found, current = nodes_from(made), [], host
-                else:
-                    found.append(compared(reference, nodes_from(made)))
-        if found:
-            yield _counted(current, found, len(reference))
-
-    return rows.select("host", "role", "skeleton").mapInArrow(run, "host string, node int, n long, same long")
-
+                    reference = nodes
+                    continue
+                article, said = compared(reference, nodes)
+                for node, value, own, inside in said:
+                    sums = found.setdefault((host, node, value, article), [0, 0])
+                    sums[0] += own
+                    sums[1] += inside
+            keys = list(zip(*found)) or [()] * 4
+            sums = list(zip(*found.values())) or [()] * 2
+            kinds = (pa.string(), pa.int32(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([*(pa.array(k, t) for k, t in zip(keys, kinds)), *(pa.array(x, pa.int64()) for x in sums)], names=["host", "node", "value", "article", "own", "inside"])
 
-def _counted(host: str, found: list, size: int) -> pa.RecordBatch:
-    n, same = tallied(found, size)
-    nodes = np.flatnonzero(n)
-    return pa.RecordBatch.from_pydict({
-        "host": pa.array([host] * len(nodes), pa.string()), "node": pa.array(nodes.astype(np.int32)), "n": pa.array(n[nodes]), "same": pa.array(same[nodes]),
-    })
+    return rows.select("host", "role", "skeleton").mapInArrow(run, "host string, node int, value long, article long, own long, inside long")
 
 
 def induce(made: DataFrame) -> DataFrame:
-    """host, parts, skeleton (of the reference) and nodes (the numbers of its template nodes, sorted), from skeletons (host, page, skeleton)."""
+    """host, parts, skeleton (of the reference) and slots (for each of its nodes what pages say there), from skeletons (host, page, skeleton, bytes)."""
     shortest = F.min_by("skeleton", F.struct(F.length("skeleton"), "skeleton"))
-    hosts = made.groupBy("host").agg(F.count("*").alias("n"), shortest.alias("skeleton")).select("host", F.ceil(F.col("n") / PAGES_PER_PART).cast("int").alias("parts"), "skeleton")
-    hosts = stored(hosts, "hosts")
+    parts = F.ceil((F.sum("bytes") + 1) / BYTES_PER_PART).cast("int")
+    hosts = stored(made.groupBy("host").agg(parts.alias("parts"), shortest.alias("skeleton")), "hosts")
     references = hosts.select("host", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("role"), "skeleton")
     dealt = made.join(hosts.where("parts > 1").select("host", "parts"), "host", "left").select("host", part_of(F.col("parts")).alias("part"), F.lit(1).alias("role"), "skeleton")
-    counts = aligned(in_parts(references.union(dealt))).groupBy("host", "node").agg(F.sum("n").alias("n"), F.sum("same").alias("same"))
-    template = counts.where((F.col("n") >= LEAST_PAGES) & (F.col("same") >= SAME_SHARE * F.col("n"))).groupBy("host").agg(F.sort_array(F.collect_list("node")).alias("nodes"))
-    return stored(hosts.join(template, "host", "left"), "wrappers")
+    said = aligned(in_parts(references.union(dealt)))
+    # an article counts once for a value, then values for a slot; each step adds up in the tasks first
+    by_article = said.groupBy("host", "node", "value", "article").agg(F.sum("own").alias("own"), F.sum("inside").alias("inside"))
+    by_value = by_article.groupBy("host", "node", "value").agg(F.count("*").alias("articles"), F.sum("own").alias("own"), F.sum("inside").alias("inside"))
+    says = F.col("value") != 0
+    slots = by_value.groupBy("host", "node").agg(
+        F.sum("articles").alias("articles"), F.sum(F.when(says & (F.col("articles") > 1), F.col("articles")).otherwise(0)).alias("shared"),
+        F.max(F.when(says, F.col("articles")).otherwise(0)).alias("most"), F.max_by("value", F.struct(F.when(says, F.col("articles")), "value")).alias("value"),
+        F.sum("own").alias("own"), F.sum("inside").alias("inside"))
+    slots = slots.groupBy("host").agg(F.collect_list(F.struct("node", "articles", "shared", "most", "value", "own", "inside")).alias("slots"))
+    return stored(hosts.join(slots, "host", "left"), "wrappers")
 
 
 def extract(pages: DataFrame, html: str = "html", url: str = "url", key: str = "page_id") -> DataFrame:
@@ -430,26 +491,23 @@ def extract(pages: DataFrame, html: str = "html", url: str = "url", key: str = "
     kind = pages.schema[key].dataType.simpleString()
     wrappers = induce(stored(skeletons(pages, html, url, key), "skeletons"))
     none = F.lit(None)
-    first = wrappers.select("host", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("role"), none.cast(kind).alias("page"), none.cast("string").alias("at"), none.cast("string").alias("html"), "skeleton", "nodes")
+    first = wrappers.select("host", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("role"), none.cast(kind).alias("page"), none.cast("string").alias("at"), none.cast("string").alias("html"), "skeleton", "slots")
     named = pages.select(host_of(F.col(url)).alias("host"), F.col(key).alias("page"), F.col(url).alias("at"), F.col(html).alias("html"))
-    # hosts of more than one part: a row for each PAGES_PER_PART pages at most
+    # hosts of more than one part: a row for each BYTES_PER_PART of html at most; Spark broadcasts them while they are small
     dealt = named.join(wrappers.where("parts > 1").select("host", "parts"), "host", "left").select(
-        "host", part_of(F.col("parts")).alias("part"), F.lit(1).alias("role"), "page", "at", "html", none.cast("binary").alias("skeleton"), none.cast("array<int>").alias("nodes"))
+        "host", part_of(F.col("parts")).alias("part"), F.lit(1).alias("role"), "page", "at", "html", none.cast("binary").alias("skeleton"), none.cast(wrappers.schema["slots"].dataType).alias("slots"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reference, constant = [], set()
-        for batch in batches:
+        wrapper = None
+        for batch in slices(batches):
             page, at, text = [], [], []
-            for role, p, u, h, made, nodes in zip(*(batch.column(c).to_pylist() for c in ("role", "page", "at", "html", "skeleton", "nodes"))):
+            for role, p, u, h, made, slots in zip(*(batch.column(c).to_pylist() for c in ("role", "page", "at", "html", "skeleton", "slots"))):
                 if role == 0:
-                    reference = nodes_from(made)
-                    constant = {id(reference[i]) for i in nodes or ()}
+                    wrapper = Wrapper(made, slots or [])
                     continue
-                tree = tree_of(h)
-                found = {id(b) for a, b in match(reference[0], tree) if id(a) in constant and a.digest == b.digest} if constant else set()
                 page.append(p)
                 at.append(u)
-                text.append(article_text(tree, found))
+                text.append(wrapper.text(h))
             yield pa.RecordBatch.from_arrays([pa.array(page, batch.schema.field("page").type), pa.array(at, pa.string()), pa.array(text, pa.string())], names=["page", "at", "text"])
 
     found = in_parts(first.union(dealt)).mapInArrow(run, f"page {kind}, at string, text string")
