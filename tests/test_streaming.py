@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+from tidebar.sources import store
 from tidebar.streaming import ingest
 
 BARS = "scode string, ts timestamp, open double, close double, high double, low double, volume double, amount double"
@@ -22,7 +23,7 @@ def test_upserts_resume_and_repeat(spark, tmp_path):
         if more:
             put(spark, source, more)
         ingest.upserting(spark.readStream.schema(BARS).parquet(source), target, ["scode", "ts"], state).awaitTermination()
-        found = spark.read.parquet(target).collect()
+        found = store.read_table(spark, target).collect()
         assert len(found) == total
     assert {r.close for r in found} == {1.0, 5.0, 3.0}
 
