@@ -6,7 +6,8 @@ import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from .bars import ordinals
 
 SEPARATOR = " && "
 
@@ -39,7 +40,7 @@ def pattern_hash(text: Column) -> Column:
 
 def parse_pattern(text: Column) -> Column:
     """Sorted distinct tokens of a pattern's text."""
-    return F.array_sort(F.array_distinct(F.filter(F.transform(F.split(text, "&&"), F.trim), lambda t: t != "")))
+    return F.array_sort(F.array_distinct(F.filter(F.transform(F.split(text, "&&"), lambda t: F.trim(t)), lambda t: t != "")))
 
 
 def matches(pattern: Column, tokens: Column) -> Column:
@@ -68,6 +69,65 @@ def evaluate(candidates: DataFrame, features: DataFrame, positives: DataFrame, m
     return found.withColumn("min_success_rate", F.explode(passed)).withColumn("feature_count", F.size(F.split("pattern", SEPARATOR)))
 
 
+def mined(features: DataFrame, positives: DataFrame, vocabulary: list[str], most: int = 2, least_support: int = 1, thresholds: tuple[float, ...] = (0.0,), least_samples: int = 1) -> DataFrame:
+    """Candidates and their evaluation in one pass, where the events that support a pattern are those that it is tested with.
+
+    As an event has one bar, a pattern's support is its number of successes, so each bar's combinations are counted once, with and without an event. Tokens
+    are numbered by the vocabulary (sorted; its size does not follow the data), a combination is one integer, and text is made of those that are left.
+    """
+    keys = positives.select("scode", "trade_date").distinct().withColumn("__hit", F.lit(1))
+    counted = features.join(keys, ["scode", "trade_date"], "left").select(F.explode(codes(F.col("tokens"), vocabulary, most)).alias("code"), "__hit")
+    counted = counted.groupBy("code").agg(F.count("*").alias("sample_count"), F.count("__hit").alias("success_count"))
+    found = counted.where((F.col("success_count") >= least_support) & (F.col("sample_count") >= least_samples)).withColumn("success_rate", F.col("success_count") / F.col("sample_count"))
+    passed = F.filter(F.array(*[F.lit(t) for t in sorted(thresholds)]), lambda t: t <= F.col("success_rate"))
+    found = found.withColumn("min_success_rate", F.explode(passed)).withColumn("pattern", decoded(F.col("code"), vocabulary))
+    return found.select("pattern", "code", F.col("success_count").alias("positive_support"), "sample_count", "success_count", "success_rate", "min_success_rate", F.size(F.split("pattern", SEPARATOR)).alias("feature_count"))
+
+
+#: Numbers of tokens fit into so many bits of a combination's code.
+TOKEN_BITS = 16
+
+
+def codes(tokens: Column, vocabulary: list[str], most: int) -> Column:
+    """All combinations of one to `most` (1 to 3) tokens of a sorted array as integers: the numbers of the tokens (from 1), the first in the highest bits."""
+    if not 1 <= most <= 3:
+        raise ValueError("combinations of 1 to 3")
+    number = F.create_map(*[F.lit(x) for i, t in enumerate(sorted(vocabulary), 1) for x in (t, i)])
+
+    def longer(shorter: Column, ns: Column) -> Column:
+        """Each combination with each token that comes after its last one; tokens are sorted, and so are their numbers."""
+        last = F.lit((1 << TOKEN_BITS) - 1)
+        return F.flatten(F.transform(shorter, lambda c: F.transform(F.filter(ns, lambda n: n > c.bitwiseAND(last)), lambda n: F.shiftleft(c, TOKEN_BITS).bitwiseOR(n))))
+
+    def all_of(ns: Column) -> Column:
+        parts = [ns]
+        for _ in range(most - 1):
+            parts.append(longer(parts[-1], ns))
+        return F.concat(*parts)
+
+    # bound by an array of one, so that tokens are numbered once
+    return F.flatten(F.transform(F.array(F.transform(tokens, lambda t: number[t].cast("long"))), all_of))
+
+
+def decoded(code: Column, vocabulary: list[str]) -> Column:
+    """The text of a combination's code."""
+    names = F.array(*[F.lit(t) for t in sorted(vocabulary)])
+    parts = [F.shiftright(code, TOKEN_BITS * i).bitwiseAND(F.lit((1 << TOKEN_BITS) - 1)).cast("int") for i in (2, 1, 0)]
+    return F.array_join(F.array_compact(F.array(*[F.when(p > 0, F.element_at(names, F.greatest(p, F.lit(1)))) for p in parts])), SEPARATOR)
+
+
+def token_vocabulary(features: DataFrame) -> list[str]:
+    """All tokens that occur; a few dozen, as the rules make them."""
+    return [r[0] for r in features.select(F.explode("tokens").alias("t")).distinct().orderBy("t").collect()]
+
+
+def most_common(rows: DataFrame, column: str, limit: int) -> DataFrame:
+    """The `limit` values of a column that occur most often, with their number and share of all rows; ties by value."""
+    counts = rows.groupBy(column).agg(F.count("*").alias("n"))
+    total = rows.agg(F.count("*").alias("__total"))
+    return counts.orderBy(F.desc("n"), column).limit(limit).crossJoin(F.broadcast(total)).select(column, "n", (F.col("n") / F.col("__total")).alias("rate"))
+
+
 def ordered(patterns: DataFrame) -> DataFrame:
     return patterns.orderBy("min_success_rate", F.desc("success_rate"), F.desc("success_count"), F.desc("sample_count"), "pattern")
 
@@ -79,13 +139,18 @@ def signatures(features: DataFrame, positives: DataFrame) -> DataFrame:
     return rows.groupBy("signature").agg(F.count("*").alias("sample_count"), F.count("__hit").alias("success_count")).withColumn("success_rate", F.col("success_count") / F.col("sample_count"))
 
 
-def best_pattern_per_stock(features: DataFrame, patterns: DataFrame, most: int = 2) -> DataFrame:
-    """For each bar that any pattern matches: the best one by success rate, and how many match."""
-    exploded = features.select("scode", "trade_date", F.explode(combinations(F.col("tokens"), most)).alias("c")).withColumn("pattern", pattern_text(F.col("c"))).drop("c")
-    hits = exploded.join(patterns.groupBy("pattern").agg(F.max("success_rate").alias("score")), "pattern")
+def best_pattern_per_stock(features: DataFrame, patterns: DataFrame, vocabulary: list[str], most: int = 2) -> DataFrame:
+    """For each bar that any pattern (with its code, as mined() gives it) matches: the best one by success rate, and how many match."""
+    exploded = features.select("scode", "trade_date", F.explode(codes(F.col("tokens"), vocabulary, most)).alias("code"))
+    hits = exploded.join(patterns.groupBy("code").agg(F.max("success_rate").alias("score"), F.first("pattern").alias("pattern")), "code")
     return hits.groupBy("scode", "trade_date").agg(F.max(F.struct(F.col("score"), F.col("pattern"))).alias("b"), F.count("*").alias("pattern_count")).select("scode", "trade_date", F.col("b.score").alias("score"), F.col("b.pattern").alias("pattern"), "pattern_count")
 
 
+def selection_order(found: DataFrame, closes: DataFrame, limit: int) -> DataFrame:
+    """The day's matches (score, pattern_count) by score, number of patterns and close, the first `limit`."""
+    return found.join(closes.select("scode", "trade_date", "close"), ["scode", "trade_date"]).orderBy(F.desc("score"), F.desc("pattern_count"), F.desc("close"), "scode", "trade_date").limit(limit)
+
+
 def goal_search(features: DataFrame, train: DataFrame, held: DataFrame, sizes: tuple[int, ...], supports: tuple[int, ...], goal: float, least_samples: int = 1) -> DataFrame:
     """The grid of sizes and supports, from large supports down: the patterns of the first point that has any which reach the goal on the held events too."""
     for size in sizes:
@@ -101,12 +166,12 @@ def goal_search(features: DataFrame, train: DataFrame, held: DataFrame, sizes: t
 
 
 def evenly_spaced(rows: DataFrame, order: list[str], limit: int) -> DataFrame:
-    """`limit` rows at equal distances in the given order, the first and the last included."""
+    """`limit` rows at equal distances in the given order, the first and the last included. Rows are counted by the first column of the order."""
     n = rows.count()
     if n <= limit:
         return rows
     picks = sorted({round(i * (n - 1) / (limit - 1)) for i in range(limit)}) if limit > 1 else [0]
-    return rows.withColumn("__n", F.row_number().over(Window.orderBy(*order)) - 1).where(F.col("__n").isin(picks)).drop("__n")
+    return ordinals(rows, F.col(order[0]), [F.col(c) for c in order], "__n").where(F.col("__n").isin(picks)).drop("__n")
 
 
 def proposed(responses: DataFrame, vocabulary: DataFrame, response: str = "response") -> DataFrame:

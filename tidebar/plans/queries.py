@@ -272,6 +272,10 @@ def surge_keys(spark, d):
     return labels.surge_events(daily(spark, d), START, END).select("scode", F.col("selection_date").alias("trade_date"))
 
 
+def mined(spark, d, support: int, thresholds: tuple[float, ...], samples: int) -> DataFrame:
+    return patterns.mined(featured(spark, d), surge_keys(spark, d), features.vocabulary(), 2, support, thresholds, samples)
+
+
 @query(f"{PATTERNS_SQL} SELECT pattern, success_count AS positive_support FROM counted WHERE success_count > 0")
 def pattern_support_1_2(spark, d):
     return patterns.support(surge_keys(spark, d), featured(spark, d), 2)
@@ -279,17 +283,13 @@ def pattern_support_1_2(spark, d):
 
 @query(f"{PATTERNS_SQL} SELECT pattern, sample_count, success_count, round(success_count / sample_count, 6) AS success_rate FROM counted WHERE success_count >= 50 AND sample_count >= 100")
 def pattern_evaluation(spark, d):
-    f, e = featured(spark, d), surge_keys(spark, d)
-    found = patterns.evaluate(patterns.support(e, f, 2).where("positive_support >= 50"), f, e, 2, (0.0,), 100)
-    return rounded(found, "success_rate").select("pattern", "sample_count", "success_count", "success_rate")
+    return rounded(mined(spark, d, 50, (0.0,), 100), "success_rate").select("pattern", "sample_count", "success_count", "success_rate")
 
 
 @query(f"""{PATTERNS_SQL} SELECT pattern, t AS min_success_rate, sample_count, success_count FROM counted, (VALUES (0.1), (0.2), (0.3)) v(t)
     WHERE success_count >= 20 AND sample_count >= 50 AND success_count / sample_count >= CAST(t AS DOUBLE)""".replace("t AS min_success_rate", "CAST(t AS DOUBLE) AS min_success_rate"))
 def pattern_thresholds(spark, d):
-    f, e = featured(spark, d), surge_keys(spark, d)
-    found = patterns.evaluate(patterns.support(e, f, 2).where("positive_support >= 20"), f, e, 2, (0.1, 0.2, 0.3), 50)
-    return found.select("pattern", "min_success_rate", "sample_count", "success_count")
+    return mined(spark, d, 20, (0.1, 0.2, 0.3), 50).select("pattern", "min_success_rate", "sample_count", "success_count")
 
 
 @query(f"""WITH {BARS_SQL}, {WEEKLY_SQL}, {SURGE_SQL}, {EV_SQL}, {FEATURES_SQL}, hits AS (SELECT f.*, e.scode IS NOT NULL AS hit FROM feats f LEFT JOIN (SELECT DISTINCT * FROM ev) e ON e.scode = f.scode AND e.trade_date = f.trade_date)
@@ -301,6 +301,5 @@ def signature_support(spark, d):
 @query(f"""{PATTERNS_SQL}, good AS (SELECT pattern, round(success_count / sample_count, 6) AS score FROM counted WHERE success_count >= 50 AND sample_count >= 100)
     SELECT scode, trade_date, max(ROW(score, pattern))[1] AS score, max(ROW(score, pattern))[2] AS pattern, count(*) AS pattern_count FROM combos JOIN good USING (pattern) GROUP BY 1, 2""")
 def best_pattern_per_stock(spark, d):
-    f, e = featured(spark, d), surge_keys(spark, d)
-    good = patterns.evaluate(patterns.support(e, f, 2).where("positive_support >= 50"), f, e, 2, (0.0,), 100)
-    return patterns.best_pattern_per_stock(f, rounded(good, "success_rate"))
+    good = mined(spark, d, 50, (0.0,), 100)
+    return patterns.best_pattern_per_stock(featured(spark, d), rounded(good, "success_rate"), features.vocabulary())
