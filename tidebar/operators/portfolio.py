@@ -10,18 +10,17 @@ from collections.abc import Sequence
 from decimal import ROUND_HALF_UP, Decimal
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidebar.functions.scalars import bar_price, is_special_name, lot_shares, stable_rank
+from tidebar.functions.scalars import STOP_LOSSES, bar_price, is_special_name, lot_shares, stable_rank
 
 from .bars import along, asof_forward
 from .datasets import cooldown
 
-#: Money, rates and the stop-loss series.
+#: Money and rates.
 CASH, BUDGET, FEE, STAMP = 1_000_000.0, 100_000.0, 0.0002, 0.0005
-STOP_LOSSES = (0.03, 0.035, 0.04, 0.045, 0.05, 0.055, 0.06)
 COOLDOWN = 13
 
 LEDGER = (
@@ -164,16 +163,25 @@ def simulate(scheduled: DataFrame, days: Sequence, end, rules: Sequence[float] =
 
 
 def realized(trades: DataFrame, order: list[str], keys: tuple[str, ...] = ("scode", "selection_date")) -> DataFrame:
-    """Sells with buy_cost, buy_fee and realized_pnl, first in first out: shares of a key are numbered, and buys and sells meet where their numbers overlap."""
-    w = Window.partitionBy(*keys, "side").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    ends = trades.withColumn("to_share", F.sum("shares").over(w)).withColumn("from_share", F.col("to_share") - F.col("shares"))
-    buys = ends.where("side = 'BUY'").select(*keys, F.col("from_share").alias("b0"), F.col("to_share").alias("b1"), F.col("price").alias("b_price"), (F.col("fee") / F.col("shares")).alias("b_fee"))
-    sells = ends.where("side = 'SELL'")
-    used = F.least("to_share", "b1") - F.greatest("from_share", "b0")
-    met = sells.join(buys, list(keys), "left").withColumn("used", F.when(used > 0, used).otherwise(0))
-    group = [c for c in sells.columns]
-    out = met.groupBy(*group).agg(F.coalesce(F.sum(F.col("used") * F.col("b_price")), F.lit(0.0)).alias("buy_cost"), F.coalesce(F.sum(F.col("used") * F.col("b_fee")), F.lit(0.0)).alias("buy_fee"))
-    return out.withColumn("realized_pnl", F.col("gross") - F.col("fee") - F.col("buy_cost") - F.col("buy_fee")).drop("from_share", "to_share")
+    """Sells with buy_cost, buy_fee and realized_pnl, first in first out.
+
+    The shares of a key are numbered on both sides. The last numbers of all buys and sells cut them into stretches, each of which belongs to one buy and
+    one sell at most: the next ones that end there or later, which a window finds from the end. So a key costs as many rows as it has trades.
+    """
+    side = Window.partitionBy(*keys, "side").orderBy(*order)
+    ends = trades.withColumn("__end", F.sum("shares").over(side.rowsBetween(Window.unboundedPreceding, 0))).withColumn("__seq", F.row_number().over(side))
+    sells = F.struct("__seq", *[c for c in trades.columns if c not in keys])
+    points = ends.select(*keys, "__end", "side", "__seq", F.when(F.col("side") == "BUY", F.struct("price", (F.col("fee") / F.col("shares")).alias("fee"))).alias("__buy"), F.when(F.col("side") == "SELL", sells).alias("__sell"))
+    back = Window.partitionBy(*keys).orderBy(F.desc("__end"), F.desc("side"), F.desc("__seq"))
+    seen = back.rowsBetween(Window.unboundedPreceding, 0)
+    length = F.col("__end") - F.coalesce(F.lead("__end").over(back), F.lit(0))
+    met = points.select(*keys, length.alias("__n"), F.last("__buy", ignorenulls=True).over(seen).alias("__buy"), F.last("__sell", ignorenulls=True).over(seen).alias("__sell")).where("__sell IS NOT NULL")
+
+    def total(of: str) -> Column:
+        return F.coalesce(F.sum(F.col("__n") * F.col(f"__buy.{of}")), F.lit(0.0))
+
+    out = met.groupBy(*keys, "__sell").agg(total("price").alias("buy_cost"), total("fee").alias("buy_fee")).select(*keys, "__sell.*", "buy_cost", "buy_fee").drop("__seq")
+    return out.select(*trades.columns, "buy_cost", "buy_fee", (F.col("gross") - F.col("fee") - F.col("buy_cost") - F.col("buy_fee")).alias("realized_pnl"))
 
 
 def pool(signals: DataFrame) -> DataFrame:

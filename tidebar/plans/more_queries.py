@@ -143,16 +143,6 @@ def window_arrays(spark, d):
     return found.select("scode", "trade_date", F.array_join(F.transform("bars", lambda x: F.round(x["close"] * 100 + 1e-6).cast("long").cast("string")), ",").alias("closes"))
 
 
-@query()
-def sample_messages(spark, d):
-    """Samples of the mode `long`: windows of days and weeks as compact lines."""
-    b = daily(spark, d)
-    full, weeks = bars.moving_averages(b), bars.moving_averages(bars.resample(b, "W", TODAY))
-    events = labels.threeclass_labels(b).where("label = 'positive'").select("scode", "trade_date", "label")
-    months = bars.moving_averages(bars.resample(b, "M", TODAY))
-    return datasets.samples(events, full, weeks, months, "xlong").select("scode", "trade_date", F.sha2(F.to_json("messages"), 256).alias("messages"), F.to_json("metadata").alias("metadata"))
-
-
 def words_sql(column: str, word: str) -> str:
     return f"((length({column}) - length(replace({column}, '{word}', ''))) // {len(word)})"
 
@@ -225,11 +215,6 @@ def heat_parse(spark, d):
     return derived.table(spark, d, "part").select("p_partkey", S.parse_heat(text).alias("heat"))
 
 
-@query()
-def html_links(spark, d):
-    return raw.page_links(derived.table(spark, d, "pages"))
-
-
 @query("SELECT event_type, count(*) AS n, CAST(sum(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS BIGINT) AS total FROM events GROUP BY 1")
 def json_props(spark, d):
     k = F.from_json("props", "k long")["k"]
@@ -309,17 +294,6 @@ def group_ranks(spark, d):
     return metrics.group_ranks(scored(spark, d), ["trade_date"]).select(F.col("rank").cast("long").alias("rank"), "groups")
 
 
-@query()
-def predicted_day(spark, d):
-    """The best 20 by a deterministic scorer that gets batches of rows."""
-    rows = daily(spark, d).where("trade_date = DATE '2000-06-15'").select("scode", "trade_date", "close", "volume")
-
-    def scorer(frame: pd.DataFrame) -> pd.Series:
-        return (frame["close"] * 37 + frame["volume"]) % 1.0
-
-    return metrics.predict_day(rows, scorer, 0.1, 20)
-
-
 @query("SELECT CAST(l_shipdate AS DATE) AS selection_date, lpad(CAST(l_suppkey AS VARCHAR), 6, '0') AS scode, min(CAST(l_shipdate AS DATE) + CAST(l_linenumber AS INTEGER)) AS trade_date, max(l_returnflag) AS sname, count(DISTINCT l_linestatus) AS rules FROM lineitem GROUP BY 1, 2")
 def pool_group(spark, d):
     rows = derived.table(spark, d, "lineitem").select(F.col("l_shipdate").cast("date").alias("selection_date"), S.normalize_symbol(F.lpad(F.col("l_suppkey").cast("string"), 6, "0")).alias("scode"),
@@ -339,18 +313,18 @@ def content_hash_diff(spark, d):
     return bars.changed_rows(rows, stored, "c_custkey", "content_hash")
 
 
-TRADES_SQL = """trades AS (SELECT l_suppkey AS scode, CAST(l_orderkey % 3 AS INTEGER) AS selection_date, CASE WHEN l_linenumber % 2 = 0 THEN 'SELL' ELSE 'BUY' END AS side, CAST(l_quantity AS BIGINT) AS shares, 20 + l_extendedprice / 10000 AS price, l_orderkey AS o, l_linenumber AS l, l_partkey AS p FROM lineitem WHERE l_shipdate < TIMESTAMP '1996-01-01')"""
+TRADES_SQL = """trades AS (SELECT l_suppkey AS scode, CAST(l_orderkey % 3 AS INTEGER) AS selection_date, CASE WHEN l_linenumber % 2 = 0 THEN 'SELL' ELSE 'BUY' END AS side, CAST(l_quantity AS BIGINT) AS shares, 20 + l_extendedprice / 10000 AS price, l_orderkey AS o, l_linenumber AS l, l_partkey AS p FROM lineitem)"""
 
 
-@query(f"""WITH {TRADES_SQL}, e AS (SELECT *, shares * price AS gross, sum(shares) OVER (PARTITION BY scode, selection_date, side ORDER BY o, l, p ROWS UNBOUNDED PRECEDING) AS s1 FROM trades),
+@query(f"""WITH {TRADES_SQL}, e AS (SELECT *, shares * price AS gross, sum(shares) OVER (PARTITION BY scode, selection_date, side ORDER BY o, l, p, shares, price ROWS UNBOUNDED PRECEDING) AS s1 FROM trades),
     b AS (SELECT scode, selection_date, s1 - shares AS b0, s1 AS b1, price AS bp FROM e WHERE side = 'BUY'),
     m AS (SELECT s.scode, s.selection_date, s.o, s.l, s.p, s.gross, coalesce(sum(greatest(0, least(s1, b1) - greatest(s1 - shares, b0)) * bp), 0) AS cost FROM e s LEFT JOIN b USING (scode, selection_date) WHERE side = 'SELL' GROUP BY ALL)
     SELECT scode, selection_date, o, l, p, round(cost, 4) AS buy_cost, round(gross - cost, 4) AS realized_pnl FROM m""")
 def fifo_realized_pnl(spark, d):
-    rows = derived.table(spark, d, "lineitem").where("l_shipdate < TIMESTAMP '1996-01-01'").select(
+    rows = derived.table(spark, d, "lineitem").select(
         F.col("l_suppkey").alias("scode"), (F.col("l_orderkey") % 3).cast("int").alias("selection_date"), F.when(F.col("l_linenumber") % 2 == 0, "SELL").otherwise("BUY").alias("side"), F.col("l_quantity").cast("long").alias("shares"),
         (20 + F.col("l_extendedprice") / 10000).alias("price"), F.lit(0.0).alias("fee"), F.col("l_orderkey").alias("o"), F.col("l_linenumber").alias("l"), F.col("l_partkey").alias("p"))
-    out = portfolio.realized(rows.withColumn("gross", F.col("shares") * F.col("price")), ["o", "l", "p"])
+    out = portfolio.realized(rows.withColumn("gross", F.col("shares") * F.col("price")), ["o", "l", "p", "shares", "price"])
     return rounded(out, "buy_cost", "realized_pnl", digits=4).select("scode", "selection_date", "o", "l", "p", "buy_cost", "realized_pnl")
 
 
@@ -381,13 +355,6 @@ def ledger(spark, d):
     return portfolio.simulate(bought, wanted, pd.Timestamp(END).date())
 
 
-@query()
-def selection_filter_with_limit(spark, d):
-    b = daily(spark, d)
-    found = signals.ma_bullish(b).join(derived.stocks(spark, d).select("scode", "sname"), "scode")
-    return rounded(portfolio.selected(found, bars.calendar(b), limit=3), "score").select("trade_date", "scode", "score")
-
-
 @query()
 def portfolio_daily(spark, d):
     return rounded(portfolio.daily(ledger(spark, d)), "cash", "holding", "total", "bought", "sold", "fee", digits=2)
@@ -401,11 +368,3 @@ def portfolio_trades(spark, d):
 @query()
 def portfolio_holdings(spark, d):
     return rounded(portfolio.holdings(ledger(spark, d)), "price", "value", digits=2)
-
-
-@query()
-def reshuffle_split(spark, d):
-    """Hard negatives by kind: the best scored stay, the rest is drawn again."""
-    s = scored(spark, d).where("label = 0").withColumn("kind", F.col("actual"))
-    counts = datasets.hard_negative_counts(200, {"negative": 0.8, "neutral": 0.2})
-    return datasets.reshuffle(s, s, s.where("score > 0.98"), {k: n // 2 for k, n in counts.items()}, counts)
