@@ -97,15 +97,17 @@ def stock_scores(news: DataFrame, stocks: DataFrame, heat: DataFrame, concepts:
     """
     table = F.create_map(*[F.lit(x) if isinstance(x, str) else F.array(*[F.lit(k) for k in x]) for pair in concepts.items() for x in pair])
     text = F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("summary", F.lit("")))
-    rows = news.select(text.alias("text"), "heat", "credibility_level", F.posexplode(F.slice("concepts", 1, MOST_CONCEPTS)).alias("rank", "concept"))
+    told = news.select(text.alias("text"), F.xxhash64(text).alias("h"), "heat", "credibility_level", "concepts")
+    rows = told.select("text", "h", "heat", "credibility_level", F.posexplode(F.slice("concepts", 1, MOST_CONCEPTS)).alias("rank", "concept"))
     rows = rows.join(F.broadcast(heat.withColumnRenamed("heat", "concept_heat")), "concept")  # a row for each concept
     weight = F.col("concept_heat") * (MOST_CONCEPTS - F.col("rank")) / MOST_CONCEPTS * (11 - F.col("credibility_level")) / 10 * (1 + F.least(F.coalesce("heat", F.lit(0)), F.lit(100000)) / 100000)
     rows = rows.withColumn("weight", weight).withColumn("plain", match_score(F.lit(""), F.col("text"), F.coalesce(table[F.col("concept")], F.array().cast("array<string>"))))
     common = rows.groupBy("concept").agg(F.sum(F.col("weight") * F.col("plain")).alias("common"))
     first = F.split(F.col("sname"), " ")[0]
     named = stocks.where(F.length("sname") > 0).select("scode", "sname", first.alias("word"))
-    words = rows.withColumn("word", F.explode(F.array_distinct(F.split("text", " "))))
-    hits = words.join(named, "word").where(F.contains("text", F.col("sname"))).groupBy("scode", "concept").agg(F.sum(F.col("weight") * (1 - F.col("plain"))).alias("more"))
+    words = told.select("h", F.explode(F.array_distinct(F.split("text", " "))).alias("word"))
+    maybe = words.join(named, "word").select("h", "scode", "sname").distinct()  # by the text's hash, so that no text is repeated for its words
+    hits = rows.join(maybe, "h").where(F.contains("text", F.col("sname"))).groupBy("scode", "concept").agg(F.sum(F.col("weight") * (1 - F.col("plain"))).alias("more"))
     every = stocks.select("scode").crossJoin(F.broadcast(common))  # a row for each concept
     scored = every.join(hits, ["scode", "concept"], "left").select("scode", "concept", (F.col("common") + F.coalesce("more", F.lit(0.0))).alias("score")).where("score > 0")
     ordered = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), F.col("concept"))))
@@ -115,8 +117,8 @@ def stock_scores(news: DataFrame, stocks: DataFrame, heat: DataFrame, concepts:
 def news_hot(scores: DataFrame, performance: DataFrame, least: int = 3, most: int = 5, news_weight: float = 0.65) -> DataFrame:
     """The day's best by news and performance: max(least, min(most, n)) rows."""
     joined = scores.join(performance, "scode", "left").withColumn("score", news_weight * F.col("news_score") + (1 - news_weight) * F.coalesce("performance", F.lit(0.0)))
-    ranked = joined.orderBy(F.desc("score"), "scode").limit(max(least, most)).withColumn("rank_no", F.row_number().over(Window.orderBy(F.desc("score"), "scode")))
-    return ranked.withColumn("n", F.count("*").over(Window.partitionBy(F.lit(1)))).where(F.col("rank_no") <= F.greatest(F.lit(least), F.least(F.lit(most), F.col("n")))).drop("n")
+    # of n rows, max(least, min(most, n)): as a limit, that is the greater of the two
+    return joined.orderBy(F.desc("score"), "scode").limit(max(least, most)).withColumn("rank_no", F.row_number().over(Window.orderBy(F.desc("score"), "scode")))
 
 
 def news_rows(raw: DataFrame, source: str, columns: Mapping[str, str]) -> DataFrame:

@@ -58,17 +58,17 @@ CONCEPTS = {"articles": ("the", "der", "les"), "joints": ("and", "und", "et"), "
 
 
 def news(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as news: link, title (60 characters), summary (the next 400), source, time, credibility, heat."""
+    """Documents as news: link, title (the first 60 characters), summary (all that follows), source, time, credibility, heat."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     rows = docs.join(labels.select("doc_id", "quality"), "doc_id", "left")
     return rows.select(
-        F.concat(F.lit("https://news.example.com/"), F.col("doc_id").cast("string")).alias("news_link"), F.substring("text", 1, 60).alias("title"), F.substring("text", 61, 400).alias("summary"),
+        F.concat(F.lit("https://news.example.com/"), F.col("doc_id").cast("string")).alias("news_link"), F.substring("text", 1, 60).alias("title"), F.expr("substring(text, 61)").alias("summary"),
         F.col("source").alias("source_name"), F.expr("make_timestamp_ntz(2001, 1, 1, 9, 0, 0) + make_dt_interval(cast(doc_id % 60 as int))").alias("publish_time"),
         F.when(F.col("quality") == 1, 2).when(F.col("quality") == 0, 6).otherwise(5).alias("credibility_level"), F.col("n_chars").alias("heat"), F.col("doc_id"))
 
 
 NEWS_SQL = """news AS (
-    SELECT 'https://news.example.com/' || CAST(d.doc_id AS VARCHAR) AS news_link, substring(text, 1, 60) AS title, substring(text, 61, 400) AS summary,
+    SELECT 'https://news.example.com/' || CAST(d.doc_id AS VARCHAR) AS news_link, substring(text, 1, 60) AS title, substring(text, 61) AS summary,
            source AS source_name, TIMESTAMP '2001-01-01 09:00:00' + to_days(CAST(d.doc_id % 60 AS INTEGER)) AS publish_time,
            CASE WHEN quality = 1 THEN 2 WHEN quality = 0 THEN 6 ELSE 5 END AS credibility_level, n_chars AS heat, d.doc_id
     FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)"""
