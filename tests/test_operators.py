@@ -200,7 +200,7 @@ def test_upsert_twice_changes_nothing(spark, tmp_path):
     store.upsert(spark.createDataFrame([(1, "a"), (None, "n")], "k int, v string"), path, ["k"])
     for _ in range(2):
         store.upsert(spark.createDataFrame([(1, "b"), (None, "m"), (2, "c")], "k int, v string"), path, ["k"])
-        assert sorted((r.v) for r in spark.read.parquet(path).collect()) == ["b", "c", "m"]
+        assert sorted((r.v) for r in store.read_table(spark, path).collect()) == ["b", "c", "m"]
 
 
 def test_fifo(spark):

@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from tidebar.plans import extra_queries  # noqa: F401
+from tidebar.plans import extra_queries, family_queries  # noqa: F401
 from tidebar.plans.queries import ORACLE, QUERIES
 
 DATA = "/root/testdata/sf0.001"

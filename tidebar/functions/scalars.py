@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: The stop-loss series.
+STOP_LOSSES = (0.03, 0.035, 0.04, 0.045, 0.05, 0.055, 0.06)
 
 def normalize_symbol(c: Column) -> Column:
     """The last six digits, filled up with zeros."""
@@ -59,12 +61,34 @@ def parse_heat(c: Column) -> Column:
     return F.coalesce((number * unit).cast("bigint"), F.lit(0))
 
 
+def unescaped(c: Column) -> Column:
+    """Common character references decoded."""
+    for name, sign in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
+        c = F.replace(c, F.lit(name), F.lit(sign))
+    return c
+
+
 def clean_text(c: Column) -> Column:
     """Without tags, common character references decoded, white space collapsed."""
-    text = F.regexp_replace(c, "(?s)<[^>]*>", " ")
-    for name, sign in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        text = F.replace(text, F.lit(name), F.lit(sign))
-    return F.trim(F.regexp_replace(text, r"\s+", " "))
+    return F.trim(F.regexp_replace(unescaped(F.regexp_replace(c, "(?s)<[^>]*>", " ")), r"\s+", " "))
+
+
+def joined_url(base: Column, href: Column) -> Column:
+    """The address that a link means on a page: whole addresses as they are, others from the page's scheme, host or folder; . and .. are resolved."""
+    scheme, host = F.regexp_extract(base, r"^([A-Za-z][\w+.-]*):", 1), F.regexp_extract(base, r"^([A-Za-z][\w+.-]*://[^/?#]*)", 1)
+    page = F.regexp_extract(base, r"^([^?#]*)", 1)
+    folder = F.regexp_extract(F.substr(page, F.length(host) + 1), r"^(.*/)", 1)
+    path = F.when(href.startswith("/"), href).otherwise(F.concat(F.when(folder == "", "/").otherwise(folder), href))
+    tail = F.regexp_extract(path, r"(\?.*)$", 1)
+    steps = F.split(F.regexp_extract(path, r"^([^?]*)", 1), "/")
+
+    def walk(done: Column, step: Column) -> Column:
+        return F.when(step == ".", done).when(step == "..", F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(1)))).otherwise(F.concat(done, F.array(step)))
+
+    ends = F.when(F.element_at(steps, -1).isin(".", ".."), F.lit("/")).otherwise(F.lit(""))
+    resolved = F.concat(F.array_join(F.aggregate(steps, F.array().cast("array<string>"), walk), "/"), ends, tail)
+    dotted = F.when(path.rlike(r"/\.\.?(/|\?|$)"), resolved).otherwise(path)
+    return F.when(href.rlike(r"^[A-Za-z][\w+.-]*:"), href).when(href.startswith("//"), F.concat(scheme, F.lit(":"), href)).when(href.startswith("?"), F.concat(page, href)).otherwise(F.concat(host, dotted))
 
 
 def publish_time(c: Column) -> Column:
@@ -122,9 +146,19 @@ def bar_price() -> Column:
 
 
 def rule_name(loss: float) -> str:
+    """The name of a stop-loss rule of the series."""
+    if not any(abs(loss - x) < 1e-12 for x in STOP_LOSSES):
+        raise ValueError(f"unknown stop loss {loss}")
     return f"stop_loss_{loss * 100:g}pct_take_profit_10_20_hold_3d"
 
 
+def rule_loss(c: Column) -> Column:
+    """The loss that a rule's name gives, null for names that are not of the series."""
+    loss = F.regexp_extract(c, r"^stop_loss_([0-9.]+)pct_", 1).try_cast("double") / 100
+    known = F.exists(F.array(*map(F.lit, STOP_LOSSES)), lambda x: F.abs(x - loss) < 1e-12)
+    return F.when(known, loss)
+
+
 def percent_or_share(c: Column) -> Column:
     return F.when(c > 1, c / 100).otherwise(c)
 
@@ -133,9 +167,14 @@ def failure_rate(rate: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - rate))
 
 
+def two_decimals(c: Column) -> Column:
+    """The number's exact value to two decimals, halves to even, as printf has it."""
+    return F.call_function("format_number", c.cast("double"), F.lit("0.00"))
+
+
 def ratio_text(value: Column, denominator: Column) -> Column:
     """Two decimals without zeros at the end; 0 where the denominator is not positive."""
-    text = F.format_string("%.2f", F.coalesce(value, F.lit(0.0)) / denominator)
+    text = two_decimals(F.coalesce(value, F.lit(0.0)) / denominator)
     return F.when(F.coalesce(denominator > 0, F.lit(False)), F.regexp_replace(text, r"\.?0+$", "")).otherwise("0")
 
 

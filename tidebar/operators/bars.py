@@ -69,6 +69,20 @@ def latest_rows(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFr
     return rows.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("__n = 1").drop("__n")
 
 
+def ordinals(rows: DataFrame, bucket: Column, order: list[Column], name: str = "n") -> DataFrame:
+    """rows with their place from 0 in an order that begins with `bucket` (a day, a symbol, a rounded score; a few rows for each are enough).
+
+    Rows are counted by bucket, only these counts are added up in one task, and a window numbers the rows of each bucket.
+    """
+    marked = rows.withColumn("__bucket", bucket)
+    counts = marked.groupBy(F.col("__bucket").alias("__of")).agg(F.count("*").alias("__count"))
+    before = F.coalesce(F.sum("__count").over(Window.orderBy(F.asc_nulls_first("__of")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = counts.select("__of", before.alias("__before"))
+    placed = marked.withColumn(name, F.row_number().over(Window.partitionBy("__bucket").orderBy(*order)) - 1)
+    joined = placed.join(offsets, F.col("__bucket").eqNullSafe(F.col("__of")))
+    return joined.withColumn(name, F.col("__before") + F.col(name)).drop("__bucket", "__of", "__before")
+
+
 def new_rows(incoming: DataFrame, stored: DataFrame, key: str = "scode", order: str = "trade_date") -> DataFrame:
     """Incoming rows after the key's last stored one; of repeated (key, order) the last by all columns stays."""
     cursor = stored.groupBy(key).agg(F.max(order).alias("__cursor"))
@@ -90,6 +104,12 @@ def calendar(bars: DataFrame) -> DataFrame:
 
 
 def latest_day(bars: DataFrame) -> DataFrame:
+    """The last trading day. Raises an error when it is evaluated without any bar."""
+    found = F.max("trade_date")
+    return bars.agg(F.when(found.isNull(), F.raise_error(F.lit("there are no bars")).cast("date")).otherwise(found).alias("trade_date"))
+
+
+def latest_day_or_none(bars: DataFrame) -> DataFrame:
     return bars.agg(F.max("trade_date").alias("trade_date"))
 
 
@@ -119,8 +139,9 @@ def asof_forward(left: DataFrame, right: DataFrame, values: list[str], key: str
     first, second = (1, 0) if strict else (0, 1)
     a = left.select(key, order, F.lit(first).alias("__side"), *kept, *[F.lit(None).cast(right.schema[v].dataType).alias(f"__{v}") for v in values], F.lit(False).alias("__right"))
     b = right.select(key, order, F.lit(second).alias("__side"), *[F.lit(None).cast(left.schema[c].dataType).alias(c) for c in kept], *[F.col(v).alias(f"__{v}") for v in values], F.lit(True).alias("__right"))
-    w = Window.partitionBy(key).orderBy(order, "__side").rowsBetween(0, Window.unboundedFollowing)
-    seen = a.union(b).withColumn("__seen", F.first(F.when(F.col("__right"), F.struct(*[F.col(f"__{v}").alias(v) for v in values])), ignorenulls=True).over(w))
+    # backwards in time, so that the frame grows row by row; one that ends at the last row would be read again for each row
+    w = Window.partitionBy(key).orderBy(F.desc(order), F.desc("__side")).rowsBetween(Window.unboundedPreceding, 0)
+    seen = a.union(b).withColumn("__seen", F.last(F.when(F.col("__right"), F.struct(*[F.col(f"__{v}").alias(v) for v in values])), ignorenulls=True).over(w))
     return seen.where(~F.col("__right")).select(key, order, *kept, *[F.col("__seen")[v].alias(v) for v in values])
 
 

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from tidebar.functions.scalars import positive_average, ratio_text, stable_rank
 
-from .bars import along
+from .bars import along, ordinals
 
 #: Daily, weekly and monthly bars of a sample.
 MODES = {"short": (8, 5, 0), "long": (13, 8, 5), "xlong": (21, 13, 8), "xxlong": (34, 21, 13)}
@@ -150,6 +150,59 @@ def in_bottom_band(close: Column, low: Column, high: Column, ratio: float = 0.10
     return F.coalesce(good & F.when(high <= low, close <= low).otherwise(close <= low + (high - low) * ratio), F.lit(False))
 
 
+def balanced_rows(rows: DataFrame, ratio: int, seed: int = 7, target: str = "down6", other: str = "neutral") -> DataFrame:
+    """All rows of the target class for which there are `ratio` others, and those others, each the lowest by hash; `rank_no` orders both classes together."""
+    counts = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    kept = min(counts.get(target, 0), counts.get(other, 0) // ratio)
+    rank = stable_rank(seed, F.lit("balance"), F.col("scode"), F.col("trade_date"))
+    parts = [rows.where(F.col("label") == k).withColumn("hash_rank", rank).orderBy("hash_rank", "scode", "trade_date").limit(n) for k, n in ((target, kept), (other, kept * ratio))]
+    both = parts[0].unionByName(parts[1])
+    # counted by the first digits of the hash, which follow its order
+    return ordinals(both, F.substring("hash_rank", 1, 3), [F.col("hash_rank"), F.col("scode"), F.col("trade_date")], "rank_no").withColumn("rank_no", F.col("rank_no") + 1)
+
+
+def until_target(ranked: DataFrame, made: DataFrame, target: dict[str, int], order: str = "hash_rank") -> DataFrame:
+    """Of each class the first `target` ranked events whose sample could be made (a row in `made`): what a loop that stops early keeps."""
+    usable = ranked.join(made, ["scode", "trade_date"])
+    wanted = F.create_map(*[F.lit(x) for k, n in target.items() for x in (k, n)])
+    w = Window.partitionBy("label").orderBy(order, "scode", "trade_date")
+    return usable.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= wanted[F.col("label")]).drop("__n")
+
+
+def replacement_pool(candidates: DataFrame, excluded: DataFrame, wanted: int, seed: int = 7, attempts: int = 20, path: str | None = None) -> DataFrame:
+    """`wanted` rows of candidates whose key is not excluded, by hash; an attempt doubles how many are looked at, so a pool with many exclusions costs
+    no more passes than the logarithm. With a path the pool is stored there, and found again by the next call.
+
+    Raises ValueError when all candidates, or `attempts` doublings, do not suffice.
+    """
+    from tidebar.sources.store import exists
+
+    key = ["scode", "trade_date"]
+    spark = candidates.sparkSession
+    if path and exists(spark, path):
+        return spark.read.parquet(path)
+    ranked = candidates.withColumn("hash_rank", stable_rank(seed, F.lit("pool"), *[F.col(k) for k in key])).dropDuplicates(key)
+    looked, total = wanted, ranked.count()
+    for _ in range(attempts):
+        free = ranked.orderBy("hash_rank", *key).limit(min(looked, total)).join(excluded.select(key).distinct(), key, "left_anti")
+        if free.count() >= wanted:
+            out = free.orderBy("hash_rank", *key).limit(wanted)
+            if path:
+                out.write.parquet(path)
+                return spark.read.parquet(path)
+            return out
+        if looked >= total:
+            break
+        looked *= 2
+    raise ValueError("the pool has too few rows")
+
+
+def dataset_settings(samples: DataFrame) -> DataFrame:
+    """What a written data set was made with: its mode, the first and last anchor, rows and labels. `samples` have metadata as samples() makes it."""
+    m = F.col("metadata")
+    return samples.agg(F.min(m["sample_mode"]).alias("mode"), F.count_distinct(m["sample_mode"]).alias("modes"), F.min(m["anchor_date"]).alias("first_anchor"), F.max(m["anchor_date"]).alias("last_anchor"), F.count("*").alias("samples"), F.count_distinct(m["label"]).alias("labels"))
+
+
 def hard_negative_counts(total: int, shares: dict[str, float]) -> dict[str, int]:
     """Counts by kind, halves to even; the last kind takes what is left."""
     kinds = list(shares)
@@ -182,8 +235,9 @@ def reshuffle(scored: DataFrame, pool: DataFrame, excluded: DataFrame, keep: dic
 
 def positive_reshuffle(scored: DataFrame, seed: int = 7, top_share: float = 0.3, kept_share: float = 0.1, negatives_each: int = 4) -> DataFrame:
     """Positives without most of the top-scored 30 percent (a tenth of them stays, by hash), and negatives in ratio, by hash."""
-    w = Window.orderBy(F.desc_nulls_last("score"), "scode", "trade_date")
-    ones = scored.where("label = 1").withColumn("n", F.row_number().over(w))
+    # counted by rounded score; nulls come last
+    coarse = F.coalesce(-F.floor(F.col("score") * 10_000), F.lit(1 << 60))
+    ones = ordinals(scored.where("label = 1"), coarse, [F.desc_nulls_last("score"), F.col("scode"), F.col("trade_date")]).withColumn("n", F.col("n") + 1)
     count = ones.count()
     edge = round(count * top_share)
     rank = stable_rank(seed, F.lit("top"), F.col("scode"), F.col("trade_date"))
@@ -225,7 +279,7 @@ def eval_subset(rows: DataFrame, kind: str, n: int, keys: list[str], seed: int =
         return rows.orderBy(*keys).limit(n)
     if kind == "stride":
         step = max(1, rows.count() // n)
-        return rows.withColumn("__n", F.row_number().over(Window.orderBy(*keys)) - 1).where((F.col("__n") % step == 0) & (F.col("__n") / step < n)).drop("__n")
+        return ordinals(rows, F.col(keys[0]), [F.col(k) for k in keys], "__n").where((F.col("__n") % step == 0) & (F.col("__n") / step < n)).drop("__n")
     if kind == "random":
         return rows.withColumn("__r", stable_rank(seed, *[F.col(k) for k in keys])).orderBy("__r", *keys).limit(n).drop("__r")
     raise ValueError("kind is all, fixed, stride or random")

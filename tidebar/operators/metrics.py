@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .bars import ordinals
+
 DEPTHS = (5, 10, 20, 50, 100, 200, 500)
 CLASSES = ("positive", "negative", "neutral")
 
@@ -46,6 +48,20 @@ def class_report(rows: DataFrame, classes: tuple[str, ...] = CLASSES, actual: st
     return out.withColumn("f1", share(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
 
 
+def overall_report(rows: DataFrame, classes: tuple[str, ...] = CLASSES, actual: str = "actual", predicted: str = "predicted") -> DataFrame:
+    """One row: accuracy, and the mean of the classes' f1."""
+    right = rows.agg(share(F.count(F.when(F.col(actual) == F.col(predicted), 1)), F.count("*")).alias("accuracy"))
+    return right.crossJoin(F.broadcast(class_report(rows, classes, actual, predicted).agg(F.avg("f1").alias("macro_f1"))))
+
+
+def gate(report: DataFrame, least: dict[str, float]) -> DataFrame:
+    """A one-row report with `passed`: whether every named metric reaches its bound (null does not)."""
+    good = F.lit(True)
+    for name, bound in least.items():
+        good = good & F.coalesce(F.col(name) >= bound, F.lit(False))
+    return report.withColumn("passed", good)
+
+
 def low_score_rate(rows: DataFrame, floor: float = 0.45, score: str = "score", label: str = "label") -> DataFrame:
     ones = F.col(label) == 1
     return rows.agg(share(F.count(F.when(ones & (F.col(score) < floor), 1)), F.count(F.when(ones, 1))).alias("low_score_rate"))
@@ -58,8 +74,9 @@ def next_threshold(rows: DataFrame, position: float, score: str = "score", clip:
 
 
 def chunked_confusion(rows: DataFrame, order: list[str], threshold: float, size: int = 1000, score: str = "score", label: str = "label") -> DataFrame:
-    """Confusion of each chunk of `size` rows, in order. Chunks need a count of the rows before, so rows are numbered by one window over their keys alone."""
-    numbered = rows.select(*dict.fromkeys([score, label]), ((F.row_number().over(Window.orderBy(*order)) - 1) / size).cast("long").alias("chunk"))
+    """Confusion of each chunk of `size` rows, in order. Rows are counted by the first column of the order, so no task numbers them all."""
+    placed = ordinals(rows.select(*dict.fromkeys([*order, score, label])), F.col(order[0]), [F.col(c) for c in order], "__n")
+    numbered = placed.withColumn("chunk", (F.col("__n") / size).cast("long"))
     hit, true = F.col(score) >= threshold, F.col(label) == 1
     return numbered.groupBy("chunk").agg(*[F.count(F.when(c, 1)).alias(n) for n, c in (("tp", hit & true), ("fp", hit & ~true), ("fn", ~hit & true), ("tn", ~hit & ~true))])
 
@@ -71,6 +88,14 @@ def group_ranks(rows: DataFrame, group: list[str], score: str = "score", label:
     return ranked.groupBy(F.col("r").alias("rank")).agg(F.count("*").alias("groups"))
 
 
+def group_extremes(rows: DataFrame, group: list[str], score: str = "score", label: str = "label") -> DataFrame:
+    """Groups with a positive, and in how many of them it is the first or the last by score."""
+    up, down = (Window.partitionBy(*group).orderBy(o) for o in (F.desc(score), F.asc(score)))
+    ranked = rows.withColumns({"__up": F.rank().over(up), "__down": F.rank().over(down)}).where(F.col(label) == 1)
+    best = ranked.groupBy(*group).agg(F.min("__up").alias("up"), F.min("__down").alias("down"))
+    return best.agg(F.count("*").alias("groups"), F.count(F.when(F.col("up") == 1, 1)).alias("top1"), F.count(F.when(F.col("down") == 1, 1)).alias("bottom1"))
+
+
 def decayed_weights(rows: DataFrame, group: list[str], bottom: int, factor: float, score: str = "score", label: str = "label", weight: str = "weight") -> DataFrame:
     """Weights of positives that are among the `bottom` lowest of their group, times the factor."""
     w = Window.partitionBy(*group).orderBy(F.asc(score))

@@ -94,9 +94,8 @@ POOLS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 
 def with_scores(rows: DataFrame, scores: DataFrame, keys: tuple[str, ...] = ("scode", "trade_date")) -> DataFrame:
-    """rows with their score, minus infinity where there is none, the highest first."""
-    out = rows.join(scores.select(*keys, "score"), list(keys), "left").withColumn("score", F.coalesce("score", F.lit(float("-inf"))))
-    return out.orderBy(F.desc("score"), *keys)
+    """rows with their score, minus infinity where there is none; for an order, sort by score, so that missing ones come last."""
+    return rows.join(scores.select(*keys, "score"), list(keys), "left").withColumn("score", F.coalesce("score", F.lit(float("-inf"))))
 
 
 def overlap(a: DataFrame, b: DataFrame, keys: tuple[str, ...] = ("scode", "trade_date")) -> DataFrame:

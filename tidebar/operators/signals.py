@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidebar.functions.scalars import two_decimals
+
 from .bars import along, moving_averages, with_changes
 
 CONTRACT = ("trade_date", "scode", "close", "score", "reason", "strategy_name")
@@ -13,7 +15,7 @@ MA_BULLISH, WEEKLY_DROP, NEWS_HOT, SURGE_PATTERN = "ma_bullish_v1", "weekly_volu
 
 
 def percent_text(c: Column) -> Column:
-    return F.format_string("%.2f%%", c * 100)
+    return F.concat(two_decimals(c * 100), F.lit("%"))
 
 
 def ma_bullish(bars: DataFrame, least_amount: float = 0.0, most_change: float = 0.095) -> DataFrame:
@@ -60,6 +62,14 @@ def top_per_day(signals: DataFrame, k: int, order: list[Column] | None = None) -
     return signals.withColumn("rank_no", F.row_number().over(w)).where(F.col("rank_no") <= k)
 
 
+def selection(signals: DataFrame, stocks: DataFrame, limit: int | None = None) -> DataFrame:
+    """Signals as selections of seven columns, names included, by score and amount; the first `limit` of them."""
+    amount = F.col("amount") if "amount" in signals.columns else F.lit(None).cast("double")
+    named = signals.withColumn("__amount", amount).join(stocks.select("scode", "sname"), "scode", "left")
+    out = named.orderBy(F.desc_nulls_last("score"), F.desc_nulls_last("__amount"), "scode").select("trade_date", "scode", "sname", "close", "score", "reason", "strategy_name")
+    return out.limit(limit) if limit else out
+
+
 def merged(streams: list[DataFrame], k: int | None = None) -> DataFrame:
     """Signals of several strategies in one contract; at most k of each strategy and day."""
     out = streams[0].select(*CONTRACT)

@@ -28,7 +28,7 @@ def prediction_signals(spark, d):
     return rounded(out, "score").select("trade_date", "scode", "sname", "score", "strategy_name", F.col("rank_no").cast("long").alias("rank_no"))
 
 
-@query(f"{SCORED} SELECT a.scode, a.trade_date, round(coalesce(b.score, -1), 6) AS score FROM scored a LEFT JOIN (SELECT * FROM scored WHERE score >= 0.5) b USING (scode, trade_date) WHERE a.y = 1")
+@query(f"{SCORED} SELECT scode, trade_date, round(CASE WHEN score >= 0.5 THEN score ELSE -1 END, 6) AS score FROM scored WHERE y = 1")
 def score_attach(spark, d):
     s = scored(spark, d)
     out = scans.with_scores(s.where("label = 1").select("scode", "trade_date"), s.where("score >= 0.5"))

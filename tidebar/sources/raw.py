@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from urllib.parse import urljoin
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from tidebar.functions.scalars import clean_text, joined_hash, lenient_date, normalize_symbol, null_safe_sum, number_before
+from tidebar.functions.scalars import clean_text, joined_hash, joined_url, lenient_date, normalize_symbol, null_safe_sum, number_before, unescaped
+from tidebar.operators.bars import moving_averages
 
 #: Names that a CSV may have for each column.
 ALIASES = {
@@ -20,7 +18,10 @@ REQUIRED = ("trade_date", "open", "close", "high", "low", "volume")
 
 
 def csv_bars(spark: SparkSession, path: str) -> DataFrame:
-    """Daily bars of CSV files with any of the known headers; the symbol comes from its column or the file's name."""
+    """Daily bars of CSV files with any of the known headers, and their moving averages; the symbol comes from its column or the file's name.
+
+    Of rows that repeat a symbol's day the last one stays: that of the greatest file name, and in a file the one furthest down.
+    """
     raw = spark.read.option("header", "true").csv(path)
     known = {c.strip().lower(): c for c in raw.columns}
     found = {name: next((known[a] for a in names if a in known), None) for name, names in ALIASES.items()}
@@ -30,8 +31,11 @@ def csv_bars(spark: SparkSession, path: str) -> DataFrame:
     symbol = F.col(f"`{found['scode']}`") if found["scode"] else file
     numbers = [(F.col(f"`{found[c]}`").try_cast("double") if found[c] else F.lit(None).cast("double")).alias(c) for c in ("open", "close", "high", "low", "volume", "amount")]
     day = F.regexp_replace(F.substring(F.trim(F.col(f"`{found['trade_date']}`")), 1, 10), "/", "-")
-    rows = raw.select(normalize_symbol(symbol).alias("scode"), lenient_date(day).alias("trade_date"), *numbers).where("trade_date IS NOT NULL")
-    return rows.dropDuplicates(["scode", "trade_date"])
+    # numbers of a task's rows rise along a file's block, and blocks are told apart by where they start
+    place = F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
+    rows = raw.select(normalize_symbol(symbol).alias("scode"), lenient_date(day).alias("trade_date"), *numbers, place.alias("__place")).where("trade_date IS NOT NULL")
+    last = rows.groupBy("scode", "trade_date").agg(F.max_by(F.struct(*[c for c in rows.columns[2:-1]]), "__place").alias("r")).select("scode", "trade_date", "r.*")
+    return moving_averages(last)
 
 
 def vendor_bars(payloads: DataFrame, symbol: str, payload: str = "payload") -> DataFrame:
@@ -69,26 +73,19 @@ def feed_items(feeds: DataFrame, xml: str = "xml") -> DataFrame:
 
 
 def page_links(pages: DataFrame, least_title: int = 8, most: int = 300, html: str = "html", url: str = "url", key: str = "page_id") -> DataFrame:
-    """Links of pages in order: titles of `least_title` characters, web addresses only, each once; the first `most` of a page (a feature of link lists)."""
-    anchor = r"""(?is)<a\s[^>]*?href\s*=\s*["']([^"'#][^"']*)["'][^>]*>(.*?)</a>"""
-    pairs = F.arrays_zip(F.regexp_extract_all(html, F.lit(anchor), F.lit(1)).alias("href"), F.regexp_extract_all(html, F.lit(anchor), F.lit(2)).alias("title"))
-    rows = pages.select(F.col(key).alias("page_id"), F.col(url).alias("base"), F.posexplode(pairs).alias("place", "a")).select("page_id", "base", "place", F.trim(F.col("a.href")).alias("href"), clean_text(F.col("a.title")).alias("title"))
-    rows = rows.where((F.char_length("title") >= least_title) & ~F.lower("href").rlike("^(javascript|mailto):"))
-
-    def absolute(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            yield f.assign(link=[urljoin(b or "", h) for b, h in zip(f["base"], f["href"])])[["page_id", "place", "title", "link"]]
-
-    kind = rows.schema["page_id"].dataType.simpleString()
-    links = rows.mapInPandas(absolute, f"page_id {kind}, place int, title string, link string").where(F.col("link").rlike("^https?://"))
-    first = links.groupBy("page_id", "link").agg(F.min_by("title", "place").alias("title"), F.min("place").alias("place"))
-    return first.withColumn("n", F.row_number().over(_by_page())).where(F.col("n") <= most).select("page_id", "n", "title", "link")
-
-
-def _by_page():
-    from pyspark.sql.window import Window
-
-    return Window.partitionBy("page_id").orderBy("place")
+    """Links of pages in order (n from 1): titles of `least_title` characters (512 are kept, the summary has all), web addresses without fragment only,
+    each once; the first `most` of a page (a feature of link lists)."""
+    # what follows each opening tag of an anchor, up to the next one
+    after = F.slice(F.split(F.col(html), r"(?i)<a(?=\s)"), 2, 1 << 30)
+    rows = pages.select(F.col(key).alias("page_id"), F.col(url).alias("base"), F.posexplode(after).alias("place", "part"))
+    tag, body = F.regexp_extract("part", r"^([^>]*)>", 1), F.regexp_extract("part", r"(?is)^[^>]*>(.*?)</a\s*>", 1)
+    quoted = [F.nullif(F.regexp_extract(tag, rf"(?i)\bhref\s*=\s*{q}([^{q}]*){q}", 1), F.lit("")) for q in ('"', "'")]
+    rows = rows.select("page_id", "base", "place", F.trim(unescaped(F.coalesce(*quoted))).alias("href"), clean_text(body).alias("summary"))
+    rows = rows.where((F.char_length("summary") >= least_title) & ~F.contains("href", F.lit("#")) & ~F.lower("href").rlike("^(javascript|mailto):"))
+    links = rows.select("page_id", "place", "summary", joined_url(F.coalesce("base", F.lit("")), F.col("href")).alias("link")).where(F.col("link").rlike("^https?://"))
+    first = links.groupBy("page_id", "link").agg(F.min_by("summary", "place").alias("summary"), F.min("place").alias("place"))
+    numbered = first.withColumn("n", F.row_number().over(Window.partitionBy("page_id").orderBy("place"))).where(F.col("n") <= most)
+    return numbered.select("page_id", "n", F.left("summary", F.lit(512)).alias("title"), "summary", "link")
 
 
 def chat_samples(turns: DataFrame) -> DataFrame:
