@@ -3,6 +3,7 @@
 import datetime as dt
 import os
 import random
+from decimal import ROUND_HALF_UP, Decimal
 from urllib.parse import urljoin
 
 import pytest
@@ -181,3 +182,91 @@ def test_pools_and_targets(spark, tmp_path):
     found = spark.createDataFrame([(DAY, "1", 1.0, 5.0, 2.0, "r", "s"), (DAY, "2", 1.0, 9.0, 2.0, "r", "s")], "trade_date date, scode string, close double, amount double, score double, reason string, strategy_name string")
     out = signals.selection(found, spark.createDataFrame([("2", "two")], "scode string, sname string")).collect()
     assert [(r.scode, r.sname) for r in out] == [("2", "two"), ("1", None)]
+
+
+def cents(x):
+    return float(Decimal(str(x)).quantize(Decimal("0.01"), rounding=ROUND_HALF_UP))
+
+
+def brute_run(scheduled, days, end, loss):
+    """Day by day over dictionaries: what is traded, what is held, and the day's sums."""
+    money, held, trades, holdings, sums = 1_000_000.0, [], [], [], []
+    for day in days:
+        if day > end and not held and not any(r.buy_date == day for r in scheduled):
+            break
+        bought = sold = fees = 0.0
+        for p in held:
+            at = [i for i, b in enumerate(p["path"]) if b.trade_date == day]
+            if not at:
+                continue
+            bar, cost = p["path"][at[0]], p["price"]
+            tests = [("open", 0.95, None, "gap_open_stop_loss_5pct"), ("low", 0.95, 0.95, "intraday_stop_loss_5pct"), ("close", 0.97, None, "close_stop_loss_3pct")] if loss == 0.03 else [
+                ("open", 1 - loss, None, f"gap_open_stop_loss_{loss * 100:g}pct"), ("low", 1 - loss, 1 - loss, f"stop_loss_{loss * 100:g}pct")]
+            sales = []
+            for field, bound, price, reason in tests:
+                if bar[field] <= cents(cost * bound):
+                    sales = [(p["left"], cents(bar[field]) if price is None else cents(cost * price), reason)]
+                    break
+            else:
+                left = p["left"]
+                if left == p["shares"] and bar.high >= cents(cost * 1.1):
+                    sales.append((min(left, max(1, left // 2)), cents(cost * 1.1), "take_profit_10pct_half"))
+                    left -= sales[-1][0]
+                if left and bar.high >= cents(cost * 1.2):
+                    sales.append((left, cents(cost * 1.2), "take_profit_20pct_remaining"))
+                    left = 0
+                if left and at[0] == 2:
+                    sales.append((left, cents(bar.close), "time_exit_day3_close"))
+            for n, price, reason in sales:
+                fee = cents(n * price * 0.0002) + cents(n * price * 0.0005)
+                money += n * price - fee
+                sold, fees = sold + n * price, fees + fee
+                p["left"] -= n
+                trades.append((day, p["scode"], p["selection_date"], "SELL", n, price, reason))
+        held = [p for p in held if p["left"] > 0]
+
+        def value():
+            return sum(p["left"] * next((b.close for b in p["path"] if b.trade_date == day), p["buy_close"] if p["buy_date"] == day else p["price"]) for p in held)
+
+        cap, used = max(0.0, min(money, (money + value()) / 3)), 0.0
+        for r in (r for r in scheduled if r.buy_date == day):
+            gross = r.shares * r.price
+            fee = cents(gross * 0.0002)
+            if gross + fee > money or used + gross + fee > cap:
+                continue
+            money, used, bought, fees = money - gross - fee, used + gross + fee, bought + gross, fees + fee
+            held.append(r.asDict() | {"left": r.shares})
+            trades.append((day, r.scode, r.selection_date, "BUY", r.shares, r.price, "next_day_average_entry"))
+        holdings += [(day, p["scode"], p["selection_date"], p["left"]) for p in held]
+        sums.append((day, money, value(), bought, sold, fees, len(held)))
+    return trades, holdings, sums
+
+
+@pytest.mark.parametrize("loss", [0.03, 0.035, 0.06])
+def test_portfolio_day_by_day(spark, loss):
+    rng = random.Random(int(loss * 1000))
+    days = [DAY + dt.timedelta(days=i) for i in range(30)]
+    rows = []
+    for s in range(14):
+        price = 10.0
+        for d in days:
+            price *= rng.uniform(0.94, 1.07)
+            if rng.random() < 0.85:
+                o, c = price * rng.uniform(0.97, 1.03), price
+                rows.append((f"{s:06}", d, o, c, max(o, c) * rng.uniform(1, 1.08), min(o, c) * rng.uniform(0.94, 1), 10_000.0, price))
+    b = spark.createDataFrame(rows, "scode string, trade_date date, open double, close double, high double, low double, volume double, amount double")
+    chosen = spark.createDataFrame([(f"{rng.randrange(14):06}", d, 1.0) for d in days[:24] for _ in range(3)], "scode string, trade_date date, score double").dropDuplicates(["scode", "trade_date"])
+    calendar = spark.createDataFrame([(d,) for d in days], "trade_date date")
+    scheduled = portfolio.schedule(chosen, b)
+    ranked = scheduled.withColumn("h", S.stable_rank(7, F.col("scode"), F.col("selection_date"))).orderBy("h", "scode", "selection_date").collect()
+    trades, holdings, sums = brute_run(ranked, days, days[20], loss)
+    held = portfolio.simulate(scheduled, calendar, str(days[20]), [loss])
+    assert len(trades) > 40
+    found = sorted((r.trade_date, r.scode, r.selection_date, r.side, r.shares, r.price, r.reason) for r in portfolio.trades(held).collect())
+    assert found == sorted(trades)
+    assert sorted((r.trade_date, r.scode, r.selection_date, r.shares) for r in portfolio.holdings(held, calendar).collect()) == sorted(holdings)
+    for r, want in zip(portfolio.daily(held, calendar).orderBy("trade_date").collect(), sums, strict=True):
+        assert (r.trade_date, r.positions) == (want[0], want[-1]) and (r.cash, r.holding, r.bought, r.sold, r.fee) == pytest.approx(want[1:6])
+    alone = portfolio.tracked(chosen, b, [loss]).collect()
+    assert len(alone) == len(ranked) and all((r.return_rate is None) == (r.sold == 0) for r in alone)
+    assert portfolio.pool_run(chosen, b, calendar, str(days[20]), 3, [loss]).count() == held.count()

@@ -147,7 +147,8 @@ def portfolio_run(spark, bar, loss=0.03):
     rows = [("000001", d1, 10.0, 10.0, 10.0, 10.0, 10000.0, 1000.0), ("000001", d2, 10.0, 10.0, 10.0, 10.0, 10000.0, 1000.0), ("000001", d3, *map(float, bar), 10000.0, 1000.0)]
     signal = spark.createDataFrame([("000001", d1, 1.0)], "scode string, trade_date date, score double")
     found = portfolio.schedule(signal, spark.createDataFrame(rows, BARS))
-    return portfolio.trades(portfolio.simulate(found, [d1, d2, d3], d3, [loss])).where("side = 'SELL'").collect()
+    days = spark.createDataFrame([(d,) for d in (d1, d2, d3)], "trade_date date")
+    return portfolio.trades(portfolio.simulate(found, days, str(d3), [loss])).where("side = 'SELL'").orderBy("price").collect()
 
 
 @pytest.mark.parametrize("bar,loss,reason,price", [
@@ -163,11 +164,12 @@ def test_cash_is_conserved(spark):
     d = [DAY + dt.timedelta(days=i) for i in range(6)]
     rows = [(f"{s:06d}", x, 10.0, 10.0 + 0.1 * s, 10.5 + 0.3 * s, 9.9, 10000.0, 1000.0) for s in range(5) for x in d]
     signals_ = spark.createDataFrame([(f"{s:06d}", d[0], 1.0) for s in range(5)], "scode string, trade_date date, score double")
-    ledger = portfolio.simulate(portfolio.schedule(signals_, spark.createDataFrame(rows, BARS)), d, d[-1], [0.03]).cache()
-    trades = portfolio.trades(ledger).collect()
+    days = spark.createDataFrame([(x,) for x in d], "trade_date date")
+    held = portfolio.simulate(portfolio.schedule(signals_, spark.createDataFrame(rows, BARS)), days, str(d[-1]), [0.03])
+    trades = portfolio.trades(held).collect()
     assert sum(t.side == "BUY" for t in trades if t.trade_date == d[1]) == 3
     cash = 1_000_000.0 + sum((t.gross - t.fee) if t.side == "SELL" else -(t.gross + t.fee) for t in trades)
-    assert portfolio.daily(ledger).orderBy(F.desc("trade_date")).first().cash == pytest.approx(cash)
+    assert portfolio.daily(held, days).orderBy(F.desc("trade_date")).first().cash == pytest.approx(cash)
 
 
 def test_selection_filter(spark):

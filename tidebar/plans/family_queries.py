@@ -429,3 +429,115 @@ def selection_filter_with_limit(spark, d):
     b = daily(spark, d)
     found = signals.ma_bullish(b).join(derived.stocks(spark, d).select("scode", "sname"), "scode")
     return portfolio.selected(found, bars.calendar(b), limit=3).select("trade_date", "scode")
+
+
+@query(f"""WITH {BARS_SQL}, {SIGNALS_SQL}, {PRICED_SQL}, p AS (SELECT scode, trade_date AS selection_date, lead(trade_date) OVER w AS buy_date, lead(price) OVER w AS price,
+        lead(open, 2) OVER w AS o1, lead(low, 2) OVER w AS l1, lead(close, 2) OVER w AS c1, lead(high, 2) OVER w AS h1 FROM priced WINDOW w AS ({W})),
+    s AS (SELECT p.*, ROUND(CAST(CAST(price * 0.94 AS VARCHAR) AS DECIMAL(38, 10)), 2)::DOUBLE AS at_ FROM p JOIN bullish b ON b.scode = p.scode AND b.trade_date = p.selection_date WHERE price > 0)
+    SELECT scode, selection_date, buy_date, price, CASE WHEN o1 <= at_ THEN 'gap_open_stop_loss_6pct' WHEN l1 <= at_ THEN 'stop_loss_6pct' END AS stopped FROM s WHERE buy_date IS NOT NULL""")
+def first_day_stops(spark, d):
+    """Whether each scheduled signal is stopped out on the first bar after it was bought, under the rule of 6 percent."""
+    b = daily(spark, d)
+    planned = portfolio.positions(portfolio.schedule(signals.ma_bullish(b).select("scode", "trade_date"), b), [0.06])
+    first, sale = F.get(F.col("marks"), F.lit(1))["day"], F.get(F.col("sales"), F.lit(0))
+    stopped = F.when((sale["day"] == first) & F.contains(sale["reason"], F.lit("stop_loss")), sale["reason"])
+    return planned.select("scode", "selection_date", "buy_date", "price", stopped.alias("stopped"))
+
+
+@query(f"WITH {BARS_SQL}, {WEEKLY_SQL}, {SIGNALS_SQL} SELECT trade_date, scode, 'ma_bullish_v1' AS strategy_name FROM bullish")
+def strategy_run(spark, d):
+    b = daily(spark, d)
+    return signals.run_strategy(signals.MA_BULLISH, b, bars.resample(b, "W", TODAY)).select("trade_date", "scode", "strategy_name")
+
+
+TABLE_SQL = "p AS (SELECT p_type || ' ' || p_partkey AS pattern, CASE p_size % 3 WHEN 0 THEN 0.1 WHEN 1 THEN 0.2 ELSE 0.3 END::DOUBLE AS min_success_rate, p_size / 50.0::DOUBLE AS success_rate, p_partkey % 7 AS success_count, p_partkey % 11 AS sample_count FROM part)"
+
+
+@query(f"WITH {TABLE_SQL} SELECT pattern FROM p ORDER BY min_success_rate, success_rate DESC, success_count DESC, sample_count DESC, pattern LIMIT 40")
+def pattern_order(spark, d):
+    k, size = F.col("p_partkey"), F.col("p_size")
+    rate = F.when(size % 3 == 0, 0.1).when(size % 3 == 1, 0.2).otherwise(0.3)
+    rows = derived.table(spark, d, "part").select(F.concat_ws(" ", "p_type", k.cast("string")).alias("pattern"), rate.alias("min_success_rate"), (size / 50.0).alias("success_rate"), (k % 7).alias("success_count"), (k % 11).alias("sample_count"))
+    return patterns.ordered(rows).limit(40).select("pattern")
+
+
+@query(f"{SCORED}, m AS (SELECT s.*, close, CAST(floor(score * 10) AS DOUBLE) AS sc, CAST(floor(down * 5) AS BIGINT) AS pc FROM scored s JOIN bars USING (scode, trade_date)) SELECT scode, trade_date FROM m ORDER BY sc DESC, pc DESC, close DESC, scode, trade_date LIMIT 50")
+def pattern_selection_order(spark, d):
+    found = scored(spark, d).select("scode", "trade_date", F.floor(F.col("score") * 10).cast("double").alias("score"), F.floor(F.col("down") * 5).alias("pattern_count"))
+    return patterns.selection_order(found, daily(spark, d), 50).select("scode", "trade_date")
+
+
+@query(f"{SCORED} SELECT trade_date, array_to_string(list_transform(list(ROW(score, scode) ORDER BY score DESC, scode)[1:5], lambda x: x[2]), ', ') AS best FROM scored GROUP BY 1")
+def top_texts(spark, d):
+    """The five best of each day as one text of codes."""
+    ordered = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "scode", F.lit(0.5).alias("probability"))))
+    rows = scored(spark, d).groupBy("trade_date").agg(encodings.top_text(ordered).alias("t"))
+    return rows.select("trade_date", F.replace("t", F.lit(":0.5"), F.lit("")).alias("best"))
+
+
+@query("""SELECT DISTINCT CASE p_partkey % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'A && B' ELSE 'B && C' || (p_size % 4) END AS pattern FROM part WHERE p_partkey % 5 <> 0""")
+def proposed_patterns(spark, d):
+    """Patterns out of texts that a model could have given: JSON in prose, tokens in any order, unknown ones."""
+    k = F.col("p_partkey")
+    own = F.when(k % 3 == 0, '["A", "A"]').when(k % 3 == 1, '["B", "A"]').otherwise(F.concat(F.lit('["C'), (F.col("p_size") % 4).cast("string"), F.lit('", "B"]')))
+    text = F.when(k % 5 != 0, F.concat(F.lit('Here: {"patterns": ['), own, F.lit(', ["X"], []]} as asked'))).otherwise("nothing {broken")
+    known = spark.createDataFrame([(t,) for t in ("A", "B", "C0", "C1", "C2", "C3")], "token string")
+    return patterns.proposed(derived.table(spark, d, "part").select(text.alias("response")), known)
+
+
+@query("""WITH c AS (SELECT l_linestatus AS pattern, count(*) AS n FROM lineitem GROUP BY 1 UNION ALL SELECT l_linestatus || ' && ' || l_returnflag, count(*) FROM lineitem WHERE l_returnflag < 'R' GROUP BY 1 UNION ALL SELECT l_returnflag, count(*) FROM lineitem GROUP BY 1)
+    SELECT s.pattern || ' && ' || r.pattern AS pattern, coalesce(b.n, least(s.n, r.n)) AS positive_support FROM c s, c r LEFT JOIN c b ON b.pattern = s.pattern || ' && ' || r.pattern WHERE s.pattern IN ('F', 'O') AND r.pattern IN ('A', 'N', 'R')""")
+def estimated_supports(spark, d):
+    rows = derived.table(spark, d, "lineitem").select("l_linestatus", "l_returnflag")
+    counts = [rows.groupBy(F.col("l_linestatus").alias("pattern")), rows.groupBy(F.col("l_returnflag").alias("pattern")), rows.where("l_returnflag < 'R'").groupBy(F.concat_ws(" && ", "l_linestatus", "l_returnflag").alias("pattern"))]
+    one, two, both = (c.agg(F.count("*").alias("positive_support")) for c in counts)
+    wanted = spark.createDataFrame([(f"{m} && {f}",) for m in "FO" for f in "ANR"], "pattern string")
+    return patterns.estimated_support(wanted, one.union(two).union(both))
+
+
+@query(f"""WITH {BARS_SQL}, c AS (SELECT DISTINCT scode, trade_date, close FROM bars WHERE CAST(scode AS INTEGER) % 5 = 2 AND day(trade_date) = 15) SELECT scode, trade_date, round(close + 1, 6) AS close FROM c
+    UNION ALL SELECT scode, trade_date, round(close, 6) FROM bars b WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.scode = b.scode)""")
+def rebuilt_history(spark, d):
+    """Symbols with corrected bars keep those alone."""
+    from tidebar.streaming import ingest
+
+    b = daily(spark, d).select("scode", "trade_date", "close")
+    corrected = b.where("cast(scode AS int) % 5 = 2 AND day(trade_date) = 15").withColumn("close", F.col("close") + 1)
+    return rounded(ingest.rebuilt(b, corrected), "close")
+
+
+@query("""SELECT p_partkey, '2001-01-02' AS first_day, p_size * 1.0::DOUBLE AS close, CAST(p_size % 3 AS BIGINT) AS weeks FROM part""")
+def old_payloads(spark, d):
+    """Windows out of payloads of the old form."""
+    size = F.col("p_size")
+    weeks = F.concat_ws(",", F.array_repeat(F.lit('{"date":"2001-01-05","close":1}'), (size % 3).cast("int")))
+    text = F.concat(F.lit('{"scode":"1","daily_55":[{"date":"2001-01-02","close":'), size.cast("string"), F.lit('}],"weekly_55":['), weeks, F.lit("]}"))
+    rows = derived.table(spark, d, "part").select("p_partkey", encodings.old_windows(text).alias("w"))
+    return rows.select("p_partkey", F.col("w.daily_55")[0]["date"].alias("first_day"), F.col("w.daily_55")[0]["close"].alias("close"), F.size("w.weekly_55").cast("long").alias("weeks"))
+
+
+@query(f"{SCORED}, h AS (SELECT scode, trade_date, {rank_sql(7, 'scode', 'trade_date')} AS r FROM scored) (SELECT scode, trade_date, 'fixed' AS kind FROM scored ORDER BY scode, trade_date LIMIT 30) UNION ALL (SELECT scode, trade_date, 'random' FROM h ORDER BY r, scode, trade_date LIMIT 30)")
+def evaluation_subsets(spark, d):
+    s, key = scored(spark, d).select("scode", "trade_date"), ["scode", "trade_date"]
+    parts = [datasets.eval_subset(s, kind, 30, key).select(*key, F.lit(kind).alias("kind")) for kind in ("fixed", "random")]
+    return parts[0].union(parts[1])
+
+
+@query(f"""WITH {BARS_SQL}, full_ AS (SELECT *, {MA_SQL} FROM bars), w AS (SELECT scode, trade_date, list(coalesce(ma13, 0)) OVER ({W} ROWS BETWEEN 7 PRECEDING AND CURRENT ROW) AS m FROM full_) SELECT scode, trade_date, len(m) = 8 AND len(list_filter(m[-5:], lambda x: x > 0)) = 5 AS valid FROM w WHERE day(trade_date) = 15""")
+def valid_samples(spark, d):
+    """Windows of the mode `short`, days in the place of weeks too."""
+    b = bars.moving_averages(daily(spark, d))
+    found = datasets.window_arrays(b.where("day(trade_date) = 15").select("scode", "trade_date"), b, 8)
+    return found.select("scode", "trade_date", F.coalesce(datasets.valid_windows(F.col("bars"), F.col("bars"), F.array(), "short"), F.lit(False)).alias("valid"))
+
+
+@query(f"{SCORED} SELECT scode, trade_date, label FROM scored WHERE label IN ('positive', 'negative') AND trade_date BETWEEN DATE '{START}' AND DATE '{END}'")
+def labelled_union(spark, d):
+    """Positive and negative events of a range as one stream."""
+    rows = scans.between(scored(spark, d).select("scode", "trade_date", F.col("actual").alias("label")), START, END)
+    return rows.where("label = 'positive'").unionByName(rows.where("label = 'negative'"))
+
+
+@query("""SELECT c_custkey, CASE WHEN contains(c_name, '7') THEN 1.0 ELSE 0.0 END + 0.0 AS base, least(1.0, CASE WHEN contains(c_name, '7') THEN 1.0 ELSE 0.0 END + 0.15 * (CASE WHEN contains(c_name, '1') THEN 1 ELSE 0 END + CASE WHEN contains(c_name, '2') THEN 1 ELSE 0 END))::DOUBLE AS score FROM customer""".replace("CASE WHEN contains(c_name, '7') THEN 1.0 ELSE 0.0 END + 0.0 AS base, ", ""))
+def match_scores(spark, d):
+    return derived.table(spark, d, "customer").select("c_custkey", news.match_score(F.lit("7"), F.col("c_name"), F.array(F.lit("1"), F.lit("2"))).alias("score"))

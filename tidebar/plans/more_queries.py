@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import functions as F
 
 from tidebar.functions import scalars as S
@@ -344,27 +343,27 @@ def cursor_state(spark, d):
     return bars.cursors(derived.stocks(spark, d), daily(spark, d))
 
 
-def ledger(spark, d):
-    """Signals of the moving averages, cooled and limited, through the simulator with all stop-loss rules."""
+def simulated(spark, d):
+    """(positions bought, trading days): signals of the moving averages, cooled and limited, under all stop-loss rules."""
     b = daily(spark, d)
     days = bars.calendar(b)
     found = signals.ma_bullish(b).join(derived.stocks(spark, d).select("scode", "sname"), "scode").where(f"trade_date BETWEEN DATE '{START}' AND DATE '{END}'")
     chosen = portfolio.selected(found, days, limit=3)
-    bought = portfolio.schedule(chosen.select("scode", "trade_date", "score"), b)
-    wanted = [r[0] for r in days.where(f"trade_date >= DATE '{START}'").select("trade_date").collect()]
-    return portfolio.simulate(bought, wanted, pd.Timestamp(END).date())
+    scheduled = portfolio.schedule(chosen.select("scode", "trade_date", "score"), b)
+    wanted = days.where(f"trade_date >= DATE '{START}'").select("trade_date")
+    return portfolio.simulate(scheduled, wanted, END), wanted
 
 
 @query()
 def portfolio_daily(spark, d):
-    return rounded(portfolio.daily(ledger(spark, d)), "cash", "holding", "total", "bought", "sold", "fee", digits=2)
+    return rounded(portfolio.daily(*simulated(spark, d)), "cash", "holding", "total", "bought", "sold", "fee", digits=2)
 
 
 @query()
 def portfolio_trades(spark, d):
-    return rounded(portfolio.trades(ledger(spark, d)), "price", "gross", "fee", "stamp", digits=2)
+    return rounded(portfolio.trades(simulated(spark, d)[0]), "price", "gross", "fee", "stamp", digits=2)
 
 
 @query()
 def portfolio_holdings(spark, d):
-    return rounded(portfolio.holdings(ledger(spark, d)), "price", "value", digits=2)
+    return rounded(portfolio.holdings(*simulated(spark, d)), "price", "value", digits=2)
