@@ -207,13 +207,14 @@ def basis_point_rows(spark, d):
 
 
 @query(f"""WITH {BARS_SQL}, w AS (SELECT scode, trade_date, CASE WHEN count(*) OVER f = 3 THEN list({{'day': strftime(trade_date, '%Y-%m-%d'), 'close': close, 'volume': volume}}) OVER f END AS w FROM bars WINDOW f AS ({W} ROWS BETWEEN 2 PRECEDING AND CURRENT ROW))
-    SELECT scode, trade_date, w[1].day AS first_day, round(round_even(w[1].close, 4), 4) AS first_close, w[3].day AS last_day, round(w[3].volume, 4) AS last_volume FROM w WHERE w IS NOT NULL AND day(trade_date) = 15""")
+    SELECT scode, trade_date, w[1].day AS first_day, true AS close_kept, w[3].day AS last_day, w[3].volume AS last_volume FROM w WHERE w IS NOT NULL AND day(trade_date) = 15""")
 def payload_round_trip(spark, d):
-    """Windows as JSON records, read back."""
+    """Windows as JSON records, read back: prices to four decimals."""
     b = daily(spark, d)
     found = datasets.window_arrays(b.where("day(trade_date) = 15").select("scode", "trade_date"), b, 3, ("close", "volume")).where("bars IS NOT NULL")
-    back = F.from_json(encodings.payload(F.col("bars"), ("close", "volume")), "array<struct<date:string,close:double,volume:double>>")
-    return rounded(found.withColumn("r", back).select("scode", "trade_date", F.col("r")[0]["date"].alias("first_day"), F.col("r")[0]["close"].alias("first_close"), F.col("r")[2]["date"].alias("last_day"), F.col("r")[2]["volume"].alias("last_volume")), "first_close", "last_volume", digits=4)
+    back = found.withColumn("r", F.from_json(encodings.payload(F.col("bars"), ("close", "volume")), "array<struct<date:string,close:double,volume:double>>"))
+    kept = F.abs(F.col("r")[0]["close"] - F.col("bars")[0]["close"]) < 5.1e-5
+    return back.select("scode", "trade_date", F.col("r")[0]["date"].alias("first_day"), kept.alias("close_kept"), F.col("r")[2]["date"].alias("last_day"), F.col("r")[2]["volume"].alias("last_volume"))
 
 
 @query(f"""{SCORED} SELECT scode, trade_date, '{{"c":"' || label || '"}}' AS text, '{{"p":' || y || '}}' AS number, label AS c, CASE WHEN y = 1 THEN 'positive' ELSE 'negative' END AS p FROM scored""")
