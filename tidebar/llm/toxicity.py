@@ -1,20 +1,25 @@
 """Toxicity scores by noisy-channel deobfuscation.
 
-The channel: a letter may have been written as a look-alike sign (leetspeak), repeated, or set apart by separators or blanks. A token that shows such
-signs becomes a lattice: at each position the letters that it can stand for, or nothing. Viterbi decoding finds the best path under a trigram
-language model of characters (counted over all documents) and the channel's costs; plain tokens have one path and are taken as they are.
-Runs of single characters between blanks are joined and decoded as one word.
+The channel: a letter may have been written as a look-alike sign (leetspeak, or a letter of another script), repeated, or set apart by separators or
+blanks. A token that shows such signs becomes a lattice: at each position the letters that it can stand for, or nothing. Viterbi decoding finds the
+best path under a trigram language model of characters (counted over all documents) and the channel's costs; plain tokens have one path and are
+taken as they are. Letters of all scripts stand for themselves; those outside Latin are one class of the model. In a run of single characters, and
+between two tokens that together are a word of the lexicon, a blank stands for nothing or for the end of a word, as the model has it; a run is also
+decoded as one word.
 
 Restored words are scored by a lexicon learned from labelled rows: for words and word beginnings the log-odds of the label, less two standard
-errors, counted once for each group of near copies. A text's score is the logistic of the prior and its strongest words; in a text that is
-longer than clean ones are on average, each word counts less by the logarithm of how much longer, as chance finds more in it.
+errors, counted once for each group of near copies. A text's score is the logistic of the prior and its words, the strongest first, each with
+nine tenths of the say of the one before; in a text that is longer than clean ones are on average, each word counts less by the logarithm of how much longer,
+as chance finds more in it.
 
 Edge cases: null and empty texts score the prior; texts without labels are scored alike; a label other than 0 or 1, or null, is not learned from;
-without labels all scores are 0.5 x 0.5; repeated rows score alike; an empty table gives an empty result; other columns pass through.
+without labels all scores are 0.25; repeated rows score alike; an empty table gives an empty result; a very long token takes time in proportion to its
+length; other columns pass through, but one that is named toxicity is replaced.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 from collections import Counter
@@ -31,12 +36,14 @@ from .common import id_text, stored, table
 
 #: Bound of the labelled sample: rows of each label that are expected in it at most.
 ROWS_PER_LABEL = 60_000
-#: Entries of the lexicon at most, the strongest ones; groups of near copies that must show a word, and the least log-odds of an entry.
-MOST_ENTRIES, LEAST_GROUPS, LEAST_WEIGHT = 20_000, 2, 1.0
+#: Groups of near copies that must show a word, and the least log-odds of an entry. The lexicon is bounded as the sample is that it comes from.
+LEAST_GROUPS, LEAST_WEIGHT = 2, 1.0
 #: Lengths of word beginnings.
 BEGINNINGS = (4, 5, 6)
-#: Hits that count at most, so that long texts don't add up weak ones.
-MOST_HITS = 8
+#: Say of a hit beside that of the next stronger one, so that long texts don't add up weak ones.
+LESS = 0.9
+#: Letters of a restored word that came out of a run of single characters, or of two tokens, at least.
+LEAST_LETTERS = 4
 #: The entry under which a task counts the tokens of clean texts.
 TOKENS = " "
 #: Words that a worker remembers.
@@ -47,15 +54,17 @@ LOOK_ALIKES = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g",
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "<": "c", "€": "e", "£": "l", "¥": "y", "*": "aeiou", "#": "h",
 }
+#: Letters of other scripts that look like Latin ones.
+HOMOGLYPHS = dict(zip("авеікмнорстухѕјԁɡαεικνορτυχ", "abeikmhopctyxsjdgaeikvoptux"))
 SEPARATORS = ".-_*~·•'/\\,:;="
 #: Costs of the channel, in nats: a sign for a letter, a sign for nothing, a letter for nothing because it repeats, a separator for nothing.
 SIGN, DROPPED, REPEATED, SEPARATED = 0.7, 3.0, 1.0, 0.3
 
-#: The language model's letters: a to z and the small letters of Latin-1. 0 is the edge of a word.
+#: The language model's letters: a to z, the small letters of Latin-1, and one class of all others. 0 is the edge of a word.
 LETTERS = "abcdefghijklmnopqrstuvwxyz" + "".join(chr(i) for i in range(0xDF, 0x100) if chr(i).isalpha())
-SIZE = 64
+SIZE, OTHER = 64, 63
 CODE = {c: i + 1 for i, c in enumerate(LETTERS)}
-_class = np.zeros(0x200, dtype=np.int64)
+_class = np.where(np.fromiter((chr(i).isalpha() for i in range(0x10000)), dtype=bool, count=0x10000), OTHER, 0)
 for _c, _i in CODE.items():
     _class[ord(_c)] = _i
 
@@ -63,13 +72,14 @@ EDGES = re.compile(r"^[^\w@$!|(<€£*+]+|[^\w@$€£*]+$")
 RUN = re.compile(r"([^\w\s])\1{2,}")
 PLAIN = re.compile(r"[^\W\d_]+\Z")
 TRIPLE = re.compile(r"([^\W\d_])\1\1")
-SPACED = re.compile(r"(?<!\S)\S(?:[ \t]+\S){3,}(?!\S)")
+LATIN, FOREIGN = re.compile("[a-z]"), re.compile(f"[{''.join(HOMOGLYPHS)}]")
+SPACED = re.compile(r"(?<!\S)\S(?:[ \t]+\S){2,}(?!\S)")
 
 
 def trigram_counts(text: str) -> np.ndarray:
     """How often each three letters in a row occur, as SIZE^3 numbers; an edge of a word is letter 0."""
     codes = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    letters = _class[np.where(codes < len(_class), codes, 0)]
+    letters = _class[np.minimum(codes, len(_class) - 1)]
     letters = np.concatenate(([0, 0], letters, [0]))
     grams = (letters[:-2] * SIZE + letters[1:-1]) * SIZE + letters[2:]
     return np.bincount(grams, minlength=SIZE**3)
@@ -87,55 +97,67 @@ class CharacterModel:
         self.costs = (-np.log(triple)).astype(np.float32)
 
 
+@functools.cache
+def options_of(sign: str) -> tuple[tuple[str, int, float], ...]:
+    """What a sign can stand for: letter (none, or a blank for the end of a word), its code, and the channel's cost."""
+    options = [(sign, CODE.get(sign, OTHER), 0.0)] if sign.isalpha() else []
+    options += [(letter, CODE[letter], SIGN) for letter in LOOK_ALIKES.get(sign, HOMOGLYPHS.get(sign, ""))]
+    if sign == " ":
+        options += [(" ", 0, 0.0), ("", 0, SEPARATED)]
+    elif sign in SEPARATORS:
+        options.append(("", 0, SEPARATED))
+    elif not sign.isalpha():
+        options.append(("", 0, DROPPED))
+    return tuple(options)
+
+
 def restore(token: str, model: CharacterModel) -> str:
-    """The most likely word behind a token: Viterbi over the lattice, whose states are the last two letters."""
+    """The most likely words behind a token, with blanks between them: Viterbi over the lattice, whose states are the last two letters and the last sign."""
     costs = model.costs
-    states: dict[tuple[int, int, str], tuple[float, str]] = {(0, 0, ""): (0.0, "")}
+    states: dict[tuple[int, int, str], tuple[float, tuple | None]] = {(0, 0, ""): (0.0, None)}
     for sign in token:
-        options: list[tuple[str, float]] = []
-        if sign in CODE:
-            options.append((sign, 0.0))
-        for letter in LOOK_ALIKES.get(sign, ""):
-            options.append((letter, SIGN))
-        if sign in SEPARATORS:
-            options.append(("", SEPARATED))
-        elif not sign.isalpha():
-            options.append(("", DROPPED))
-        elif sign not in CODE:
-            options.append(("", 0.0))
-        after: dict[tuple[int, int, str], tuple[float, str]] = {}
-        for (a, b, last), (cost, word) in states.items():
-            for letter, extra in options:
+        options = options_of(sign)
+        after: dict[tuple[int, int, str], tuple[float, tuple | None]] = {}
+        for (a, b, last), (cost, path) in states.items():
+            for letter, c, extra in options:
                 if letter:
-                    c = CODE[letter]
-                    key, value = (b, c, sign), (cost + extra + float(costs[a, b, c]), word + letter)
+                    key, value, way = (b, c, sign), cost + extra + float(costs[a, b, c]), (path, letter)
                 else:
-                    key, value = (a, b, last), (cost + extra, word)
-                if key not in after or value < after[key]:
-                    after[key] = value
-            if sign == last:
-                key, value = (a, b, last), (cost + REPEATED, word)
-                if key not in after or value < after[key]:
-                    after[key] = value
+                    key, value, way = (a, b, last), cost + extra, path
+                if key not in after or value < after[key][0]:
+                    after[key] = (value, way)
+            if sign == last and sign != " ":
+                key, value = (a, b, last), cost + REPEATED
+                if key not in after or value < after[key][0]:
+                    after[key] = (value, path)
         states = after
-    return min((cost + float(costs[a, b, 0]), word) for (a, b, _), (cost, word) in states.items())[1]
-
-
-def words_behind(token: str, model: CharacterModel) -> str:
-    """A token's word in lower case: itself if it is plain, else decoded. Decoration at its edges is no sign of anything."""
+    _, path = min(((cost + float(costs[a, b, 0]), path) for (a, b, _), (cost, path) in states.items()), key=lambda x: x[0])
+    letters = []
+    while path:
+        path, letter = path
+        letters.append(letter)
+    return "".join(reversed(letters))
+
+
+def words_behind(token: str, model: CharacterModel) -> list[str]:
+    """A token's words in lower case: itself if it is plain, else decoded. Decoration at its edges is no sign of anything.
+
+    A token with blanks is a run of single characters: its words, and the run as one word.
+    """
+    if " " in token:
+        run = token.lower()
+        found = {w for text in (run, run.replace(" ", "")) for w in restore(text, model).split()}
+        return sorted(w for w in found if len(w) >= LEAST_LETTERS)
     core = RUN.sub(" ", EDGES.sub("", token.lower())).strip()
-    if PLAIN.match(core) and not TRIPLE.search(core):
-        return core
-    if not any(c.isalpha() for c in core):
-        return ""
-    if " " in core:
-        return max((words_behind(p, model) for p in core.split()), key=len)
-    return restore(core, model)
+    if PLAIN.match(core) and not TRIPLE.search(core) and not (FOREIGN.search(core) and LATIN.search(core)):
+        return [core]
+    parts = [p for p in core.split() if any(c.isalpha() for c in p)]
+    return [restore(max(parts, key=len), model)] if parts else []
 
 
 def spaced_words(text: str) -> list[str]:
-    """Runs of single characters, joined."""
-    return ["".join(m.split()) for m in SPACED.findall(text)]
+    """Runs of single characters, with one blank between them."""
+    return [" ".join(m.split()) for m in SPACED.findall(text)]
 
 
 def entries_of(word: str) -> list[str]:
@@ -153,12 +175,29 @@ class Model:
     usual: float = 1.0
     memo: dict[str, float] = field(default_factory=dict)
 
+    def __post_init__(self):
+        #: For the first part of a word that is cut in two, the second parts.
+        self.halves: dict[str, set[str]] = {}
+        for word in self.weights:
+            if len(word) > LEAST_LETTERS and word.isalpha():
+                for i in range(2, len(word) - 1):
+                    self.halves.setdefault(word[:i], set()).add(word[i:])
+
     def weight(self, token: str) -> float:
         if (found := self.memo.get(token)) is None:
             if len(self.memo) > MEMO_ENTRIES:
                 self.memo.clear()
             weights = self.weights
-            found = self.memo[token] = max((weights.get(e, 0.0) for e in entries_of(words_behind(token, self.characters))), default=0.0)
+            found = self.memo[token] = max((weights.get(e, 0.0) for w in words_behind(token, self.characters) for e in entries_of(w)), default=0.0)
+        return found
+
+    def cut_words(self, tokens: list[str]) -> set[str]:
+        """Words of the lexicon that two tokens in a row make, where the model has the blank between them stand for nothing."""
+        found = set()
+        for i, first in enumerate(tokens[:-1]):
+            if (first := first.lower()) in self.halves and (second := EDGES.sub("", tokens[i + 1].lower())) in self.halves[first]:
+                if restore(f"{first} {second}", self.characters) == first + second:
+                    found.add(first + second)
         return found
 
     @property
@@ -168,10 +207,11 @@ class Model:
         return self._characters
 
     def score(self, text: str | None) -> float:
-        tokens = tokens_of(text)
+        listed = (text or "").split()
+        tokens = {*listed, *spaced_words(text or ""), *self.cut_words(listed)}
         less = math.log(max(1.0, len(tokens) / self.usual))
-        hits = [w - less for t in tokens if (w := self.weight(t)) > less]
-        return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.prior + sum(sorted(hits)[-MOST_HITS:])))))
+        hits = sorted((w - less for t in tokens if (w := self.weight(t)) > less), reverse=True)
+        return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.prior + sum(w * LESS**i for i, w in enumerate(hits))))))
 
 
 def tokens_of(text: str | None) -> set[str]:
@@ -237,7 +277,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
                     if token not in memo:
                         if len(memo) > MEMO_ENTRIES:
                             memo.clear()
-                        memo[token] = entries_of(words_behind(token, model))
+                        memo[token] = [e for w in words_behind(token, model) for e in entries_of(w)]
                     entries.update(memo[token])
                 if y:
                     group = copy_group(t)
@@ -256,7 +296,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
     odds = F.log((F.col("a") + 0.5) / (F.col("c") + 0.5)) - math.log(ones / zeros)
     error = F.sqrt(1 / (F.col("a") + 0.5) + 1 / (F.col("c") + 0.5))
     weighed = both.where(F.col("a") >= LEAST_GROUPS).select("entry", (odds - 2 * error).alias("w")).where(F.col("w") >= LEAST_WEIGHT)
-    strongest = weighed.where("trim(entry) <> ''").orderBy(F.desc("w"), "entry").limit(MOST_ENTRIES).collect()
+    strongest = weighed.where("trim(entry) <> ''").collect()
     tokens = tallied.where(F.col("entry") == TOKENS).agg(F.sum("n")).first()[0] or 0
     return Model(counts, {r["entry"]: float(r["w"]) for r in strongest}, math.log(ones / zeros), max(1.0, tokens / zeros))
 
