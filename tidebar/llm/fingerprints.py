@@ -6,21 +6,24 @@ alphabet was. Symbols whose label is a local maximum begin phrases, of two symbo
 of its symbols, and names are the symbols of the next level. Where a phrase begins depends on a few neighbours only, so equal substrings
 have the same phrases inside, at whatever offset they stand.
 
-The fingerprint is a one-permutation minwise sketch of the distinct phrase names of levels 2 and 3 (and of level 1 where level 2 has few),
-together with how many slots are filled; the likeness of two is the share of slots on which they agree, among those that either fills.
+The fingerprint is a one-permutation minwise sketch of the distinct phrase names of levels 2 and 3, which every text that isn't empty has; the likeness
+of two is the share of slots on which they agree, among those that either fills. A phrase of level 2 has about 8 characters, so a fingerprint of a
+text below some 100 characters has few names, and one edit shows in it more.
 
 Edge cases: null and empty texts have no phrases; their fingerprints are equal, and so their likeness is 1. Rows without a doc_id come first
-in the order of documents; rows that repeat a doc_id are ordered by their text; the one row of a table is its own next one.
+in the order of documents; rows that repeat a doc_id are ordered by their text; the one row of a table is its own next one; an empty table gives
+an empty result. fingerprints() keeps other columns and replaces one named like its output; compared() returns its own columns alone.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
@@ -29,8 +32,8 @@ from .common import table
 SLOTS, SLOT_BITS = 128, 16
 #: Stretches of doc_id for each shuffle partition, so that partitions, which get them by hash, are near equal.
 STRETCHES = 4
-#: Levels whose names are sketched; level 1 joins them where level 2 has fewer phrases than this.
-LEVELS, FEW = (2, 3), 24
+#: Levels whose names are sketched.
+LEVELS = (2, 3)
 #: Rounds of coin tossing: 64-bit names fall below 128, 14, 8 and 6.
 ROUNDS = 4
 MIX, MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -102,20 +105,13 @@ def sketches(texts: list[str]) -> list[str]:
     full = np.flatnonzero(sizes)
     first[(np.cumsum(sizes) - sizes)[full]] = True
     best = np.full((len(texts), SLOTS), np.iinfo(np.uint64).max, dtype=np.uint64)
-    kept, few = [], np.zeros(len(texts), dtype=bool)
     for level in range(1, max(LEVELS) + 1):
         symbols, first = phrases(symbols, first)
-        owner = full[np.cumsum(first) - 1] if len(symbols) else np.empty(0, np.int64)
-        if level == min(LEVELS):
-            few = np.bincount(owner, minlength=len(texts)) < FEW
-        kept.append((level, owner, symbols))
-    for level, owner, names in kept:
-        if level not in LEVELS:
-            use = few[owner]
-            owner, names = owner[use], names[use]
-        names = mixed(names * MIX + np.uint64(level))
-        slot = owner * SLOTS + (names % np.uint64(SLOTS)).astype(np.int64)
-        np.minimum.at(best.reshape(-1), slot, names >> np.uint64(7))
+        if level in LEVELS and len(symbols):
+            owner = full[np.cumsum(first) - 1]
+            names = mixed(symbols * MIX + np.uint64(level))
+            slot = owner * SLOTS + (names % np.uint64(SLOTS)).astype(np.int64)
+            np.minimum.at(best.reshape(-1), slot, names >> np.uint64(7))
     out = []
     for row in best:
         empty = row == np.iinfo(np.uint64).max
@@ -156,6 +152,15 @@ def in_pieces(texts: list, characters: int = 400_000) -> Iterator[list]:
         yield part
 
 
+def bounds_up_to(value: Column, bounds: list[int]) -> Column:
+    """How many of the sorted bounds are at most the value: counted among the heads of blocks, then in one block."""
+    step = math.isqrt(len(bounds)) + 1
+    blocks = [bounds[i : i + step] for i in range(0, len(bounds), step)]
+    full = F.size(F.filter(F.array(*[F.lit(b[0]) for b in blocks]), lambda b: b <= value))
+    block = F.get(F.array(*[F.array(*map(F.lit, b)) for b in blocks]), full - 1)
+    return F.when(full > 0, (full - 1) * step + F.size(F.filter(block, lambda b: b <= value))).otherwise(0)
+
+
 def with_next(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Rows (stretch, ghost, id, t) such that in each stretch, ordered by (ghost, id, t), each row's next document is the row after it.
 
@@ -168,8 +173,7 @@ def with_next(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataF
     bounds = sorted({int(x) for x in rows.where("id IS NOT NULL").approxQuantile("id", [i / tasks for i in range(1, tasks)], 0.1 / tasks)}) if tasks > 1 else []
     stretch = F.lit(0)
     if bounds:
-        values = F.array(*[F.lit(b) for b in bounds])
-        stretch = F.coalesce(F.when(F.col("id").isNotNull(), F.size(F.filter(values, lambda b: b <= F.col("id")))), F.lit(0))
+        stretch = F.coalesce(F.when(F.col("id").isNotNull(), bounds_up_to(F.col("id"), bounds)), F.lit(0))
     placed = rows.withColumn("stretch", stretch.cast("int"))
     # one row for each stretch: its first document
     firsts = sorted(r["stretch"] for r in placed.groupBy("stretch").agg(F.count("*").alias("n")).collect())
