@@ -10,7 +10,8 @@ probability that all but one in a thousand of those rows reach (0.5 at most).
 As the map is linear, embedding and map are multiplied once, and prediction adds up a few numbers for each subword of the whole text.
 
 Edge cases: a null text, or one without letters, is `und` with score 0 and rejected; equal texts have equal results; rows without a language
-are predicted but never learned from; without any labelled row all is `und`; an empty table gives an empty result; other columns pass through.
+are predicted but never learned from; without any labelled row all is `und`; an empty table gives an empty result; other columns pass through, and
+those that are named like the results are replaced. Every value of lang is a language, however many there are; the model takes 256 KB for each.
 """
 
 from __future__ import annotations
@@ -25,8 +26,8 @@ from pyspark.sql import functions as F
 
 from .common import id_text, table
 
-#: Bound of the training sample: rows of each language that are expected in it, and most languages.
-ROWS_PER_LANGUAGE, MOST_LANGUAGES = 1500, 64
+#: Bounds of the training sample: rows of each language that are expected in it, and of all languages together.
+ROWS_PER_LANGUAGE, ROWS = 1500, 24_000
 #: Rows of the embedding table (as a power of two), its width, subword lengths, passes over the sample.
 BITS, WIDTH, SUBWORDS, EPOCHS = 16, 12, (2, 3, 4), 4
 #: Share of calibration rows that may fall below the rejection bound.
@@ -180,10 +181,11 @@ def fit(docs: DataFrame, learn: Column, calibrate: Column, text: str = "text", l
     Counts of each language are over all rows; a row is in the sample if its hash is below its language's share, so the sample is the same each time.
     """
     rows = docs.where(learn & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).cast("string").alias("l"), calibrate.alias("c"))
-    counts = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l").limit(MOST_LANGUAGES).collect()}
+    counts = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count("*").alias("n")).collect()}  # a row for each language
     if not counts:
         return train([], [], [])
-    share = F.create_map(*[F.lit(x) for l, n in counts.items() for x in (l, min(1.0, ROWS_PER_LANGUAGE / n))])
+    each = min(ROWS_PER_LANGUAGE, max(1, ROWS // len(counts)))
+    share = F.create_map(*[F.lit(x) for l, n in sorted(counts.items()) for x in (l, min(1.0, each / n))])
     drawn = F.pmod(F.xxhash64(F.lit("sample"), id_text("k"), F.length("t")), F.lit(1_000_000)) / 1_000_000
     sample = rows.where(F.col("l").isin(list(counts)) & (drawn < share[F.col("l")])).select("k", "t", "l", "c")
     found = sample.orderBy("k", "t").toArrow().to_pydict()
