@@ -217,11 +217,78 @@ def test_template_larger_than_the_articles(spark):
 
 
 def test_matching_keeps_order():
-    a, b = (wrappers.tree_of(h) for h in ("<div><p>1</p><ul><li>x</ul><p>2</p></div>", "<div><ul><li>x</ul><p>2</p><p>3</p></div>"))
+    a, b = (wrappers.tree_of(h)[0] for h in ("<div><p>1</p><ul><li>x</ul><p>2</p></div>", "<div><ul><li>x</ul><p>2</p><p>3</p></div>"))
     pairs = [(x.tag, y.tag) for x, y in wrappers.match(a, b)]
     assert sorted(pairs) == [("#root", "#root"), ("div", "div"), ("li", "li"), ("p", "p"), ("ul", "ul")]
-    nodes = wrappers.nodes_from(wrappers.skeleton(a))
-    assert [n.tag for n in nodes] == [n.tag for n in wrappers.numbered(a)] and wrappers.numbered(nodes[0]) == nodes
+    tree, nodes = wrappers.tree_of("<div>a<p>1</p><ul><li>x<li>y</ul><p>2</p></div>")
+    again = wrappers.nodes_from(wrappers.skeleton(tree, nodes))
+    assert [(n.tag, n.digest, abs(n.size), [c.number for c in n.below]) for n in again] == [(n.tag, n.digest, n.size, [c.number for c in n.below]) for n in nodes]
+
+
+def brute_matching(x, y):
+    """The size of the largest simple tree matching, by trying all choices of the first children."""
+    if x.tag != y.tag:
+        return 0
+
+    def best(ps, qs):
+        if not ps or not qs:
+            return 0
+        return max(best(ps[1:], qs), best(ps, qs[1:]), brute_matching(ps[0], qs[0]) and brute_matching(ps[0], qs[0]) + best(ps[1:], qs[1:]))
+
+    return 1 + best(x.below, y.below)
+
+
+def test_matching_is_the_largest():
+    rng = random.Random(13)
+
+    def tree(depth):
+        return "".join(f"<{t}>{rng.choice('ab')}{tree(depth - 1) if depth else ''}</{t}>" for t in rng.choices(["div", "section", "ul"], k=rng.randint(0, 3)))
+
+    for _ in range(60):
+        a, b = (wrappers.tree_of(tree(2))[0] for _ in range(2))
+        pairs = wrappers.match(a, b)
+        assert len(pairs) == brute_matching(a, b) and all(x.tag == y.tag for x, y in pairs)
+
+
+def nameless(rng, i, article):
+    """A page without telling names: a menu of the section, a constant line, the article, a notice and a foot that vary by section."""
+    section = i % 5
+    menu = "".join(f"<li>Section {section} item {k}" for k in range(4))
+    return f"<body><div><ul>{menu}</ul></div><div>Welcome to the site</div><div>{article}</div><div>Offers of section {section} end soon</div><div>Imprint {section}</div></body>"
+
+
+def test_template_without_names(spark):
+    """Only what varies over the pages of a host tells the article here; without the template, all of each page would be its text."""
+    rng = random.Random(21)
+    rows, truth = [], {}
+    for i in range(60):
+        paragraphs = [prose(rng, 25) for _ in range(1 + i % 3)]
+        article = f"<h2>Title {i}</h2><div>Share this with friends</div>" + "".join(f"<p>{p}</p>" for p in paragraphs)
+        rows.append((i, f"http://plain.example/{i}", nameless(rng, i, article)))
+        truth[i] = "\n\n".join([f"Title {i}", *paragraphs])
+    rows += [(1000 + i, *r[1:]) for i, r in enumerate(rows[:3])] + [(None, *rows[4][1:])]  # copies, and a row without an id
+    pages = spark.createDataFrame([(*r, "x", i) for i, r in enumerate(rows)], "page_id long, url string, html string, host string, part int")
+    found = wrappers.extract(pages).collect()
+    assert len(found) == len(rows) and {r.page_id: r.text for r in found if r.page_id in truth} == truth
+    assert {r.page_id: r.text for r in found}[1001] == truth[1] and {r.page_id: r.text for r in found}[None] == truth[4]
+    assert wrappers.article_text(wrappers.tree_of(rows[0][2])[0], set()) != truth[0]
+
+
+def test_a_host_in_many_parts(spark, monkeypatch):
+    monkeypatch.setattr(wrappers, "BYTES_PER_PART", 2000)
+    rng = random.Random(22)
+    rows = [(i, f"http://plain.example/{i}", nameless(rng, i, f"<h2>Title {i}</h2><p>{prose(rng, 25)}</p>")) for i in range(60)]
+    found = {r.page_id: r.text for r in wrappers.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(found[i].startswith(f"Title {i}\n\n") and found[i].count("\n\n") == 1 for i in range(60))
+
+
+def test_deep_and_long_pages(spark):
+    deep = "<article>" + "<div>" * 3000 + "inside" + "</div>" * 3000 + "<p>end of the article text</p></article>"
+    inline = "<p>" + "<b>" * 5000 + "bold" + "</b>" * 5000 + " plain</p>"
+    long = "<article>" + "".join(f"<p>part {i}</p>" for i in range(3000)) + "</article>"
+    rows = [(i, "http://d.example/x", h) for i, h in enumerate((deep, inline, long, "</div>" * 2000 + "<p>x"))]
+    found = {r.page_id: r.text for r in wrappers.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert found == {0: "inside\n\nend of the article text", 1: "bold plain", 2: "\n\n".join(f"part {i}" for i in range(3000)), 3: "x"}
 
 
 # substring deduplication
@@ -409,6 +476,30 @@ def test_jaccard_join(spark, size, percent):
     assert [found[i] for i in range(len(texts))] == brute_components(texts, size, percent)
 
 
+def test_lists_that_are_long(spark, monkeypatch):
+    """Lists that are too long to be paired put their sets into one group; keys that stand twice in a set are two keys."""
+    monkeypatch.setattr(jaccard, "PAIRED", 3)
+    rng = random.Random(31)
+    base, texts = [prose(rng, 60).split() for _ in range(3)], []
+    for i in range(90):
+        now = list(base[i % 3])
+        for _ in range(rng.choice([0, 1, 2, 3])):
+            now[rng.randrange(60)] = rng.choice(WORDS)
+        texts.append(" ".join(now))
+    found = {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in jaccard.with_components(table(spark, texts)).collect()}
+    assert [found[i] for i in range(len(texts))] == brute_components(texts, 4, 85)
+    import numpy as np
+
+    keys = jaccard.instances(np.array([3, 3, 5, 9, 9, 9], dtype=np.uint32)).tolist()
+    assert len(set(keys)) == 6 and [k % 2**32 for k in keys] == [3, 3, 5, 9, 9, 9] and [k >> 32 for k in keys] == [0, 1, 0, 0, 1, 2]
+
+
+def test_jaccard_of_odd_rows(spark, odd, none):
+    found = jaccard.with_components(odd)
+    assert found.count() == odd.count() and jaccard.with_components(none).count() == 0
+    assert {(r.doc_id, r.component_id) for r in found.collect()} == {(r.doc_id, r.doc_id) for r in odd.collect()}
+
+
 def test_representatives(spark, odd, none):
     rng = random.Random(5)
     a, b = prose(rng, 50), prose(rng, 50)
