@@ -1,7 +1,8 @@
 """The training-data pipeline: quality rules, language identification, near-duplicate removal, substring dedup, packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; all but the last return the columns of documents.
-Nulls in any column and further columns pass through the filters; a document without text fails the quality rules; an empty table stays empty.
+Nulls in any column and further columns pass through the filters; a document without text fails the quality rules; rows that repeat a doc_id with the same
+text count once from the third stage on, rows without a doc_id are neither grouped nor cut; ties stay as the operators define; an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -22,8 +23,13 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is recognized; learned from those that name theirs, a quarter of which calibrates."""
+    """Documents whose language is recognized; learned from those that name theirs, a quarter of which calibrates.
+
+    Where no document names a language, none can be found unlike the learned ones, and only texts without letters are rejected.
+    """
     model = langid.fit(docs, F.lit(True), langid.fold(4) == 3)
+    if not model.languages:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
     names = tuple(scratch_name(docs, x) for x in ("lang", "score", "accepted"))
     return langid.identify(docs, model, added=names).where(names[2]).select(docs.columns)
 
@@ -48,7 +54,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality_rules", quality_rules), ("language_id", language_id), ("ngram_jaccard", ngram_jaccard), ("substring_dedup", substring_dedup), ("packing", packed)]
 
-#: Language identification, chunking and packing have no SQL; tests hold the pipeline against brute force.
+#: Language identification, chunking and packing have no SQL; tests/llm/test_pipeline.py holds every stage against a plain version.
 ORACLE_SQL = None
 
 
