@@ -88,9 +88,20 @@ def evaluation_set(rows: DataFrame, seed: int = 7, positive_limit: int | None =
 
 
 def stratified_split(rows: DataFrame, share: float, seed: int = 7, by: str = "label") -> DataFrame:
-    """rows with is_train: of each class the lowest hash ranks, round-half-even(share n)."""
-    ranked = _ranked(rows, seed, "split", [by])
-    return ranked.withColumn("is_train", F.col("n") <= F.bround(F.lit(share) * F.count("*").over(Window.partitionBy(by)), 0)).drop("n")
+    """rows with is_train: of each class the lowest hash ranks, round-half-even(share n).
+
+    Rows are counted by class and the first digits of their hash, so that no task ranks a whole class; only a count for each class reaches the driver.
+    """
+    name = F.concat(F.coalesce(F.col(by).cast("string"), F.lit("")), F.lit("|"))
+    marked = rows.withColumn("hash_rank", stable_rank(seed, F.lit("split"), F.col("scode"), F.col("trade_date")))
+    before, bounds = 0, []
+    for label, n in sorted(tuple(r) for r in marked.groupBy(name.alias("label")).count().collect()):
+        bounds += [F.lit(label), F.lit(before + round(share * n))]
+        before += n
+    if not bounds:
+        return marked.withColumn("is_train", F.lit(False))
+    placed = ordinals(marked, F.concat(name, F.substring("hash_rank", 1, 3)), [F.col("hash_rank"), F.col("scode"), F.col("trade_date")], "__n")
+    return placed.withColumn("is_train", F.col("__n") < F.create_map(*bounds)[name]).drop("__n")
 
 
 def window_arrays(anchors: DataFrame, bars: DataFrame, size: int, columns: tuple[str, ...] = COLUMNS) -> DataFrame:
@@ -164,9 +175,11 @@ def balanced_rows(rows: DataFrame, ratio: int, seed: int = 7, target: str = "dow
 def until_target(ranked: DataFrame, made: DataFrame, target: dict[str, int], order: str = "hash_rank") -> DataFrame:
     """Of each class the first `target` ranked events whose sample could be made (a row in `made`): what a loop that stops early keeps."""
     usable = ranked.join(made, ["scode", "trade_date"])
-    wanted = F.create_map(*[F.lit(x) for k, n in target.items() for x in (k, n)])
-    w = Window.partitionBy("label").orderBy(order, "scode", "trade_date")
-    return usable.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= wanted[F.col("label")]).drop("__n")
+    parts = [usable.where(F.col("label") == k).orderBy(order, "scode", "trade_date").limit(n) for k, n in target.items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def replacement_pool(candidates: DataFrame, excluded: DataFrame, wanted: int, seed: int = 7, attempts: int = 20, path: str | None = None) -> DataFrame:
