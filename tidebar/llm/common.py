@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -21,9 +22,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir of the session.
 
-    Only where that is unset (tests, a laptop) is a local temporary folder made and set.
+    Where that is unset, it is a folder of the warehouse, which is shared too; a session in one process (tests, a laptop) gets a local temporary one.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        found = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
     if not found:
         found = getattr(shared_dir, "own", None) or tempfile.mkdtemp(prefix="spark-tidebar-")
         shared_dir.own = found
