@@ -15,6 +15,7 @@ from __future__ import annotations
 import functools
 import gc
 import hashlib
+import heapq
 import itertools
 import json
 import os
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import most_frequent, stored, table
+from .common import most_frequent, slices, stored, table
 
 #: Most words of the lexicon that come from the corpus, and entries of a memo before it is emptied.
 FREQUENT_WORDS = 40_000
@@ -96,20 +97,28 @@ class Vocabulary:
         return found
 
     def merge(self, word: bytes) -> list[int]:
-        """Ids of a word by exact merging: always the pair of the lowest rank, the leftmost first."""
+        """Ids of a word by exact merging: always the pair of the lowest rank, the leftmost first. A heap holds the pairs, so long words cost n log n."""
         parts = [self.letters[b] for b in word]
         parts[-1] += self.end
-        ranks, none = self.ranks, len(self.ranks)
-        costs = [ranks.get(p, none) for p in zip(parts, parts[1:])]
-        while costs and (low := min(costs)) < none:
-            i = costs.index(low)
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
-            del costs[i]
-            if i < len(costs):
-                costs[i] = ranks.get((parts[i], parts[i + 1]), none)
-            if i:
-                costs[i - 1] = ranks.get((parts[i - 1], parts[i]), none)
-        return [self.ids[p] for p in parts]
+        n, ranks = len(parts), self.ranks
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(ranks[p], i) for i, p in enumerate(zip(parts, parts[1:])) if p in ranks]
+        heapq.heapify(heap)
+        while heap:
+            rank, i = heapq.heappop(heap)
+            j = after[i]
+            if not parts[i] or j == n or ranks.get((parts[i], parts[j])) != rank:  # one of the two has been merged since
+                continue
+            parts[i] += parts[j]
+            parts[j] = ""
+            after[i] = k = after[j]
+            if k < n:
+                before[k] = i
+                if (pair := (parts[i], parts[k])) in ranks:
+                    heapq.heappush(heap, (ranks[pair], i))
+            if (p := before[i]) >= 0 and (pair := (parts[p], parts[i])) in ranks:
+                heapq.heappush(heap, (ranks[pair], p))
+        return [self.ids[p] for p in parts if p]
 
 
 class Merger:
@@ -313,6 +322,9 @@ class AsIds:
 class Encoder:
     """Encodes texts with a vocabulary and a lexicon; keeps bounded memos of words and pieces, as the renderer makes them."""
 
+    #: Pieces that are put into the memo at a time, which bounds what that takes meanwhile.
+    LEARNED = 50_000
+
     def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon, render: AsIds):
         self.vocabulary, self.lexicon, self.render, self.merger = vocabulary, lexicon, render, merger_of(vocabulary)
         self.memo: dict[str, object] = {}
@@ -337,11 +349,13 @@ class Encoder:
 
     def learn(self, pieces: Iterable[str]) -> None:
         """Put pieces into the memo: words by the automaton, the rest by merging. Letters with a full stop or the like after them are the plain case."""
-        if len(self.known) > self.render.entries:
-            self.known = {}
         gc.disable()  # many small objects that live on: each pass over them would find nothing
         try:
-            self._learn(list(pieces))
+            waiting = iter(pieces)
+            while part := list(itertools.islice(waiting, self.LEARNED)):
+                if len(self.known) > self.render.entries // 4:  # most words come back as pieces, which the other memo holds
+                    self.known = {}
+                self._learn(part)
         finally:
             gc.enable()
 
@@ -465,7 +479,7 @@ def with_ids(df: DataFrame, path: str, lexicon: bytes, text: str = "text", out:
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_for(path, shared.value, AsIds())
-        for batch in batches:
+        for batch in slices(batches):
             ids = [[i for p in pieces for i in p] for pieces in encoder.batches(batch.column(at).to_pylist())]
             kept = [c for c in batch.schema.names if c != out]
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in kept] + [pa.array(ids, pa.list_(pa.int32()))], names=[*kept, out])
@@ -512,7 +526,7 @@ def digests(df: DataFrame, path: str, lexicon: bytes, text: str = "text", key: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_for(path, shared.value, _Digest(path))
-        for batch in batches:
+        for batch in slices(batches):
             counts, ids, decoded = [], [], []
             for pieces in encoder.batches(batch.column(1).to_pylist()):
                 sizes, numbers, words = zip(*filter(None, pieces)) if any(pieces) else ((), (), ())

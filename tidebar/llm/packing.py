@@ -22,17 +22,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import bpe
-from .common import id_text, stored, table
+from .common import id_text, slices, stored, table
 
 PIECES = "start long, length long, ids_crc32 long, doc_tokens long"
-#: Buckets in which the pieces of one length are ranked.
-BUCKETS = 64
+#: Pieces of one length that a bucket, in which they are ranked, holds on average.
+PIECES_PER_BUCKET = 20_000
 
 
 class _Packed(bpe.AsIds):
     """Renders ids as little-endian unsigned 32-bit numbers; they are small, so more of them are kept."""
 
-    entries = 500_000
+    entries = 300_000
 
     def word(self, ids: list[int]) -> bytes:
         return struct.pack(f"<{len(ids)}I", *ids)
@@ -51,9 +51,9 @@ def pieces(df: DataFrame, path: str, lexicon: bytes, window: int = 2048, end_id:
         encoder = bpe.encoder_for(path, shared.value, _Packed())
         end = np.array([end_id], dtype="<u4").tobytes()
         step = 4 * window
-        for batch in batches:
+        for batch in slices(batches):
             row, start, length, crc, total = [], [], [], [], []
-            for i, parts in enumerate(encoder.batches(batch.column(1).to_pylist(), 6_000_000)):
+            for i, parts in enumerate(encoder.batches(batch.column(1).to_pylist(), 3_000_000)):
                 data = memoryview(b"".join(parts) + end)
                 for at in range(0, len(data), step):
                     cut = data[at : at + step]
@@ -121,16 +121,17 @@ def plan(counts: dict[int, int], window: int) -> list[tuple[int, int, int, int,
 def pack(found: DataFrame, window: int = 2048, key: str = "doc_id") -> DataFrame:
     """Pieces (a `length` each, window at most) with their sequence_id and offset. `found` is read twice and should be stored."""
     spark = found.sparkSession
-    bucketed = found.withColumn("__bucket", F.crc32(F.concat_ws(":", id_text(key), "start")) % BUCKETS)
-    counts = bucketed.groupBy("length", "__bucket").count()
+    totals = {r[0]: r[1] for r in found.groupBy("length").count().collect()}  # a row for each length up to the window
+    sizes = spark.createDataFrame([(k, -(-n // PIECES_PER_BUCKET)) for k, n in totals.items()], "__sl long, __buckets long")
+    bucketed = found.join(F.broadcast(sizes), F.col("length") == F.col("__sl")).withColumn("__bucket", F.pmod(F.xxhash64(id_text(key), "start"), F.col("__buckets")))
+    counts = stored(bucketed.groupBy("length", "__bucket").count(), "buckets")
     before = Window.partitionBy("length").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(F.col("length").alias("__l"), F.col("__bucket").alias("__b"), F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__before"))
-    totals = {r[0]: r[1] for r in bucketed.groupBy("length").count().collect()}  # a row for each length up to the window
     rows = plan(totals, window)
     planned = spark.createDataFrame(rows, "__pl long, __first long, __end long, __n long, __sequence long, __at long")
     ranked = bucketed.withColumn("__r", F.row_number().over(Window.partitionBy("length", "__bucket").orderBy(key, "start")))
-    # both tables have at most window x BUCKETS rows, or a few rows for each length, whatever the input
-    ranked = ranked.join(F.broadcast(offsets), (F.col("length") == F.col("__l")) & (F.col("__bucket") == F.col("__b")))
+    # offsets have a row for each bucket of a length, fewer than one for 20,000 pieces and one for each length; Spark chooses how they are joined
+    ranked = ranked.join(offsets, (F.col("length") == F.col("__l")) & (F.col("__bucket") == F.col("__b")))
     ranked = ranked.withColumn("__rank", F.col("__before") + F.col("__r") - 1)
     placed = ranked.join(F.broadcast(planned), (F.col("length") == F.col("__pl")) & (F.col("__rank") >= F.col("__first")) & (F.col("__rank") < F.col("__end")))
     along = F.col("__rank") - F.col("__first")
