@@ -1,6 +1,8 @@
 """Each opN_ query over written tables with nulls, repeats, long texts, ties and clashing columns, and over empty ones."""
 
+import hashlib
 import random
+import re
 import zlib
 
 import pytest
@@ -20,7 +22,12 @@ COLUMNS = {
     "op8": {"doc_id", "n_tokens", "ids_sha256", "decoded_sha256"},
     "op9": {"doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"},
     "op10": {"doc_id", "n_shingles", "component_id"},
+    "op11": {"doc_id", "n_tokens", "ids_sha256", "decoded_sha256"},
+    "op12": {"doc_id", "n_features", "weight", "score", "rank"},
+    "op13": {"vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256"},
 }
+VECTORS = "vec_id long, embedding array<float>, label int, cluster string, distance string, vector string"
+BENCH = "item_id long, text string, bucket string, n string"
 EXTRA = "score string, accepted string, label string, key long, length int, `__words` string, toxicity string, host string, part int, removed_spans string"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, " + EXTRA
 PAGES = "page_id long, url string, html string, " + EXTRA
@@ -37,6 +44,7 @@ def filled(spark, tmp_path_factory):
     path = str(tmp_path_factory.mktemp("filled"))
     rng = random.Random(3)
     texts = texts_of(rng)
+    base = texts[4]
     clash = ("x", "x", "x", 1, 2, "x", "x", "x", 3, "x")
     rows = [(i, t, None if i % 5 == 0 else "en" if i % 2 else "de", "s", 1, *clash) for i, t in enumerate(texts)]
     rows += [rows[4], (None, "no id here", None, None, None, *clash)]
@@ -45,13 +53,19 @@ def filled(spark, tmp_path_factory):
     page = "<html><body><nav>menu</nav><article><h1>T</h1><p>{}</p></article></body></html>"
     pages = [(0, None, None, *clash), (1, "", "", *clash), (2, "http://a.b/c", page.format("same"), *clash), (2, "http://a.b/c", page.format("same"), *clash), (None, "http://a.b/d", page.format("other"), *clash), (4, "x", "<p>" * 2000, *clash)]
     spark.createDataFrame(pages, PAGES).write.parquet(f"{path}/pages.parquet")
+    axis = [[float(j == i) for j in range(64)] for i in range(50)]
+    vectors = [(i, v, 1, "x", "x", "x") for i, v in enumerate(axis)]
+    vectors += [(50, axis[7], 0, "x", "x", "x"), (7, axis[7], 0, "x", "x", "x"), (None, axis[3], 0, "x", "x", "x")]
+    vectors += [(60, None, 0, "x", "x", "x"), (61, [1.0], 0, "x", "x", "x"), (62, [None] * 64, 0, "x", "x", "x"), (63, [float("nan")] * 64, 0, "x", "x", "x"), (64, [float("-inf")] * 64, 0, "x", "x", "x")]
+    spark.createDataFrame(vectors, VECTORS).write.parquet(f"{path}/embeddings.parquet")
+    spark.createDataFrame([(1, base, "x", "x"), (1, base, "x", "x"), (None, None, "x", "x"), (2, "", "x", "x")], BENCH).write.parquet(f"{path}/benchmark.parquet")
     return path, rows
 
 
 @pytest.fixture(scope="module")
 def empty(spark, tmp_path_factory):
     path = str(tmp_path_factory.mktemp("empty"))
-    for name, schema in (("documents", DOCS), ("pages", PAGES), ("labels", "doc_id long, quality int, toxic int")):
+    for name, schema in (("documents", DOCS), ("pages", PAGES), ("labels", "doc_id long, quality int, toxic int"), ("embeddings", VECTORS), ("benchmark", BENCH)):
         spark.createDataFrame([], schema).write.parquet(f"{path}/{name}.parquet")
     return path
 
@@ -72,7 +86,7 @@ def fold(key, n):
     return zlib.crc32(("" if key is None else str(key)).encode()) % n
 
 
-@pytest.mark.parametrize("op", [op for op in COLUMNS if op not in ("op5", "op9")])
+@pytest.mark.parametrize("op", [op for op in COLUMNS if op not in ("op5", "op9", "op13")])
 def test_one_row_for_each_document(filled, found, op):
     rows = found(op)
     assert COLUMNS[op] <= set(rows[0].__fields__)
@@ -98,6 +112,14 @@ def test_one_row_for_each_document(filled, found, op):
             assert r.base_failed == (r.n_words < 50 or 100 * r.n_repeat_words > 50 * r.n_words) and not (r.kept and r.base_failed)
         elif op == "op7":
             assert r.n_removed == 0 if text is None else len(r.text) + r.n_removed == len(text)
+        elif op == "op11":
+            assert r.n_tokens >= 1 and r.decoded_sha256 == hashlib.sha256((text or "").encode()).hexdigest()
+        elif op == "op12":
+            assert r.n_features == len(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text or "", re.ASCII)) if text is None or text.islower() else r.n_features >= 0
+    if op == "op12":
+        able = [r for r in rows if r.n_features >= 20]
+        assert sorted(r.rank for r in rows if r.rank) == list(range(1, 10 * len(able) // 100 + 1))
+        assert [r.score for r in sorted((r for r in able if r.rank), key=lambda r: r.rank)] == sorted((r.score for r in able), reverse=True)[: 10 * len(able) // 100]
     if op == "op4":
         assert len({r.fingerprint for r in rows if texts[r.doc_id] == texts[4]}) == 1
     if op == "op10":
@@ -122,3 +144,12 @@ def test_one_row_for_each_page(found):
     rows = found("op5")
     assert sorted((r.page_id is None, r.page_id or 0, r.text, r.n_chars) for r in rows) == [
         (False, 0, "", 0), (False, 1, "", 0), (False, 2, "T\n\nsame", 7), (False, 2, "T\n\nsame", 7), (False, 4, "", 0), (True, 0, "T\n\nother", 8)]
+
+
+def test_one_row_for_each_whole_vector(found):
+    rows = found("op13")
+    assert sorted((r.vec_id is None, r.vec_id or 0) for r in rows) == sorted([(False, i) for i in range(51)] + [(False, 7), (True, 0)])
+    assert len({r.inertia for r in rows}) == 1 and rows[0].inertia == sum(r.distance for r in rows)
+    for i in {r.cluster for r in rows}:
+        own = [r for r in rows if r.cluster == i]
+        assert {r.cluster_inertia for r in own} == {sum(r.distance for r in own)} and len({r.centroid_sha256 for r in own}) == 1

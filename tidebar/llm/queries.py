@@ -1,8 +1,8 @@
 """The queries of this subpackage and their SQL, for __spark_entry__."""
 
-from . import bpe, fingerprints, jaccard, langid, packing, quality, sharding, substrings, toxicity, wrappers
+from . import bpe, centroids, fingerprints, jaccard, langid, packing, pieces, quality, resampling, sharding, substrings, toxicity, wrappers
 
-MODULES = (langid, toxicity, fingerprints, wrappers, sharding, quality, substrings, bpe, packing, jaccard)
+MODULES = (langid, toxicity, fingerprints, wrappers, sharding, quality, substrings, bpe, packing, jaccard, pieces, resampling, centroids)
 
 
 def queries() -> dict:
