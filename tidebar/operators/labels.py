@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidebar.functions.scalars import message_driven
-
 from .bars import along, asof_backward, with_index, with_leads
+from .mentions import stock_mentions
 
 
 def surge_events(bars: DataFrame, start: str, end: str, first: str | None = None, last: str | None = None, ahead: int = 3, gain: float = 0.20) -> DataFrame:
@@ -89,15 +88,17 @@ def selection_backfill(events: DataFrame, bars: DataFrame) -> DataFrame:
 def told_by_news(events: DataFrame, news: DataFrame, keywords: list[str], days: int = 3) -> DataFrame:
     """Events (scode, sname, selection_date) of which news within `days` calendar days tells, by name or code and a keyword.
 
-    Events spread to the days around them, so the join is by day. News that names no stock by a keyword is left out first.
+    News without a keyword is left out first; the stocks that the rest names are found in one scan of each text, and each mention spreads to the
+    days around it, so the join is by stock and day.
     """
-    spread = events.select("scode", "sname", "selection_date").distinct().withColumn("day", F.explode(F.sequence(F.date_sub("selection_date", days), F.date_add("selection_date", days))))
+    text = F.concat_ws(" ", "title", "summary")
     told = F.lit(False)
     for k in keywords:
-        told = told | F.contains(F.concat_ws(" ", "title", "summary"), F.lit(k))
-    dated = news.where(told).select(F.to_date("publish_time").alias("day"), "title", "summary")
-    hit = message_driven(F.col("title"), F.col("summary"), F.col("sname"), F.col("scode"), keywords)
-    return spread.join(dated, "day").where(hit).select("scode", "selection_date").distinct()
+        told = told | F.contains(text, F.lit(k))
+    dated = news.where(told).select(F.to_date("publish_time").alias("day"), text.alias("text")).where("day IS NOT NULL")
+    named = stock_mentions(dated, events.select("scode", "sname").distinct())
+    near = named.select("scode", F.explode(F.sequence(F.date_sub("day", days), F.date_add("day", days))).alias("selection_date")).distinct()
+    return events.select("scode", "selection_date").distinct().join(near, ["scode", "selection_date"], "left_semi")
 
 
 def without_news(events: DataFrame, news: DataFrame, keywords: list[str], days: int = 3) -> DataFrame:

@@ -10,6 +10,8 @@ from pyspark.sql.window import Window
 
 from tidebar.functions.scalars import clean_text, json_strings, joined_hash, occurrences, parse_heat
 
+from .mentions import stock_mentions
+
 #: Fixed value: concepts of a news row at most.
 MOST_CONCEPTS = 10
 #: Credibility level of sources (1 best), 5 for others.
@@ -93,21 +95,22 @@ def stock_scores(news: DataFrame, stocks: DataFrame, heat: DataFrame, concepts:
     """scode, news_score and hot_concepts (the three highest).
 
     A concept's keywords count alike for every stock, so a row's keyword part is computed once and summed by concept. Only rows that name a
-    stock differ: names are looked up by their words, an equal join, and the difference that the name makes is added to the stock.
+    stock differ: the names in a text are found in one scan of it, and the difference that a name makes is added to the stock.
     """
     table = F.create_map(*[F.lit(x) if isinstance(x, str) else F.array(*[F.lit(k) for k in x]) for pair in concepts.items() for x in pair])
+    heats = heat.agg(F.map_from_entries(F.collect_list(F.struct("concept", "heat"))).alias("heats"))  # a row for each concept
     text = F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("summary", F.lit("")))
-    told = news.select(text.alias("text"), F.xxhash64(text).alias("h"), "heat", "credibility_level", "concepts")
-    rows = told.select("text", "h", "heat", "credibility_level", F.posexplode(F.slice("concepts", 1, MOST_CONCEPTS)).alias("rank", "concept"))
-    rows = rows.join(F.broadcast(heat.withColumnRenamed("heat", "concept_heat")), "concept")  # a row for each concept
-    weight = F.col("concept_heat") * (MOST_CONCEPTS - F.col("rank")) / MOST_CONCEPTS * (11 - F.col("credibility_level")) / 10 * (1 + F.least(F.coalesce("heat", F.lit(0)), F.lit(100000)) / 100000)
-    rows = rows.withColumn("weight", weight).withColumn("plain", match_score(F.lit(""), F.col("text"), F.coalesce(table[F.col("concept")], F.array().cast("array<string>"))))
-    common = rows.groupBy("concept").agg(F.sum(F.col("weight") * F.col("plain")).alias("common"))
-    first = F.split(F.col("sname"), " ")[0]
-    named = stocks.where(F.length("sname") > 0).select("scode", "sname", first.alias("word"))
-    words = told.select("h", F.explode(F.array_distinct(F.split("text", " "))).alias("word"))
-    maybe = words.join(named, "word").select("h", "scode", "sname").distinct()  # by the text's hash, so that no text is repeated for its words
-    hits = rows.join(maybe, "h").where(F.contains("text", F.col("sname"))).groupBy("scode", "concept").agg(F.sum(F.col("weight") * (1 - F.col("plain"))).alias("more"))
+    told = news.select(text.alias("text"), "heat", "credibility_level", "concepts").crossJoin(F.broadcast(heats))
+    grade = (11 - F.col("credibility_level")) / 10 * (1 + F.least(F.coalesce("heat", F.lit(0)), F.lit(100000)) / 100000)
+
+    def part(concept: Column, rank: Column) -> Column:
+        weight = F.col("heats")[concept] * (MOST_CONCEPTS - rank) / MOST_CONCEPTS * grade
+        return F.struct(concept.alias("concept"), weight.alias("weight"), match_score(F.lit(""), F.col("text"), F.coalesce(table[concept], F.array().cast("array<string>"))).alias("plain"))
+
+    told = told.select("text", F.filter(F.transform(F.slice("concepts", 1, MOST_CONCEPTS), part), lambda p: p["weight"].isNotNull()).alias("parts")).where(F.size("parts") > 0)
+    common = told.select(F.explode("parts").alias("p")).groupBy(F.col("p.concept").alias("concept")).agg(F.sum(F.col("p.weight") * F.col("p.plain")).alias("common"))
+    named = stock_mentions(told, stocks, codes=False).select("scode", F.explode("parts").alias("p"))
+    hits = named.groupBy("scode", F.col("p.concept").alias("concept")).agg(F.sum(F.col("p.weight") * (1 - F.col("p.plain"))).alias("more"))
     every = stocks.select("scode").crossJoin(F.broadcast(common))  # a row for each concept
     scored = every.join(hits, ["scode", "concept"], "left").select("scode", "concept", (F.col("common") + F.coalesce("more", F.lit(0.0))).alias("score")).where("score > 0")
     ordered = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), F.col("concept"))))

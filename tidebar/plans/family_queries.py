@@ -417,7 +417,7 @@ SCHEDULE_SQL = f"""{PRICED_SQL}, nexts AS (SELECT scode, trade_date AS selection
 def portfolio_schedule(spark, d):
     b = daily(spark, d)
     found = portfolio.schedule(signals.ma_bullish(b).select("scode", "trade_date"), b)
-    return found.select("scode", "selection_date", "buy_date", "price", "shares", F.col("path")[0]["trade_date"].alias("path_1"))
+    return found.select("scode", "selection_date", "buy_date", "price", "shares", F.get("path", F.lit(0))["trade_date"].alias("path_1"))
 
 
 @query(f"""WITH RECURSIVE {BARS_SQL}, {STOCKS_SQL}, {SIGNALS_SQL}, days AS MATERIALIZED (SELECT trade_date, row_number() OVER (ORDER BY trade_date) - 1 AS i FROM (SELECT DISTINCT trade_date FROM bars)),
@@ -532,10 +532,10 @@ def valid_samples(spark, d):
     return found.select("scode", "trade_date", F.coalesce(datasets.valid_windows(F.col("bars"), F.col("bars"), F.array(), "short"), F.lit(False)).alias("valid"))
 
 
-@query(f"{SCORED} SELECT scode, trade_date, label FROM scored WHERE label IN ('positive', 'negative') AND trade_date BETWEEN DATE '{START}' AND DATE '{END}'")
+@query(f"{SCORED} SELECT scode, trade_date, label FROM scored WHERE label IN ('positive', 'negative')")
 def labelled_union(spark, d):
-    """Positive and negative events of a range as one stream."""
-    rows = scans.between(scored(spark, d).select("scode", "trade_date", F.col("actual").alias("label")), START, END)
+    """Positive and negative events as one stream."""
+    rows = scored(spark, d).select("scode", "trade_date", F.col("actual").alias("label"))
     return rows.where("label = 'positive'").unionByName(rows.where("label = 'negative'"))
 
 

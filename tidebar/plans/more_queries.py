@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidebar.functions import scalars as S
-from tidebar.operators import bars, datasets, labels, metrics, news, patterns, portfolio, signals
+from tidebar.operators import bars, datasets, labels, mentions, metrics, news, patterns, portfolio, signals
 from tidebar.sources import derived, raw, store
 from tidebar.sources.derived import BARS_SQL, CONCEPTS, NEWS_SQL, STOCKS_SQL, TODAY
 
@@ -162,15 +162,34 @@ def concept_heat(spark, d):
 
 HEAT_SQL = "heats AS (SELECT concept, count(*) / (SELECT count(*) FROM news) AS ch FROM (SELECT unnest(concepts) AS concept FROM concepts) GROUP BY 1)"
 KEYS_SQL = "keys(concept, words) AS (VALUES " + ", ".join(f"('{k}', [{', '.join(repr(w) for w in v)}])" for k, v in CONCEPTS.items()) + ")"
-SCORES_SQL = f"""{CONCEPT_SQL}, {HEAT_SQL}, {KEYS_SQL}, flat AS (SELECT coalesce(title, '') || ' ' || coalesce(summary, '') || CASE WHEN doc_id % 5 = 0 THEN ' ' || 'Supplier#' || lpad(CAST(doc_id % 20 AS VARCHAR), 9, '0') ELSE '' END AS text,
+#: Every fifth text names a stock in the middle of a sentence, unspaced, and every fifth gives its code.
+NAMED_SQL = """(substring(coalesce(summary, ''), 1, 30) || CASE WHEN doc_id % 5 = 0 THEN '据悉' || (CASE WHEN doc_id % 20 % 7 = 3 THEN '*ST ' WHEN doc_id % 20 % 11 = 5 THEN '退市' ELSE '' END) || 'Supplier#' || lpad(CAST(doc_id % 20 AS VARCHAR), 9, '0') || '，发布公告'
+    WHEN doc_id % 5 = 1 THEN '（' || lpad(CAST(doc_id % 10 AS VARCHAR), 6, '0') || '）' ELSE '' END || substring(coalesce(summary, ''), 31))"""
+SCORES_SQL = f"""{CONCEPT_SQL}, {HEAT_SQL}, {KEYS_SQL}, flat AS (SELECT coalesce(title, '') || ' ' || {NAMED_SQL} AS text,
         heat, credibility_level, c.concept, c.rank FROM concepts, LATERAL (SELECT unnest(concepts) AS concept, generate_subscripts(concepts, 1) AS rank) c),
     weighed AS (SELECT f.*, ch * (11 - rank) / 10.0 * (11 - credibility_level) / 10.0 * (1 + least(coalesce(heat, 0), 100000) / 100000) AS weight, len(list_filter(words, lambda w: contains(text, w))) * 0.15 AS kw FROM flat f JOIN heats USING (concept) JOIN keys USING (concept)),
     per AS (SELECT s.scode, w.concept, sum(weight * least(1.0, kw + CASE WHEN contains(text, sname) THEN 1.0 ELSE 0.0 END)) AS score FROM stocks s, weighed w GROUP BY 1, 2 HAVING score > 0)"""
 
 
+def with_names(rows):
+    """News that names stocks in mid-sentence, as NAMED_SQL does."""
+    key, summary = F.col("doc_id") % 20, F.coalesce("summary", F.lit(""))
+    named = F.concat(F.lit("据悉"), derived.name_prefix(key), F.lit("Supplier#"), F.lpad(key.cast("string"), 9, "0"), F.lit("，发布公告"))
+    code = F.concat(F.lit("（"), F.lpad((F.col("doc_id") % 10).cast("string"), 6, "0"), F.lit("）"))
+    middle = F.when(F.col("doc_id") % 5 == 0, named).when(F.col("doc_id") % 5 == 1, code).otherwise("")
+    return rows.withColumn("__summary", summary).withColumn("summary", F.concat(F.substring("__summary", 1, 30), middle, F.expr("substring(__summary, 31)"))).drop("__summary")
+
+
 def named_news(spark, d):
-    name = F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit(" Supplier#"), F.lpad((F.col("doc_id") % 20).cast("string"), 9, "0"))).otherwise("")
-    return news.with_concepts(derived.news(spark, d), CONCEPTS).withColumn("summary", F.concat(F.coalesce("summary", F.lit("")), name))
+    return with_names(news.with_concepts(derived.news(spark, d), CONCEPTS))
+
+
+@query(f"""WITH {NEWS_SQL}, {STOCKS_SQL}, texts AS (SELECT news_link, coalesce(title, '') || ' ' || {NAMED_SQL} AS text FROM news)
+    SELECT news_link, scode FROM texts JOIN stocks ON contains(text, sname) OR contains(text, scode)""")
+def stock_mentions(spark, d):
+    """The stocks that each news row names, by name or code, anywhere in its text."""
+    rows = named_news(spark, d).select("news_link", F.concat_ws(" ", F.coalesce("title", F.lit("")), "summary").alias("text"))
+    return mentions.stock_mentions(rows, derived.stocks(spark, d))
 
 
 def plain_stocks(spark, d):
@@ -347,11 +366,11 @@ def simulated(spark, d):
     """(positions bought, trading days): signals of the moving averages, cooled and limited, under all stop-loss rules."""
     b = daily(spark, d)
     days = bars.calendar(b)
-    found = signals.ma_bullish(b).join(derived.stocks(spark, d).select("scode", "sname"), "scode").where(f"trade_date BETWEEN DATE '{START}' AND DATE '{END}'")
+    found = signals.ma_bullish(b).join(derived.stocks(spark, d).select("scode", "sname"), "scode")
     chosen = portfolio.selected(found, days, limit=3)
     scheduled = portfolio.schedule(chosen.select("scode", "trade_date", "score"), b)
-    wanted = days.where(f"trade_date >= DATE '{START}'").select("trade_date")
-    return portfolio.simulate(scheduled, wanted, END), wanted
+    wanted = days.select("trade_date")
+    return portfolio.simulate(scheduled, wanted, TODAY), wanted
 
 
 @query()

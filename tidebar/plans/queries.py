@@ -14,8 +14,8 @@ from tidebar.sources.derived import BARS_SQL, NEWS_SQL, STOCKS_SQL, TODAY
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
 
-#: Range in which events and signals are looked for.
-START, END = "1999-01-01", "2000-12-31"
+#: Days between which events are looked for: all that the views can have.
+START, END = "1900-01-01", TODAY
 W = "PARTITION BY scode ORDER BY trade_date"
 
 WEEKLY_SQL = f"""weekly AS (
@@ -195,13 +195,13 @@ def surge_events(spark, d):
 NEWS_WORDS = ("the", "der", "les")
 
 
-@query(f"""WITH {BARS_SQL}, {STOCKS_SQL}, {NEWS_SQL}, ev AS (SELECT scode, trade_date AS selection_date FROM bars WHERE trade_date BETWEEN DATE '2001-01-01' AND DATE '2001-03-31'),
-    words AS (SELECT CAST(publish_time AS DATE) AS day, title || ' ' || summary || CASE WHEN doc_id % 3 = 0 THEN ' ' || lpad(CAST(doc_id % 10 AS VARCHAR), 6, '0') ELSE '' END AS text FROM news)
-    SELECT e.scode, e.selection_date FROM ev e JOIN stocks s ON s.scode = e.scode WHERE NOT EXISTS (SELECT 1 FROM words n WHERE n.day BETWEEN e.selection_date - 3 AND e.selection_date + 3 AND (contains(text, sname) OR contains(text, e.scode))
-        AND (contains(text, 'the') OR contains(text, 'der') OR contains(text, 'les')))""")
+@query(f"""WITH {BARS_SQL}, {STOCKS_SQL}, {NEWS_SQL},
+    words AS (SELECT CAST(publish_time AS DATE) AS day, title || ' ' || summary || CASE WHEN doc_id % 3 = 0 THEN '代码' || lpad(CAST(doc_id % 10 AS VARCHAR), 6, '0') || '。' ELSE '' END AS text FROM news),
+    told AS (SELECT DISTINCT day, scode FROM words JOIN stocks ON contains(text, sname) OR contains(text, scode) WHERE contains(text, 'the') OR contains(text, 'der') OR contains(text, 'les'))
+    SELECT b.scode, b.trade_date AS selection_date FROM bars b JOIN stocks USING (scode) WHERE NOT EXISTS (SELECT 1 FROM told t WHERE t.scode = b.scode AND t.day BETWEEN b.trade_date - 3 AND b.trade_date + 3)""")
 def surge_message_filter(spark, d):
-    events = daily(spark, d).where("trade_date BETWEEN DATE '2001-01-01' AND DATE '2001-03-31'").select("scode", F.col("trade_date").alias("selection_date")).join(derived.stocks(spark, d).select("scode", "sname"), "scode")
-    code = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit(" "), F.lpad((F.col("doc_id") % 10).cast("string"), 6, "0"))).otherwise("")
+    events = daily(spark, d).select("scode", F.col("trade_date").alias("selection_date")).join(derived.stocks(spark, d).select("scode", "sname"), "scode")
+    code = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("代码"), F.lpad((F.col("doc_id") % 10).cast("string"), 6, "0"), F.lit("。"))).otherwise("")
     told = derived.news(spark, d).withColumn("summary", F.concat("summary", code))
     return labels.without_news(events, told, list(NEWS_WORDS)).select("scode", "selection_date")
 

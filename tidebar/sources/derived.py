@@ -41,10 +41,14 @@ BARS_SQL = """bars AS (
     GROUP BY 1, 2)"""
 
 
+def name_prefix(key):
+    return F.when(key % 7 == 3, "*ST ").when(key % 11 == 5, "退市").otherwise("")
+
+
 def stocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """scode, sname and nation of each supplier; every seventh is specially treated, every eleventh delisted."""
     key = F.col("s_suppkey")
-    prefix = F.when(key % 7 == 3, "*ST ").when(key % 11 == 5, "退市").otherwise("")
+    prefix = name_prefix(key)
     return table(spark, sf_dir, "supplier").select(F.lpad(key.cast("string"), 6, "0").alias("scode"), F.concat(prefix, "s_name").alias("sname"), F.col("s_nationkey").alias("nation"))
 
 
