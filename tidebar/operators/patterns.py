@@ -7,6 +7,9 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidebar.sources.scratch import released, stored
+
+from . import itemsets
 from .bars import ordinals
 
 SEPARATOR = " && "
@@ -48,22 +51,52 @@ def matches(pattern: Column, tokens: Column) -> Column:
 
 
 def support(events: DataFrame, features: DataFrame, most: int = 2) -> DataFrame:
-    """pattern (text) and its number of events (scode, trade_date) with full windows."""
+    """pattern (text) and its number of events (scode, trade_date) with full windows; patterns of any size, those above 3 level by level."""
+    if most > 3:
+        return frequent(features, events, most)
     met = features.join(events.select("scode", "trade_date"), ["scode", "trade_date"])
     return met.select(F.explode(combinations(F.col("tokens"), most)).alias("c")).groupBy(pattern_text(F.col("c")).alias("pattern")).agg(F.count("*").alias("positive_support"))
 
 
+def frequent(features: DataFrame, events: DataFrame, most: int, least_support: int = 1) -> DataFrame:
+    """pattern, positive_support and feature_count of the token sets of 1 to `most` that `least_support` events have."""
+    met = features.join(events.select("scode", "trade_date"), ["scode", "trade_date"]).select(F.col("tokens").alias("items"))
+    found = itemsets.frequent_itemsets(met, least_support, most)
+    return found.select(pattern_text(F.col("items")).alias("pattern"), F.col("support").alias("positive_support"), F.size("items").alias("feature_count"))
+
+
+def matched(features: DataFrame, patterns: DataFrame) -> DataFrame:
+    """scode, trade_date and pattern: every bar with each stored pattern (text, of any size) that it matches."""
+    wanted = patterns.select("pattern").distinct().withColumn("pattern_items", parse_pattern(F.col("pattern")))
+    return itemsets.divided(features.select("scode", "trade_date", "tokens"), wanted, "tokens").drop("pattern_items")
+
+
+def rates(patterns: DataFrame, features: DataFrame, positives: DataFrame) -> DataFrame:
+    """pattern, sample_count, success_count and success_rate of stored patterns of any size over all bars; those that no bar matches are left out."""
+    keys = positives.select("scode", "trade_date").distinct().withColumn("__hit", F.lit(1))
+    hits = matched(features.join(keys, ["scode", "trade_date"], "left").select("scode", F.struct("trade_date", "__hit").alias("trade_date"), "tokens"), patterns)
+    counted = hits.groupBy("pattern").agg(F.count("*").alias("sample_count"), F.count("trade_date.__hit").alias("success_count"))
+    return counted.withColumn("success_rate", F.col("success_count") / F.col("sample_count"))
+
+
 def evaluate(candidates: DataFrame, features: DataFrame, positives: DataFrame, most: int = 2, thresholds: tuple[float, ...] = (0.5,), least_samples: int = 1) -> DataFrame:
     """One row for each candidate and threshold that it passes, over every bar with full windows.
 
     Combinations of a bar's tokens meet the candidates by an equal join after they are counted by pattern, so the join is between
-    two tables of patterns and no pair of bar and candidate is ever made.
+    two tables of patterns and no pair of bar and candidate is ever made. Candidates of more than 3 tokens are found by division instead.
     """
+    if most > 3:
+        found = candidates.join(rates(candidates, features, positives), "pattern")
+        return _passed(found, thresholds, least_samples)
     keys = positives.select("scode", "trade_date").distinct().withColumn("__hit", F.lit(1))
     rows = features.join(keys, ["scode", "trade_date"], "left")
     counted = rows.select(F.explode(combinations(F.col("tokens"), most)).alias("c"), "__hit").groupBy(pattern_text(F.col("c")).alias("pattern")).agg(
         F.count("*").alias("sample_count"), F.count("__hit").alias("success_count"))
-    found = candidates.join(counted, "pattern").withColumn("success_rate", F.col("success_count") / F.col("sample_count"))
+    return _passed(candidates.join(counted, "pattern").withColumn("success_rate", F.col("success_count") / F.col("sample_count")), thresholds, least_samples)
+
+
+def _passed(found: DataFrame, thresholds: tuple[float, ...], least_samples: int) -> DataFrame:
+    """A row for each threshold that a pattern passes."""
     found = found.where((F.col("sample_count") >= least_samples) & (F.col("success_rate") >= min(thresholds)))
     passed = F.filter(F.array(*[F.lit(t) for t in sorted(thresholds)]), lambda t: t <= F.col("success_rate"))
     return found.withColumn("min_success_rate", F.explode(passed)).withColumn("feature_count", F.size(F.split("pattern", SEPARATOR)))
@@ -74,7 +107,11 @@ def mined(features: DataFrame, positives: DataFrame, vocabulary: list[str], most
 
     As an event has one bar, a pattern's support is its number of successes, so each bar's combinations are counted once, with and without an event. Tokens
     are numbered by the vocabulary (sorted; its size does not follow the data), a combination is one integer, and text is made of those that are left.
+    Beyond 3 tokens candidates come level by level from the events, and are evaluated by division; they have no code.
     """
+    if most > 3:
+        found = evaluate(frequent(features, positives, most, least_support).drop("feature_count"), features, positives, most, thresholds, least_samples)
+        return found.select("pattern", F.lit(None).cast("long").alias("code"), "positive_support", "sample_count", "success_count", "success_rate", "min_success_rate", "feature_count")
     keys = positives.select("scode", "trade_date").distinct().withColumn("__hit", F.lit(1))
     counted = features.join(keys, ["scode", "trade_date"], "left").select(F.explode(codes(F.col("tokens"), vocabulary, most)).alias("code"), "__hit")
     counted = counted.groupBy("code").agg(F.count("*").alias("sample_count"), F.count("__hit").alias("success_count"))
@@ -152,17 +189,23 @@ def selection_order(found: DataFrame, closes: DataFrame, limit: int) -> DataFram
 
 
 def goal_search(features: DataFrame, train: DataFrame, held: DataFrame, sizes: tuple[int, ...], supports: tuple[int, ...], goal: float, least_samples: int = 1) -> DataFrame:
-    """The grid of sizes and supports, from large supports down: the patterns of the first point that has any which reach the goal on the held events too."""
+    """The grid of sizes and supports, from large supports down: the patterns of the first point that has any which reach the goal on the held events too.
+
+    The patterns of a size are counted once for the whole grid, with the events of both sets, and kept as a stored table.
+    """
+    keep = ("pattern", "positive_support", "sample_count", "success_count", "success_rate", "min_success_rate", "feature_count")
     for size in sizes:
-        counted = support(train, features, size).cache()
-        for least in sorted(supports, reverse=True):
-            candidates = counted.where(F.col("positive_support") >= least)
-            good = evaluate(candidates, features, train, size, (goal,), least_samples).select("pattern", "positive_support")
-            found = evaluate(good, features, held, size, (goal,), least_samples)
-            if found.take(1):
-                return found
-        counted.unpersist()
-    return evaluate(support(train, features, 1).where("false"), features, held, 1, (goal,), least_samples)
+        own = support(train, features, size).where(F.col("positive_support") >= min(supports))
+        own = stored(evaluate(own, features, train, size, (goal,), least_samples).select("pattern", "positive_support"), "goal")
+        both = stored(evaluate(own, features, held, size, (goal,), least_samples), "held")
+        released(own)
+        most = both.agg(F.max("positive_support")).first()[0]
+        least = max((x for x in supports if most is not None and x <= most), default=None)
+        if least is not None:
+            return both.where(F.col("positive_support") >= least).select(*keep)
+        released(both)
+    none = support(train, features, 1).where("false").withColumns({"sample_count": F.lit(0).cast("long"), "success_count": F.lit(0).cast("long"), "success_rate": F.lit(0.0)})
+    return _passed(none, (goal,), least_samples).select(*keep)
 
 
 def evenly_spaced(rows: DataFrame, order: list[str], limit: int) -> DataFrame:
