@@ -3,14 +3,14 @@
 The channel: a letter may have been written as a look-alike sign (leetspeak, or a letter of another script), repeated, or set apart by separators or
 blanks. A token that shows such signs becomes a lattice: at each position the letters that it can stand for, or nothing. Viterbi decoding finds the
 best path under a trigram language model of characters (counted over all documents) and the channel's costs; plain tokens have one path and are
-taken as they are. Letters of all scripts stand for themselves; those outside Latin are one class of the model. In a run of single characters, and
-between two tokens that together are a word of the lexicon, a blank stands for nothing or for the end of a word, as the model has it; a run is also
-decoded as one word.
+taken as they are. Letters of all scripts stand for themselves; those outside Latin are one class of the model. A separator within a token stands for
+nothing or for the end of a word, as the model has it, and so does a blank in a run of single characters, and between two tokens that together are a word
+of the lexicon; what comes out as several words is also looked up as one. A run of one sign parts a token into several, each of which is decoded.
 
 Restored words are scored by a lexicon learned from labelled rows: for words and word beginnings the log-odds of the label, less two standard
 errors, counted once for each group of near copies. A text's score is the logistic of the prior and its words, the strongest first, each with
-nine tenths of the say of the one before; in a text that is longer than clean ones are on average, each word counts less by the logarithm of how much longer,
-as chance finds more in it.
+eight tenths of the say of the one before; in a text that is longer than clean ones are on average, what each word adds to even odds is divided by how much
+longer, as chance finds more in it. No word is left out for the text's length.
 
 Edge cases: null and empty texts score the prior; texts without labels are scored alike; a label other than 0 or 1, or null, is not learned from;
 without labels all scores are 0.25; repeated rows score alike; an empty table gives an empty result; a very long token takes time in proportion to its
@@ -41,9 +41,9 @@ LEAST_GROUPS, LEAST_WEIGHT = 2, 1.0
 #: Lengths of word beginnings.
 BEGINNINGS = (4, 5, 6)
 #: Say of a hit beside that of the next stronger one, so that long texts don't add up weak ones.
-LESS = 0.9
-#: Letters of a restored word that came out of a run of single characters, or of two tokens, at least.
-LEAST_LETTERS = 4
+LESS = 0.8
+#: Letters of a restored word that came out of a run of single characters at least, and of one that came out of two tokens.
+LEAST_LETTERS, LEAST_OF_TWO = 3, 4
 #: The entry under which a task counts the tokens of clean texts.
 TOKENS = " "
 #: Words that a worker remembers.
@@ -105,7 +105,7 @@ def options_of(sign: str) -> tuple[tuple[str, int, float], ...]:
     if sign == " ":
         options += [(" ", 0, 0.0), ("", 0, SEPARATED)]
     elif sign in SEPARATORS:
-        options.append(("", 0, SEPARATED))
+        options += [(" ", 0, SEPARATED), ("", 0, SEPARATED)]
     elif not sign.isalpha():
         options.append(("", 0, DROPPED))
     return tuple(options)
@@ -142,7 +142,7 @@ def restore(token: str, model: CharacterModel) -> str:
 def words_behind(token: str, model: CharacterModel) -> list[str]:
     """A token's words in lower case: itself if it is plain, else decoded. Decoration at its edges is no sign of anything.
 
-    A token with blanks is a run of single characters: its words, and the run as one word.
+    A token with blanks is a run of single characters: its words, and the run as one word. So it is with what a run of one sign has cut into single letters.
     """
     if " " in token:
         run = token.lower()
@@ -152,7 +152,11 @@ def words_behind(token: str, model: CharacterModel) -> list[str]:
     if PLAIN.match(core) and not TRIPLE.search(core) and not (FOREIGN.search(core) and LATIN.search(core)):
         return [core]
     parts = [p for p in core.split() if any(c.isalpha() for c in p)]
-    return [restore(max(parts, key=len), model)] if parts else []
+    found = set()
+    for part in [*parts, "".join(parts)] if len(parts) > 2 and max(map(len, parts)) == 1 else parts:
+        words = restore(part, model).split()
+        found.update(words, ["".join(words)])
+    return sorted(found - {""})
 
 
 def spaced_words(text: str) -> list[str]:
@@ -179,7 +183,7 @@ class Model:
         #: For the first part of a word that is cut in two, the second parts.
         self.halves: dict[str, set[str]] = {}
         for word in self.weights:
-            if len(word) > LEAST_LETTERS and word.isalpha():
+            if len(word) > LEAST_OF_TWO and word.isalpha():
                 for i in range(2, len(word) - 1):
                     self.halves.setdefault(word[:i], set()).add(word[i:])
 
@@ -210,7 +214,7 @@ class Model:
         listed = (text or "").split()
         tokens = {*listed, *spaced_words(text or ""), *self.cut_words(listed)}
         less = math.log(max(1.0, len(tokens) / self.usual))
-        hits = sorted((w - less for t in tokens if (w := self.weight(t)) > less), reverse=True)
+        hits = sorted((math.log1p(math.expm1(w) * math.exp(-less)) for t in tokens if (w := self.weight(t)) > 0), reverse=True)
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.prior + sum(w * LESS**i for i, w in enumerate(hits))))))
 
 
