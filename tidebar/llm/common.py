@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidebar.sources.scratch import released, shared_dir, stored  # noqa: F401 - for the operators
+
 #: The white space of the contracts: words are runs of anything else.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -19,20 +18,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir of the session.
-
-    Where that is unset, it is a folder of the warehouse, which is shared too; a session in one process (tests, a laptop) gets a local temporary one.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-        found = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
-    if not found:
-        found = getattr(shared_dir, "own", None) or tempfile.mkdtemp(prefix="spark-tidebar-")
-        shared_dir.own = found
-    return found.rstrip("/")
-
-
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
     """The batches cut into smaller ones, so that few texts are Python objects at a time."""
     for batch in batches:
@@ -40,19 +25,6 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.R
             yield batch.slice(at, rows)
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it again.
-
-    Cuts the lineage: what follows survives lost executors without a new run of what came before. The files go when the driver ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def most_frequent(counts: DataFrame, limit: int, n: str = "n") -> DataFrame:
     """The rows of highest n, `limit` at most: as many whole values of n as fit. counts is read twice and should be stored.
 
