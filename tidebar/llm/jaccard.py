@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import most_frequent, stored, table, words_of
+from .common import most_frequent, released, stored, table, words_of
 from .graph import components
 
 #: Lists longer than this make a shingle heavy; so many heavy shingles are kept at most (4 bytes each in the broadcast), the heaviest ones.
@@ -45,6 +45,8 @@ SUBSETS, HOT = 1 << 62, 1 << 61
 BLOCK_SHINGLES = 400_000
 #: Documents that may be selected by a broadcast of their ids; beyond, they are joined by a shuffle.
 BROADCAST_IDS = 500_000
+#: Documents with the same set from which their class is broadcast to them, so that they need not meet in one task.
+HOT_COPIES = 1000
 
 #: Odd multipliers that mix hashes.
 MIX, MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -127,6 +129,7 @@ def heavy_keys(docs: DataFrame, text: str, size: int, percent: int) -> tuple[np.
     light = counts.where(F.col("n") <= HEAVY).agg(F.sum(F.col("n") * F.col("n")), F.sum("n")).first()
     top = most_frequent(counts.where(F.col("n") > HEAVY), MOST_HEAVY)
     heavy = np.concatenate([np.empty(0, np.int32), *(np.asarray(b, dtype=np.int32) for b in top.select("key").toArrow().column(0).chunks)])
+    released(counts)
     return np.sort(heavy.view(np.uint32)), (light[0] or 0) / max(1, light[1] or 0)
 
 
@@ -215,27 +218,33 @@ def _compared(reps: np.ndarray, weights: np.ndarray, sides: np.ndarray, sets: li
     return reps[linked].tolist(), [int(reps[_find(parent, int(i))]) for i in linked], links[linked].tolist()
 
 
-def linked_classes(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int = 4, percent: int = 85) -> tuple[DataFrame, DataFrame]:
-    """(membership, links). membership: key, n_shingles, rep, copies (the documents with the same set). links: rep, other, n_links: one row for
-    each verified unit in which the class has links, with the least class that it reaches there and the linked documents.
+def linked_classes(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int = 4, percent: int = 85) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(marked, classes, links). marked: key, digest and n_shingles of each document. classes: digest, rep, copies (the documents with that set) and n.
+    links: rep, other, n_links: one row for each verified unit in which the class has links, with the least class that it reaches there and the
+    linked documents.
 
-    Sets without shingles have no rep and no links. Null texts count as empty. key is an integer; null keys keep their rows and represent no class.
+    Sets without shingles have no class and no links. Null texts count as empty. key is an integer; null keys keep their rows and represent no class.
     """
     found, list_length = heavy_keys(docs, text, size, percent)
     marked = stored(signatures(docs, found, boundary(list_length, percent), text, key, size, percent), "signatures")
     by_digest = marked.where("n_shingles > 0").groupBy("digest")
     classes = stored(by_digest.agg(F.min(key).alias("rep"), F.count("*").alias("copies"), F.first("n_shingles").cast("int").alias("n")), "classes")
-    membership = marked.select(key, "digest", "n_shingles").join(classes.select("digest", "rep", "copies"), "digest", "left").drop("digest")
     postings = by_digest.agg(F.min(key).alias("rep"), F.first("keys").alias("keys")).where("rep IS NOT NULL").select("rep", F.explode("keys").alias("key"))
     lists = stored(inverted(postings), "lists")
-    group = stored(grouped(lists), "groups")
-    across = stored(paired(lists, group, classes.select("rep", "n"), percent), "across")
+    slim = stored(marked.select(key, "digest", "n_shingles"), "marked")
+    released(marked)
+    group = grouped(lists)
+    across = paired(lists, group, classes.select("rep", "n"), percent)
+    released(lists)
     # two columns for a group, so that units within one and units of two have the same shape
     inside = group.join(group.groupBy("label").count().where("count > 1"), "label").select(F.col("label").alias("la"), F.col("label").alias("lb"), "rep", F.lit(2).alias("side"))
     left = across.select("la", "lb", F.col("a").alias("rep"), F.lit(0).alias("side"))
     right = across.select("la", "lb", F.col("b").alias("rep"), F.lit(1).alias("side"))
     members = stored(inside.union(left.union(right).distinct()).join(classes.select("rep", "copies", "n"), "rep"), "members")
-    return membership, verified(docs, in_blocks(members), text, key, size, percent)
+    released(group, across)
+    links = verified(docs, in_blocks(members), text, key, size, percent)
+    released(members)
+    return slim, classes, links
 
 
 def inverted(postings: DataFrame) -> DataFrame:
@@ -266,7 +275,9 @@ def grouped(lists: DataFrame) -> DataFrame:
     least = of_lists.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
     apart = stored(of_lists.join(least, "key").where("low < label").select(F.col("label").alias("a"), F.col("low").alias("b")).distinct(), "apart")
     wider = components(apart).withColumnsRenamed({"node": "label", "component": "wide"})
-    return group.join(wider, "label", "left").select("rep", F.coalesce("wide", "label").alias("label"))
+    out = stored(group.join(wider, "label", "left").select("rep", F.coalesce("wide", "label").alias("label")), "groups")
+    released(votes, apart)
+    return out
 
 
 def paired(lists: DataFrame, group: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
@@ -278,7 +289,9 @@ def paired(lists: DataFrame, group: DataFrame, sizes: DataFrame, percent: int) -
     near = (F.col("x.n") * percent <= F.col("y.n") * 100) & (F.col("y.n") * percent <= F.col("x.n") * 100)
     pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.label") < F.col("y.label")) & near)
     shared = pairs.select(F.col("x.key").alias("key"), F.col("x.rep").alias("a"), F.col("y.rep").alias("b"), F.col("x.label").alias("la"), F.col("y.label").alias("lb"))
-    return shared.groupBy("a", "b", "la", "lb").agg(F.sum(weight()).alias("s")).where(F.col("s") >= SCAN).drop("s")
+    out = stored(shared.groupBy("a", "b", "la", "lb").agg(F.sum(weight()).alias("s")).where(F.col("s") >= SCAN).drop("s"), "across")
+    released(placed)
+    return out
 
 
 def in_blocks(members: DataFrame) -> DataFrame:
@@ -317,12 +330,33 @@ def verified(docs: DataFrame, units: DataFrame, text: str, key: str, size: int,
 
 def with_components(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int = 4, percent: int = 85) -> DataFrame:
     """key, n_shingles, component_id (the least key that links reach) and n_links (documents that this one links with, copies included)."""
-    membership, links = linked_classes(docs, text, key, size, percent)
+    marked, classes, links = linked_classes(docs, text, key, size, percent)
     found = components(links.select(F.col("rep").alias("a"), F.col("other").alias("b")))
     reached = links.groupBy("rep").agg(F.sum("n_links").alias("own_links")).join(found.withColumnRenamed("node", "rep"), "rep", "left")
-    return membership.join(reached, "rep", "left").select(
-        key, "n_shingles", F.coalesce("component", "rep", F.col(key)).alias("component_id"),
+    told = classes.join(reached, "rep", "left").select(
+        "digest", "copies", F.coalesce("component", "rep").alias("component_id"),
         F.when(F.col("rep").isNull(), 0).otherwise(F.col("copies") - 1 + F.coalesce("own_links", F.lit(0))).cast("long").alias("n_links"))
+    told = stored(told, "told")
+    released(links)
+    return of_class(marked, told, key)
+
+
+def of_class(marked: DataFrame, told: DataFrame, key: str) -> DataFrame:
+    """Each document with what its class (by digest) is told; those without shingles have no class. Both are read twice and should be stored.
+
+    Classes of many copies go to the documents by broadcast, if there are few enough of them, so no task gets all the copies of a text.
+    """
+    keyed, none = marked.where("n_shingles > 0"), marked.where("n_shingles = 0")
+    hot = told.where(F.col("copies") > HOT_COPIES)
+    parts = []
+    if 0 < hot.count() <= BROADCAST_IDS:
+        parts.append(keyed.join(F.broadcast(hot), "digest"))
+        keyed, told = keyed.join(F.broadcast(hot.select("digest")), "digest", "left_anti"), told.where(F.col("copies") <= HOT_COPIES)
+    parts.append(keyed.join(told, "digest"))
+    out = none.select(key, "n_shingles", F.col(key).cast("long").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
+    for part in parts:
+        out = out.unionAll(part.select(key, "n_shingles", F.coalesce(F.col("component_id"), F.col(key)).alias("component_id"), "n_links"))
+    return out
 
 
 def representatives(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int = 5, percent: int = 80) -> DataFrame:
@@ -332,7 +366,8 @@ def representatives(docs: DataFrame, text: str = "text", key: str = "doc_id", si
     """
     found = stored(with_components(docs, text, key, size, percent).where(F.col(key) == F.col("component_id")).groupBy(key).agg(F.count("*").alias("rows")), "kept")
     again = found.where(F.col("rows") > 1).select(key)
-    kept = docs.join(found.where(F.col("rows") == 1).select(key), key, "left_semi").select(docs.columns)
+    # one plan at every size: few ids are not broadcast, nor are texts sorted
+    kept = docs.join(found.where(F.col("rows") == 1).select(key).hint("shuffle_hash"), key, "left_semi").select(docs.columns)
     if again.take(1):
         kept = kept.union(docs.join(again, key, "left_semi").dropDuplicates([key, text]).select(docs.columns))
     return kept.union(docs.where(F.col(key).isNull()))

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import scratch_name, stored, table
+from .common import released, scratch_name, stored, table
 
 #: Bytes that the gear hash sees; white space of 16 that ends a chunk; most bytes of a chunk; least bytes of a run that is removed;
 #: words of an extended passage that is removed even if its run is shorter; least bytes of a chunk that is a run alone.
@@ -262,6 +262,7 @@ def deduplicate(docs: DataFrame, text: str = "text", key: str = "doc_id", spans:
     shared = stored(found.groupBy("digest").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").select("digest", "least"), "shared")
     again = found.join(shared, "digest").where("doc > least").groupBy("doc").agg(F.collect_list(F.struct("place", "digest", "least")).alias("chunks"))
     ends = stored(ends_of_runs(again), "runs")
+    released(shared)
     near = ends.join(around(docs, ends, text, key), ["source", "digest", "side"], "left")
     again = near.groupBy("doc").agg(F.collect_list(F.struct("first", "last", "size", "side", "between", "near")).alias("places"))
     doc, places = scratch_name(docs, "doc"), scratch_name(docs, "places")
