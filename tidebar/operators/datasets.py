@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Mapping
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidebar.functions.scalars import positive_average, ratio_text, stable_rank
+from tidebar.sources.scratch import released, stored
 
 from .bars import along, ordinals
 
@@ -30,6 +35,58 @@ def cooldown(events: DataFrame, gap: int = 20, index: str = "trade_index", key:
     return events.join(kept, [key, index], "left_semi")
 
 
+def event_cooldown(events: DataFrame, bars: DataFrame, gap: int = 20) -> DataFrame:
+    """Events (scode, anchor_date) that are more than `gap` trading days after the symbol's last one that was kept.
+
+    An event on a day without a bar of its symbol is compared by calendar days with the last one kept, and once it is kept, the next event with a bar is kept too.
+    Events that repeat count once. A symbol's events, one for a day at most, are walked in one pass.
+    """
+    if gap <= 0:
+        return events
+    days = bars.select("scode", F.col("trade_date").alias("anchor_date"), (F.row_number().over(along()) - 1).alias("__index"))
+    dated = events.select("scode", "anchor_date").distinct().join(days, ["scode", "anchor_date"], "left")
+
+    def walk(frame: pd.DataFrame) -> pd.DataFrame:
+        kept, last_index, last_day = [], None, None
+        ordered = frame.sort_values("anchor_date")
+        for day, index in zip(ordered["anchor_date"], ordered["__index"]):
+            if pd.isna(index):
+                if last_day is not None and (day - last_day).days <= gap:
+                    continue
+                last_index = None
+            else:
+                if last_index is not None and index - last_index <= gap:
+                    continue
+                last_index = index
+            last_day = day
+            kept.append(day)
+        return pd.DataFrame({"scode": [frame["scode"].iloc[0]] * len(kept), "anchor_date": kept})
+
+    kept = dated.groupBy("scode").applyInPandas(walk, "scode string, anchor_date date")
+    return events.join(kept, ["scode", "anchor_date"], "left_semi")
+
+
+def write_split(rows: DataFrame, path: str, seed: int, keys: list[str], share: float = 0.2, settings: Mapping[str, object] | None = None) -> dict:
+    """Split rows by hash, write train and eval as lines of JSON, and a manifest of counts by label, seed, share and settings beside them; the manifest is returned.
+
+    The rows are stored once, so both parts come from the same ones.
+    """
+    from tidebar.sources import store
+
+    split = stored(hash_split(rows, seed, keys, share), "split")
+    for name, part in (("train", split.where(~F.col("is_eval"))), ("eval", split.where("is_eval"))):
+        store.write_jsonl(part.drop("is_eval"), f"{path}/{name}")
+    label = F.col("label").cast("string") if "label" in rows.columns else F.lit("all")
+    counts = split.groupBy(label.alias("label"), "is_eval").count().collect()  # a row for each label and part
+    told = {"seed": seed, "share": share, "keys": keys, **(settings or {})}
+    for name, flag in (("train", False), ("eval", True)):
+        told[name] = {"path": f"{path}/{name}", "rows": sum(r["count"] for r in counts if r.is_eval == flag), "labels": {str(r.label): r["count"] for r in sorted(counts, key=lambda r: str(r.label)) if r.is_eval == flag}}
+    released(split)
+    text = json.dumps(told, ensure_ascii=False, sort_keys=True, default=str)
+    rows.sparkSession.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/manifest")
+    return told
+
+
 def hash_split(rows: DataFrame, seed: int, keys: list[str], share: float = 0.2) -> DataFrame:
     """rows with is_eval: the lowest hash ranks, max(1, round-half-even(share n)) of them; none of a single row."""
     rank = stable_rank(seed, *[F.col(k) for k in keys])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,6 +10,8 @@ from pyspark.sql.window import Window
 
 from tidebar.functions.scalars import clean_text, json_strings, joined_hash, occurrences, parse_heat
 
+from tidebar.sources.scratch import stored
+
 from .mentions import stock_mentions
 
 #: Fixed value: concepts of a news row at most.
@@ -144,5 +146,29 @@ def crawl(sources: Sequence[DataFrame], limit: int = 0) -> DataFrame:
     return out.limit(limit) if limit > 0 else out
 
 
+def crawl_sources(sources: Mapping[str, Callable[[], DataFrame]], limit: int = 0, concepts: Mapping[str, Sequence[str]] = CONCEPT_KEYWORDS) -> tuple[DataFrame, dict[str, str]]:
+    """(news, failures) of named sources, each a function that gives news rows and may fail, at once or when it is read.
+
+    A failing source is left out and its error told by name. Of a link the row of the first source stays, there the latest and hottest; latest first, `limit` rows
+    if it is not 0. Concepts and their heat among these rows are attached. Without any source there is no row.
+    """
+    failures, found = {}, []
+    for place, (name, source) in enumerate(sources.items()):
+        try:
+            found.append(stored(source(), "source").withColumn("__source", F.lit(place)))
+        except Exception as error:  # whatever a source raises, the others go on
+            failures[name] = f"{type(error).__name__}: {str(error).splitlines()[0] if str(error) else ''}"
+    if not found:
+        raise ValueError(f"no source could be read: {failures}")
+    rows = found[0]
+    for more in found[1:]:
+        rows = rows.unionByName(more)
+    w = Window.partitionBy("news_link").orderBy("__source", F.desc_nulls_last("publish_time"), F.desc_nulls_last("heat"), "title")
+    rows = rows.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n", "__source")
+    order = [F.desc_nulls_last("publish_time"), F.desc_nulls_last("heat"), F.col("news_link")]
+    kept = rows.orderBy(*order).limit(limit) if limit > 0 else rows
+    return with_concept_heat(with_concepts(kept, concepts)).orderBy(*order), failures
+
+
 def stored_concepts(c: Column) -> Column:
     return F.slice(json_strings(c), 1, MOST_CONCEPTS)

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidebar.functions.scalars import two_decimals
+from tidebar.sources.scratch import stored
 
-from .bars import along, moving_averages, with_changes
+from .bars import along, latest_day, moving_averages, with_changes
 
 CONTRACT = ("trade_date", "scode", "close", "score", "reason", "strategy_name")
 MA_BULLISH, WEEKLY_DROP, NEWS_HOT, SURGE_PATTERN = "ma_bullish_v1", "weekly_volume_drop_v1", "news_hot_v1", "llm_surge_pattern_v1"
@@ -81,11 +84,65 @@ def merged(streams: list[DataFrame], k: int | None = None) -> DataFrame:
     return out
 
 
-#: Strategy names and how each makes signals from (daily bars, weekly bars).
-STRATEGIES = {MA_BULLISH: lambda daily, weekly: ma_bullish(daily), WEEKLY_DROP: lambda daily, weekly: weekly_volume_drop(weekly)}
+def news_hot_signals(daily: DataFrame, news: DataFrame, stocks: DataFrame, concepts: Mapping[str, Sequence[str]] | None = None, day: str | None = None, least: int = 3, most: int = 5) -> DataFrame:
+    """Bars of one day (the last, if none is named) whose stocks the news tells of, by news and performance: max(least, min(most, n)) of them."""
+    from . import news as N
+
+    words = N.CONCEPT_KEYWORDS if concepts is None else concepts
+    current = daily.where(F.col("trade_date") == F.lit(day).cast("date")) if day else daily.join(F.broadcast(latest_day(daily)), "trade_date")  # one row
+    named = stocks.join(current.select("scode"), "scode", "left_semi")
+    scores = N.stock_scores(news, named, N.concept_heat(news), words)
+    performance = performance_score(daily).join(current.select("scode", "trade_date"), ["scode", "trade_date"], "left_semi").drop("trade_date")
+    found = current.join(scores, "scode").join(performance, "scode", "left")
+    score = 0.65 * F.col("news_score") + 0.35 * F.coalesce("performance", F.lit(0.0))
+    reason = F.left(F.concat(F.lit("news_hot; concepts="), F.coalesce("hot_concepts", F.lit(""))), F.lit(255))
+    found = found.select("trade_date", "scode", "close", "amount", score.alias("score"), reason.alias("reason"), F.lit(NEWS_HOT).alias("strategy_name"))
+    return found.orderBy(F.desc("score"), F.desc_nulls_last("amount"), "scode").limit(max(least, most))
+
+
+def surge_pattern_signals(daily: DataFrame, weekly: DataFrame, patterns: DataFrame, day: str | None = None, least_rate: float = 0.35, least_samples: int = 20, least_support: int = 5, least_threshold: float = 0.25) -> DataFrame:
+    """Bars (of one day, if it is named) that stored patterns of any size match: the best by success rate, samples and support tells the score.
+
+    patterns: pattern, min_success_rate, success_rate, sample_count and positive_support; one that is stored for several thresholds counts once.
+    """
+    from . import features as X
+    from . import patterns as P
+
+    good = patterns.where((F.col("success_rate") >= least_rate) & (F.col("sample_count") >= least_samples) & (F.col("positive_support") >= least_support) & (F.col("min_success_rate") >= least_threshold))
+    order = F.struct("success_rate", "sample_count", "positive_support")
+    good = good.groupBy("pattern").agg(F.max(order).alias("o")).select("pattern", "o.*")
+    # a number for each pattern, the best first, so that the bars aggregate integers; patterns are rules, whose number follows the vocabulary and not the bars
+    best_first = Window.orderBy(F.desc("success_rate"), F.desc("sample_count"), F.desc("positive_support"), "pattern")
+    good = stored(good.withColumn("place", F.row_number().over(best_first)), "patterns")
+    rows = X.features(daily, weekly)
+    if day:
+        rows = rows.where(F.col("trade_date") == F.lit(day).cast("date"))
+    hits = itemsets.divided(rows.select("scode", "trade_date", "tokens"), good.select("place", P.parse_pattern(F.col("pattern")).alias("pattern_items")), "tokens")
+    told = hits.groupBy("scode", "trade_date").agg(F.min("place").alias("place"), F.count("*").alias("pattern_count")).join(good, "place")
+    rate = F.col("success_rate")
+    reason = F.left(F.concat(F.lit("patterns="), F.col("pattern_count"), F.lit(" best="), F.col("pattern"), F.lit(" success="), percent_text(rate), F.lit(" failure="), percent_text(1 - rate), F.lit(" sample="), F.col("sample_count")), F.lit(255))
+    found = told.join(daily.select("scode", "trade_date", "close"), ["scode", "trade_date"])
+    return found.select("trade_date", "scode", "close", F.col("pattern_count").cast("double").alias("amount"), rate.alias("score"), reason.alias("reason"), F.lit(SURGE_PATTERN).alias("strategy_name"))
+
+
+#: Strategy names and how each makes signals from daily and weekly bars and the inputs that it asks for by name.
+STRATEGIES = {
+    MA_BULLISH: lambda daily, weekly, **_: ma_bullish(daily),
+    WEEKLY_DROP: lambda daily, weekly, **_: weekly_volume_drop(weekly),
+    NEWS_HOT: lambda daily, weekly, *, news, stocks, concepts=None, day=None, **_: news_hot_signals(daily, news, stocks, concepts, day),
+    SURGE_PATTERN: lambda daily, weekly, *, patterns, day=None, **_: surge_pattern_signals(daily, weekly, patterns, day),
+}
+
+
+def run_strategy(name: str, daily: DataFrame, weekly: DataFrame, **inputs) -> DataFrame:
+    """Signals of a strategy by name. news_hot_v1 also needs news and stocks, llm_surge_pattern_v1 patterns; both take a day."""
+    if name not in STRATEGIES:
+        raise ValueError(f"unknown strategy {name}")
+    return STRATEGIES[name](daily, weekly, **inputs).select(*CONTRACT)
 
 
-def run_strategy(name: str, daily: DataFrame, weekly: DataFrame) -> DataFrame:
+def strategy_selection(name: str, daily: DataFrame, weekly: DataFrame, stocks: DataFrame, limit: int | None = None, **inputs) -> DataFrame:
+    """The seven columns of a selection, names included, by any strategy."""
     if name not in STRATEGIES:
         raise ValueError(f"unknown strategy {name}")
-    return STRATEGIES[name](daily, weekly).select(*CONTRACT)
+    return selection(STRATEGIES[name](daily, weekly, stocks=stocks, **inputs), stocks, limit)

@@ -4,6 +4,11 @@
     python -m tidebar.run import --csv FOLDER --table TABLE
     python -m tidebar.run backtest --bars TABLE --strategy weekly_volume_drop_v1 --start 2000-01-01 --end 2000-12-31 --out FOLDER
     python -m tidebar.run query --name bars_daily --data FOLDER --out FOLDER
+    python -m tidebar.run mine --bars TABLE --start 2000-01-01 --end 2000-12-31 --size 4 --support 50 --rate 0.3 --out FOLDER
+    python -m tidebar.run split --rows PARQUET --keys scode,trade_date --seed 7 --out FOLDER
+    python -m tidebar.run evaluate --rows PARQUET --least precision=0.3,recall=0.1 --top 20
+
+`evaluate` ends with code 1 where a metric misses its bound. `select` takes --news and --patterns (Parquet) for the strategies that need them.
 """
 
 from __future__ import annotations
@@ -17,7 +22,7 @@ from collections.abc import Sequence
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from tidebar.operators import backtest, bars, scans, signals
+from tidebar.operators import backtest, bars, datasets, features, labels, metrics, patterns, scans, signals
 from tidebar.sources import raw, store
 
 SETTING = re.compile(r"""^\s*(?:\$env:)?\s*(?P<key>[^#\s=][^=]*?)\s*=\s*(?P<quote>['"]?)(?P<value>.*?)(?P=quote)\s*;?\s*$""", re.IGNORECASE)
@@ -60,10 +65,20 @@ def newest(spark: SparkSession, pattern: str) -> str:
     return found["value"]
 
 
-def _signals(spark: SparkSession, args: argparse.Namespace):
-    daily = store.read_table(spark, args.bars)
+def _bars(spark: SparkSession, path: str):
+    daily = store.read_table(spark, path)
     last = daily.agg(F.max("trade_date").cast("string")).first()[0]
-    return daily, signals.run_strategy(args.strategy, daily, bars.resample(daily, "W", last))
+    return daily, bars.resample(daily, "W", last)
+
+
+def evaluate(rows, least: dict[str, float], top: int) -> int:
+    """Print precision and recall of the `top` rows by score (label, score); 0 if all bounds are met, else 1."""
+    best = rows.orderBy(F.desc_nulls_last("score"), *[c for c in rows.columns if c not in ("score", "label")]).limit(top)
+    right = best.agg(F.sum("label").alias("hits"), F.count("*").alias("n")).crossJoin(rows.agg(F.sum("label").alias("all")))
+    report = right.select((F.col("hits") / F.greatest("n", F.lit(1))).alias("precision"), (F.col("hits") / F.greatest("all", F.lit(1))).alias("recall"), F.col("n").alias("rows"))
+    found = metrics.gate(report, least).first().asDict()
+    print(json.dumps(found))
+    return 0 if found["passed"] else 1
 
 
 def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -> int:
@@ -71,6 +86,7 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
     commands = parser.add_subparsers(dest="command", required=True)
     wanted = {
         "select": ("bars", "stocks", "strategy", "day"), "import": ("csv", "table"), "backtest": ("bars", "strategy", "start", "end", "out"), "query": ("name", "data", "out"),
+        "mine": ("bars", "start", "end", "size", "support", "rate", "out"), "split": ("rows", "keys", "seed", "out"), "evaluate": ("rows", "least"),
     }
     for name, options in wanted.items():
         command = commands.add_parser(name)
@@ -78,20 +94,36 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
             command.add_argument(f"--{option}", required=True)
         if name == "select":
             command.add_argument("--limit", type=int, default=50)
+            command.add_argument("--news")
+            command.add_argument("--patterns")
+        if name == "evaluate":
+            command.add_argument("--top", type=int, default=20)
     args = parser.parse_args(argv)
     spark = spark or SparkSession.builder.appName("tidebar").getOrCreate()
     if args.command == "select":
-        _, found = _signals(spark, args)
-        signals.selection(found.where(F.col("trade_date") == F.lit(args.day).cast("date")), spark.read.parquet(args.stocks), args.limit).show(args.limit, truncate=False)
+        stocks = spark.read.parquet(args.stocks)
+        inputs = {name: spark.read.parquet(path) for name, path in (("news", args.news), ("patterns", args.patterns)) if path}
+        found = signals.strategy_selection(args.strategy, *_bars(spark, args.bars), stocks, day=args.day, **inputs)
+        found.where(F.col("trade_date") == F.lit(args.day).cast("date")).limit(args.limit).show(args.limit, truncate=False)
     elif args.command == "import":
         store.upsert(raw.csv_bars(spark, args.csv), args.table, ["scode", "trade_date"], F.date_format("trade_date", "yyyy-MM"))
     elif args.command == "backtest":
-        daily, found = _signals(spark, args)
+        daily, weekly = _bars(spark, args.bars)
+        found = signals.run_strategy(args.strategy, daily, weekly)
         outcomes = backtest.evaluate(scans.between(found, args.start, args.end).select("scode", "trade_date", "close"), daily)
         for name, rows in (("summary", backtest.summary(outcomes)), ("by_stock", backtest.by_stock(outcomes)), ("by_selection", backtest.by_selection(outcomes))):
             store.write_csv(rows, f"{args.out}/{name}", bom=True)
+    elif args.command == "mine":
+        daily, weekly = _bars(spark, args.bars)
+        rows = features.features(daily, weekly)
+        events = labels.surge_events(daily, args.start, args.end).select("scode", F.col("selection_date").alias("trade_date"))
+        patterns.mined(rows, events, patterns.token_vocabulary(rows), int(args.size), int(args.support), tuple(patterns.rate_list(args.rate))).drop("code").write.mode("overwrite").parquet(args.out)
+    elif args.command == "split":
+        print(json.dumps(datasets.write_split(spark.read.parquet(args.rows), args.out, int(args.seed), args.keys.split(","))))
+    elif args.command == "evaluate":
+        return evaluate(spark.read.parquet(args.rows), {k: float(v) for k, v in (pair.split("=") for pair in args.least.split(","))}, args.top)
     else:
-        from tidebar.plans import extra_queries, family_queries  # noqa: F401
+        from tidebar.plans import extra_queries, family_queries, mining_queries  # noqa: F401
         from tidebar.plans.queries import QUERIES
 
         QUERIES[args.name](spark, args.data).write.mode("overwrite").parquet(args.out)

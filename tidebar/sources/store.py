@@ -138,11 +138,30 @@ def read_jsonl(spark: SparkSession, path: str, schema: str, strict: bool = True,
     return rows.limit(limit) if limit is not None else rows
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """file, number (from 1) and line of every line of text files, blank ones too.
+
+    Large files are read in blocks by many tasks: the lines of each block are counted, the counts of the blocks before it are added up, and a line's place in
+    its block comes from its place in its task. The table of blocks has a row for each 128 MB or so.
+    """
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place"), F.col("value").alias("line"))
+    blocks = lines.groupBy("path", "block").agg(F.min("place").alias("first"), F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return lines.join(blocks.select("path", "block", "first", before.alias("before")), ["path", "block"]).select("file", (F.col("before") + F.col("place") - F.col("first") + 1).alias("number"), "line")
+
+
 def broken_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """file and line of what read_jsonl cannot parse."""
-    lines = spark.read.text(path).select(F.col("_metadata.file_name").alias("file"), F.col("value").alias("line")).where("trim(line) <> ''")
+    """file, number and line of what read_jsonl cannot parse; blank lines are skipped."""
     parsed = F.from_json("line", f"{schema}, _broken string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"})
-    return lines.where(parsed["_broken"].isNotNull())
+    return numbered_lines(spark, path).where("trim(line) <> ''").where(parsed["_broken"].isNotNull())
+
+
+def checked_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Lines of JSON; raises ValueError that names the file and the line of the first broken one."""
+    first = broken_lines(spark, path, schema).orderBy("file", "number").first()
+    if first is not None:
+        raise ValueError(f"invalid JSON at {first.file}:{first.number}")
+    return spark.read.schema(schema).json(path)
 
 
 def write_csv(rows: DataFrame, path: str, bom: bool = False, append: bool = False) -> None:
