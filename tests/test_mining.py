@@ -91,6 +91,15 @@ def test_division(spark, monkeypatch, broadcast):
     assert sorted((r.id, r.p) for r in found.collect()) == want
 
 
+def test_division_by_more_than_64_items(spark):
+    rng = random.Random(5)
+    names = [f"t{i:03}" for i in range(150)]
+    baskets = [(i, rng.sample(names, 60)) for i in range(40)]
+    wanted = [rng.sample(names, rng.randint(1, 4)) for _ in range(120)]
+    found = itemsets.divided(spark.createDataFrame(baskets, "id long, items array<string>"), spark.createDataFrame(list(enumerate(wanted)), "p int, pattern_items array<string>"))
+    assert sorted((r.id, r.p) for r in found.collect()) == sorted((i, p) for i, b in baskets for p, w in enumerate(wanted) if set(w) <= set(b))
+
+
 def test_patterns_of_any_size_agree(spark):
     rng = random.Random(8)
     features = spark.createDataFrame([(str(i % 3), i, sorted(x for x in "ABCDEF" if rng.random() < 0.7)) for i in range(60)], "scode string, trade_date int, tokens array<string>")
