@@ -274,6 +274,30 @@ def test_template_without_names(spark):
     assert wrappers.article_text(wrappers.tree_of(rows[0][2])[0], set()) != truth[0]
 
 
+def test_wrapper_alone_finds_the_articles(spark):
+    """Without names the given pages, four a host, give the texts that names and wrapper give together."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    both, alone = ({r.page_id: r.text for r in wrappers.extract(pages, names=names).collect()} for names in (True, False))
+    assert len(both) == 250 and sum(both[k] == alone[k] for k in both) >= 0.95 * len(both)
+
+
+def test_small_hosts_are_told_by_those_like_them(spark):
+    rng = random.Random(23)
+    rows, truth = [], {}
+    for i in range(40):
+        host = f"h{i // 2}.example"  # two pages a host
+        paragraphs = [prose(rng, 25) for _ in range(2)]
+        article = f"<h2>Title {i}</h2>" + "".join(f"<p>{p}</p>" for p in paragraphs)
+        rows.append((i, f"http://{host}/{i}", f"<body><ul><li>Home<li>News {i % 3}</ul><div>{article}</div><div>Offer {i % 4} ends soon</div><div>Imprint of {host}</div></body>"))
+        truth[i] = "\n\n".join([f"Title {i}", *paragraphs])
+    # two pages unlike all others, of one article: nothing tells their template, so that nothing is lost
+    copy = prose(rng, 40)
+    rows += [(100 + i, "http://odd.example/x", f"<table><tr><td>{copy}<td>{prose(rng, 5)}</table>") for i in range(2)]
+    found = {r.page_id: r.text for r in wrappers.extract(spark.createDataFrame(rows, "page_id long, url string, html string"), names=False).collect()}
+    assert {i: found[i] for i in truth} == truth
+    assert found[100].startswith(copy) and found[101].startswith(copy)
+
+
 def test_a_host_in_many_parts(spark, monkeypatch):
     monkeypatch.setattr(wrappers, "BYTES_PER_PART", 2000)
     rng = random.Random(22)

@@ -6,10 +6,15 @@ over all pages: a value that pages of different articles share is constant. A sl
 there is one value or a variant for each section of the site; the others vary. The content root is the deepest node that holds nearly all text
 that varies. A page's text is what its node at the content root says, without template; the names of elements and classes only break ties
 there: an article inside the root is the root, and what varies but is never content (comments, adverts, forms and the like) is left out.
+With names=False the names of elements and classes say nothing but what a browser shows, and the wrapper alone decides.
+
+Hosts whose trees are alike help each other. A slot's path is the tags and places from the root down to it. A value counts as shared if an article of
+any host says it at the same path, where a host's own name stands for all hosts; and what the slots of the other hosts at that path are weighs as
+much as PRIOR articles of the host itself. So a host of two pages is told by those like it, and a large one by itself, without a switch.
 
 Copies and near copies of an article say nothing about the template. A page's article is known by the least hash of any 32 bytes of its content,
 which near copies are likely to share, and a value counts once for each article.
-Where a host has too few pages or articles to tell (no slot is template), names of elements and classes are all there is, and decide.
+Where neither a host nor those like it tell (no slot is template), names of elements and classes are all there is, and decide.
 
 A host that a third of all pages share is split: its pages are salted by their bytes, and its reference is sent to each part.
 
@@ -31,12 +36,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, stored, table
+from .common import released, slices, stored, table
 
 #: Bytes of html that one task gets of a host together, on average.
 BYTES_PER_PART = 1_000_000
-#: A slot is template if, of at least so many articles, this share has a value there that another article has too.
-LEAST_ARTICLES, SHARED = 8, 0.5
+#: A slot is template if this share of articles has a value there that another article has too; articles that the slots of other hosts at the path
+#: count for, and as many that tell for content where those are few.
+SHARED, PRIOR = 0.5, 10
 #: A slot has one constant value if this share of articles has it; only that value is template then. Else all that the slot says is, but headings
 #: that vary are no template: near copies share their titles.
 CONSTANT = 0.8
@@ -57,6 +63,8 @@ NEVER = frozenset(
     "aside audio button canvas datalist dialog embed footer form head iframe input map menu nav noscript object option script select style "
     "svg template textarea title video".split()
 )
+#: Elements whose text no browser shows as text of the page.
+SILENT = frozenset("audio canvas datalist embed head iframe map noscript object option script select style svg template textarea title video".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 header hgroup".split())
 #: Words of class and id that mark what is not content, and roles that do.
 MARKS = frozenset(
@@ -152,8 +160,9 @@ class _Builder(HTMLParser):
         self.open[-1].children.append(data)
 
 
-def tree_of(html: str | None) -> tuple[Node, list[Node]]:
-    """The root and all blocks in page order, the root first; inline elements are part of their block."""
+def tree_of(html: str | None, host: str | None = None) -> tuple[Node, list[Node]]:
+    """The root and all blocks in page order, the root first; inline elements are part of their block. Digests are alike for all names of the host."""
+    name = (host or "").encode("utf-8", "surrogatepass")
     builder = _Builder()
     if html:
         builder.feed(html)
@@ -183,7 +192,7 @@ def tree_of(html: str | None) -> tuple[Node, list[Node]]:
     for node, parts in zip(nodes, said):
         text = " ".join("".join(parts).split())
         node.said = text.encode("utf-8", "surrogatepass")
-        node.size, node.digest = len(text), xxhash.xxh3_64_intdigest(node.said) >> 1
+        node.size, node.digest = len(text), xxhash.xxh3_64_intdigest(node.said.replace(name, b"\0") if name else node.said) >> 1
     return root, nodes
 
 
@@ -204,8 +213,10 @@ def least_hashes(said: list[bytes]) -> np.ndarray:
     return out
 
 
-def never_content(node: Node, in_article: bool) -> bool:
+def never_content(node: Node, in_article: bool, names: bool = True) -> bool:
     """An article's own header holds its title; other headers are the page's."""
+    if not names:
+        return node.tag in SILENT
     if node.tag in NEVER or node.tag == "header" and not in_article:
         return True
     if not node.marked or node.tag in ("html", "body", "main") or in_article and node.heading:
@@ -213,25 +224,25 @@ def never_content(node: Node, in_article: bool) -> bool:
     return node.tag != "article" or in_article
 
 
-def content_of(root: Node) -> set[int]:
+def content_of(root: Node, names: bool = True) -> set[int]:
     """Numbers of the blocks whose text can be part of the page's text, by their names."""
-    found = articles(root)
+    found = articles(root) if names else []
     out, waiting = set(), [(n, True) for n in found or [root]]
     while waiting:
         node, block = waiting.pop()
         if block:
             out.add(node.number)
-        waiting.extend((c, c.tag in BLOCKS) for c in node.elements() if not never_content(c, bool(found)))
+        waiting.extend((c, c.tag in BLOCKS) for c in node.elements() if not never_content(c, bool(found), names))
     return out
 
 
-def skeleton(root: Node, nodes: list[Node]) -> bytes:
+def skeleton(root: Node, nodes: list[Node], names: bool = True) -> bytes:
     """Tags, parents, and sizes, digests and least hashes of what the nodes say, in page order; sizes of what never is content are negative."""
     parent = np.zeros(len(nodes), dtype="<i4")
     for n in nodes:
         for c in n.below:
             parent[c.number] = n.number
-    content = content_of(root)
+    content = content_of(root, names)
     sizes = np.array([n.size if n.number in content else -n.size for n in nodes], dtype="<i4")
     digests = np.array([n.digest for n in nodes], dtype="<i8")
     least = least_hashes([n.said for n in nodes]).astype("<i8")
@@ -251,6 +262,17 @@ def nodes_from(made: bytes) -> list[Node]:
     return nodes
 
 
+def paths(nodes: list[Node]) -> list[int]:
+    """For each node a digest of the tags from the root down to it, and of its places among neighbours of its tag."""
+    out = [0] * len(nodes)
+    for n in nodes:  # parents come before their children
+        before: Counter = Counter()
+        for c in n.below:
+            out[c.number] = xxhash.xxh3_64_intdigest(f"{out[n.number]} {c.tag} {before[c.tag]}".encode("utf-8", "surrogatepass")) >> 1
+            before[c.tag] += 1
+    return out
+
+
 def match(a: Node, b: Node) -> list[tuple[Node, Node]]:
     """The pairs of the largest simple tree matching, equal tags, order and parents kept; of the largest ones, one of most equal texts.
 
@@ -339,12 +361,12 @@ def articles(root: Node) -> list[Node]:
     return []
 
 
-def article_text(root: Node, template: set[int], top: Node | None = None) -> str:
+def article_text(root: Node, template: set[int], top: Node | None = None, names: bool = True) -> str:
     """The blocks under top (the page's content root; the whole page if None) that are not template, in page order. template: numbers of nodes.
 
     Where there is an article or main element, only what is inside counts.
     """
-    found = articles(top or root)
+    found = articles(top or root) if names else []
     in_article = bool(found) or top is not None and top.tag not in ("#root", "html", "body")
     blocks: list[list[str]] = []
     for start in found or [top or root]:
@@ -358,7 +380,7 @@ def article_text(root: Node, template: set[int], top: Node | None = None) -> str
                         blocks[-1].append(c)
                 elif c.tag == "br":
                     blocks[-1].append(" ")
-                elif not never_content(c, in_article):
+                elif not never_content(c, in_article, names):
                     block = c.tag in BLOCKS
                     if block:
                         blocks.append([])
@@ -374,11 +396,11 @@ def article_text(root: Node, template: set[int], top: Node | None = None) -> str
 class Wrapper:
     """A host's reference with what was induced: of template slots the constant value, or None if all values are template; the content root, or None."""
 
-    def __init__(self, made: bytes, slots: list[dict]):
-        self.nodes = nodes_from(made)
+    def __init__(self, made: bytes, slots: list[dict], host: str | None = None, names: bool = True):
+        self.nodes, self.host, self.names = nodes_from(made), host, names
         self.template: dict[int, int | None] = {}
         for slot in slots:
-            if slot["articles"] >= LEAST_ARTICLES and slot["shared"] >= SHARED * slot["articles"]:
+            if slot["share"] >= SHARED:
                 constant = slot["most"] >= CONSTANT * slot["articles"]
                 if not constant and self.nodes[slot["node"]].tag in HEADINGS:
                     continue
@@ -406,25 +428,25 @@ class Wrapper:
             at = inner[0]
 
     def text(self, html: str | None) -> str:
-        root, _ = tree_of(html)
+        root, _ = tree_of(html, self.host)
         if self.root is None:
-            return article_text(root, set())
+            return article_text(root, set(), names=self.names)
         pairs = match(self.nodes[0], root)
         gone = {b.number for a, b in pairs if a.number in self.template and self.template[a.number] in (None, b.digest)}
-        return article_text(root, gone, next((b for a, b in pairs if a.number == self.root), None))
+        return article_text(root, gone, next((b for a, b in pairs if a.number == self.root), None), self.names)
 
 
 def host_of(url: Column) -> Column:
     return F.lower(F.coalesce(F.regexp_extract(url, r"^\s*(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
 
 
-def skeletons(pages: DataFrame, html: str, url: str, key: str) -> DataFrame:
+def skeletons(pages: DataFrame, html: str, url: str, key: str, names: bool = True) -> DataFrame:
     """host, page, skeleton and bytes of the html of every page."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            texts = batch.column(2).to_pylist()
-            made = [skeleton(*tree_of(h)) for h in texts]
+            hosts, texts = (batch.column(i).to_pylist() for i in (0, 2))
+            made = [skeleton(*tree_of(t, h), names) for h, t in zip(hosts, texts)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(made, pa.binary()), batch.column(3)], names=["host", "page", "skeleton", "bytes"])
 
     schema = f"host string, page {pages.schema[key].dataType.simpleString()}, skeleton binary, bytes long"
@@ -442,28 +464,29 @@ def in_parts(rows: DataFrame) -> DataFrame:
 
 
 def aligned(rows: DataFrame) -> DataFrame:
-    """host, node, value, article, own and inside: what a page says at each reference node with a partner, summed over the pages of a part."""
+    """host, node, path, value, article, own and inside: what a page says at each reference node with a partner, summed over the pages of a part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reference: list[Node] = []
+        path: list[int] = []
         for batch in slices(batches):
             found: dict[tuple, list[int]] = {}
             for host, role, made in zip(*(batch.column(c).to_pylist() for c in ("host", "role", "skeleton"))):
                 nodes = nodes_from(made)
                 if role == 0:
-                    reference = nodes
+                    reference, path = nodes, paths(nodes)
                     continue
                 article, said = compared(reference, nodes)
                 for node, value, own, inside in said:
-                    sums = found.setdefault((host, node, value, article), [0, 0])
+                    sums = found.setdefault((host, node, path[node], value, article), [0, 0])
                     sums[0] += own
                     sums[1] += inside
-            keys = list(zip(*found)) or [()] * 4
+            keys = list(zip(*found)) or [()] * 5
             sums = list(zip(*found.values())) or [()] * 2
-            kinds = (pa.string(), pa.int32(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([*(pa.array(k, t) for k, t in zip(keys, kinds)), *(pa.array(x, pa.int64()) for x in sums)], names=["host", "node", "value", "article", "own", "inside"])
+            kinds = (pa.string(), pa.int32(), *[pa.int64()] * 3)
+            yield pa.RecordBatch.from_arrays([*(pa.array(k, t) for k, t in zip(keys, kinds)), *(pa.array(x, pa.int64()) for x in sums)], names=["host", "node", "path", "value", "article", "own", "inside"])
 
-    return rows.select("host", "role", "skeleton").mapInArrow(run, "host string, node int, value long, article long, own long, inside long")
+    return rows.select("host", "role", "skeleton").mapInArrow(run, "host string, node int, path long, value long, article long, own long, inside long")
 
 
 def induce(made: DataFrame) -> DataFrame:
@@ -475,21 +498,32 @@ def induce(made: DataFrame) -> DataFrame:
     dealt = made.join(hosts.where("parts > 1").select("host", "parts"), "host", "left").select("host", part_of(F.col("parts")).alias("part"), F.lit(1).alias("role"), "skeleton")
     said = aligned(in_parts(references.union(dealt)))
     # an article counts once for a value, then values for a slot; each step adds up in the tasks first
-    by_article = said.groupBy("host", "node", "value", "article").agg(F.sum("own").alias("own"), F.sum("inside").alias("inside"))
-    by_value = by_article.groupBy("host", "node", "value").agg(F.count("*").alias("articles"), F.sum("own").alias("own"), F.sum("inside").alias("inside"))
+    by_article = said.groupBy("host", "node", "path", "value", "article").agg(F.sum("own").alias("own"), F.sum("inside").alias("inside"))
+    values = stored(by_article.groupBy("host", "node", "path", "value").agg(
+        F.count("*").alias("articles"), F.min("article").alias("first"), F.max("article").alias("last"), F.sum("own").alias("own"), F.sum("inside").alias("inside")), "values")
     says = F.col("value") != 0
-    slots = by_value.groupBy("host", "node").agg(
-        F.sum("articles").alias("articles"), F.sum(F.when(says & (F.col("articles") > 1), F.col("articles")).otherwise(0)).alias("shared"),
+    common = values.where(says).groupBy("path", "value").agg(F.min("first").alias("first"), F.max("last").alias("last")).where("first < last").select("path", "value", F.lit(True).alias("common"))
+    slots = stored(values.drop("first", "last").join(common, ["path", "value"], "left").groupBy("host", "node", "path").agg(
+        F.sum("articles").alias("articles"), F.sum(F.when(F.col("common"), F.col("articles")).otherwise(0)).alias("shared"),
         F.max(F.when(says, F.col("articles")).otherwise(0)).alias("most"), F.max_by("value", F.struct(F.when(says, F.col("articles")), "value")).alias("value"),
-        F.sum("own").alias("own"), F.sum("inside").alias("inside"))
-    slots = slots.groupBy("host").agg(F.collect_list(F.struct("node", "articles", "shared", "most", "value", "own", "inside")).alias("slots"))
-    return stored(hosts.join(slots, "host", "left"), "wrappers")
+        F.sum("own").alias("own"), F.sum("inside").alias("inside")), "slots")
+    released(values)
+    # what the other hosts' slots at the path tell counts as PRIOR articles, and they themselves begin with as many that tell for content
+    alike = slots.groupBy("path").agg(F.sum("articles").alias("n"), F.sum("shared").alias("s"))
+    others = (F.col("s") - F.col("shared")) / (F.col("n") - F.col("articles") + PRIOR)
+    told = slots.join(alike, "path").withColumn("share", (F.col("shared") + PRIOR * others) / (F.col("articles") + PRIOR))
+    told = told.groupBy("host").agg(F.collect_list(F.struct("node", "articles", "share", "most", "value", "own", "inside")).alias("slots"))
+    out = stored(hosts.join(told, "host", "left"), "wrappers")
+    released(slots, hosts)
+    return out
 
 
-def extract(pages: DataFrame, html: str = "html", url: str = "url", key: str = "page_id") -> DataFrame:
-    """key, url and text of every page. Pages are shuffled once, to meet their host's wrapper."""
+def extract(pages: DataFrame, html: str = "html", url: str = "url", key: str = "page_id", names: bool = True) -> DataFrame:
+    """key, url and text of every page. Pages are shuffled once, to meet their host's wrapper. Without names the wrapper alone decides."""
     kind = pages.schema[key].dataType.simpleString()
-    wrappers = induce(stored(skeletons(pages, html, url, key), "skeletons"))
+    made = stored(skeletons(pages, html, url, key, names), "skeletons")
+    wrappers = induce(made)
+    released(made)
     none = F.lit(None)
     first = wrappers.select("host", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("role"), none.cast(kind).alias("page"), none.cast("string").alias("at"), none.cast("string").alias("html"), "skeleton", "slots")
     named = pages.select(host_of(F.col(url)).alias("host"), F.col(key).alias("page"), F.col(url).alias("at"), F.col(html).alias("html"))
@@ -501,9 +535,9 @@ def extract(pages: DataFrame, html: str = "html", url: str = "url", key: str = "
         wrapper = None
         for batch in slices(batches):
             page, at, text = [], [], []
-            for role, p, u, h, made, slots in zip(*(batch.column(c).to_pylist() for c in ("role", "page", "at", "html", "skeleton", "slots"))):
+            for host, role, p, u, h, made, slots in zip(*(batch.column(c).to_pylist() for c in ("host", "role", "page", "at", "html", "skeleton", "slots"))):
                 if role == 0:
-                    wrapper = Wrapper(made, slots or [])
+                    wrapper = Wrapper(made, slots or [], host, names)
                     continue
                 page.append(p)
                 at.append(u)
