@@ -379,3 +379,21 @@ def op10_size_aware_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op10_size_aware_jaccard": op10_size_aware_jaccard}
+
+ORACLE_SQL = {
+    "op10_size_aware_jaccard": r"""
+WITH RECURSIVE d AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS MATERIALIZED (
+  SELECT DISTINCT r, s FROM (
+    SELECT r, unnest(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i : i + 3], ' '))) AS s FROM d WHERE len(w) >= 4
+    UNION ALL SELECT r, array_to_string(w, ' ') FROM d WHERE len(w) BETWEEN 1 AND 3)),
+sizes AS MATERIALIZED (SELECT r, count(*) AS n FROM sets GROUP BY r),
+common AS (SELECT a.r AS a, b.r AS b, count(*) AS n FROM sets a JOIN sets b USING (s) WHERE a.r <> b.r GROUP BY 1, 2),
+links AS MATERIALIZED (SELECT a, b FROM common c JOIN sizes x ON x.r = a JOIN sizes y ON y.r = b WHERE 100 * c.n >= 85 * (x.n + y.n - c.n)),
+reach AS (SELECT a AS r, b AS other FROM links UNION SELECT reach.r, links.b FROM reach JOIN links ON links.a = reach.other),
+least AS (SELECT reach.r, min(doc_id) AS least FROM reach JOIN d ON d.r = reach.other GROUP BY 1),
+linked AS (SELECT a AS r, count(*) AS n FROM links GROUP BY 1)
+SELECT doc_id, coalesce(sizes.n, 0)::BIGINT AS n_shingles, least(doc_id, coalesce(least.least, doc_id)) AS component_id, coalesce(linked.n, 0)::BIGINT AS n_links
+FROM d LEFT JOIN sizes USING (r) LEFT JOIN least USING (r) LEFT JOIN linked USING (r)""",
+}

@@ -69,3 +69,33 @@ def op2_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op2_jump_shards": op2_jump_shards}
+
+
+# CRC-32 as SQL: the remainder of each byte by eight steps, then one step for each byte of a text in hexadecimal.
+_STEP = "CASE WHEN r & 1 = 1 THEN xor(3988292384, r >> 1) ELSE r >> 1 END"
+
+
+def _crc32_sql(hexed: str) -> str:
+    numbers = f"list_transform(regexp_extract_all({hexed}, '..'), lambda x: ('0x' || x)::BIGINT)"
+    return f"xor(4294967295, list_reduce({numbers}, lambda c, b: xor(c >> 8, rest[(xor(c, b) & 255) + 1]), 4294967295::BIGINT))"
+
+
+ORACLE_SQL = {
+    "op2_jump_shards": f"""
+WITH RECURSIVE bits AS (
+  SELECT i::BIGINT AS byte, i::BIGINT AS r, 0 AS step FROM range(256) t(i)
+  UNION ALL SELECT byte, {_STEP}, step + 1 FROM bits WHERE step < 8),
+tbl AS (SELECT list(r ORDER BY byte) AS rest FROM bits WHERE step = 8),
+d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+jump AS (
+  SELECT r, n, (coalesce(doc_id, 0)::HUGEINT + CASE WHEN doc_id < 0 THEN {TWO_64} ELSE 0 END)::UHUGEINT AS k, -1::BIGINT AS b, 0::BIGINT AS j FROM d, (VALUES (8), (9)) v(n)
+  UNION ALL
+  SELECT r, n, k, j, floor((j + 1) * ({TWO_31}::DOUBLE / ((k // {TWO_33}::UHUGEINT)::DOUBLE + 1)))::BIGINT
+  FROM (SELECT r, n, j, (k * {MULTIPLIER}::UHUGEINT + 1::UHUGEINT) % {TWO_64}::UHUGEINT AS k FROM jump WHERE j < n)),
+placed AS (SELECT r, max(b) FILTER (n = 8)::INTEGER AS shard, max(b) FILTER (n = 9)::INTEGER AS grown_shard FROM jump WHERE j >= n GROUP BY r),
+coded AS (
+  SELECT r, doc_id, octet_length(encode(t)) + 1 AS size, {_crc32_sql("hex(encode(t))")} AS text_crc32,
+    {_crc32_sql("hex(encode(coalesce(doc_id::VARCHAR, '')))")} % greatest(1, least(4096, count(*) OVER () // 1000)) AS bucket FROM d, tbl)
+SELECT doc_id, size::BIGINT AS size, text_crc32::BIGINT AS text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY bucket, doc_id) - 1 AS slot, grown_shard
+FROM coded JOIN placed USING (r)""",
+}
