@@ -2,6 +2,8 @@
 
 import datetime as dt
 
+from pyspark.sql import functions as F
+
 from tidebar.sources import store
 from tidebar.streaming import ingest
 
@@ -46,3 +48,31 @@ def test_cooldown_state(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert sorted(r.day_index for r in spark.table("cooled").collect()) == [1, 22]
+
+
+def test_fresh_bars_once_over_batches(spark, tmp_path):
+    source, state, target = (str(tmp_path / x) for x in ("in", "state", "out"))
+    for rows in ([bar(0, 1.0), bar(20, 2.0)], [bar(20, 2.5), bar(21, 3.0), bar(0, 9.0), bar(21, 3.0, "2")], [bar(5, 4.0), bar(12, 5.0)]):
+        put(spark, source, rows)
+        stream = ingest.fresh_bars(spark.readStream.schema(BARS).parquet(source), "10 days")
+        stream.writeStream.format("parquet").option("path", target).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    found = sorted((r.scode, r.ts.day, r.close) for r in spark.read.parquet(target).collect())
+    # each bar once, the first that came; the fifth day is more than ten days behind the twenty-first when it arrives, the twelfth is not
+    assert found == [("1", 1, 1.0), ("1", 13, 5.0), ("1", 21, 2.0), ("1", 22, 3.0), ("2", 22, 3.0)]
+
+
+def test_event_counts_equal_a_batch(spark, tmp_path):
+    """Closed windows of the stream over the given events, file by file in order of time, against a plain aggregation."""
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet").select(F.col("ts").cast("timestamp").alias("ts"), "event_type", "value")
+    source, state, target = (str(tmp_path / x) for x in ("in", "state", "out"))
+    bounds = events.select(F.percentile_approx("ts", [0.33, 0.66])).first()[0]
+    parts = (F.col("ts") < bounds[0], (F.col("ts") >= bounds[0]) & (F.col("ts") < bounds[1]), F.col("ts") >= bounds[1])
+    for part in parts:
+        events.where(part).coalesce(1).write.mode("append").parquet(source)
+        counts = ingest.event_counts(spark.readStream.schema(events.schema).parquet(source), "1 day", "2 hours")
+        counts.writeStream.format("parquet").option("path", target).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    last = events.agg(F.max("ts")).first()[0]
+    plain = events.groupBy(F.window("ts", "1 day"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+    closed = plain.where(F.col("window.end") <= F.lit(last) - F.expr("INTERVAL 2 HOURS")).select(F.col("window.start").alias("start"), "event_type", "n", "total")
+    found = spark.read.parquet(target).withColumn("total", F.round("total", 4))
+    assert closed.count() > 0 and sorted(map(tuple, found.collect())) == sorted(map(tuple, closed.collect()))
