@@ -5,7 +5,8 @@ matching, which prefers equal text among matchings of equal size. For each refer
 over all pages: a value that pages of different articles share is constant. A slot whose pages mostly say constant values is template, whether
 there is one value or a variant for each section of the site; the others vary. The content root is the deepest node that holds nearly all text
 that varies. A page's text is what its node at the content root says, without template; the names of elements and classes only break ties
-there: an article inside the root is the root, and what varies but is never content (comments, adverts, forms and the like) is left out.
+there: an article inside the root is the root, and what varies but is never content (comments, adverts, forms and the like) is left out. Inside an
+article only one value that the host's own articles nearly all have is template, as groups of near copies share paragraphs.
 With names=False the names of elements and classes say nothing but what a browser shows, and the wrapper alone decides.
 
 Hosts whose trees are alike help each other. A slot's path is the tags and places from the root down to it. A value counts as shared if an article of
@@ -399,9 +400,15 @@ class Wrapper:
     def __init__(self, made: bytes, slots: list[dict], host: str | None = None, names: bool = True):
         self.nodes, self.host, self.names = nodes_from(made), host, names
         self.template: dict[int, int | None] = {}
+        within = {n.number for n in self.nodes if n.tag in ("article", "main")} if names else set()
+        for n in self.nodes:  # parents come before their children
+            if n.number in within:
+                within.update(c.number for c in n.below)
         for slot in slots:
             if slot["share"] >= SHARED:
                 constant = slot["most"] >= CONSTANT * slot["articles"]
+                if slot["node"] in within and not (constant and slot["most"] >= SHARED * (slot["articles"] + PRIOR)):
+                    continue
                 if not constant and self.nodes[slot["node"]].tag in HEADINGS:
                     continue
                 self.template[slot["node"]] = slot["value"] if constant else None
