@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Mapping
+import math
+from collections.abc import Mapping, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -87,12 +88,52 @@ def write_split(rows: DataFrame, path: str, seed: int, keys: list[str], share: f
     return told
 
 
+#: Rows that one task may sort where a hash order is cut.
+SORTED_ROWS = 100_000
+
+
+def _cut(ranked: DataFrame, n: int, rank: str) -> tuple[str, int] | None:
+    """Where the first n rows by a hash rank end: a beginning of ranks, and how many of the rows that begin so are among them. None where there are n rows at most.
+
+    Rows are counted by three digits of the rank at a time (4,096 counts), and again only those of the beginning where n is reached, until it has few.
+    """
+    start, left = "", n
+    while True:
+        head = F.substring(rank, 1, len(start) + 3)
+        counts = ranked.where(F.col(rank).startswith(start)).groupBy(head.alias("head")).count().orderBy("head").collect()
+        for head, count in counts:
+            if left <= count:
+                break
+            left -= count
+        else:
+            return None
+        whole, start = len(head) < len(start) + 3, head
+        if count <= SORTED_ROWS or whole:  # few rows, or rows of one rank
+            return start, left
+
+
+def lowest(ranked: DataFrame, n: int, rank: str = "hash_rank", ties: Sequence[str] = ("scode", "trade_date")) -> DataFrame:
+    """The n rows with the lowest hash rank (hexadecimal digits), ties by columns: a filter, and a sort of the few rows around the end alone.
+
+    `ranked` is read once more for each three digits that are needed, one time up to some 400 million rows.
+    """
+    if n <= 0:
+        return ranked.where("false")
+    found = _cut(ranked, n, rank)
+    if found is None:
+        return ranked
+    start, left = found
+    return ranked.where(F.col(rank) < start).unionByName(ranked.where(F.col(rank).startswith(start)).orderBy(rank, *ties).limit(left))
+
+
 def hash_split(rows: DataFrame, seed: int, keys: list[str], share: float = 0.2) -> DataFrame:
     """rows with is_eval: the lowest hash ranks, max(1, round-half-even(share n)) of them; none of a single row."""
     rank = stable_rank(seed, *[F.col(k) for k in keys])
     n = rows.count()
     wanted = max(1, round(share * n)) if n > 1 else 0
-    edge = rows.select(rank.alias("r"), *keys).orderBy("r", *keys).limit(wanted).select(F.struct("r", *keys).alias("x")).agg(F.max("x").alias("edge"))
+    ranked = rows.select(rank.alias("r"), *keys)
+    start, left = (_cut(ranked, wanted, "r") if wanted else None) or ("", wanted)
+    edge = ranked.where(F.col("r").startswith(start)).orderBy("r", *keys).limit(left).select(F.struct("r", *keys).alias("x")).agg(F.max("x").alias("edge"))
     return rows.crossJoin(F.broadcast(edge)).withColumn("is_eval", F.coalesce(F.struct(rank.alias("r"), *keys) <= F.col("edge"), F.lit(False))).drop("edge")
 
 
@@ -101,7 +142,7 @@ def negatives(bars: DataFrame, positives: DataFrame, seed: int, limit: int, scan
     others = bars.join(positives.select("scode", "trade_date"), ["scode", "trade_date"], "left_anti").select("scode", "trade_date")
     if scan_limit:
         others = others.orderBy("scode", "trade_date").limit(scan_limit)
-    return others.withColumn("hash_rank", stable_rank(seed, F.col("scode"), F.col("trade_date"))).orderBy("hash_rank", "scode", "trade_date").limit(limit)
+    return lowest(others.withColumn("hash_rank", stable_rank(seed, F.col("scode"), F.col("trade_date"))), limit)
 
 
 def _ranked(rows: DataFrame, seed: int, tag: str, by: list[str]) -> DataFrame:
@@ -137,7 +178,7 @@ def evaluation_set(rows: DataFrame, seed: int = 7, positive_limit: int | None =
     parts = []
     for k, n in RATIOS.items():
         rank = stable_rank(seed, F.lit("evaluation"), F.col("scode"), F.col("trade_date"))
-        parts.append(rows.where(F.col("label") == k).withColumn("hash_rank", rank).orderBy("hash_rank", "scode", "trade_date").limit(cycles * n))
+        parts.append(lowest(rows.where(F.col("label") == k).withColumn("hash_rank", rank), cycles * n))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -223,7 +264,7 @@ def balanced_rows(rows: DataFrame, ratio: int, seed: int = 7, target: str = "dow
     counts = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
     kept = min(counts.get(target, 0), counts.get(other, 0) // ratio)
     rank = stable_rank(seed, F.lit("balance"), F.col("scode"), F.col("trade_date"))
-    parts = [rows.where(F.col("label") == k).withColumn("hash_rank", rank).orderBy("hash_rank", "scode", "trade_date").limit(n) for k, n in ((target, kept), (other, kept * ratio))]
+    parts = [lowest(rows.where(F.col("label") == k).withColumn("hash_rank", rank), n) for k, n in ((target, kept), (other, kept * ratio))]
     both = parts[0].unionByName(parts[1])
     # counted by the first digits of the hash, which follow its order
     return ordinals(both, F.substring("hash_rank", 1, 3), [F.col("hash_rank"), F.col("scode"), F.col("trade_date")], "rank_no").withColumn("rank_no", F.col("rank_no") + 1)
@@ -288,12 +329,13 @@ def reshuffle(scored: DataFrame, pool: DataFrame, excluded: DataFrame, keep: dic
     key = ["scode", "trade_date"]
     parts = []
     for kind, n in total.items():
-        top = scored.where(F.col("kind") == kind).orderBy(F.desc_nulls_last("score"), *key).limit(min(keep.get(kind, 0), n)).select(*key, "kind")
+        best = by_score(scored.where(F.col("kind") == kind))
+        top = best.where(F.col("n") <= min(keep.get(kind, 0), n)).select(*key, "kind")
         missing = n - top.count()
         parts.append(top)
         if missing > 0:
             free = pool.where(F.col("kind") == kind).join(excluded.select(key), key, "left_anti").join(top.select(key), key, "left_anti").dropDuplicates(key)
-            drawn = free.withColumn("r", stable_rank(seed, F.lit("refill"), *[F.col(k) for k in key])).orderBy("r", *key).limit(missing).select(*key, "kind")
+            drawn = lowest(free.withColumn("r", stable_rank(seed, F.lit("refill"), *[F.col(k) for k in key])), missing, "r").select(*key, "kind")
             if drawn.count() < missing:
                 raise ValueError(f"the pool has too few rows of {kind}")
             parts.append(drawn)
@@ -303,18 +345,25 @@ def reshuffle(scored: DataFrame, pool: DataFrame, excluded: DataFrame, keep: dic
     return out
 
 
-def positive_reshuffle(scored: DataFrame, seed: int = 7, top_share: float = 0.3, kept_share: float = 0.1, negatives_each: int = 4) -> DataFrame:
-    """Positives without most of the top-scored 30 percent (a tenth of them stays, by hash), and negatives in ratio, by hash."""
-    # counted by rounded score; nulls come last
+def by_score(scored: DataFrame) -> DataFrame:
+    """Rows with their place `n` from 1, highest score first, unscored last, ties by symbol and day; counted by rounded score."""
     coarse = F.coalesce(-F.floor(F.col("score") * 10_000), F.lit(1 << 60))
-    ones = ordinals(scored.where("label = 1"), coarse, [F.desc_nulls_last("score"), F.col("scode"), F.col("trade_date")]).withColumn("n", F.col("n") + 1)
+    return ordinals(scored, coarse, [F.desc_nulls_last("score"), F.col("scode"), F.col("trade_date")]).withColumn("n", F.col("n") + 1)
+
+
+def positive_reshuffle(scored: DataFrame, seed: int = 7, top_share: float = 0.3, kept_share: float = 0.1, negatives_each: float = 4) -> DataFrame:
+    """Positives without most of the top-scored 30 percent, and negatives in ratio, by hash.
+
+    The top has the share rounded up, and of it a tenth rounded up, one at least, stays, by hash.
+    """
+    ones = by_score(scored.where("label = 1"))
     count = ones.count()
-    edge = round(count * top_share)
+    edge = min(count, max(0, math.ceil(count * top_share)))
+    kept = min(edge, max(min(edge, 1), math.ceil(edge * kept_share)))
     rank = stable_rank(seed, F.lit("top"), F.col("scode"), F.col("trade_date"))
-    stay = ones.where(F.col("n") <= edge).withColumn("r", rank).orderBy("r", "scode", "trade_date").limit(round(edge * kept_share)).drop("r")
+    stay = lowest(ones.where(F.col("n") <= edge).withColumn("r", rank), kept, "r").drop("r")
     tail = ones.where(F.col("n") > edge)
-    wanted = (count - edge + round(edge * kept_share)) * negatives_each
-    zeros = scored.where("label = 0").withColumn("r", rank).orderBy("r", "scode", "trade_date").limit(wanted).drop("r")
+    zeros = lowest(scored.where("label = 0").withColumn("r", rank), round((count - edge + kept) * negatives_each), "r").drop("r")
     return stay.drop("n").unionByName(tail.drop("n")).unionByName(zeros)
 
 

@@ -315,7 +315,7 @@ def pattern_matches(spark, d):
     return featured(spark, d).select("scode", "trade_date", F.size("tokens").cast("long").alias("n"), patterns.matches(pattern, F.col("tokens")).alias("both_"))
 
 
-@query(f"""{SCORED}, n AS (SELECT *, row_number() OVER (ORDER BY score DESC, scode, trade_date) AS n, count(*) OVER () AS c FROM scored WHERE y = 1), e AS (SELECT max(c) AS c, CAST(round_even(max(c) * 0.3, 0) AS BIGINT) AS edge, CAST(round_even(round_even(max(c) * 0.3, 0) * 0.1, 0) AS BIGINT) AS kept FROM n),
+@query(f"""{SCORED}, n AS (SELECT *, row_number() OVER (ORDER BY score DESC, scode, trade_date) AS n, count(*) OVER () AS c FROM scored WHERE y = 1), e AS (SELECT max(c) AS c, CAST(ceil(max(c) * 0.3::DOUBLE) AS BIGINT) AS edge, greatest(least(max(c), 1), CAST(ceil(ceil(max(c) * 0.3::DOUBLE) * 0.1::DOUBLE) AS BIGINT)) AS kept FROM n),
     top_ AS (SELECT scode, trade_date, y, row_number() OVER (ORDER BY {rank_sql(7, "'top'", 'scode', 'trade_date')}, scode, trade_date) AS k FROM n, e WHERE n <= edge),
     zeros AS (SELECT scode, trade_date, y, row_number() OVER (ORDER BY {rank_sql(7, "'top'", 'scode', 'trade_date')}, scode, trade_date) AS k FROM scored WHERE y = 0)
     SELECT scode, trade_date, y AS label FROM top_, e WHERE k <= kept UNION ALL SELECT scode, trade_date, y FROM n, e WHERE n > edge UNION ALL SELECT scode, trade_date, y FROM zeros, e WHERE k <= (e.c - edge + kept) * 4""")
