@@ -6,6 +6,7 @@ import random
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -404,6 +405,40 @@ def test_merging_many_equals_merging_one():
     assert bpe.merger_of(vocabulary).all(words) == [vocabulary.merge(w) for w in words]
 
 
+class _Counted(bpe.AsIds):
+    """Counts how often the ids of each word are made."""
+
+    entries = 400
+
+    def __init__(self):
+        self.made = {}
+
+    def word(self, ids):
+        self.made[tuple(ids)] = self.made.get(tuple(ids), 0) + 1
+        return tuple(ids)
+
+
+def test_pieces_that_come_back_are_not_merged_again():
+    """Words of every other text are merged once, although the memo fills up several times; what it holds stays bounded."""
+    path, rng = bpe.tokenizer_path(), random.Random(9)
+    vocabulary, render = bpe.vocabulary_at(path), _Counted()
+    fresh = ["".join(rng.choice("bdfghklmnprst") + rng.choice("aeiou") for _ in range(5)) + "q" for _ in range(60 * 60)]
+    often = ["x" + "".join(rng.choice("aeiou") + rng.choice("bdfgklmn") for _ in range(4)) + "z" for _ in range(20)]
+    texts = [" ".join(fresh[60 * i : 60 * i + 60] + (often if i % 2 else [])) for i in range(60)]
+    encoder = bpe.Encoder(vocabulary, bpe.Lexicon(bpe.lexicon_for(path)), render)
+    found = list(encoder.batches(texts, chars=1))
+    assert [[list(ids) for ids in values] for values in found] == [[vocabulary.merge(w.encode()) for w in t.split()] for t in texts]
+    assert {render.made[tuple(vocabulary.merge(w.encode()))] for w in often} == {1}
+    assert len(encoder.memo.now) + len(encoder.memo.before) <= 400 + 2 * 80
+    assert len(encoder.known.now) + len(encoder.known.before) <= 100 + 2 * 80
+
+
+def test_words_rendered_together_are_those_rendered_alone():
+    sizes, ids = np.array([1, 3, 0, 2]), np.array([7, 8, 49_407, 1, 70_000, 2], dtype=np.int32)
+    for render in (bpe.AsIds(), packing._Packed()):
+        assert render.words(ids, sizes) == [render.word(x) for x in ([7], [8, 49_407, 1], [], [70_000, 2])]
+
+
 # packing
 
 

@@ -6,6 +6,7 @@ a walk yields the word's number, and the number its ids. The automaton is one fl
 bounded size and is memory-mapped there. Words that it lacks are merged exactly by rank, many at once.
 
 The text is cut at white space first, which no token of this vocabulary crosses; a bounded memo keeps the ids of pieces already seen by a worker.
+Its entries are of two generations, so that pieces which come back now and then outlast it when it is full.
 
 Edge cases: a null or empty text has no ids; the special tokens' strings in a text become their ids, as in the library; repeated rows encode alike.
 """
@@ -121,6 +122,12 @@ class Vocabulary:
         return [self.ids[p] for p in parts if p]
 
 
+def cut(values, sizes: np.ndarray) -> list:
+    """A sequence cut into stretches of these sizes."""
+    ends = np.cumsum(sizes).tolist()
+    return [values[a:b] for a, b in zip([0, *ends], ends)]
+
+
 class Merger:
     """Exact merging of many words at once: rows of token numbers in which the pair of the lowest rank, the leftmost first, becomes one token per step."""
 
@@ -132,19 +139,19 @@ class Merger:
         pairs = [(vocabulary.ids[a], vocabulary.ids[b], r, vocabulary.ids[a + b]) for (a, b), r in vocabulary.ranks.items()]
         known = np.array(pairs, dtype=np.int64).reshape(-1, 4)
         keys = known[:, 0] << 32 | known[:, 1]
-        # a table of 2^20 slots, in which each pair stands within a few slots after that of its hash
-        self.keys, self.at = np.full((1 << 20) + 64, -1, dtype=np.int64), np.full((1 << 20) + 64, -1, dtype=np.int32)
-        rest, self.probes = np.arange(len(keys)), 0
+        # a table of 2^20 slots, in which each pair stands within a few slots after that of its hash, and none between them is free
+        self.keys, self.rank = np.full((1 << 20) + 64, -1, dtype=np.int64), np.full((1 << 20) + 64, self.NONE, dtype=np.int32)
+        rest, probes = np.arange(len(keys)), 0
         while len(rest):
-            slot = self._slot(keys[rest]) + self.probes
+            slot = self._slot(keys[rest]) + probes
             free = self.keys[slot] < 0
             _, first = np.unique(slot[free], return_index=True)
             taken = rest[free][first]
-            self.keys[slot[free][first]], self.at[slot[free][first]] = keys[taken], taken
+            self.keys[slot[free][first]], self.rank[slot[free][first]] = keys[taken], known[taken, 2]
             rest = np.setdiff1d(rest, taken)
-            self.probes += 1
-        self.merged = known[:, 3].astype(np.int32)
-        self.order = np.append(known[:, 2], self.NONE).astype(np.int32)  # by the merge's number; the last is of none
+            probes += 1
+        self.merged = np.zeros(int(known[:, 2].max(initial=0)) + 1, dtype=np.int32)  # the token that the merge of a rank makes
+        self.merged[known[:, 2]] = known[:, 3]
         self.first = np.array([vocabulary.ids[c] for c in vocabulary.letters], dtype=np.int32)
         self.last = np.array([vocabulary.ids[c + vocabulary.end] for c in vocabulary.letters], dtype=np.int32)
 
@@ -152,56 +159,73 @@ class Merger:
         return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
 
     def pairs(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """The number of each pair's merge, -1 where it has none; tokens below 0 are no tokens."""
-        keys = a.astype(np.int64) << 32 | (b.astype(np.int64) & 0xFFFFFFFF)
+        """The rank of each pair's merge, NONE where it has none. Only pairs whose slot another one holds look further."""
+        keys = a.astype(np.int64) << 32 | b
         slot = self._slot(keys)
-        found = np.where(self.keys[slot] == keys, self.at[slot], -1)
-        for i in range(1, self.probes):
-            found = np.where(self.keys[slot + i] == keys, self.at[slot + i], found)
-        return np.where((a < 0) | (b < 0), np.int32(-1), found)
+        there = self.keys[slot]
+        found = np.where(there == keys, self.rank[slot], np.int32(self.NONE))
+        more = np.flatnonzero((there != keys) & (there >= 0))
+        while len(more):
+            slot[more] += 1
+            there = self.keys[slot[more]]
+            hit = more[there == keys[more]]
+            found[hit] = self.rank[slot[hit]]
+            more = more[(there != keys[more]) & (there >= 0)]
+        return found
 
     def all(self, words: list[bytes]) -> list[list[int]]:
         out: list = [None] * len(words)
-        sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
-        for size in np.unique(sizes).tolist():
-            which = np.flatnonzero(sizes == size)
-            if size > self.LONGEST:
-                for i in which.tolist():
-                    out[i] = self.vocabulary.merge(words[i])
+        for which, ids, sizes in self.groups(words):
+            for i, own in zip(which, cut(ids.tolist(), sizes)):
+                out[i] = own
+        return out
+
+    def groups(self, words: list[bytes]) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
+        """Words of one length at a time: which they are, their ids one word after another, and how many each has."""
+        lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+        for length in np.unique(lengths).tolist():
+            which = np.flatnonzero(lengths == length).tolist()
+            if length > self.LONGEST:
+                merged = [self.vocabulary.merge(words[i]) for i in which]
+                yield which, np.array([i for ids in merged for i in ids], dtype=np.int32), np.array([len(ids) for ids in merged])
                 continue
-            data = np.frombuffer(b"".join([words[i] for i in which.tolist()]), dtype=np.uint8).reshape(-1, size)
+            data = np.frombuffer(b"".join([words[i] for i in which]), dtype=np.uint8).reshape(-1, length)
             rows = self.first[data]
             rows[:, -1] = self.last[data[:, -1]]
-            for i, ids in zip(which.tolist(), self._merged(rows)):
-                out[i] = ids
-        return out
+            yield which, *self._merged(rows)
 
-    def _merged(self, rows: np.ndarray) -> list[list[int]]:
+    def _merged(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Only the two pairs beside a new token are looked up again."""
-        left, done, live, now = np.full(len(rows), rows.shape[1]), np.full_like(rows, -1), np.arange(len(rows)), rows
-        number = self.pairs(now[:, :-1], now[:, 1:])
-        while True:
-            rank = self.order[number]
-            best = rank.argmin(axis=1) if rank.shape[1] else np.zeros(len(now), dtype=np.int64)
-            more = rank[np.arange(len(now)), best] < self.NONE if rank.shape[1] else np.zeros(len(now), dtype=bool)
-            if not more.all():
-                done[live[~more], : now.shape[1]] = now[~more]
-                live, now, best, number = live[more], now[more], best[more], number[more]
-            if not len(live):
-                break
+        n, width = rows.shape
+        left, done, live, now = np.full(n, width), np.zeros_like(rows), np.arange(n), rows
+        rank = self.pairs(now[:, :-1].ravel(), now[:, 1:].ravel()).reshape(n, width - 1)
+        while width > 1:
             at = np.arange(len(live))
-            joined = self.merged[number[at, best]]
-            columns = np.arange(now.shape[1] - 1)[None, :]
+            best = rank.argmin(axis=1)
+            lowest = rank[at, best]
+            more = lowest < self.NONE
+            if not more.all():
+                done[live[~more], :width], left[live[~more]] = now[~more], width
+                live, now, rank, best, lowest = live[more], now[more], rank[more], best[more], lowest[more]
+                if not len(live):
+                    break
+                at = np.arange(len(live))
+            joined = self.merged[lowest]
             now[at, best] = joined
-            now = np.take_along_axis(now, columns + (columns > best[:, None]), axis=1)
-            columns = columns[:, :-1]
-            number = np.take_along_axis(number, columns + (columns >= best[:, None]), axis=1)
-            left[live] -= 1
-            width = now.shape[1]
-            before, after = best > 0, best < width - 1
-            number[at[before], best[before] - 1] = self.pairs(now[at[before], best[before] - 1], joined[before])
-            number[at[after], best[after]] = self.pairs(joined[after], now[at[after], best[after] + 1])
-        return [ids[:n] for ids, n in zip(done.tolist(), left.tolist())]
+            columns = np.arange(width)
+            now = now[columns != best[:, None] + 1].reshape(len(live), width - 1)
+            rank = rank[columns[:-1] != best[:, None]].reshape(len(live), width - 2)
+            width -= 1
+            before, after = np.flatnonzero(best > 0), np.flatnonzero(best < width - 1)
+            found = self.pairs(
+                np.concatenate([now[before, best[before] - 1], joined[after]]),
+                np.concatenate([joined[before], now[after, best[after] + 1]]),
+            )
+            rank[before, best[before] - 1] = found[: len(before)]
+            rank[after, best[after]] = found[len(before) :]
+        else:
+            done[live, :1], left[live] = now, 1
+        return done[np.arange(done.shape[1]) < left[:, None]], left
 
 
 def compile_lexicon(entries: Iterable[tuple[bytes, list[int]]]) -> bytes:
@@ -284,13 +308,14 @@ class Lexicon:
 
     def outputs(self, numbers: np.ndarray) -> list[list[int]]:
         """Ids of the words of these numbers."""
+        ids, sizes = self.flat_outputs(numbers)
+        return cut(ids.tolist(), sizes)
+
+    def flat_outputs(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same ids one word after another, and how many each word has."""
         starts, ends = self.offsets[numbers].astype(np.int64), self.offsets[numbers + 1].astype(np.int64)
         sizes = ends - starts
-        if not len(sizes):
-            return []
-        flat = self.ids[np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())].tolist()
-        cuts = np.cumsum(sizes).tolist()
-        return [flat[a:b] for a, b in zip([0, *cuts], cuts)]
+        return self.ids[np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())], sizes
 
 
 @functools.lru_cache(maxsize=4)
@@ -301,7 +326,7 @@ def merger_of(vocabulary: Vocabulary) -> Merger:
 class AsIds:
     """Renders ids as they are. A renderer makes a value of a word's ids, and one value of those of a piece; equal renderers are interchangeable.
 
-    entries: how many values a memo holds before it is thinned out.
+    entries: how many values a memo holds, besides those that are asked for at a time.
     """
 
     entries = MEMO_ENTRIES
@@ -309,6 +334,10 @@ class AsIds:
     def word(self, ids: list[int]):
         return tuple(ids)
 
+    def words(self, ids: np.ndarray, sizes: np.ndarray) -> list:
+        """The values of many words, whose ids stand one word after another."""
+        return list(map(self.word, cut(ids.tolist(), sizes)))
+
     def joined(self, values: list):
         return tuple(i for v in values for i in v)
 
@@ -319,6 +348,24 @@ class AsIds:
         return hash(type(self))
 
 
+class Memo:
+    """Values by key in two generations of half its entries: a full one is kept for as long as the next one takes to fill, and keys wanted meanwhile move on."""
+
+    def __init__(self, entries: int):
+        self.entries = entries
+        self.now: dict[str, object] = {}
+        self.before: dict[str, object] = {}
+
+    def missing(self, wanted: set[str]) -> set[str]:
+        """What neither has and is to be put into `now`, which holds the rest of what is wanted until it is asked again."""
+        if len(self.now) > self.entries // 2:
+            self.now, self.before = {}, self.now
+        left, before = wanted.difference(self.now), self.before
+        again = [k for k in left if k in before]
+        self.now.update(zip(again, map(before.__getitem__, again)))
+        return left.difference(again)
+
+
 class Encoder:
     """Encodes texts with a vocabulary and a lexicon; keeps bounded memos of words and pieces, as the renderer makes them."""
 
@@ -327,8 +374,7 @@ class Encoder:
 
     def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon, render: AsIds):
         self.vocabulary, self.lexicon, self.render, self.merger = vocabulary, lexicon, render, merger_of(vocabulary)
-        self.memo: dict[str, object] = {}
-        self.known: dict[str, object] = {}
+        self.memo, self.known = Memo(render.entries), Memo(render.entries // 4)
 
     def pieces(self, text: str | None) -> list[str]:
         if not text:
@@ -353,36 +399,33 @@ class Encoder:
         try:
             waiting = iter(pieces)
             while part := list(itertools.islice(waiting, self.LEARNED)):
-                if len(self.known) > self.render.entries // 4:  # most words come back as pieces, which the other memo holds
-                    self.known = {}
                 self._learn(part)
         finally:
             gc.enable()
 
     def _learn(self, pieces: list[str]) -> None:
-        known = self.known
         joined = "\n".join(pieces)
         plain = "Σ" not in joined and unicodedata.is_normalized("NFC", joined)
         lowered = joined.lower().split("\n") if plain else [None] * len(pieces)
         cores = [p.rstrip(".,!") if p else "" for p in lowered]
         two: list[tuple[str, str, str]] = []
         other: list[tuple[str, list]] = []
-        one: list[tuple[str, str]] = []
+        one: dict[str, str] = {}
         for piece, low, core in zip(pieces, lowered, cores):
             if core.isalpha():
                 if len(core) == len(low):
-                    one.append((piece, core))
+                    one[piece] = core
                 else:
                     two.append((piece, core, low[len(core) :]))
             else:
                 other.append((piece, self.split(piece)))
-        wanted = {c for _, c in one}
+        wanted = set(one.values())
         wanted.update(c for _, c, _ in two)
         wanted.update(t for _, _, t in two)
         wanted.update(w for _, ws in other for w in ws if isinstance(w, str))
-        self._know(list(wanted.difference(known)))
-        memo, render = self.memo, self.render
-        memo.update((p, known[c]) for p, c in one)
+        self._know(list(self.known.missing(wanted)))
+        memo, known, render = self.memo.now, self.known.now, self.render
+        memo.update(zip(one, map(known.__getitem__, one.values())))
         memo.update((p, render.joined([known[c], known[t]])) for p, c, t in two)
         for piece, ws in other:
             memo[piece] = render.joined([known[w] if isinstance(w, str) else render.word([w]) for w in ws])
@@ -392,32 +435,28 @@ class Encoder:
             return
         fresh = [w.encode() for w in words]
         numbers = self.lexicon.numbers(fresh)
-        word, known = self.render.word, self.known
+        render, known = self.render.words, self.known.now
         accepted = np.flatnonzero(numbers >= 0)
-        for i, ids in zip(accepted.tolist(), self.lexicon.outputs(numbers[accepted])):
-            known[words[i]] = word(ids)
+        known.update(zip([words[i] for i in accepted.tolist()], render(*self.lexicon.flat_outputs(numbers[accepted]))))
         rest = np.flatnonzero(numbers < 0).tolist()
-        for i, ids in zip(rest, self.merger.all([fresh[i] for i in rest])):
-            known[words[i]] = word(ids)
+        for which, ids, sizes in self.merger.groups([fresh[i] for i in rest]):
+            known.update(zip([words[rest[i]] for i in which], render(ids, sizes)))
 
     def batches(self, texts: list[str | None], chars: int = 4_000_000) -> Iterator[list]:
         """For each text the values of its pieces; so many characters are cut into pieces at a time."""
         at = 0
         while at < len(texts):
-            cut, size = [], 0
-            while at < len(texts) and (not cut or size + len(texts[at] or "") <= chars):
+            texts_pieces, size = [], 0
+            while at < len(texts) and (not texts_pieces or size + len(texts[at] or "") <= chars):
                 size += len(texts[at] or "")
-                cut.append(self.pieces(texts[at]))
+                texts_pieces.append(self.pieces(texts[at]))
                 at += 1
-            memo = self.memo
-            wanted = set().union(*cut)
-            if len(memo) > self.render.entries:  # what these texts want is what is worth keeping
-                memo = self.memo = {p: memo[p] for p in wanted if p in memo}
-            missing = wanted.difference(memo)
+            missing = self.memo.missing(set().union(*texts_pieces))
             if missing:
                 self.learn(missing)
-            for pieces in cut:
-                yield list(map(memo.__getitem__, pieces))
+            value = self.memo.now.__getitem__
+            for pieces in texts_pieces:
+                yield list(map(value, pieces))
 
 
 @functools.lru_cache(maxsize=4)

@@ -37,6 +37,9 @@ class _Packed(bpe.AsIds):
     def word(self, ids: list[int]) -> bytes:
         return struct.pack(f"<{len(ids)}I", *ids)
 
+    def words(self, ids: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+        return bpe.cut(ids.astype("<u4").tobytes(), sizes * 4)
+
     def joined(self, values: list[bytes]) -> bytes:
         return b"".join(values)
 
