@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidebar.llm import bpe, fingerprints, langid, quality, substrings, toxicity
+from tidebar.llm import bpe, fingerprints, graph, langid, quality, substrings, toxicity
 
 from .test_llm import none, odd, prose, table  # noqa: F401
 
@@ -253,3 +253,22 @@ def test_cascade_stops_at_the_first_rule(spark):
     assert [r[0] for r in df.select(quality.cascade(rules, ["first", "second"])).orderBy("text").collect()] == ["first", None]
     order = quality.measured_order(df, {"none": F.lit(False), "all": F.lit(True)})
     assert order == ["all", "none"]
+
+
+def test_sampled_letters_share_one_buffer():
+    texts = ["Ab c", "", "x" * 70_000, "ß\U0001d4d0 9"]
+    found = langid.coded(iter(texts))
+    assert [x.tolist() for x in found] == [langid.letters_of(t).tolist() for t in texts]
+    assert len({id(x.base) for x in found}) == 1 and found[0].base is not None
+
+
+def test_a_round_of_components_joins_once_a_plan(spark, monkeypatch):
+    """The driver holds and redraws each plan, so no step's plan has a star inside another; edges that are stars already take one round, none take none."""
+    plans, store = [], graph.stored
+    monkeypatch.setattr(graph, "stored", lambda df, label: plans.append(df._jdf.queryExecution().optimizedPlan().toString().count("Join ")) or store(df, label))
+    cases = [([(9, 8), (8, 7), (7, 3), (5, 4), (6, 6)], {9: 3, 8: 3, 7: 3, 3: 3, 5: 4, 4: 4}, None), ([(5, 1), (1, 4), (3, 2)], {5: 1, 4: 1, 1: 1, 3: 2, 2: 2}, 3), ([], {}, 1)]
+    for edges, expected, steps in cases:
+        plans.clear()
+        found = graph.components(spark.createDataFrame(edges, "a long, b long")).collect()
+        assert len(found) == len(expected) and {r.node: r.component for r in found} == expected
+        assert max(plans) <= 1 and steps in (None, len(plans))

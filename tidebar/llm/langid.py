@@ -16,7 +16,7 @@ those that are named like the results are replaced. Every value of lang is a lan
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -52,6 +52,16 @@ def letters_of(text: str) -> np.ndarray:
     return out
 
 
+def coded(texts: Iterable[str | None]) -> list[np.ndarray]:
+    """The letters of each text as 32-bit numbers, all in one buffer: it goes back to the system as a whole, which many small arrays don't."""
+    buffer, ends = bytearray(), [0]
+    for t in texts:
+        buffer += letters_of(t or "").astype(np.uint32).tobytes()
+        ends.append(len(buffer) // 4)
+    flat = np.frombuffer(buffer, dtype=np.uint32)
+    return [flat[a:b] for a, b in zip(ends, ends[1:])]
+
+
 def buckets(codes: np.ndarray) -> np.ndarray:
     """Embedding rows of all subwords."""
     codes = codes.astype(np.uint64, copy=False)
@@ -115,16 +125,16 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum()
 
 
-def train(texts: list[str], langs: list[str], held: list[bool], seed: int = 7) -> Model:
+def train(texts: Iterable[str], langs: list[str], held: list[bool], seed: int = 7) -> Model:
     """Fit on rows that are not held, calibrate on held ones (on all where none is held)."""
     languages = sorted(set(langs))
     if not languages:
         return Model([], np.zeros((1 << BITS, 0), np.float32), np.zeros(0), 1.0, 0.0)
     rng = np.random.default_rng(seed)
     number = {x: i for i, x in enumerate(languages)}
-    coded = [(letters_of(t).astype(np.uint32), number[x]) for t, x in zip(texts, langs)]
-    fit = [c for c, h in zip(coded, held) if not h] or coded
-    check = [c for c, h in zip(coded, held) if h] or coded
+    pairs = [(codes, number[x]) for codes, x in zip(coded(texts), langs)]
+    fit = [c for c, h in zip(pairs, held) if not h] or pairs
+    check = [c for c, h in zip(pairs, held) if h] or pairs
 
     def window(codes: np.ndarray) -> np.ndarray:
         size = int(rng.integers(20, 300))
@@ -188,8 +198,11 @@ def fit(docs: DataFrame, learn: Column, calibrate: Column, text: str = "text", l
     share = F.create_map(*[F.lit(x) for l, n in sorted(counts.items()) for x in (l, min(1.0, each / n))])
     drawn = F.pmod(F.xxhash64(F.lit("sample"), id_text("k"), F.length("t")), F.lit(1_000_000)) / 1_000_000
     sample = rows.where(F.col("l").isin(list(counts)) & (drawn < share[F.col("l")])).select("k", "t", "l", "c")
-    found = sample.orderBy("k", "t").toArrow().to_pydict()
-    return train(found["t"], found["l"], found["c"])
+    found = sample.orderBy("k", "t").toArrow()
+    model = train((t.as_py() for t in found.column("t")), found.column("l").to_pylist(), found.column("c").to_pylist())
+    del found
+    pa.default_memory_pool().release_unused()  # the driver lives on
+    return model
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text", added: tuple[str, str, str] = ("lang_pred", "score", "accepted")) -> DataFrame:
