@@ -10,10 +10,11 @@ import zlib
 import numpy as np
 import pytest
 import sentencepiece
+import tokenizers
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tidebar.llm import centroids, pieces, resampling
+from tidebar.llm import bpe, centroids, pieces, resampling
 
 PATH = pieces.model_path()
 MODEL = pieces.model_at(PATH)
@@ -174,3 +175,19 @@ def test_distances_are_exact(top):
 def test_fewer_vectors_than_clusters(spark):
     found = centroids.cluster(spark.createDataFrame([(1, [0.5, 1.0]), (2, [3.0, 1.0])], "vec_id long, embedding array<float>"), k=5, size=2).collect()
     assert sorted((r.vec_id, r.distance) for r in found) == [(1, 0), (2, 0)] and len({r.cluster for r in found}) == 2
+
+
+def test_digests_spell_packed_ids(monkeypatch):
+    """Operator 8's memo keeps ids alone, 4 bytes each; a text's decimals and tokens are spelled once, some at a time."""
+    path = bpe.tokenizer_path()
+    library = tokenizers.Tokenizer.from_file(path)
+    texts = ["The cat, sat on 12 mats! <|endoftext|> naïve Σίσυφος", "", "x", "a b c d e f g"]
+    encoder = bpe.Encoder(bpe.vocabulary_at(path), bpe.Lexicon(bpe.lexicon_for(path)), bpe.Packed())
+    for spelled in (1, 3, 100_000):
+        monkeypatch.setattr(bpe, "SPELLED", spelled)
+        found = [bpe.digest(b"".join(parts), path) for parts in encoder.batches(texts)]
+        for text, (n, ids_sha, decoded_sha) in zip(texts, found):
+            ids = library.encode(text, add_special_tokens=False).ids
+            told = (" ".join(map(str, ids)), library.decode(ids, skip_special_tokens=False))
+            assert (n, ids_sha, decoded_sha) == (len(ids), *(hashlib.sha256(x.encode()).hexdigest() for x in told))
+    assert all(isinstance(v, bytes) and len(v) % 4 == 0 for v in encoder.memo.now.values())

@@ -21,6 +21,7 @@ import itertools
 import json
 import os
 import re
+import struct
 import tempfile
 import unicodedata
 from collections import Counter
@@ -38,6 +39,8 @@ from .common import most_frequent, slices, stored, table
 #: Most words of the lexicon that come from the corpus, and entries of a memo before it is emptied.
 FREQUENT_WORDS = 40_000
 MEMO_ENTRIES = 250_000
+#: Ids that are spelled at a time.
+SPELLED = 100_000
 
 #: Characters that str.split() takes for white space and the tokenizer doesn't.
 ODD_SPACE = re.compile("[\x1c-\x1f]")
@@ -81,6 +84,14 @@ class Vocabulary:
         piece = unicodedata.normalize("NFC", piece)
         return "".join(map(str.lower, piece)) if "Σ" in piece else piece.lower()  # a final sigma is lowered like any other
 
+    def lowered(self, pieces: list[str]) -> tuple[list[str], list[str]]:
+        """Pieces in lower case, all at once, and the same without the signs at their ends; both empty where a piece among them is no plain case."""
+        joined = "\n".join(pieces)
+        if "Σ" in joined or not unicodedata.is_normalized("NFC", joined):
+            return [""] * len(pieces), [""] * len(pieces)
+        found = joined.lower().split("\n") if pieces else []
+        return found, [p.rstrip(".,!") for p in found]
+
     def words(self, piece: str) -> list[str]:
         """The words of a piece that has neither white space nor special tokens."""
         text = self.normalize(piece)
@@ -404,10 +415,7 @@ class Encoder:
             gc.enable()
 
     def _learn(self, pieces: list[str]) -> None:
-        joined = "\n".join(pieces)
-        plain = "Σ" not in joined and unicodedata.is_normalized("NFC", joined)
-        lowered = joined.lower().split("\n") if plain else [None] * len(pieces)
-        cores = [p.rstrip(".,!") if p else "" for p in lowered]
+        lowered, cores = self.vocabulary.lowered(pieces)
         two: list[tuple[str, str, str]] = []
         other: list[tuple[str, list]] = []
         one: dict[str, str] = {}
@@ -484,11 +492,17 @@ def frequent_words(df: DataFrame, path: str, text: str = "text", limit: int = FR
         pieces: Counter = Counter()
 
         def flush() -> pa.RecordBatch:
-            words: Counter = Counter()
-            for piece, n in pieces.items():
-                if "<|" not in piece:
+            words: dict[str, int] = {}
+            kept = [p for p in pieces if "<|" not in p]
+            for piece, low, core in zip(kept, *vocabulary.lowered(kept)):
+                n = pieces[piece]
+                if core.isalpha():
+                    words[core] = words.get(core, 0) + n
+                    if len(core) < len(low):
+                        words[low[len(core) :]] = words.get(low[len(core) :], 0) + n
+                else:
                     for w in vocabulary.words(piece):
-                        words[w] += n
+                        words[w] = words.get(w, 0) + n
             pieces.clear()
             return pa.RecordBatch.from_pydict({"word": pa.array([w.encode() for w in words], pa.binary()), "n": pa.array(list(words.values()), pa.int64())})
 
@@ -541,21 +555,40 @@ def with_text(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded")
     return df.mapInArrow(decode, schema)
 
 
-class _Digest(AsIds):
-    """Renders ids as their number, their decimals, and their decoding; as nothing where there are none."""
+class Packed(AsIds):
+    """Renders ids as little-endian unsigned 32-bit numbers; they are small, so more of them are kept."""
 
-    def __init__(self, path: str):
-        self.path = path
+    entries = 300_000
 
-    def word(self, ids: list[int]) -> tuple:
-        tokens = vocabulary_at(self.path).tokens
-        return (len(ids), " ".join(map(str, ids)).encode(), " ".join([tokens[i] for i in ids]).encode())
+    def word(self, ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}I", *ids)
 
-    def joined(self, values: list) -> tuple:
-        if len(values) == 2:
-            (m, a, x), (n, b, y) = values
-            return (m + n, a + b" " + b, x + b" " + y)
-        return (sum(v[0] for v in values), b" ".join([v[1] for v in values]), b" ".join([v[2] for v in values])) if values else ()
+    def words(self, ids: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+        return cut(ids.astype("<u4").tobytes(), sizes * 4)
+
+    def joined(self, values: list[bytes]) -> bytes:
+        return b"".join(values)
+
+
+@functools.lru_cache(maxsize=4)
+def spellings(path: str) -> tuple[np.ndarray, list[bytes]]:
+    """By id: a blank and its decimals as a row of bytes, filled up with zeros; and its token."""
+    tokens = vocabulary_at(path).tokens
+    ids = range(max(tokens, default=0) + 1)
+    rows = np.array([b" %d" % i for i in ids])
+    return rows.view(np.uint8).reshape(len(ids), -1), [tokens.get(i, "").encode() for i in ids]
+
+
+def digest(packed: bytes, path: str) -> tuple[int, str, str]:
+    """How many ids, and the SHA-256 of their decimals and of their tokens, joined by one space; so many are spelled at a time."""
+    ids, (decimals, tokens) = np.frombuffer(packed, dtype="<u4"), spellings(path)
+    numbers, decoded = hashlib.sha256(), hashlib.sha256()
+    for at in range(0, len(ids), SPELLED):
+        own = ids[at : at + SPELLED]
+        rows = decimals[own].ravel()
+        numbers.update(rows[rows != 0][at == 0 :])
+        decoded.update(b" " * (at > 0) + b" ".join(map(tokens.__getitem__, own.tolist())))
+    return len(ids), numbers.hexdigest(), decoded.hexdigest()
 
 
 def digests(df: DataFrame, path: str, lexicon: bytes, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -564,14 +597,10 @@ def digests(df: DataFrame, path: str, lexicon: bytes, text: str = "text", key: s
     schema = df.select(key).schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = encoder_for(path, shared.value, _Digest(path))
+        encoder = encoder_for(path, shared.value, Packed())
         for batch in slices(batches):
-            counts, ids, decoded = [], [], []
-            for pieces in encoder.batches(batch.column(1).to_pylist()):
-                sizes, numbers, words = zip(*filter(None, pieces)) if any(pieces) else ((), (), ())
-                counts.append(sum(sizes))
-                ids.append(hashlib.sha256(b" ".join(numbers)).hexdigest())
-                decoded.append(hashlib.sha256(b" ".join(words)).hexdigest())
+            found = [digest(b"".join(parts), path) for parts in encoder.batches(batch.column(1).to_pylist(), 3_000_000)]
+            counts, ids, decoded = ([row[i] for row in found] for i in range(3))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], names=schema.names)
 
     return df.select(key, text).mapInArrow(run, schema)

@@ -11,7 +11,6 @@ Edge cases: a null or empty text is the end token alone; repeated rows are packe
 
 from __future__ import annotations
 
-import struct
 import zlib
 from collections.abc import Iterator
 
@@ -29,19 +28,7 @@ PIECES = "start long, length long, ids_crc32 long, doc_tokens long"
 PIECES_PER_BUCKET = 20_000
 
 
-class _Packed(bpe.AsIds):
-    """Renders ids as little-endian unsigned 32-bit numbers; they are small, so more of them are kept."""
-
-    entries = 300_000
-
-    def word(self, ids: list[int]) -> bytes:
-        return struct.pack(f"<{len(ids)}I", *ids)
-
-    def words(self, ids: np.ndarray, sizes: np.ndarray) -> list[bytes]:
-        return bpe.cut(ids.astype("<u4").tobytes(), sizes * 4)
-
-    def joined(self, values: list[bytes]) -> bytes:
-        return b"".join(values)
+_Packed = bpe.Packed
 
 
 def pieces(df: DataFrame, path: str, lexicon: bytes, window: int = 2048, end_id: int = 1, text: str = "text", key: str = "doc_id") -> DataFrame:
