@@ -5,9 +5,11 @@ import hashlib
 import math
 import random
 import re
+import unicodedata
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import sentencepiece
 import tokenizers
@@ -191,3 +193,50 @@ def test_digests_spell_packed_ids(monkeypatch):
             told = (" ".join(map(str, ids)), library.decode(ids, skip_special_tokens=False))
             assert (n, ids_sha, decoded_sha) == (len(ids), *(hashlib.sha256(x.encode()).hexdigest() for x in told))
     assert all(isinstance(v, bytes) and len(v) % 4 == 0 for v in encoder.memo.now.values())
+
+
+BITS = ["the", "Cat,", "naïve", "Σίσυφος", "ΣΑΣ", "éa", "İx", "12.5", "<|endoftext|>", "a<|endoftext|>b", "<|endoftext|><|endoftext|>", "<|ENDOFTEXT|>", "中文字", "x" * 60, "!?", ".,!", "don't", "q" * 47 + "z.", "𝔘𝔫𝔦"]
+GAPS = [" ", "  ", "\n", "\t", "　", "\x1c", "\x1f", "\x85", " ", "​", "᠎"]
+
+
+def plain_and_packed(texts, sizes=(1, 50, 4_000_000), entries=600_000, learned=50_000):
+    """The ids of a column by the packed encoder, in parts of these sizes and twice over, equal those of the library."""
+    path = bpe.tokenizer_path()
+    library = tokenizers.Tokenizer.from_file(path)
+    want = [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+    for size in sizes:
+        encoder = bpe.PackedEncoder(bpe.vocabulary_at(path), bpe.Lexicon(bpe.lexicon_for(path)))
+        encoder.memo.entries, encoder.LEARNED = entries, learned
+        for _ in range(2):
+            column = pa.array(["cut off", *texts, None], pa.string()).slice(1, len(texts))
+            found = [np.frombuffer(ids[a:b], "<u4").tolist() for ids, ends in encoder.columns(column, size) for a, b in zip(ends, ends[1:])]
+            assert found == want
+    return encoder
+
+
+@pytest.mark.parametrize("gaps", [GAPS, [g for g in GAPS if g not in "\x1c\x1f"]])
+def test_packed_columns_as_in_the_library(gaps):
+    rng = random.Random(3)
+    texts = ["".join(rng.choice(BITS) + rng.choice(gaps) * rng.randint(0, 2) for _ in range(rng.randint(0, 12))) for _ in range(80)]
+    texts += [None, "", " ", " lead", "trail ", " ".join(f"a{c}b" for c in map(chr, range(0x3000)) if unicodedata.category(c) != "Cn"), None]
+    plain_and_packed(texts)
+    plain_and_packed(texts, sizes=(50,), entries=8, learned=3)
+    plain_and_packed([], sizes=(1,))
+    plain_and_packed([None], sizes=(1,))
+
+
+def test_white_space_of_arrow_is_that_of_python():
+    texts = [f"a{chr(c)}b" for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    assert bpe.pc.utf8_split_whitespace(pa.array(texts)).to_pylist() == [t.split() for t in texts]
+
+
+def test_strings_are_made_of_new_pieces_alone(monkeypatch):
+    """Texts are cut and joined as columns: a piece becomes a string once, not as often as it is there."""
+    path = bpe.tokenizer_path()
+    monkeypatch.setattr(bpe.Encoder, "batches", None)
+    monkeypatch.setattr(bpe.Encoder, "pieces", None)
+    encoder, seen = bpe.PackedEncoder(bpe.vocabulary_at(path), bpe.Lexicon(bpe.lexicon_for(path))), []
+    monkeypatch.setattr(encoder, "_learned", lambda pieces, f=encoder._learned: seen.extend(pieces) or f(pieces))
+    for _ in range(3):
+        list(encoder.columns(pa.array(["one two two " * 500, None, "two three"])))
+    assert sorted(seen) == ["", "one", "three", "two"]

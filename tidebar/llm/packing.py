@@ -38,13 +38,14 @@ def pieces(df: DataFrame, path: str, lexicon: bytes, window: int = 2048, end_id:
     schema = f"`{key}` {df.schema[key].dataType.simpleString()}, {PIECES}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = bpe.encoder_for(path, shared.value, _Packed())
+        encoder = bpe.encoder_for(path, shared.value, _Packed(), bpe.PackedEncoder)
         end = np.array([end_id], dtype="<u4").tobytes()
         step = 4 * window
-        for batch in slices(batches):
+        for batch in slices(batches, 4000):
             row, start, length, crc, total = [], [], [], [], []
-            for i, parts in enumerate(encoder.batches(batch.column(1).to_pylist(), 3_000_000)):
-                data = memoryview(b"".join(parts) + end)
+            texts = (ids[a:b] for ids, ends in encoder.columns(batch.column(1)) for a, b in zip(ends, ends[1:]))
+            for i, ids in enumerate(texts):
+                data = memoryview(b"".join([ids, end]))
                 for at in range(0, len(data), step):
                     cut = data[at : at + step]
                     row.append(i)
