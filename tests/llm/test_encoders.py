@@ -230,6 +230,18 @@ def test_white_space_of_arrow_is_that_of_python():
     assert bpe.pc.utf8_split_whitespace(pa.array(texts)).to_pylist() == [t.split() for t in texts]
 
 
+def test_packed_memo_is_small_and_bounded():
+    """An entry, key and ids, takes less than 80 bytes; of strings and bytes in a dict it takes about 200."""
+    memo, before = bpe.PackedMemo(20_000), pa.total_allocated_bytes()
+    make = lambda keys: bpe.packed(np.arange(3 * len(keys)), np.full(len(keys), 3))
+    for at in range(0, 90_000, 5000):
+        wanted = pa.array([f"piece{i}" for i in range(at, at + 5000)])
+        assert len(memo.values(wanted, make)) == 5000
+        assert len(memo.now[0]) <= 15_000 and len(memo.before[0]) <= 15_000
+    del wanted
+    assert len(memo.now[0]) + len(memo.before[0]) >= 10_000 and pa.total_allocated_bytes() - before < 80 * (len(memo.now[0]) + len(memo.before[0]))
+
+
 def test_strings_are_made_of_new_pieces_alone(monkeypatch):
     """Texts are cut and joined as columns: a piece becomes a string once, not as often as it is there."""
     path = bpe.tokenizer_path()
@@ -240,3 +252,22 @@ def test_strings_are_made_of_new_pieces_alone(monkeypatch):
     for _ in range(3):
         list(encoder.columns(pa.array(["one two two " * 500, None, "two three"])))
     assert sorted(seen) == ["", "one", "three", "two"]
+
+
+def test_frequent_words_are_counted_as_columns(spark, monkeypatch):
+    """Equal to a plain count, whatever is held at a time; no task keeps pieces in a dict."""
+    path = bpe.tokenizer_path()
+    vocabulary = bpe.vocabulary_at(path)
+    texts = ["The the cat, CAT 12 a1", None, "", " naïve\x1ccat <|endoftext|> don't ", "the <| x", "ΣΑΣ cat."] * 3
+    plain: collections.Counter = collections.Counter()
+    for t in texts:
+        plain.update(w.encode() for p in (t or "").split() if "<|" not in p for w in vocabulary.words(p))
+    for held in (2, 250_000):
+        monkeypatch.setattr(bpe, "MEMO_ENTRIES", held)
+        df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+        assert sorted(bpe.frequent_words(df, path, limit=1000)) == sorted(w for w, n in plain.items() if n > 1)
+    found = {}
+    for batch in bpe.word_counts(vocabulary, ["The", "the,", "<|x", "12."], [1, 2, 4, 8]):
+        for row in batch.to_pylist():
+            found[row["word"]] = found.get(row["word"], 0) + row["n"]
+    assert found == {b"the": 3, b",": 2, **{w.encode(): 8 * n for w, n in collections.Counter(vocabulary.words("12.")).items()}}

@@ -24,7 +24,6 @@ import re
 import struct
 import tempfile
 import unicodedata
-from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -615,34 +614,45 @@ def encoder_for(path: str, lexicon: bytes, render, kind: type[Encoder] = Encoder
     return _encoders[key]
 
 
+def word_counts(vocabulary: Vocabulary, pieces: list[str], times: list[int]) -> list[pa.RecordBatch]:
+    """The words of distinct pieces, each with how often it is there if its pieces are there so many times; pieces with special tokens count for nothing."""
+    words: list[str] = []
+    n: list[int] = []
+    for piece, low, core, k in zip(pieces, *vocabulary.lowered(pieces), times):
+        if core.isalpha():
+            words.append(core)
+            n.append(k)
+            if len(core) < len(low):
+                words.append(low[len(core) :])
+                n.append(k)
+        elif "<|" not in piece:
+            own = vocabulary.words(piece)
+            words += own
+            n += [k] * len(own)
+    found = pa.table({"word": pa.array(words, pa.string()), "n": pa.array(n, pa.int64())}).group_by("word").aggregate([("n", "sum")])
+    return pa.table({"word": found["word"].cast(pa.binary()), "n": found["n_sum"]}).to_batches()
+
+
 def frequent_words(df: DataFrame, path: str, text: str = "text", limit: int = FREQUENT_WORDS) -> list[bytes]:
-    """The corpus's most frequent words, `limit` at most, counted over all rows: Counters in the tasks, sums in Spark."""
+    """The corpus's most frequent words, `limit` at most, counted over all rows: pieces as columns in the tasks, sums in Spark."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = vocabulary_at(path)
-        pieces: Counter = Counter()
-
-        def flush() -> pa.RecordBatch:
-            words: dict[str, int] = {}
-            kept = [p for p in pieces if "<|" not in p]
-            for piece, low, core in zip(kept, *vocabulary.lowered(kept)):
-                n = pieces[piece]
-                if core.isalpha():
-                    words[core] = words.get(core, 0) + n
-                    if len(core) < len(low):
-                        words[low[len(core) :]] = words.get(low[len(core) :], 0) + n
-                else:
-                    for w in vocabulary.words(piece):
-                        words[w] = words.get(w, 0) + n
-            pieces.clear()
-            return pa.RecordBatch.from_pydict({"word": pa.array([w.encode() for w in words], pa.binary()), "n": pa.array(list(words.values()), pa.int64())})
-
-        for batch in batches:
-            for t in batch.column(0).to_pylist():
-                pieces.update((t or "").split())
-                if len(pieces) > MEMO_ENTRIES:
-                    yield flush()
-        yield flush()
+        held: list[pa.Table] = []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            pieces = pa.concat_tables(held).group_by("piece").aggregate([("n", "sum")])
+            held.clear()
+            for part in pieces.to_batches(Encoder.LEARNED):
+                yield from word_counts(vocabulary, part["piece"].to_numpy(zero_copy_only=False).tolist(), part["n_sum"].to_pylist())
+
+        for batch in slices(batches, 4000):
+            found = pc.utf8_split_whitespace(batch.column(0)).flatten().value_counts()
+            held.append(pa.table({"piece": found.field(0).cast(pa.string()), "n": found.field(1)}))
+            if sum(map(len, held)) > 2 * MEMO_ENTRIES:
+                yield from flush()
+        if held:
+            yield from flush()
 
     counts = df.select(text).mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
     counts = stored(counts.where("n > 1"), "words")
@@ -702,24 +712,23 @@ class Packed(AsIds):
 
 
 @functools.lru_cache(maxsize=4)
-def spellings(path: str) -> tuple[np.ndarray, list[bytes]]:
-    """By id: a blank and its decimals as a row of bytes, filled up with zeros; and its token."""
+def spellings(path: str) -> tuple[pa.BinaryArray, pa.BinaryArray]:
+    """By id: a blank and its decimals; a blank and its token."""
     tokens = vocabulary_at(path).tokens
     ids = range(max(tokens, default=0) + 1)
-    rows = np.array([b" %d" % i for i in ids])
-    return rows.view(np.uint8).reshape(len(ids), -1), [tokens.get(i, "").encode() for i in ids]
+    return pa.array([b" %d" % i for i in ids], pa.binary()), pa.array([b" " + tokens.get(i, "").encode() for i in ids], pa.binary())
 
 
-def digest(packed: bytes, path: str) -> tuple[int, str, str]:
+def digest(packed: bytes | memoryview, path: str) -> tuple[int, str, str]:
     """How many ids, and the SHA-256 of their decimals and of their tokens, joined by one space; so many are spelled at a time."""
-    ids, (decimals, tokens) = np.frombuffer(packed, dtype="<u4"), spellings(path)
-    numbers, decoded = hashlib.sha256(), hashlib.sha256()
+    ids = np.frombuffer(packed, dtype="<u4")
+    sums = hashlib.sha256(), hashlib.sha256()
     for at in range(0, len(ids), SPELLED):
-        own = ids[at : at + SPELLED]
-        rows = decimals[own].ravel()
-        numbers.update(rows[rows != 0][at == 0 :])
-        decoded.update(b" " * (at > 0) + b" ".join(map(tokens.__getitem__, own.tolist())))
-    return len(ids), numbers.hexdigest(), decoded.hexdigest()
+        own = pa.array(ids[at : at + SPELLED])
+        for found, spelled in zip(sums, spellings(path)):
+            data, ends = flat_values(spelled.take(own))
+            found.update(data[int(at == 0) : ends[-1]])
+    return len(ids), *(found.hexdigest() for found in sums)
 
 
 def digests(df: DataFrame, path: str, lexicon: bytes, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -728,9 +737,9 @@ def digests(df: DataFrame, path: str, lexicon: bytes, text: str = "text", key: s
     schema = df.select(key).schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = encoder_for(path, shared.value, Packed())
-        for batch in slices(batches):
-            found = [digest(b"".join(parts), path) for parts in encoder.batches(batch.column(1).to_pylist(), 3_000_000)]
+        encoder = encoder_for(path, shared.value, Packed(), PackedEncoder)
+        for batch in slices(batches, 4000):
+            found = [digest(ids[a:b], path) for ids, ends in encoder.columns(batch.column(1)) for a, b in zip(ends, ends[1:])]
             counts, ids, decoded = ([row[i] for row in found] for i in range(3))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], names=schema.names)
 
