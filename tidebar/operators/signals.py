@@ -111,15 +111,20 @@ def surge_pattern_signals(daily: DataFrame, weekly: DataFrame, patterns: DataFra
 
     good = patterns.where((F.col("success_rate") >= least_rate) & (F.col("sample_count") >= least_samples) & (F.col("positive_support") >= least_support) & (F.col("min_success_rate") >= least_threshold))
     order = F.struct("success_rate", "sample_count", "positive_support")
-    good = good.groupBy("pattern").agg(F.max(order).alias("o")).select("pattern", "o.*")
+    good = good.groupBy("pattern").agg(F.max(order).alias("o")).select("pattern", "o.*").where(F.size(P.parse_pattern(F.col("pattern"))) > 0)
     # a number for each pattern, the best first, so that the bars aggregate integers; patterns are rules, whose number follows the vocabulary and not the bars
     best_first = Window.orderBy(F.desc("success_rate"), F.desc("sample_count"), F.desc("positive_support"), "pattern")
     good = stored(good.withColumn("place", F.row_number().over(best_first)), "patterns")
     rows = X.features(daily, weekly)
     if day:
         rows = rows.where(F.col("trade_date") == F.lit(day).cast("date"))
-    hits = itemsets.divided(rows.select("scode", "trade_date", "tokens"), good.select("place", P.parse_pattern(F.col("pattern")).alias("pattern_items")), "tokens")
-    told = hits.groupBy("scode", "trade_date").agg(F.min("place").alias("place"), F.count("*").alias("pattern_count")).join(good, "place")
+    wanted = good.select("place", P.parse_pattern(F.col("pattern")).alias("pattern_items")).orderBy("place")
+    few = P.listed(wanted)
+    if few is None:
+        hits = itemsets.divided(rows.select("scode", "trade_date", "tokens"), wanted, "tokens")
+        told = hits.groupBy("scode", "trade_date").agg(F.min("place").alias("place"), F.count("*").alias("pattern_count")).join(good, "place")
+    else:  # all are numbered and hold tokens, so a pattern's place in the list is its number
+        told = P.first_matches(rows, few).withColumn("place", F.col("place") + 1).join(F.broadcast(good), "place")
     rate = F.col("success_rate")
     reason = F.left(F.concat(F.lit("patterns="), F.col("pattern_count"), F.lit(" best="), F.col("pattern"), F.lit(" success="), percent_text(rate), F.lit(" failure="), percent_text(1 - rate), F.lit(" sample="), F.col("sample_count")), F.lit(255))
     found = told.join(daily.select("scode", "trade_date", "close"), ["scode", "trade_date"])
