@@ -5,7 +5,9 @@ import random
 
 import pytest
 
-from tidebar.operators import bars, features, patterns, signals
+from tidebar.operators import bars, datasets, features, patterns
+from tidebar.plans import family_queries  # noqa: F401
+from tidebar.plans import queries as more
 from tidebar.sources import derived
 
 SMALL = "/root/testdata/sf0.001"
@@ -62,3 +64,12 @@ def test_days_and_weeks_share_one_exchange(spark):
     df.collect()
     final = plan(df).split("Initial Plan")[0]
     assert final.count("Exchange hashpartitioning") == 1 + final.count("Exchange hashpartitioning", final.find("ReusedExchange")) and "ReusedExchange" in final
+
+
+def test_samples_join_nothing(spark):
+    """Two rows of one anchor have their own arrays, and neither arrays nor texts go through an exchange."""
+    b = spark.createDataFrame([("1", i, float(i)) for i in range(1, 8)] + [("2", 3, 1.0)], "scode string, trade_date int, close double")
+    at = spark.createDataFrame([("1", 4, "a"), ("1", 4, "b"), ("1", 9, "c"), ("1", 2, "d"), ("2", 1, "e"), ("3", 1, "f")], "scode string, trade_date int, label string")
+    found = {r.label: r.bars and [(x.place, x.close) for x in r.bars] for r in datasets.window_arrays(at, b, 3, ("close",)).collect()}
+    assert found == {"a": [(2, 2.0), (3, 3.0), (4, 4.0)], "b": [(2, 2.0), (3, 3.0), (4, 4.0)], "c": [(5, 5.0), (6, 6.0), (7, 7.0)], "d": None, "e": None, "f": None}
+    assert "Join" not in plan(more.QUERIES["sample_messages"](spark, SMALL))

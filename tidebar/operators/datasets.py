@@ -203,18 +203,20 @@ def stratified_split(rows: DataFrame, share: float, seed: int = 7, by: str = "la
 
 
 def window_arrays(anchors: DataFrame, bars: DataFrame, size: int, columns: tuple[str, ...] = COLUMNS) -> DataFrame:
-    """Anchors (scode, trade_date) with the last `size` bars at or before them, as an array; null where there are fewer.
+    """Anchors (scode, trade_date and any more columns) with the last `size` bars at or before them, as an array `bars`; null where there are fewer.
 
-    An anchor finds its bar's place by an as-of join and then joins the few bars before it by place, so arrays exist for anchors alone.
+    Anchors stand among the bars of their symbol, and a window over the bars' places gathers those before each. Arrays exist for anchors alone, and none is shuffled.
     """
-    from .bars import asof_backward
-
-    placed = bars.withColumn("place", F.row_number().over(along()))
-    at = asof_backward(anchors, placed.select("scode", "trade_date", "place"), ["place"])
-    wanted = at.withColumn("p", F.explode(F.sequence(F.col("place") - size + 1, F.col("place"))))
-    found = wanted.join(placed.select("scode", F.col("place").alias("p"), F.struct("place", F.col("trade_date").alias("day"), *[F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in columns]).alias("bar")), ["scode", "p"])
-    arrays = found.groupBy("scode", "trade_date").agg(F.sort_array(F.collect_list("bar")).alias("bars"))
-    return at.select("scode", "trade_date").join(arrays.where(F.size("bars") == size), ["scode", "trade_date"], "left")
+    kept = [c for c in anchors.columns if c not in ("scode", "trade_date")]
+    fields = [F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in columns]
+    own = bars.select("scode", "trade_date", F.lit(0).alias("__side"), F.struct(F.lit(0).alias("place"), F.col("trade_date").alias("day"), *fields).alias("bar"), *[F.lit(None).cast(anchors.schema[c].dataType).alias(c) for c in kept])
+    at = anchors.select("scode", "trade_date", F.lit(1).alias("__side"), F.lit(None).cast(own.schema["bar"].dataType).alias("bar"), *kept)
+    order = Window.partitionBy("scode").orderBy("trade_date", "__side").rowsBetween(Window.unboundedPreceding, 0)
+    placed = own.union(at).withColumn("place", F.count("bar").over(order))
+    # anchors that no bar precedes have the place 0; each bar stands for its place
+    near = Window.partitionBy("scode").orderBy("place").rangeBetween(1 - size, 0)
+    found = placed.withColumn("bars", F.collect_list(F.col("bar").withField("place", F.col("place"))).over(near)).where("__side = 1")
+    return found.select("scode", "trade_date", *kept, F.when(F.size("bars") == size, F.sort_array("bars")).alias("bars"))
 
 
 def compact_text(bars: Column, columns: tuple[str, ...] = COLUMNS) -> Column:
@@ -240,13 +242,12 @@ def samples(events: DataFrame, daily: DataFrame, weekly: DataFrame, monthly: Dat
     """Events (scode, trade_date, label) as messages and metadata, where all windows are full. Bars have their averages."""
     d, w, m = MODES[mode]
     out = events.select("scode", "trade_date", "label")
-    anchors = out.select("scode", "trade_date").distinct()
     parts = [F.concat(F.lit("s="), F.col("scode")), F.lit(f"mode={mode}"), F.lit("cols=i," + ",".join(COLUMNS))]
     for name, bars, size in (("D", daily, d), ("W", weekly, w), ("M", monthly, m)):
         if size:
-            found = window_arrays(anchors, bars, size).where("bars IS NOT NULL").withColumnRenamed("bars", f"bars_{name}")
-            out = out.join(found, ["scode", "trade_date"])
-            parts += [F.lit(name), compact_text(F.col(f"bars_{name}"))]
+            # each window's text is carried to the next as a column, so that nothing is joined
+            out = window_arrays(out, bars, size).where("bars IS NOT NULL").withColumn(f"text_{name}", compact_text(F.col("bars"))).drop("bars")
+            parts += [F.lit(name), F.col(f"text_{name}")]
     messages = F.array(F.struct(F.lit("user").alias("role"), F.concat_ws("\n", *parts).alias("content")), F.struct(F.lit("assistant").alias("role"), F.concat(F.lit('{"c":"'), F.col("label"), F.lit('"}')).alias("content")))
     metadata = F.struct("scode", F.col("trade_date").cast("string").alias("anchor_date"), "label", F.lit(mode).alias("sample_mode"))
     return out.select("scode", "trade_date", messages.alias("messages"), metadata.alias("metadata"))
