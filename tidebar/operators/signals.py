@@ -115,13 +115,13 @@ def surge_pattern_signals(daily: DataFrame, weekly: DataFrame, patterns: DataFra
     # a number for each pattern, the best first, so that the bars aggregate integers; patterns are rules, whose number follows the vocabulary and not the bars
     best_first = Window.orderBy(F.desc("success_rate"), F.desc("sample_count"), F.desc("positive_support"), "pattern")
     good = stored(good.withColumn("place", F.row_number().over(best_first)), "patterns")
-    rows = X.features(daily, weekly)
+    rows = X.packed(daily, weekly)
     if day:
         rows = rows.where(F.col("trade_date") == F.lit(day).cast("date"))
     wanted = good.select("place", P.parse_pattern(F.col("pattern")).alias("pattern_items")).orderBy("place")
     few = P.listed(wanted)
     if few is None:
-        hits = itemsets.divided(rows.select("scode", "trade_date", "tokens"), wanted, "tokens")
+        hits = itemsets.divided(P.with_tokens(rows).select("scode", "trade_date", "tokens"), wanted, "tokens")
         told = hits.groupBy("scode", "trade_date").agg(F.min("place").alias("place"), F.count("*").alias("pattern_count")).join(good, "place")
     else:  # all are numbered and hold tokens, so a pattern's place in the list is its number
         told = P.first_matches(rows, few).withColumn("place", F.col("place") + 1).join(F.broadcast(good), "place")
